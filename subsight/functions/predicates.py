@@ -11,10 +11,17 @@ from ..sources import schemas as S
 from .dates import lit_ts
 
 # Sort whitelists of the reference's listing screens.
-PLAN_SORTS = {"name": "name", "price": "price", "created": "created_at"}
-USER_SORTS = {"email": "email", "firstname": "first_name", "registered": "registration_date"}
+# Each maps the accepted sort name (lower case) to a column; anything else
+# falls back to the listed default.
+PLAN_SORTS = {"name": "name", "price": "price", "createdat": "created_at"}
+PLAN_SORT_DEFAULT = "created_at"
+USER_SORTS = {"email": "email", "firstname": "first_name", "registrationdate": "registration_date"}
+USER_SORT_DEFAULT = "registration_date"
 SUBSCRIPTION_SORTS = {"startdate": "start_date", "enddate": "end_date", "status": "status"}
+SUBSCRIPTION_SORT_DEFAULT = "start_date"
 PAYMENT_SORTS = {"paymentdate": "payment_date", "amount": "amount", "status": "status"}
+PAYMENT_SORT_DEFAULT = "payment_date"
+MAX_PAGE_SIZE = 200
 
 _ENUMS = {v.lower(): v for v in S.SUBSCRIPTION_STATUSES + S.PAYMENT_STATUSES + S.ROLES
           + ["Monthly", "Yearly"]}
@@ -53,7 +60,7 @@ def contains_any(cols: list[Column], text, case_sensitive: bool = False) -> Colu
     if blank(text):
         return F.lit(True)
     pattern = f"%{text}%"
-    parts = [(c.like(pattern) if case_sensitive else c.ilike(F.lit(pattern))) for c in cols]
+    parts = [(c.like(pattern) if case_sensitive else c.ilike(pattern)) for c in cols]
     return reduce(lambda a, b: a | b, parts)
 
 

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import REGISTRY, Query
 
-_MODULES = ["scans", "reports"]
+_MODULES = ["scans", "reports", "listings"]
 
 
 def all_queries() -> dict[str, Query]:

@@ -95,4 +95,7 @@ def oracle(sql: str, extra_ctes: dict[str, str] | None = None) -> str:
     if not ctes:
         return sql.strip()
     head = ",\n".join(f"{n} AS ({q.strip()})" for n, q in ctes)
-    return f"WITH {head}\n{sql.strip()}"
+    body = sql.strip()
+    if re.match(r"(?i)with\s", body):  # merge with the statement's own CTEs
+        return f"WITH {head},\n{body[4:].lstrip()}"
+    return f"WITH {head}\n{body}"
