@@ -6,7 +6,7 @@ import importlib
 
 from .registry import REGISTRY, Query
 
-_MODULES = ["scans", "reports", "listings", "scalars", "changes", "quality", "events"]
+_MODULES = ["scans", "reports", "listings", "scalars", "changes", "quality", "events", "streams"]
 
 
 def all_queries() -> dict[str, Query]:
