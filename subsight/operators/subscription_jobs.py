@@ -129,7 +129,9 @@ def cancel(subscriptions: DataFrame, plans: DataFrame, payments: DataFrame, cmds
     rem = remaining_days(F.col("_end"), as_of, F.col("duration_days"))
     ok = (j.where(F.col("reason").isNull()).withColumn("remaining_days", rem)
           .withColumn("refund_amount", M.prorata(F.col("price"), F.col("remaining_days"), F.col("duration_days"))))
-    latest = latest_completed_payment(payments).select("subscription_id", F.col("payment_id").alias("refunded_payment_id"))
+    # only the payments of the subscriptions being cancelled are ranked
+    mine = payments.join(ok.select("subscription_id").distinct(), "subscription_id", "left_semi")
+    latest = latest_completed_payment(mine).select("subscription_id", F.col("payment_id").alias("refunded_payment_id"))
     ok = ok.join(latest, "subscription_id", "left").withColumn(
         "refunded_payment_id", F.when(F.col("refund_amount") > 0, F.col("refunded_payment_id")))
     changed_subs = (subscriptions.join(ok.select("subscription_id"), "subscription_id")

@@ -59,9 +59,13 @@ def outbox_type(body_type) -> F.Column:
 
 
 def ingest(inbound: DataFrame, payments: DataFrame, outbox: DataFrame, secret: str,
-           known_event_ids: DataFrame | None = None) -> dict[str, DataFrame]:
+           known_event_ids: DataFrame | None = None, with_outbox: bool = True) -> dict[str, DataFrame]:
     """Returns {'events', 'payment_updates', 'outbox', 'dispositions'}.
 
+    Outbox ids continue the outbox table in arrival order; assigning them
+    writes the accepted rows to the checkpoint folder, so callers that need
+    no outbox rows pass ``with_outbox=False``.
+
     Payment update (C15): by transaction id when the body has one, else by
     payment id; when several accepted events hit one payment, the last by
     arrival wins."""
@@ -82,6 +86,12 @@ def ingest(inbound: DataFrame, payments: DataFrame, outbox: DataFrame, secret: s
             .agg(F.max(F.struct("seq", F.col("b.status").alias("status"))).alias("m")))
     updates = last.select(F.col("target_payment_id").alias("payment_id"), F.col("m.status").alias("status"),
                           F.col("m.seq").alias("seq"))
+    result = {"events": events, "payment_updates": updates,
+              "dispositions": a.select("seq", "event_id", "disposition", "target_payment_id")
+              .unionByName(d.where(F.col("disposition") != "accepted")
+                           .select("seq", "event_id", "disposition", F.lit(None).cast("int").alias("target_payment_id")))}
+    if not with_outbox:
+        return result
     box = ids.assign_ids(acc, ["seq"], ids.max_id(outbox, "outbox_id"), "outbox_id", cast="bigint")
     box = box.select(
         "outbox_id", outbox_type(F.col("b.type")).alias("type"),
@@ -89,7 +99,5 @@ def ingest(inbound: DataFrame, payments: DataFrame, outbox: DataFrame, secret: s
                          F.coalesce("b.payment_id", F.lit(0)), F.col("b.amount"), type_=F.col("b.type")).alias("payload"),
         F.col("received_at").alias("created_at"), F.lit(None).cast(S.TS).alias("processed_at"),
         F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error"))
-    return {"events": events, "payment_updates": updates, "outbox": box,
-            "dispositions": a.select("seq", "event_id", "disposition", "target_payment_id")
-            .unionByName(d.where(F.col("disposition") != "accepted")
-                         .select("seq", "event_id", "disposition", F.lit(None).cast("int").alias("target_payment_id")))}
+    result["outbox"] = box
+    return result

@@ -97,7 +97,8 @@ t AS (
 SELECT seq, event_id, disposition, target_payment_id FROM t""")
 def webhook_ingest(t):
     """ST5: disposition of every inbound webhook request."""
-    return W.ingest(W.signed_inbound(t, HMAC_TEST_KEY), t.payments, t.outbox, HMAC_TEST_KEY)["dispositions"]
+    return W.ingest(W.signed_inbound(t, HMAC_TEST_KEY), t.payments, t.outbox, HMAC_TEST_KEY,
+                    with_outbox=False)["dispositions"]
 
 
 @query("webhook_apply", _WEBHOOK + """
@@ -105,7 +106,8 @@ SELECT target_payment_id AS payment_id, arg_max(status, seq) AS status, max(seq)
 FROM t WHERE disposition = 'accepted' AND target_payment_id IS NOT NULL GROUP BY target_payment_id""")
 def webhook_apply(t):
     """Payment status updates from accepted webhooks (last arrival wins)."""
-    return W.ingest(W.signed_inbound(t, HMAC_TEST_KEY), t.payments, t.outbox, HMAC_TEST_KEY)["payment_updates"]
+    return W.ingest(W.signed_inbound(t, HMAC_TEST_KEY), t.payments, t.outbox, HMAC_TEST_KEY,
+                    with_outbox=False)["payment_updates"]
 
 
 @query("webhook_outbox", _WEBHOOK + """
@@ -141,3 +143,33 @@ def rate_limit_admit_daily(t):
     r = t.webhook_inbound.select("seq", "client_key", "received_at")
     return RL.admit(r, "client_key", "received_at", "1 day", 5, ["received_at", "seq"], "seq").select(
         "seq", "client_key", "window_start", "admitted")
+
+
+@query("append_logs", f"""
+SELECT log_id, user_id, action, message, log_date FROM logs
+UNION ALL
+SELECT CAST((SELECT max(log_id) FROM logs) + row_number() OVER (ORDER BY subscription_id) AS INTEGER), user_id,
+       'SubscriptionExpired', concat('Subscription ', CAST(subscription_id AS VARCHAR), ' expired.'), {A}
+FROM subscriptions WHERE status = 'Active' AND end_date <= {A}""")
+def append_logs(t):
+    """The expiry job's log rows appended to a copy of the log table (ids continue it)."""
+    from ..operators import subscription_jobs as SJ
+    from ..session import scratch_path
+    from ..sources.sinks import append_with_ids
+    msgs = SJ.expire_due(t.subscriptions, AS_OF).logs.withColumn(
+        "_sid", F.regexp_extract(F.col("message"), r"Subscription (\d+) ", 1).cast("int"))
+    new = msgs.select("_sid", "user_id", "action", "message", F.col("timestamp_utc").alias("log_date"))
+    out = append_with_ids(scratch_path(t.spark, "logs-table"), t.logs, new, "log_id", ["_sid"])
+    return out.select("log_id", "user_id", "action", "message", "log_date")
+
+
+@query("append_outbox")
+def append_outbox(t):
+    """Outbox rows of recorded payments appended to a copy of the outbox table."""
+    from ..operators import payment_jobs as PJ
+    from ..session import scratch_path
+    from ..sources import commands as C
+    from ..sources.sinks import append_with_ids
+    box = PJ.record_payments(t.subscriptions, t.payments, t.outbox, C.payment_records(t), AS_OF).outbox
+    new = box.drop("outbox_id").withColumn("_o", F.get_json_object("payload", "$.PaymentId").cast("long"))
+    return append_with_ids(scratch_path(t.spark, "outbox-table"), t.outbox, new, "outbox_id", ["_o"], cast="bigint")

@@ -64,3 +64,22 @@ def publish(changes, base_path: str) -> dict[str, str]:
     finally:
         outcome.unpersist()
     return out
+
+
+def append_with_ids(target_path: str, base: DataFrame, new_rows: DataFrame, id_col: str,
+                    order_cols: list[str], cast: str = "int") -> DataFrame:
+    """Append ``new_rows`` to the table at ``target_path`` (created from
+    ``base`` when absent) with ids continuing the table's largest id, in
+    ``order_cols`` order; returns the table as read back."""
+    from ..operators import ids
+
+    spark = base.sparkSession
+    try:
+        current = spark.read.parquet(target_path)
+        current.limit(1).count()
+    except Exception:
+        base.write.mode("errorifexists").parquet(target_path)
+        current = spark.read.parquet(target_path)
+    rows = ids.assign_ids(new_rows, order_cols, ids.max_id(current, id_col), id_col, cast=cast)
+    rows.select(*current.columns).write.mode("append").parquet(target_path)
+    return spark.read.parquet(target_path)

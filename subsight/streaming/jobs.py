@@ -108,7 +108,7 @@ def webhooks_stream(spark: SparkSession, source_path: str, payments: DataFrame,
             known.limit(1).count()  # fails here when no batch has written yet
         except Exception:
             known = None
-        res = W.ingest(batch, payments, outbox, secret, known)
+        res = W.ingest(batch, payments, outbox, secret, known, with_outbox=False)
         _sink_batch(sink, "events", bid, res["events"])
         _sink_batch(sink, "dispositions", bid, res["dispositions"])
         _sink_batch(sink, "payment_updates", bid, res["payment_updates"])
