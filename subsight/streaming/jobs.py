@@ -5,12 +5,11 @@ batch DataFrame."""
 
 from __future__ import annotations
 
-from typing import Callable, Iterator
+from typing import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import outbox as O
 from ..operators import webhooks as W
@@ -128,19 +127,23 @@ def rate_limit_stream(spark: SparkSession, source_path: str, window: str, permit
 
     out_schema = "seq long, client_key string, window_start timestamp_ntz, admitted boolean"
     state_schema = "seen long"
+    window_ms = _window_ms(window)
+
+    # A closure over plain values only: it is shipped to the Python workers
+    # by value and needs nothing of this package there.
+    def step(key, pdfs, state):
+        import pandas as pd_
 
-    def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         seen = state.get[0] if state.exists else 0
-        rows = pd.concat(list(pdfs), ignore_index=True).sort_values(["received_at", "seq"], kind="stable")
-        rank = seen + pd.Series(range(1, len(rows) + 1), index=rows.index)
+        rows = pd_.concat(list(pdfs), ignore_index=True).sort_values(["received_at", "seq"], kind="stable")
+        rank = seen + pd_.Series(range(1, len(rows) + 1), index=rows.index)
         state.update((int(seen + len(rows)),))
-        end_ms = int(pd.Timestamp(key[1]).value // 1_000_000) + _window_ms(window)
-        state.setTimeoutTimestamp(end_ms)
-        yield pd.DataFrame({"seq": rows["seq"].astype("int64"), "client_key": rows["client_key"],
-                            "window_start": rows["window_start"], "admitted": (rank <= permits).to_numpy()})
+        state.setTimeoutTimestamp(int(pd_.Timestamp(key[1]).value // 1_000_000) + window_ms)
+        yield pd_.DataFrame({"seq": rows["seq"].astype("int64"), "client_key": rows["client_key"],
+                             "window_start": rows["window_start"], "admitted": (rank <= permits).to_numpy()})
 
     sink = scratch_path(spark, "sink-ratelimit")
     src = (spark.readStream.schema(WEBHOOK_IN).option("maxFilesPerTrigger", 1).parquet(source_path)
