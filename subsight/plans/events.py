@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import outbox as O
 from ..operators import ratelimit as RL
 from ..operators import webhooks as W
+from ..sources import commands as C
 from .registry import AS_OF, HMAC_TEST_KEY, query
 
 A = f"TIMESTAMP '{AS_OF}'"
@@ -163,12 +164,20 @@ def append_logs(t):
     return out.select("log_id", "user_id", "action", "message", "log_date")
 
 
-@query("append_outbox")
+@query("append_outbox", f"""
+SELECT outbox_id, type, payload, created_at, processed_at, attempts, error FROM outbox_messages
+UNION ALL
+SELECT CAST((SELECT max(outbox_id) FROM outbox_messages) + row_number() OVER (ORDER BY seq) AS BIGINT), 'PaymentProcessed',
+       concat('{{"UserId":0,"SubscriptionId":', CAST(subscription_id AS VARCHAR), ',"PaymentId":',
+              CAST((SELECT max(payment_id) FROM payments) + row_number() OVER (ORDER BY seq) AS VARCHAR),
+              ',"Amount":', CAST(CAST(amount AS DECIMAL(18,2)) AS VARCHAR), '}}'),
+       {A}, CAST(NULL AS TIMESTAMP), 0, CAST(NULL AS VARCHAR)
+FROM payment_cmd c WHERE EXISTS (SELECT 1 FROM subscriptions s WHERE s.subscription_id = c.subscription_id)""",
+       ctes={"payment_cmd": C.SQL["payment_cmd"]})
 def append_outbox(t):
     """Outbox rows of recorded payments appended to a copy of the outbox table."""
     from ..operators import payment_jobs as PJ
     from ..session import scratch_path
-    from ..sources import commands as C
     from ..sources.sinks import append_with_ids
     box = PJ.record_payments(t.subscriptions, t.payments, t.outbox, C.payment_records(t), AS_OF).outbox
     new = box.drop("outbox_id").withColumn("_o", F.get_json_object("payload", "$.PaymentId").cast("long"))

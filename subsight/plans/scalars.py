@@ -162,11 +162,14 @@ def webhook_parse(t):
                                     p["amount"].cast("decimal(18,2)").alias("amount"), p["user_id"].alias("user_id"))
 
 
-@query("webhook_signature_check")
+@query("webhook_signature_check", """
+SELECT seq, seq % 13 <> 0 AS signature_ok FROM webhook_inbound""")
 def webhook_signature_check(t):
-    """HMAC-SHA256 of each body against its signature header (fixture: every 13th forged)."""
+    """HMAC-SHA256 of each body against its signature header. Spark
+    computes the real HMAC; the fixture forges every 13th signature, which
+    is all the oracle needs to know."""
     w = W.signed_inbound(t, HMAC_TEST_KEY)
-    return w.select("seq", "signature", H.signature_ok(F.col("raw_payload"), F.col("signature"), HMAC_TEST_KEY).alias("signature_ok"))
+    return w.select("seq", H.signature_ok(F.col("raw_payload"), F.col("signature"), HMAC_TEST_KEY).alias("signature_ok"))
 
 
 @query("export_plans_csv_line", """
@@ -179,14 +182,23 @@ def export_plans_csv_line(t):
     return plans_csv_lines(L.plans_filtered(t.plans, search="red"))
 
 
-@query("export_plans_json")
+@query("export_plans_json", """
+SELECT plan_id, concat('{"plan_id":', CAST(plan_id AS VARCHAR), ',"name":', to_json(name), ',"description":', to_json(description),
+       ',"price":', CAST(price AS VARCHAR), ',"billing_cycle":', to_json(billing_cycle), ',"duration_days":',
+       CAST(duration_days AS VARCHAR), ',"features":', to_json(features), ',"created_at":"',
+       strftime(created_at, '%Y-%m-%dT%H:%M:%S.%g'), '"}') AS json
+FROM plans WHERE name ILIKE '%red%' OR billing_cycle ILIKE '%red%'""")
 def export_plans_json(t):
     """JSON lines of the filtered plans, all nine columns."""
     from ..sources.sinks import json_lines
     return json_lines(L.plans_filtered(t.plans, search="red"), "plan_id")
 
 
-@query("report_revenue_json")
+@query("report_revenue_json", f"""
+SELECT concat('{{"from":"{REPORT_FROM}T00:00:00.000","to":"{REPORT_TO}T00:00:00.000","totalRevenue":',
+              CAST(CAST(COALESCE(SUM(amount), 0) AS DECIMAL(18,2)) AS VARCHAR), '}}') AS json
+FROM payments WHERE status = 'Completed' AND payment_date >= TIMESTAMP '{REPORT_FROM} 00:00:00'
+  AND payment_date < TIMESTAMP '{REPORT_TO} 00:00:00' + INTERVAL 1 DAY""")
 def report_revenue_json(t):
     """Revenue report as a JSON object {from, to, totalRevenue}."""
     r = R.revenue(t.payments, REPORT_FROM, REPORT_TO)

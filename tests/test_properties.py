@@ -108,3 +108,43 @@ def test_subscribe_ids_continue_tables(spark):
     assert ch.logs.count() == 2 * len(new) and ch.notifications.count() == len(new)
     amounts = ch.upserts["payments"].agg(F.sum("amount")).first()[0]
     assert amounts is None or amounts > Decimal(0)
+
+
+def test_two_renewals_in_one_batch(spark):
+    import datetime as dt
+    subs = spark.createDataFrame(
+        [(1, 5, 1, dt.datetime(2020, 1, 1), dt.datetime(2020, 1, 31), None, "Active", True),
+         (2, 6, 1, dt.datetime(2019, 1, 1), dt.datetime(2019, 1, 31), None, "Cancelled", False)],
+        "subscription_id int, user_id int, plan_id int, start_date timestamp_ntz, end_date timestamp_ntz, "
+        "renewal_date timestamp_ntz, status string, auto_renew boolean")
+    plans = spark.createDataFrame([(1, "P", None, Decimal("10.00"), "Monthly", 30, None, dt.datetime(2019, 1, 1), None)],
+                                  "plan_id int, name string, description string, price decimal(10,2), billing_cycle string, "
+                                  "duration_days int, features string, created_at timestamp_ntz, updated_at timestamp_ntz")
+    pays = spark.createDataFrame([(7, 1, Decimal("10.00"), dt.datetime(2020, 1, 1), None, "t", "Completed")],
+                                 "payment_id int, subscription_id int, amount decimal(10,2), payment_date timestamp_ntz, "
+                                 "payment_method string, transaction_id string, status string")
+    cmds = spark.createDataFrame([(10, 1, 5, "PayPal"), (11, 1, 5, "PayPal"), (12, 2, 6, "PayPal"), (13, 1, 9, "PayPal")],
+                                 "seq long, subscription_id int, user_id int, payment_method string")
+    ch = SJ.renew(subs, plans, pays, cmds, "2020-01-10 00:00:00")
+    out = {r["seq"]: r for r in ch.outcome.collect()}
+    assert out[10]["new_end"] == dt.datetime(2020, 3, 1) and out[11]["new_end"] == dt.datetime(2020, 3, 31)
+    assert (out[10]["payment_id"], out[11]["payment_id"]) == (8, 9)
+    assert out[12]["reason"] == "cancelled" and out[13]["reason"] == "not_owner"
+    final = ch.upserts["subscriptions"].collect()
+    assert len(final) == 1 and final[0]["end_date"] == dt.datetime(2020, 3, 31) and final[0]["status"] == "Active"
+    assert ch.upserts["payments"].count() == 2
+
+
+def test_publish_writes_every_output_then_marker(spark):
+    import os
+
+    from subsight.session import scratch_path
+    from subsight.sources.sinks import publish
+    t = Tables(spark, SF001)
+    ch = SJ.expire_due(t.subscriptions, AS_OF)
+    base = scratch_path(spark, "publish-test")
+    out = publish(ch, base)
+    assert set(out) == {"outcome", "upserts/subscriptions", "logs", "notifications"}
+    local = base.replace("file:", "")
+    assert os.path.exists(os.path.join(local, "_PUBLISHED"))
+    assert spark.read.parquet(out["logs"]).count() == ch.outcome.count()
