@@ -1,8 +1,6 @@
 """Registered change jobs (C1-C14, C18 inside): each returns the outcome
 per command; the oracle states the same rules in SQL."""
 
-from pyspark.sql import functions as F
-
 from ..operators import payment_jobs as PJ
 from ..operators import plan_jobs as PL
 from ..operators import subscription_jobs as SJ
@@ -246,5 +244,3 @@ def delete_users(t):
     """Guarded user deletes."""
     return UJ.delete(t.users, t.subscriptions, C.user_deletes(t), AS_OF).outcome
 
-
-_ = F

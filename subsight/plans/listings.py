@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from ..functions.dates import lit_ts
 from ..functions.predicates import due_for_expiry
 from ..operators import listing as L
 from ..operators import lookups as K
@@ -318,5 +317,3 @@ def payments_by_subscription(t):
     """Payments of a key set of subscriptions, newest first."""
     return L.payments_by_subscription(t.payments, lookup_subscription_keys(t))
 
-
-_ = lit_ts

@@ -23,8 +23,6 @@ def _sink_batch(sink: str, name: str, batch_id: int, df: DataFrame) -> None:
 
 
 def _read_sink(spark: SparkSession, sink: str, name: str, schema) -> DataFrame:
-    from py4j.protocol import Py4JJavaError  # noqa: F401
-
     cols = [f.name for f in schema.fields]
     try:
         return spark.read.schema(schema).parquet(f"{sink}/{name}").select(*cols)
@@ -99,8 +97,6 @@ def webhooks_stream(spark: SparkSession, source_path: str, payments: DataFrame,
     from ..sources.schemas import WEBHOOK_IN
 
     def handle(batch: DataFrame, bid: int, sink: str) -> None:
-        known = None
-        import os  # noqa: F401
         prior = f"{sink}/events"
         try:
             known = spark.read.parquet(prior).select("event_id")
