@@ -137,7 +137,8 @@ def rate_limit_stream(spark: SparkSession, source_path: str, window: str, permit
         rows = pd_.concat(list(pdfs), ignore_index=True).sort_values(["received_at", "seq"], kind="stable")
         rank = seen + pd_.Series(range(1, len(rows) + 1), index=rows.index)
         state.update((int(seen + len(rows)),))
-        state.setTimeoutTimestamp(int(pd_.Timestamp(key[1]).value // 1_000_000) + window_ms)
+        # window end in the watermark's own frame (epoch ms of the TIMESTAMP column)
+        state.setTimeoutTimestamp(int(rows["_wstart_ms"].iloc[0]) + window_ms)
         yield pd_.DataFrame({"seq": rows["seq"].astype("int64"), "client_key": rows["client_key"],
                              "window_start": rows["window_start"], "admitted": (rank <= permits).to_numpy()})
 
@@ -147,6 +148,7 @@ def rate_limit_stream(spark: SparkSession, source_path: str, window: str, permit
            .withColumn("window_start", F.window("received_at", window).start.cast("timestamp_ntz"))
            # watermarks need TIMESTAMP; the session time zone is UTC, so the instant is the same
            .withColumn("event_time", F.col("received_at").cast("timestamp"))
+           .withColumn("_wstart_ms", F.unix_millis(F.col("window_start").cast("timestamp")))
            .withWatermark("event_time", watermark))
     out = src.groupBy("client_key", "window_start").applyInPandasWithState(
         step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
