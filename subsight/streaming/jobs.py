@@ -31,9 +31,12 @@ def _read_sink(spark: SparkSession, sink: str, name: str, schema) -> DataFrame:
 
 
 def run_foreach(spark: SparkSession, source_path: str, schema, name: str,
-                handle: Callable[[DataFrame, int, str], None], files_per_trigger: int = 1) -> str:
-    """readStream (files) -> foreachBatch(handle) with a checkpoint; returns the sink folder."""
-    sink = scratch_path(spark, f"sink-{name}")
+                handle: Callable[[DataFrame, int, str], None], files_per_trigger: int = 1,
+                sink: str | None = None) -> str:
+    """readStream (files) -> foreachBatch(handle) with a checkpoint; returns
+    the sink folder. Passing the ``sink`` of an earlier run resumes it: only
+    files that run has not seen are processed."""
+    sink = sink or scratch_path(spark, f"sink-{name}")
     stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
               .parquet(source_path))
     q = (stream.writeStream.foreachBatch(lambda df, bid: handle(df, bid, sink))
@@ -91,7 +94,7 @@ def outbox_stream(spark: SparkSession, source_path: str, schema, users: DataFram
 
 
 def webhooks_stream(spark: SparkSession, source_path: str, payments: DataFrame, outbox: DataFrame,
-                    secret: str) -> DataFrame:
+                    secret: str, sink: str | None = None) -> DataFrame:
     """ST5: ingest each micro-batch. Event ids are unique forever: each batch
     is anti-joined with the events already stored by earlier batches."""
     from ..sources.schemas import WEBHOOK_IN
@@ -108,7 +111,7 @@ def webhooks_stream(spark: SparkSession, source_path: str, payments: DataFrame,
         _sink_batch(sink, "dispositions", bid, res["dispositions"])
         _sink_batch(sink, "payment_updates", bid, res["payment_updates"])
 
-    sink = run_foreach(spark, source_path, WEBHOOK_IN, "webhooks", handle)
+    sink = run_foreach(spark, source_path, WEBHOOK_IN, "webhooks", handle, sink=sink)
     return spark.read.parquet(f"{sink}/dispositions").drop("batch")
 
 

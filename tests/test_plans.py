@@ -36,3 +36,35 @@ def test_scan_prunes_columns(spark):
     t = Tables(spark, SF001)
     plan = _plan(t.payments.select("payment_id", "status"))
     assert "l_extendedprice" not in plan.split("ReadSchema")[1].split("\n")[0]
+
+
+def _run_plan(spark, name):
+    df = QUERIES[name].run(spark, SF001)
+    df.write.format("noop").mode("overwrite").save()  # final adaptive plan
+    return _plan(df)
+
+
+def test_latest_payment_is_a_partial_aggregate(spark):
+    plan = _run_plan(spark, "latest_completed_payment")
+    assert "Window" not in plan and "partial_max" in plan
+
+
+def test_webhook_first_wins_without_window(spark):
+    plan = _run_plan(spark, "webhook_ingest")
+    assert "Window" not in plan and "partial_min" in plan
+
+
+def test_rate_limit_windows_are_salted(spark):
+    plan = _run_plan(spark, "rate_limit_admit")
+    assert "_salt" in plan and "xxhash64" in plan
+
+
+def test_reports_aggregate_before_join(spark):
+    plan = _run_plan(spark, "plan_metrics")
+    # the partial aggregate sits below the join with plan names
+    assert plan.index("Join") < plan.index("partial_count")
+
+
+def test_quality_row_rules_one_scan_per_table(spark):
+    plan = _run_plan(spark, "dq_required")
+    assert plan.count("customer.parquet") == 1
