@@ -1,8 +1,9 @@
 """Benchmark of the headline queries.
 
-Runs each query to completion with the ``noop`` sink (every row computed,
-nothing collected to the driver) at $BENCH_SF_DIR on local[$BENCH_CPUS]
-and prints one JSON line:
+Maps the driver's files to the seven tables once (stored in the shared
+checkpoint folder, timed as ``materialize_tables``), then runs each query to
+completion with the ``noop`` sink (every row computed, nothing collected to
+the driver) at $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one JSON line:
 {"metric": ..., "value": total seconds, "unit": "sec", "queries": {...}, "sf": ...}
 """
 
@@ -34,9 +35,18 @@ def main() -> None:
 
     spark = build_session(f"local[{cpus}]", app="subsight-bench", shuffle_partitions=max(8, 2 * cpus),
                           extra={"spark.driver.memory": "16g"})
+    from subsight.sources.tables import Tables
+
     qs = all_queries()
-    qs["plan_metrics"].run(spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
     times: dict[str, float] = {}
+    # The mapping from the driver's files to the seven tables runs once and is
+    # stored (as a deployment stores its tables); its time counts in the total.
+    t0 = time.perf_counter()
+    t = Tables(spark, sf_dir)
+    for name in ("plans", "users", "subscriptions", "payments", "logs", "outbox", "webhook_inbound"):
+        getattr(t, name)
+    times["materialize_tables"] = round(time.perf_counter() - t0, 3)
+    qs["churn_rate"].run(spark, sf_dir).write.format("noop").mode("overwrite").save()  # warm-up
     for name in names:
         t0 = time.perf_counter()
         qs[name].run(spark, sf_dir).write.format("noop").mode("overwrite").save()
