@@ -148,3 +148,43 @@ def test_publish_writes_every_output_then_marker(spark):
     local = base.replace("file:", "")
     assert os.path.exists(os.path.join(local, "_PUBLISHED"))
     assert spark.read.parquet(out["logs"]).count() == ch.outcome.count()
+
+
+def test_hot_event_id_and_hot_payment(spark):
+    """A third of all requests share one event id and most hit one payment:
+    results equal a brute-force serial replay."""
+    import datetime as dt
+
+    from subsight.functions.hmac import hmac_sha256_base64
+    from subsight.operators import webhooks as W
+    from subsight.sources import schemas as S
+
+    n = 3000
+    base = spark.range(0, n).select(
+        F.col("id").alias("seq"), F.timestamp_add("SECOND", F.col("id"), F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))).alias("received_at"),
+        F.lit("c").alias("client_key"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("e"), F.col("id").cast("string"))).alias("event_id"),
+        F.concat(F.lit('{"type":"payment.succeeded","transactionId":"TXN-'),
+                 F.when(F.col("id") % 4 == 0, F.lit("1")).otherwise(F.col("id").cast("string")),
+                 F.lit('","status":"'), F.when(F.col("id") % 2 == 0, F.lit("Failed")).otherwise(F.lit("Completed")),
+                 F.lit('"}')).alias("raw_payload"))
+    rows = base.withColumn("signature", hmac_sha256_base64(F.col("raw_payload"), "k"))
+    pays = spark.range(1, n).select(F.col("id").cast("int").alias("payment_id"), F.lit(1).alias("subscription_id"),
+                                    F.lit(1).cast(S.MONEY).alias("amount"), F.lit(dt.datetime(2020, 1, 1)).cast(S.TS).alias("payment_date"),
+                                    F.lit(None).cast("string").alias("payment_method"),
+                                    F.concat(F.lit("TXN-"), F.col("id").cast("string")).alias("transaction_id"),
+                                    F.lit("Completed").alias("status"))
+    res = W.ingest(rows, pays, spark.createDataFrame([], S.OUTBOX), "k", with_outbox=False)
+    got = {r["seq"]: r["disposition"] for r in res["dispositions"].collect()}
+    seen, want, last = set(), {}, {}
+    for i in range(n):
+        eid = "hot" if i % 3 == 0 else f"e{i}"
+        want[i] = "duplicate" if eid in seen else "accepted"
+        seen.add(eid)
+        if want[i] == "accepted":
+            txn = 1 if i % 4 == 0 else i
+            if 1 <= txn < n:
+                last[txn] = "Failed" if i % 2 == 0 else "Completed"
+    assert got == want
+    upd = {r["payment_id"]: r["status"] for r in res["payment_updates"].collect()}
+    assert upd == last
