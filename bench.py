@@ -21,7 +21,7 @@ HEADLINE = [
     "plan_metrics", "revenue", "churn_rate", "avg_duration_days", "expired_by_plan", "admin_kpis",
     "active_subscriptions", "user_payment_history", "user_360", "latest_completed_payment",
     "subscriptions_page", "payments_page", "page_totals", "quality_violations",
-    "subscribe_batch", "renew_batch", "cancel_batch", "refund_batch", "expire_due",
+    "subscribe_batch", "renew_batch", "cancel_batch", "refund_batch", "expire_due", "mixed_subscription_batch",
     "webhook_ingest", "outbox_dispatch", "rate_limit_admit",
 ]
 

@@ -203,3 +203,89 @@ def default_end_date(incoming: DataFrame, plans: DataFrame) -> DataFrame:
     return (incoming.join(d, "plan_id", "left")
             .withColumn("end_date", F.coalesce(F.col("end_date"), add_days(F.col("start_date"), F.col("_dur"))))
             .drop("_dur"))
+
+
+def mixed(subscriptions: DataFrame, plans: DataFrame, payments: DataFrame, cmds: DataFrame, as_of) -> ChangeSet:
+    """Renew and cancel commands for the same subscriptions in one batch,
+    with the outcome of serial processing in ``seq`` order.
+
+    The serial state machine has a closed form per subscription, so no
+    command list is collected: the subscription turns Active at its first
+    renewal (or is Active already); the first cancel after that is the one
+    accepted; renewals before it are accepted (the k-th ends at
+    max(end, as_of) + k x duration), later renewals find it Cancelled, other
+    cancels find it not Active. The refund uses the end date after the
+    accepted renewals, and the refunded payment is the latest Completed one
+    at that moment - the last renewal payment of the batch when there is one.
+    Minimums and ranks per subscription are partial aggregates or range
+    positions, never one large group."""
+    s_ = subscriptions.select("subscription_id", F.col("user_id").alias("_owner"), "plan_id",
+                              F.col("end_date").alias("_end"), F.col("status").alias("_status"))
+    j = cmds.join(s_, "subscription_id", "left").join(_plans_info(plans), "plan_id", "left")
+    own = F.col("_owner") == F.col("user_id")
+    is_renew = F.col("kind") == "renew"
+    firsts = (j.where(own & is_renew).groupBy("subscription_id").agg(F.min("seq").alias("_first_renew")))
+    j = j.join(firsts, "subscription_id", "left")
+    active_from = F.when(F.col("_status") == "Active", F.lit(-1)).otherwise(F.col("_first_renew"))
+    cancel_at = (j.where(own & (F.col("kind") == "cancel") & (F.col("_status") != "Cancelled")
+                         & active_from.isNotNull() & (F.col("seq") > active_from))
+                 .groupBy("subscription_id").agg(F.min("seq").alias("_cancel_seq")))
+    j = j.join(cancel_at, "subscription_id", "left")
+    after_cancel = F.col("_cancel_seq").isNotNull() & (F.col("seq") > F.col("_cancel_seq"))
+    reason = first_failure(
+        (F.col("_owner").isNull(), "not_found"),
+        (~own, "not_owner"),
+        (is_renew & ((F.col("_status") == "Cancelled") | after_cancel), "cancelled"),
+        (~is_renew & (F.col("_cancel_seq").isNull() | (F.col("seq") != F.col("_cancel_seq"))), "not_active"))
+    j = j.withColumn("reason", reason)
+    renews = ids.rank_within(j.where(F.col("reason").isNull() & is_renew), ["subscription_id"], ["seq"], "k")
+    renews = ids.assign_ids(renews, ["seq"], ids.max_id(payments, "payment_id"), "payment_id")
+    renews = renews.withColumn("new_end", renewal_end(F.col("_end"), as_of, F.col("duration_days"), F.col("k")))
+    per_sub = renews.groupBy("subscription_id").agg(F.max(F.struct("k", "new_end", "payment_id")).alias("_last"))
+    cancels = (j.where(F.col("reason").isNull() & ~is_renew).join(per_sub, "subscription_id", "left")
+               .withColumn("_end_seen", F.coalesce(F.col("_last.new_end"), F.col("_end"))))
+    cancels = cancels.withColumn("remaining_days", remaining_days(F.col("_end_seen"), as_of, F.col("duration_days")))
+    cancels = cancels.withColumn("refund_amount", M.prorata(F.col("price"), F.col("remaining_days"), F.col("duration_days")))
+    mine = payments.join(cancels.select("subscription_id"), "subscription_id", "left_semi")
+    latest = latest_completed_payment(mine).select(
+        "subscription_id", F.struct(F.col("payment_date").alias("d"), F.col("payment_id").alias("p")).alias("_old"))
+    # latest Completed payment when the cancel runs: the newest of the stored
+    # ones and the batch's renewal payments (dated as_of), by (date, id)
+    renewal = F.when(F.col("_last.payment_id").isNotNull(),
+                     F.struct(lit_ts(as_of).alias("d"), F.col("_last.payment_id").alias("p")))
+    cancels = cancels.join(latest, "subscription_id", "left").withColumn(
+        "refunded_payment_id",
+        F.when(F.col("refund_amount") > 0, F.greatest(renewal, F.col("_old"))["p"]))
+    # final rows: a cancel wins over renewals (it comes after all accepted ones)
+    renewed = per_sub.select("subscription_id", F.col("_last.new_end").alias("_new_end"))
+    cancelled = cancels.select("subscription_id", F.lit(True).alias("_cancelled"))
+    touched = renewed.join(cancelled, "subscription_id", "full")
+    changed_subs = subscriptions.join(touched, "subscription_id").select(
+        "subscription_id", "user_id", "plan_id", "start_date",
+        F.when(F.col("_cancelled").isNotNull(), lit_ts(as_of)).otherwise(F.col("_new_end")).alias("end_date"),
+        F.when(F.col("_new_end").isNotNull(), lit_ts(as_of)).otherwise(F.col("renewal_date")).alias("renewal_date"),
+        F.when(F.col("_cancelled").isNotNull(), F.lit("Cancelled")).otherwise(F.lit("Active")).alias("status"),
+        F.when(F.col("_cancelled").isNotNull(), F.lit(False)).otherwise(F.col("auto_renew")).alias("auto_renew"))
+    new_pays = renews.select("payment_id", "subscription_id", F.col("price").alias("amount"),
+                             lit_ts(as_of).alias("payment_date"), "payment_method",
+                             txn_id("renew", F.col("seq")).alias("transaction_id"), F.lit("Completed").alias("status"))
+    refunded = (payments.join(cancels.where(F.col("refunded_payment_id").isNotNull())
+                              .select(F.col("refunded_payment_id").alias("payment_id")), "payment_id")
+                .withColumn("status", F.lit("Refunded")).select(*payments.columns))
+    renewal_refunded = (new_pays.join(cancels.select(F.col("refunded_payment_id").alias("payment_id")), "payment_id", "left_semi")
+                        .withColumn("status", F.lit("Refunded")))
+    pays_out = new_pays.join(renewal_refunded.select("payment_id"), "payment_id", "left_anti").unionByName(
+        renewal_refunded).unionByName(refunded)
+    outcome = (renews.select("seq", "kind", "subscription_id", "user_id", F.lit(None).cast("string").alias("reason"),
+                             "payment_id", "new_end", F.lit(None).cast(S.TOTAL).alias("refund_amount"),
+                             F.lit(None).cast("int").alias("refunded_payment_id"))
+               .unionByName(cancels.select("seq", "kind", "subscription_id", "user_id",
+                                           F.lit(None).cast("string").alias("reason"),
+                                           F.lit(None).cast("int").alias("payment_id"), F.lit(None).cast(S.TS).alias("new_end"),
+                                           "refund_amount", "refunded_payment_id"))
+               .unionByName(j.where(F.col("reason").isNotNull()).select(
+                   "seq", "kind", "subscription_id", "user_id", "reason", F.lit(None).cast("int").alias("payment_id"),
+                   F.lit(None).cast(S.TS).alias("new_end"), F.lit(None).cast(S.TOTAL).alias("refund_amount"),
+                   F.lit(None).cast("int").alias("refunded_payment_id")))
+               .withColumn("accepted", F.col("reason").isNull()))
+    return ChangeSet(outcome, {"subscriptions": changed_subs, "payments": pays_out})

@@ -244,3 +244,55 @@ def delete_users(t):
     """Guarded user deletes."""
     return UJ.delete(t.users, t.subscriptions, C.user_deletes(t), AS_OF).outcome
 
+
+
+_MIXED_REM = _REM.format(a=A, end="end_seen", dur="dur")
+
+
+@query("mixed_subscription_batch", f"""
+WITH j AS (
+  SELECT c.seq, c.kind, c.subscription_id, c.user_id, s.user_id AS owner, s.end_date AS end0, s.status AS st0,
+         p.price, p.duration_days AS dur, s.user_id = c.user_id AS own
+  FROM mixed_cmd c LEFT JOIN subscriptions s ON s.subscription_id = c.subscription_id
+  LEFT JOIN plans p ON p.plan_id = s.plan_id),
+fr AS (SELECT subscription_id, min(seq) AS first_renew FROM j WHERE own AND kind = 'renew' GROUP BY subscription_id),
+j2 AS (SELECT j.*, CASE WHEN st0 = 'Active' THEN -1 ELSE fr.first_renew END AS active_from
+       FROM j LEFT JOIN fr ON fr.subscription_id = j.subscription_id),
+ca AS (SELECT subscription_id, min(seq) AS cancel_seq FROM j2
+       WHERE own AND kind = 'cancel' AND st0 <> 'Cancelled' AND active_from IS NOT NULL AND seq > active_from
+       GROUP BY subscription_id),
+r AS (SELECT j2.*, ca.cancel_seq,
+             CASE WHEN owner IS NULL THEN 'not_found' WHEN NOT own THEN 'not_owner'
+                  WHEN kind = 'renew' AND (st0 = 'Cancelled' OR (ca.cancel_seq IS NOT NULL AND seq > ca.cancel_seq)) THEN 'cancelled'
+                  WHEN kind <> 'renew' AND (ca.cancel_seq IS NULL OR seq <> ca.cancel_seq) THEN 'not_active' END AS reason
+      FROM j2 LEFT JOIN ca ON ca.subscription_id = j2.subscription_id),
+rn AS (SELECT r.*, row_number() OVER (PARTITION BY subscription_id ORDER BY seq) AS k,
+              CAST((SELECT max(payment_id) FROM payments) + row_number() OVER (ORDER BY seq) AS INTEGER) AS payment_id
+       FROM r WHERE reason IS NULL AND kind = 'renew'),
+rn2 AS (SELECT rn.*, GREATEST(end0, {A}) + CAST(dur * k AS INTEGER) * INTERVAL '1' DAY AS new_end FROM rn),
+lastr AS (SELECT subscription_id, arg_max(new_end, k) AS last_end, arg_max(payment_id, k) AS last_pid
+          FROM rn2 GROUP BY subscription_id),
+latest AS (
+  SELECT subscription_id, payment_id, payment_date FROM (
+    SELECT subscription_id, payment_id, payment_date,
+           row_number() OVER (PARTITION BY subscription_id ORDER BY payment_date DESC, payment_id DESC) AS rnk
+    FROM payments WHERE status = 'Completed') WHERE rnk = 1),
+cx AS (SELECT r.*, COALESCE(lastr.last_end, r.end0) AS end_seen, lastr.last_pid
+       FROM r LEFT JOIN lastr ON lastr.subscription_id = r.subscription_id WHERE r.reason IS NULL AND r.kind = 'cancel'),
+cx2 AS (SELECT cx.*, {_MIXED_REM} AS rem FROM cx),
+cx3 AS (SELECT cx2.*, {_prorata('price', 'rem', 'dur')} AS refund_amount FROM cx2)
+SELECT seq, kind, subscription_id, user_id, reason, payment_id, new_end, CAST(NULL AS DECIMAL(18,2)) AS refund_amount,
+       CAST(NULL AS INTEGER) AS refunded_payment_id, true AS accepted FROM rn2
+UNION ALL
+SELECT cx3.seq, cx3.kind, cx3.subscription_id, cx3.user_id, cx3.reason, NULL, NULL, cx3.refund_amount,
+       CASE WHEN cx3.refund_amount > 0 THEN
+            CASE WHEN cx3.last_pid IS NOT NULL AND (latest.payment_date IS NULL OR {A} > latest.payment_date
+                      OR ({A} = latest.payment_date AND cx3.last_pid > latest.payment_id))
+                 THEN cx3.last_pid ELSE latest.payment_id END END, true
+FROM cx3 LEFT JOIN latest ON latest.subscription_id = cx3.subscription_id
+UNION ALL
+SELECT seq, kind, subscription_id, user_id, reason, NULL, NULL, NULL, NULL, false FROM r WHERE reason IS NOT NULL""",
+       ctes={"mixed_cmd": C.SQL["mixed_cmd"]})
+def mixed_subscription_batch(t):
+    """Renewals and cancellations of the same subscriptions in one batch, as serial processing would decide them."""
+    return SJ.mixed(t.subscriptions, t.plans, t.payments, C.mixed_commands(t), AS_OF).outcome

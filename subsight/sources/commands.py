@@ -197,3 +197,30 @@ SELECT CAST(subscription_id AS BIGINT) AS seq, subscription_id,
        CASE WHEN subscription_id % 20 = 3 THEN 'Paused' WHEN subscription_id % 3 = 0 THEN 'Active' ELSE 'Expired' END AS new_status
 FROM subscriptions""",
 }
+
+
+def mixed_commands(t: Tables) -> DataFrame:
+    """Renew and cancel commands for every subscription in one batch: even
+    ids renew then cancel, odd ids cancel then renew, and every subscription
+    gets a second renewal after both (naming the right owner for every
+    third id, a wrong owner otherwise); every 35th cancel names the wrong owner."""
+    sid = F.col("subscription_id")
+    s = t.subscriptions.select("subscription_id", "user_id")
+    renew = s.select((sid * 4 + F.when(sid % 2 == 0, 0).otherwise(2)).cast("bigint").alias("seq"), F.lit("renew").alias("kind"),
+                     "subscription_id", "user_id")
+    cancel = s.select((sid * 4 + 1).cast("bigint").alias("seq"), F.lit("cancel").alias("kind"), "subscription_id",
+                      F.when(sid % 35 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("user_id"))
+    again = s.select((sid * 4 + 3).cast("bigint").alias("seq"), F.lit("renew").alias("kind"), "subscription_id",
+                     F.when(sid % 3 == 0, F.col("user_id")).otherwise(F.col("user_id") + 1).alias("user_id"))
+    return renew.unionByName(cancel).unionByName(again).withColumn("payment_method", F.lit("PayPal"))
+
+
+SQL["mixed_cmd"] = """
+SELECT CAST(subscription_id * 4 + CASE WHEN subscription_id % 2 = 0 THEN 0 ELSE 2 END AS BIGINT) AS seq, 'renew' AS kind,
+       subscription_id, user_id, 'PayPal' AS payment_method FROM subscriptions
+UNION ALL
+SELECT CAST(subscription_id * 4 + 1 AS BIGINT), 'cancel', subscription_id,
+       CASE WHEN subscription_id % 35 = 0 THEN user_id + 1 ELSE user_id END, 'PayPal' FROM subscriptions
+UNION ALL
+SELECT CAST(subscription_id * 4 + 3 AS BIGINT), 'renew', subscription_id,
+       CASE WHEN subscription_id % 3 = 0 THEN user_id ELSE user_id + 1 END, 'PayPal' FROM subscriptions"""

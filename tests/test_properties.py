@@ -188,3 +188,60 @@ def test_hot_event_id_and_hot_payment(spark):
     assert got == want
     upd = {r["payment_id"]: r["status"] for r in res["payment_updates"].collect()}
     assert upd == last
+
+
+def test_mixed_batch_equals_serial_replay(spark):
+    """The closed form of the mixed renew/cancel batch against a plain
+    serial replay of the same commands (small fixture, whole tables)."""
+    import datetime as dt
+    from decimal import ROUND_HALF_UP
+
+    t = Tables(spark, SF001)
+    as_of = dt.datetime.fromisoformat(AS_OF)
+    plans = {r["plan_id"]: (r["price"], r["duration_days"]) for r in t.plans.collect()}
+    subs = {r["subscription_id"]: dict(owner=r["user_id"], status=r["status"], end=r["end_date"],
+                                       plan=plans[r["plan_id"]]) for r in t.subscriptions.collect()}
+    latest = {}
+    for r in t.payments.where("status = 'Completed'").collect():
+        cur = latest.get(r["subscription_id"])
+        if cur is None or (r["payment_date"], r["payment_id"]) > cur:
+            latest[r["subscription_id"]] = (r["payment_date"], r["payment_id"])
+    next_pid = t.payments.agg(F.max("payment_id")).first()[0] + 1
+    want = {}
+    for c in sorted(C.mixed_commands(t).collect(), key=lambda r: r["seq"]):
+        s = subs.get(c["subscription_id"])
+        if s is None:
+            want[c["seq"]] = ("not_found", None, None)
+        elif s["owner"] != c["user_id"]:
+            want[c["seq"]] = ("not_owner", None, None)
+        elif c["kind"] == "renew":
+            if s["status"] == "Cancelled":
+                want[c["seq"]] = ("cancelled", None, None)
+            else:
+                price, dur = s["plan"]
+                s["end"] = max(s["end"], as_of) + dt.timedelta(days=dur)
+                s["status"] = "Active"
+                cur = latest.get(c["subscription_id"])
+                if cur is None or (as_of, next_pid) > cur:
+                    latest[c["subscription_id"]] = (as_of, next_pid)
+                want[c["seq"]] = (None, next_pid, s["end"])
+                next_pid += 1
+        else:
+            if s["status"] != "Active":
+                want[c["seq"]] = ("not_active", None, None)
+            else:
+                price, dur = s["plan"]
+                rem = min(max((s["end"].date() - as_of.date()).days, 0), dur)
+                refund = (price * rem / dur).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP) if rem > 0 else Decimal("0.00")
+                lp = latest.get(c["subscription_id"])
+                want[c["seq"]] = (None, refund, lp[1] if (refund > 0 and lp) else None)
+                s["status"], s["end"] = "Cancelled", as_of
+    got = {}
+    for r in SJ.mixed(t.subscriptions, t.plans, t.payments, C.mixed_commands(t), AS_OF).outcome.collect():
+        if r["reason"] is not None:
+            got[r["seq"]] = (r["reason"], None, None)
+        elif r["kind"] == "renew":
+            got[r["seq"]] = (None, r["payment_id"], r["new_end"])
+        else:
+            got[r["seq"]] = (None, r["refund_amount"], r["refunded_payment_id"])
+    assert got == want
