@@ -51,7 +51,13 @@ def test_latest_payment_is_a_partial_aggregate(spark):
 
 
 def test_webhook_first_wins_without_window(spark):
-    plan = _run_plan(spark, "webhook_ingest")
+    from subsight.operators import webhooks as W
+    from subsight.plans.registry import HMAC_TEST_KEY
+    from subsight.sources.tables import Tables
+    t = Tables(spark, SF001)
+    d = W.dispositions(W.signed_inbound(t, HMAC_TEST_KEY), HMAC_TEST_KEY)
+    d.write.format("noop").mode("overwrite").save()
+    plan = _plan(d)
     assert "Window" not in plan and "partial_min" in plan
 
 
