@@ -55,7 +55,12 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], nam
 
     Uses global positions and the smallest position per group (a partial
     aggregate), so a group holding most of the rows is still spread over
-    many range partitions instead of one window task."""
+    many range partitions instead of one window task. When no group has a
+    second row (one small aggregate tells), every rank is 1 and the
+    positions are not needed."""
+    repeated = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1)
+    if repeated.limit(1).count() == 0:
+        return df.withColumn(name, F.lit(1))
     p = positions(df, group_cols + order_cols)
     first = p.groupBy(*group_cols).agg(F.min("_pos").alias("_first"))
     return (p.join(first, group_cols).withColumn(name, (F.col("_pos") - F.col("_first") + 1).cast("int"))

@@ -152,12 +152,27 @@ def admin_subscriptions(users: DataFrame, subscriptions: DataFrame) -> DataFrame
     return _v(s, "subscriptions", "admin_holds_subscription", F.lit(True), F.col("user_id"))
 
 
+def _subscription_user_rules(users: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """fk_user and admin_holds_subscription from one left join of
+    subscriptions with the users' roles."""
+    roles = users.select("user_id", F.col("role").alias("_role"), F.lit(True).alias("_known"))
+    j = subscriptions.where(F.col("user_id").isNotNull()).select("subscription_id", "user_id").join(roles, "user_id", "left")
+    return _row_rules(j, "subscriptions", [
+        ("fk_user", F.col("_known").isNull(), F.col("user_id")),
+        ("admin_holds_subscription", F.lower(F.col("_role")) == "admin", F.col("user_id"))])
+
+
 def all_violations(users, plans, subscriptions, payments, logs) -> DataFrame:
-    """Every rule; row-level rules of a table share one scan of it."""
+    """Every rule; row-level rules of a table share one scan of it, and the
+    two rules on subscriptions x users share one join."""
     tables = {"users": users, "plans": plans, "subscriptions": subscriptions, "payments": payments, "logs": logs}
     merged: dict[str, list] = {}
     for fam in (domain_rules(), status_rules(), required_rules(), range_rules(), contact_rules()):
         for t, r in fam.items():
             merged.setdefault(t, []).extend(r)
-    return _union([_family(tables, merged), uniqueness(plans, users, payments),
-                   foreign_keys(users, plans, subscriptions, payments, logs), admin_subscriptions(users, subscriptions)])
+    return _union([
+        _family(tables, merged), uniqueness(plans, users, payments),
+        _orphans(subscriptions, "subscriptions", "fk_plan", "plan_id", plans, "plan_id"),
+        _orphans(payments, "payments", "fk_subscription", "subscription_id", subscriptions, "subscription_id"),
+        _orphans(logs, "logs", "fk_user", "user_id", users, "user_id"),
+        _subscription_user_rules(users, subscriptions)])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import money as M
 from ..functions.dates import add_days, lit_ts, remaining_days, renewal_end
 from ..functions.text import date_text, s
+from ..session import checkpoint_dir
 from ..sources import schemas as S
 from . import ids
 from .changes import ChangeSet, first_failure, log_rows, notification_rows, txn_id
@@ -237,7 +238,9 @@ def mixed(subscriptions: DataFrame, plans: DataFrame, payments: DataFrame, cmds:
         (~own, "not_owner"),
         (is_renew & ((F.col("_status") == "Cancelled") | after_cancel), "cancelled"),
         (~is_renew & (F.col("_cancel_seq").isNull() | (F.col("seq") != F.col("_cancel_seq"))), "not_active"))
-    j = j.withColumn("reason", reason)
+    # every output below reads the decided commands: write them once
+    checkpoint_dir(j.sparkSession)
+    j = j.withColumn("reason", reason).checkpoint(eager=True)
     renews = ids.rank_within(j.where(F.col("reason").isNull() & is_renew), ["subscription_id"], ["seq"], "k")
     renews = ids.assign_ids(renews, ["seq"], ids.max_id(payments, "payment_id"), "payment_id")
     renews = renews.withColumn("new_end", renewal_end(F.col("_end"), as_of, F.col("duration_days"), F.col("k")))

@@ -60,6 +60,17 @@ class Tables:
             _STORED[key] = path
         return self.spark.read.parquet(path)
 
+    TABLES = ("plans", "users", "subscriptions", "payments", "logs", "outbox", "webhook_inbound")
+
+    def materialize(self, names=TABLES, threads: int = 4) -> "Tables":
+        """Store the given tables now, several Spark jobs at a time (jobs
+        submitted from separate driver threads run concurrently)."""
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(max_workers=threads) as pool:
+            list(pool.map(lambda n: getattr(self, n), names))
+        return self
+
     def raw(self, name: str, *cols: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return df.select(*cols) if cols else df
