@@ -14,11 +14,13 @@ def first_k(df: DataFrame, group_cols: list[str], order_cols: list[str], k: int,
             name: str = "admitted", salt_buckets: int = 64) -> DataFrame:
     """Flag the first ``k`` rows of every group in ``order_cols`` order.
 
-    A single hot group is split into ``salt_buckets`` sub-groups by a hash of
-    the unique column; each sub-group keeps at most k candidates (the first
-    k of the group are among them), so the second ranking sees at most
-    k x salt_buckets rows per group. Flags return by a join on the unique
-    column, which has no hot key."""
+    ``row_number() <= k`` lets Spark put a partial top-k (WindowGroupLimit)
+    before each shuffle, so a map task forwards at most k rows per group.
+    On top of that a hot group is split into ``salt_buckets`` sub-groups by a
+    hash of the unique column; each keeps at most k candidates (the first k
+    of the group are among them), so the final ranking sees at most
+    k x salt_buckets rows per group even without the partial limit. Flags
+    return by a join on the unique column, which has no hot key."""
     salt = F.pmod(F.xxhash64(F.col(unique_col)), F.lit(salt_buckets))
     sub = Window.partitionBy(*group_cols, "_salt").orderBy(*order_cols)
     cands = (df.select(*group_cols, *order_cols, unique_col).withColumn("_salt", salt)

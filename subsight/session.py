@@ -58,8 +58,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
     Uses the cluster's ``spark.checkpoint.dir`` (or a directory already set
-    on the context). Only when neither is set - local tests - a fresh
-    temporary directory is made and registered."""
+    on the context). Only in local mode with neither set - tests - a fresh
+    temporary directory is made and registered; on a cluster that is an
+    error."""
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if d:
@@ -71,6 +72,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         except Exception:
             d = None
     if not d:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach "
+                               "(a machine-local temporary folder does not survive on a cluster)")
         d = tempfile.mkdtemp(prefix="subsight-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d

@@ -64,6 +64,8 @@ def test_webhook_first_wins_without_window(spark):
 def test_rate_limit_windows_are_salted(spark):
     plan = _run_plan(spark, "rate_limit_admit")
     assert "_salt" in plan and "xxhash64" in plan
+    # a partial top-k runs before the shuffle: at most k rows per group leave a map task
+    assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
 def test_reports_aggregate_before_join(spark):
