@@ -53,7 +53,9 @@ def refund(payments: DataFrame, subscriptions: DataFrame, plans: DataFrame, cmds
     sb = subscriptions.select("subscription_id", "user_id", F.col("end_date").alias("_end"),
                               F.col("status").alias("sub_status"), "plan_id")
     pl = plans.select("plan_id", F.col("name").alias("plan_name"), "duration_days")
-    j = cmds.join(pm, "payment_id", "left").join(sb, "subscription_id", "left").join(pl, "plan_id", "left")
+    # subscriptions get their plan first (subscription-sized), then meet the
+    # payment-sized commands in one join
+    j = cmds.join(pm, "payment_id", "left").join(sb.join(pl, "plan_id", "left"), "subscription_id", "left")
     j = j.withColumn("reason", first_failure((F.col("amount").isNull(), "not_found")))
     ok = j.where(F.col("reason").isNull())
     firsts = ok.groupBy("subscription_id").agg(F.min("seq").alias("_first_sub"))

@@ -27,13 +27,17 @@ def active_subscriptions(subscriptions: DataFrame, users: DataFrame, plans: Data
 
 def user_payment_history(users: DataFrame, subscriptions: DataFrame, payments: DataFrame,
                          plans: DataFrame) -> DataFrame:
-    """vw_UserPaymentHistory: every payment with its user and plan."""
+    """vw_UserPaymentHistory: every payment with its user and plan.
+
+    The subscription side (smaller than payments) is enriched with user and
+    plan first, so the payment-sized data is shuffled once, for one join."""
     u = users.select("user_id", "first_name", "last_name", "email")
     s = subscriptions.select("subscription_id", "user_id", "plan_id")
     pm = payments.select("payment_id", "subscription_id", "amount", "payment_date", "payment_method",
                          "transaction_id", F.col("status").alias("payment_status"))
     pl = plans.select("plan_id", F.col("name").alias("plan_name"))
-    return (pm.join(s, "subscription_id").join(u, "user_id").join(pl, "plan_id")
+    enriched = s.join(u, "user_id").join(pl, "plan_id")
+    return (pm.join(enriched, "subscription_id")
             .select("user_id", "first_name", "last_name", "email", "subscription_id", "payment_id", "amount",
                     "payment_date", "payment_method", "transaction_id", "payment_status", "plan_id", "plan_name"))
 
