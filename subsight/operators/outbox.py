@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import json as J
 from ..functions import money as M
 from ..functions.dates import lit_ts
-from ..functions.text import s
+from ..functions.text import TEMPLATES, notification_log_text, render, s
 from ..sources import schemas as S
 from .changes import notification_rows
 
@@ -63,14 +63,14 @@ def dispatch(outbox: DataFrame, users: DataFrame, as_of) -> dict[str, DataFrame]
     sent_refunded = ok.where(F.col("type") == REFUNDED)
     notes = notification_rows(
         sent_processed, F.col("uid"), PROCESSED_SUBJECT,
-        F.concat(F.lit("Payment "), s("pl.payment_id"), F.lit(" for subscription "), s("pl.subscription_id"),
-                 F.lit(" amount "), M.currency_inr(F.col("pl.amount")), F.lit(" processed.")), as_of, keep=["outbox_id"]
+        render(TEMPLATES["outbox_processed_body"], payment_id="pl.payment_id", subscription_id="pl.subscription_id",
+               amount=M.currency_inr(F.col("pl.amount"))), as_of, keep=["outbox_id"]
     ).unionByName(notification_rows(
         sent_refunded, F.col("uid"), REFUNDED_SUBJECT,
-        F.concat(F.lit("Payment "), s("pl.payment_id"), F.lit(" for subscription "), s("pl.subscription_id"),
-                 F.lit(" has been refunded.")), as_of, keep=["outbox_id"]))
+        render(TEMPLATES["outbox_refunded_body"], payment_id="pl.payment_id", subscription_id="pl.subscription_id"),
+        as_of, keep=["outbox_id"]))
     logs = sent_processed.select("outbox_id", F.col("uid").cast("int").alias("user_id"), F.lit(LOG_ACTION).alias("action"),
-                                 F.concat(F.lit("Outbox delivered payment "), s("pl.payment_id")).alias("message"),
+                                 render(TEMPLATES["outbox_delivered_log"], payment_id="pl.payment_id").alias("message"),
                                  lit_ts(as_of).alias("timestamp_utc"))
     failed = F.col("error_text").isNotNull()
     updated = d.select(
@@ -90,5 +90,5 @@ def dispatch(outbox: DataFrame, users: DataFrame, as_of) -> dict[str, DataFrame]
 def notification_logs(notifications: DataFrame) -> DataFrame:
     """ST2: after delivery, a NotificationSent log row 'Type: Subject'."""
     return notifications.select("user_id", F.lit("NotificationSent").alias("action"),
-                                F.concat(F.col("type"), F.lit(": "), F.col("subject")).alias("message"),
+                                notification_log_text(F.col("type"), F.col("subject")).alias("message"),
                                 F.col("timestamp_utc"))

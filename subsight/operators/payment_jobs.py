@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import json as J
 from ..functions import money as M
 from ..functions.dates import lit_ts, remaining_days
-from ..functions.text import s
+from ..functions.text import TEMPLATES, render
 from ..sources import schemas as S
 from . import ids
 from .changes import ChangeSet, first_failure, log_rows, txn_id
@@ -29,8 +29,8 @@ def record_payments(subscriptions: DataFrame, payments: DataFrame, outbox: DataF
                          F.col("method").alias("payment_method"), txn_id("payment", F.col("seq")).alias("transaction_id"),
                          "status")
     logs = log_rows(ok, F.lit(None), "PaymentProcessed",
-                    F.concat(F.lit("Payment "), s("payment_id"), F.lit(" recorded for subscription "), s("subscription_id"),
-                             F.lit(" amount "), M.currency_inr(F.col("amount")), F.lit(".")), as_of)
+                    render(TEMPLATES["payment_recorded_log"], payment_id="payment_id", subscription_id="subscription_id",
+                           amount=M.currency_inr(F.col("amount"))), as_of)
     box = ok.select("outbox_id", F.lit("PaymentProcessed").alias("type"),
                     J.outbox_payload(F.lit(0), F.col("subscription_id"), F.col("payment_id"), F.col("amount")).alias("payload"),
                     lit_ts(as_of).alias("created_at"), F.lit(None).cast(S.TS).alias("processed_at"),
@@ -77,9 +77,8 @@ def refund(payments: DataFrame, subscriptions: DataFrame, plans: DataFrame, cmds
         "renewal_date", F.when(was_active, F.lit("Cancelled")).otherwise(F.col("status")).alias("status"),
         F.lit(False).alias("auto_renew")))
     logs = log_rows(ok, F.col("user_id"), "PaymentRefunded",
-                    F.concat(F.lit("Payment "), s("payment_id"), F.lit(" refunded for subscription "), s("subscription_id"),
-                             F.lit(". Estimated refund: "), M.currency_inr(F.col("refund_estimate")), F.lit(". Plan "),
-                             F.col("plan_name"), F.lit(".")), as_of)
+                    render(TEMPLATES["payment_refunded_log"], payment_id="payment_id", subscription_id="subscription_id",
+                           estimate=M.currency_inr(F.col("refund_estimate")), plan_name="plan_name"), as_of)
     outcome = (ok.select("seq", "payment_id", "subscription_id", F.lit(None).cast("string").alias("reason"),
                          "already_refunded", "sub_status", "remaining_days", "refund_estimate")
                .unionByName(j.where(F.col("reason").isNotNull()).select(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import lit_ts
-from ..functions.text import s
+from ..functions.text import TEMPLATES, render
 from ..sources import schemas as S
 from . import ids
 from .changes import ChangeSet, first_failure, log_rows
@@ -33,7 +33,7 @@ def upsert(plans: DataFrame, cmds: DataFrame, as_of) -> ChangeSet:
                .unionByName(inserts.select("seq", "name", "plan_id", F.lit("inserted").alias("action")))
                .withColumn("accepted", F.lit(True)))
     logs = log_rows(outcome, F.lit(None), "PlanCreated",
-                    F.concat(F.lit("Plan '"), F.col("name"), F.lit("' (Id="), s("plan_id"), F.lit(") created.")), as_of)
+                    render(TEMPLATES["plan_created_log"], name="name", plan_id="plan_id"), as_of)
     return ChangeSet(outcome, {"plans": changed}, logs=logs)
 
 
@@ -51,7 +51,7 @@ def update(plans: DataFrame, cmds: DataFrame, as_of) -> ChangeSet:
     ok = j.where(F.col("reason").isNull())
     changed = ok.select("plan_id", "name", *_VALUES, "created_at", lit_ts(as_of).alias("updated_at"))
     logs = log_rows(ok, F.lit(None), "PlanUpdated",
-                    F.concat(F.lit("Plan '"), F.col("name"), F.lit("' (Id="), s("plan_id"), F.lit(") updated.")), as_of)
+                    render(TEMPLATES["plan_updated_log"], name="name", plan_id="plan_id"), as_of)
     outcome = j.select("seq", "plan_id", "name", "reason", F.col("reason").isNull().alias("accepted"))
     return ChangeSet(outcome, {"plans": changed}, logs=logs)
 
@@ -65,6 +65,6 @@ def delete(plans: DataFrame, subscriptions: DataFrame, cmds: DataFrame, as_of) -
                                              (F.col("_used").isNotNull(), "in_use")))
     ok = j.where(F.col("reason").isNull())
     logs = log_rows(ok, F.lit(None), "PlanDeleted",
-                    F.concat(F.lit("Plan (Id="), s("plan_id"), F.lit(") deleted.")), as_of)
+                    render(TEMPLATES["plan_deleted_log"], plan_id="plan_id"), as_of)
     outcome = j.select("seq", "plan_id", "reason", F.col("reason").isNull().alias("accepted"))
     return ChangeSet(outcome, deletes={"plans": ok.select("plan_id").distinct()}, logs=logs)

@@ -12,20 +12,19 @@ from pyspark.sql import functions as F
 
 from ..functions import money as M
 from ..functions.dates import add_days, lit_ts, remaining_days, renewal_end
-from ..functions.text import date_text, s
+from ..functions.text import TEMPLATES, date_text, render
 from ..session import checkpoint_dir
 from ..sources import schemas as S
 from . import ids
 from .changes import ChangeSet, first_failure, log_rows, notification_rows, txn_id
 from .views import latest_completed_payment
 
-# Message texts of the reference (the cancel text holds a
-# non-breaking hyphen, U+2011, in "Pro-rata").
+# Notification subjects of the reference (message texts are
+# in functions.text.TEMPLATES).
 SUBSCRIBED_SUBJECT = "Subscription Confirmed"
 RENEWED_SUBJECT = "Subscription Renewed"
 CANCELLED_SUBJECT = "Subscription Cancelled"
 EXPIRED_SUBJECT = "Subscription Expired"
-PRO_RATA = "Pro‑rata"
 
 
 def _plans_info(plans: DataFrame) -> DataFrame:
@@ -54,14 +53,14 @@ def subscribe(users: DataFrame, plans: DataFrame, subscriptions: DataFrame, paym
                          lit_ts(as_of).alias("payment_date"), "payment_method",
                          txn_id("subscribe", F.col("seq")).alias("transaction_id"), F.lit("Completed").alias("status"))
     logs = log_rows(ok, F.col("user_id"), "SubscriptionCreated",
-                    F.concat(F.lit("User "), s("user_id"), F.lit(" subscribed to Plan "), F.col("plan_name"),
-                             F.lit(" (PlanId="), s("plan_id"), F.lit("), SubId="), s("subscription_id"), F.lit(".")), as_of
+                    render(TEMPLATES["subscribed_log"], user_id="user_id", plan_name="plan_name", plan_id="plan_id",
+                           subscription_id="subscription_id"), as_of
                     ).unionByName(log_rows(ok, F.col("user_id"), "PaymentProcessed",
-                    F.concat(F.lit("Payment "), s("payment_id"), F.lit(" completed for subscription "), s("subscription_id"),
-                             F.lit(" amount "), M.currency_inr(F.col("price")), F.lit(".")), as_of))
+                    render(TEMPLATES["subscribed_payment_log"], payment_id="payment_id", subscription_id="subscription_id",
+                           amount=M.currency_inr(F.col("price"))), as_of))
     notes = notification_rows(ok, F.col("user_id"), SUBSCRIBED_SUBJECT,
-                              F.concat(F.lit("Your subscription (ID "), s("subscription_id"), F.lit(") to "),
-                                       F.col("plan_name"), F.lit(" is active.")), as_of)
+                              render(TEMPLATES["subscribed_body"], subscription_id="subscription_id",
+                                     plan_name="plan_name"), as_of)
     rejected = j.where(F.col("reason").isNotNull()).select(
         "seq", "user_id", "plan_id", "reason", F.lit(None).cast("int").alias("subscription_id"),
         F.lit(None).cast("int").alias("payment_id"), F.lit(None).cast(S.TS).alias("end_date"),
@@ -96,11 +95,11 @@ def renew(subscriptions: DataFrame, plans: DataFrame, payments: DataFrame, cmds:
                          lit_ts(as_of).alias("payment_date"), "payment_method",
                          txn_id("renew", F.col("seq")).alias("transaction_id"), F.lit("Completed").alias("status"))
     logs = log_rows(ok, F.col("user_id"), "SubscriptionRenewed",
-                    F.concat(F.lit("Subscription "), s("subscription_id"), F.lit(" renewed to "), date_text(F.col("new_end")),
-                             F.lit(". Plan "), F.col("plan_name"), F.lit(".")), as_of)
+                    render(TEMPLATES["renewed_log"], subscription_id="subscription_id",
+                           new_end=date_text(F.col("new_end")), plan_name="plan_name"), as_of)
     notes = notification_rows(ok, F.col("user_id"), RENEWED_SUBJECT,
-                              F.concat(F.lit("Your subscription (ID "), s("subscription_id"),
-                                       F.lit(") has been renewed through "), date_text(F.col("new_end")), F.lit(".")), as_of)
+                              render(TEMPLATES["renewed_body"], subscription_id="subscription_id",
+                                     new_end=date_text(F.col("new_end"))), as_of)
     outcome = (ok.select("seq", "subscription_id", "user_id", F.lit(None).cast("string").alias("reason"),
                          "payment_id", "new_end")
                .unionByName(j.where(F.col("reason").isNotNull()).select(
@@ -143,11 +142,11 @@ def cancel(subscriptions: DataFrame, plans: DataFrame, payments: DataFrame, cmds
                     .withColumn("status", F.lit("Refunded")).select(*payments.columns))
     refund_text = M.currency_inr(F.col("refund_amount"))
     logs = log_rows(ok, F.col("user_id"), "SubscriptionCancelled",
-                    F.concat(F.lit("Subscription "), s("subscription_id"), F.lit(f" cancelled. {PRO_RATA} refund: "),
-                             refund_text, F.lit(" for plan "), F.col("plan_name"), F.lit(".")), as_of)
+                    render(TEMPLATES["cancelled_log"], subscription_id="subscription_id", refund=refund_text,
+                           plan_name="plan_name"), as_of)
     notes = notification_rows(ok, F.col("user_id"), CANCELLED_SUBJECT,
-                              F.concat(F.lit("Your subscription (ID "), s("subscription_id"),
-                                       F.lit(") was cancelled. Refund amount: "), refund_text, F.lit(".")), as_of)
+                              render(TEMPLATES["cancelled_body"], subscription_id="subscription_id", refund=refund_text),
+                              as_of)
     outcome = (ok.select("seq", "subscription_id", "user_id", F.lit(None).cast("string").alias("reason"),
                          "remaining_days", "refund_amount", "refunded_payment_id")
                .unionByName(j.where(F.col("reason").isNotNull()).select(
@@ -163,9 +162,9 @@ def expire_due(subscriptions: DataFrame, as_of) -> ChangeSet:
     due = subscriptions.where((F.col("status") == "Active") & (F.col("end_date") <= lit_ts(as_of)))
     changed = due.withColumn("status", F.lit("Expired")).select(*subscriptions.columns)
     logs = log_rows(due, F.col("user_id"), "SubscriptionExpired",
-                    F.concat(F.lit("Subscription "), s("subscription_id"), F.lit(" expired.")), as_of)
+                    render(TEMPLATES["expired_log"], subscription_id="subscription_id"), as_of)
     notes = notification_rows(due, F.col("user_id"), EXPIRED_SUBJECT,
-                              F.concat(F.lit("Your subscription (ID "), s("subscription_id"), F.lit(") has expired.")),
+                              render(TEMPLATES["expired_body"], subscription_id="subscription_id"),
                               as_of, keep=["subscription_id"])
     outcome = due.select("subscription_id", "user_id", "plan_id", "end_date", F.lit(True).alias("accepted"))
     return ChangeSet(outcome, {"subscriptions": changed}, logs=logs, notifications=notes)
@@ -177,7 +176,7 @@ def expiry_run_log(subscriptions: DataFrame, as_of) -> DataFrame:
     stamp = F.concat(F.date_format(lit_ts(as_of), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0Z"))
     return n.agg(F.count(F.lit(1)).alias("expired_count")).select(
         F.lit(None).cast("int").alias("user_id"), F.lit("ExpiryCheckRan").alias("action"),
-        F.concat(F.lit("Expired "), s("expired_count"), F.lit(" subscription(s) at "), stamp).alias("message"),
+        render(TEMPLATES["expiry_run_log"], count="expired_count", stamp=stamp).alias("message"),
         "expired_count")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import lit_ts
 from ..functions.predicates import blank_col
-from ..functions.text import s
+from ..functions.text import TEMPLATES, render
 from . import ids
 from .changes import ChangeSet, first_failure, log_rows
 
@@ -33,7 +33,7 @@ def register(users: DataFrame, cmds: DataFrame, as_of) -> ChangeSet:
     ok = ok.withColumn("role", F.when(blank_col(F.col("role")), F.lit("Subscriber")).otherwise(F.col("role")))
     new = ok.select("user_id", *USER_VALUES, lit_ts(as_of).alias("registration_date"), "role").select(*users.columns)
     logs = log_rows(ok, F.col("user_id"), "UserRegistered",
-                    F.concat(F.lit("User "), F.col("email"), F.lit(" registered.")), as_of)
+                    render(TEMPLATES["user_registered_log"], email="email"), as_of)
     outcome = (ok.select("seq", "email", "user_id", F.lit(None).cast("string").alias("reason"))
                .unionByName(j.where(F.col("reason").isNotNull()).select(
                    "seq", "email", F.lit(None).cast("int").alias("user_id"), "reason"))
@@ -59,7 +59,7 @@ def update(users: DataFrame, cmds: DataFrame, as_of) -> ChangeSet:
                                              (F.col("_clash").isNotNull(), "email_taken")))
     ok = j.where(F.col("reason").isNull())
     changed = ok.select("user_id", *USER_VALUES, "registration_date", "role").select(*users.columns)
-    logs = log_rows(ok, F.col("user_id"), "UserUpdated", F.concat(F.lit("User "), F.col("email"), F.lit(" updated.")), as_of)
+    logs = log_rows(ok, F.col("user_id"), "UserUpdated", render(TEMPLATES["user_updated_log"], email="email"), as_of)
     outcome = j.select("seq", "user_id", "email", "reason", F.col("reason").isNull().alias("accepted"))
     return ChangeSet(outcome, {"users": changed}, logs=logs)
 
@@ -73,7 +73,6 @@ def delete(users: DataFrame, subscriptions: DataFrame, cmds: DataFrame, as_of) -
                                              (F.col("_used").isNotNull(), "in_use")))
     ok = j.where(F.col("reason").isNull())
     logs = log_rows(ok, F.col("actor_user_id"), "UserDeleted",
-                    F.concat(F.lit("User (Id="), s("user_id"), F.lit(") deleted by Admin (Id="), s("actor_user_id"),
-                             F.lit(").")), as_of)
+                    render(TEMPLATES["user_deleted_log"], user_id="user_id", actor_user_id="actor_user_id"), as_of)
     outcome = j.select("seq", "user_id", "reason", F.col("reason").isNull().alias("accepted"))
     return ChangeSet(outcome, deletes={"users": ok.select("user_id").distinct()}, logs=logs)

@@ -100,8 +100,8 @@ SELECT log_id, concat('Seed log entry #', CAST(log_id AS VARCHAR), ' at ', strft
 FROM logs""")
 def log_text(t):
     """CONVERT(VARCHAR(19), ts, 120) inside the seed log text."""
-    return t.logs.select("log_id", F.concat(F.lit("Seed log entry #"), X.s("log_id"), F.lit(" at "),
-                                            X.datetime_text(F.col("log_date"))).alias("log_text"))
+    return t.logs.select("log_id", X.render(X.TEMPLATES["seed_log"], log_id="log_id",
+                                            log_date=X.datetime_text(F.col("log_date"))).alias("log_text"))
 
 
 @query("notification_text", f"""

@@ -140,3 +140,18 @@ def test_hmac_matches_python(spark):
 
 def test_literal_timestamp_folds(spark):
     assert spark.range(1).select(lit_ts("2020-01-02")).first()[0] == T("2020-01-02 00:00:00")
+
+
+def test_message_texts(spark, seed):
+    from subsight.operators import subscription_jobs as SJ
+    from .conftest import SEED_AS_OF
+    cmds = spark.createDataFrame([(1, 2, 10, "PayPal", True)], "seq long, user_id int, plan_id int, payment_method string, auto_renew boolean")
+    ch = SJ.subscribe(seed["users"], seed["plans"], seed["subscriptions"], seed["payments"], cmds, SEED_AS_OF)
+    logs = sorted(r["message"] for r in ch.logs.collect())
+    assert logs == ["Payment 26 completed for subscription 31 amount ₹999.00.",
+                    "User 2 subscribed to Plan Enterprise Yearly (PlanId=10), SubId=31."]
+    assert ch.notifications.first()["body"] == "Your subscription (ID 31) to Enterprise Yearly is active."
+    cancel = spark.createDataFrame([(1, 1, 1)], "seq long, subscription_id int, user_id int")
+    c = SJ.cancel(seed["subscriptions"], seed["plans"], seed["payments"], cancel, SEED_AS_OF)
+    msg = c.logs.first()["message"]
+    assert msg.startswith("Subscription 1 cancelled. Pro‑rata refund: ₹") and msg.endswith(" for plan Basic Monthly.")
