@@ -11,6 +11,11 @@ from pyspark.sql import functions as F
 
 from ..sources import schemas as S
 
+# The en-IN currency format - rupee sign before the number,
+# minus sign before the symbol, two decimals, last three digits grouped,
+# then groups of two (1,23,45,678.90).
+CURRENCY_SYMBOL = "₹"
+
 
 def prorata(amount: Column, remaining: Column, duration: Column) -> Column:
     """amount x remaining / duration in cents, half away from zero; 0 when
@@ -33,7 +38,7 @@ def currency_inr(amount: Column) -> Column:
     # a comma after every digit followed by 3, 5, 7, ... digits
     grouped = F.regexp_replace(whole, r"(\d)(?=(\d\d)*\d{3}$)", "$1,")
     sign = F.when(amount < 0, F.lit("-")).otherwise(F.lit(""))
-    return F.concat(sign, F.lit("₹"), grouped, F.lit("."), frac)
+    return F.concat(sign, F.lit(CURRENCY_SYMBOL), grouped, F.lit("."), frac)
 
 
 def percent_text(ratio: Column) -> Column:

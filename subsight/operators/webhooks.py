@@ -19,6 +19,11 @@ from . import ids
 
 FORGED = "forged-signature"
 
+# Webhook body type that marks a refund, and the outbox types.
+REFUND_EVENT_TYPE = "payment.refunded"
+OUTBOX_REFUNDED = "PaymentRefunded"
+OUTBOX_PROCESSED = "PaymentProcessed"
+
 
 def signed_inbound(t, secret: str) -> DataFrame:
     """Test landing rows: bodies signed with ``secret``; every 13th request
@@ -55,7 +60,7 @@ def dispositions(inbound: DataFrame, secret: str, known_event_ids: DataFrame | N
 
 
 def outbox_type(body_type) -> F.Column:
-    return F.when(body_type == "payment.refunded", "PaymentRefunded").otherwise("PaymentProcessed")
+    return F.when(body_type == REFUND_EVENT_TYPE, OUTBOX_REFUNDED).otherwise(OUTBOX_PROCESSED)
 
 
 def ingest(inbound: DataFrame, payments: DataFrame, outbox: DataFrame, secret: str,
