@@ -33,3 +33,17 @@ def test_webhook_stream_restart_equals_batch(spark):
     assert sorted(map(tuple, streamed.select(cols).collect()), key=str) == sorted(map(tuple, batch.select(cols).collect()), key=str)
     # duplicates across the two runs are caught by the stored event ids
     assert streamed.where("disposition = 'duplicate'").count() == batch.where("disposition = 'duplicate'").count()
+
+
+def test_log_stream_quarantines_unknown_users(spark):
+    import datetime as dt
+
+    from subsight.streaming.landing import land
+    msgs = spark.createDataFrame(
+        [(1, "UserLogin", "a", dt.datetime(2024, 1, 1, 0, 0, 1)), (None, "ReportRevenue", "b", dt.datetime(2024, 1, 1, 0, 0, 2)),
+         (999, "UserLogin", "c", dt.datetime(2024, 1, 1, 0, 0, 3)), (2, "UserLogin", "d", dt.datetime(2024, 1, 1, 0, 0, 4))],
+        S.LOG_MESSAGE).withColumn("_o", F.unix_micros(F.col("timestamp_utc").cast("timestamp")))
+    users = spark.createDataFrame([(1,), (2,)], "user_id int")
+    out = SJ.logs_stream(spark, land(msgs, "logs-test", "_o", chunks=2), users)
+    got = {r["message"]: r["sink"] for r in out.collect()}
+    assert got == {"a": "logs", "b": "logs", "c": "quarantine", "d": "logs"}
