@@ -46,7 +46,7 @@ def plan_end_dates(t):
 
 
 @query("remaining_days", f"""
-SELECT s.subscription_id, {_REM} AS remaining_days
+SELECT s.subscription_id, CAST({_REM} AS INTEGER) AS remaining_days
 FROM subscriptions s JOIN plans p ON s.plan_id = p.plan_id""")
 def remaining_days_q(t):
     """Days left at as_of, between 0 and the plan duration."""
