@@ -24,6 +24,10 @@ def duck(sf_dir: str):
     return con
 
 
+_TYPES = {"INTEGER": "int", "BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean",
+          "TIMESTAMP": "timestamp_ntz", "DATE": "date"}
+
+
 def _norm(v):
     if v is None:
         return None
@@ -59,12 +63,17 @@ def compare(spark, name, q, sf_dir, con=None):
     df = q.run(spark, sf_dir)
     s_cols = df.columns
     s_rows = [tuple(r) for r in df.collect()]
-    res = con.execute(q.sql)
-    d_cols = [c[0] for c in res.description]
-    d_rows = res.fetchall()
+    rel = con.sql(q.sql)
+    d_cols, d_types = rel.columns, [str(t) for t in rel.types]
+    d_rows = rel.fetchall()
     problems = []
     if sorted(s_cols) != sorted(d_cols):
         problems.append(f"columns spark={s_cols} duck={d_cols}")
+    s_types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    for c, t in zip(d_cols, d_types):
+        want = _TYPES.get(t, t.lower())
+        if s_types.get(c) != want:
+            problems.append(f"type of {c}: spark={s_types.get(c)} duck={t}")
     if len(s_rows) != len(d_rows):
         problems.append(f"rows spark={len(s_rows)} duck={len(d_rows)}")
     if not problems:
