@@ -189,8 +189,8 @@ def set_status(subscriptions: DataFrame, cmds: DataFrame) -> ChangeSet:
                            (F.col("old_status").isNull(), "not_found"))
     j = j.withColumn("reason", reason)
     ok = j.where(F.col("reason").isNull())
-    last = ok.groupBy("subscription_id").agg(F.max(F.struct("seq", "new_status")).alias("m"))
-    changed = (subscriptions.join(last.select("subscription_id", F.col("m.new_status").alias("_new")), "subscription_id")
+    last = ok.groupBy("subscription_id").agg(F.max_by("new_status", "seq").alias("_new"))
+    changed = (subscriptions.join(last, "subscription_id")
                .withColumn("status", F.col("_new")).select(*subscriptions.columns))
     outcome = j.select("seq", "subscription_id", "old_status", "new_status", "reason",
                        F.col("reason").isNull().alias("accepted"))
@@ -243,7 +243,8 @@ def mixed(subscriptions: DataFrame, plans: DataFrame, payments: DataFrame, cmds:
     renews = ids.rank_within(j.where(F.col("reason").isNull() & is_renew), ["subscription_id"], ["seq"], "k")
     renews = ids.assign_ids(renews, ["seq"], ids.max_id(payments, "payment_id"), "payment_id")
     renews = renews.withColumn("new_end", renewal_end(F.col("_end"), as_of, F.col("duration_days"), F.col("k")))
-    per_sub = renews.groupBy("subscription_id").agg(F.max(F.struct("k", "new_end", "payment_id")).alias("_last"))
+    per_sub = renews.groupBy("subscription_id").agg(
+        F.struct(F.max_by("new_end", "k").alias("new_end"), F.max_by("payment_id", "k").alias("payment_id")).alias("_last"))
     cancels = (j.where(F.col("reason").isNull() & ~is_renew).join(per_sub, "subscription_id", "left")
                .withColumn("_end_seen", F.coalesce(F.col("_last.new_end"), F.col("_end"))))
     cancels = cancels.withColumn("remaining_days", remaining_days(F.col("_end_seen"), as_of, F.col("duration_days")))

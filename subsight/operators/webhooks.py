@@ -99,9 +99,8 @@ def ingest(inbound: DataFrame, payments: DataFrame, outbox: DataFrame, secret: s
     matches = pay_keys.join(keys, "_k").select("seq", F.col("payment_id").alias("target_payment_id"))
     a = acc.join(matches, "seq", "left")
     last = (a.where(F.col("target_payment_id").isNotNull()).groupBy("target_payment_id")
-            .agg(F.max(F.struct("seq", F.col("b.status").alias("status"))).alias("m")))
-    updates = last.select(F.col("target_payment_id").alias("payment_id"), F.col("m.status").alias("status"),
-                          F.col("m.seq").alias("seq"))
+            .agg(F.max_by(F.col("b.status"), F.col("seq")).alias("status"), F.max("seq").alias("seq")))
+    updates = last.select(F.col("target_payment_id").alias("payment_id"), "status", "seq")
     result = {"events": events, "payment_updates": updates,
               "dispositions": a.select("seq", "event_id", "disposition", "target_payment_id")
               .unionByName(d.where(F.col("disposition") != "accepted")
