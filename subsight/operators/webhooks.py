@@ -98,9 +98,15 @@ def ingest(inbound: DataFrame, payments: DataFrame, outbox: DataFrame, secret: s
                                "payment_id")
     matches = pay_keys.join(keys, "_k").select("seq", F.col("payment_id").alias("target_payment_id"))
     a = acc.join(matches, "seq", "left")
-    last = (a.where(F.col("target_payment_id").isNotNull()).groupBy("target_payment_id")
-            .agg(F.max_by(F.col("b.status"), F.col("seq")).alias("status"), F.max("seq").alias("seq")))
-    updates = last.select(F.col("target_payment_id").alias("payment_id"), "status", "seq")
+    # accepted statuses are one of the enumeration: carry their position (an
+    # int) through max_by so the aggregate stays a hash aggregate
+    statuses = F.array(*[F.lit(x) for x in S.PAYMENT_STATUSES])
+    last = (a.where(F.col("target_payment_id").isNotNull())
+            .withColumn("_code", F.array_position(statuses, F.col("b.status")).cast("int"))
+            .groupBy("target_payment_id")
+            .agg(F.max_by("_code", "seq").alias("_code"), F.max("seq").alias("seq")))
+    updates = last.select(F.col("target_payment_id").alias("payment_id"),
+                          F.element_at(statuses, F.col("_code")).alias("status"), "seq")
     result = {"events": events, "payment_updates": updates,
               "dispositions": a.select("seq", "event_id", "disposition", "target_payment_id")
               .unionByName(d.where(F.col("disposition") != "accepted")

@@ -20,6 +20,7 @@ def test_no_python_no_cartesian(spark, name):
     plan = _plan(QUERIES[name].run(spark, SF001))
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+    assert "SortAggregate" not in plan  # every aggregate is a (partial) hash aggregate
 
 
 def test_filter_pushed_to_scan(spark):
