@@ -100,21 +100,35 @@ def webhooks_stream(spark: SparkSession, source_path: str, payments: DataFrame,
     from ..sources.schemas import WEBHOOK_IN
 
     def handle(batch: DataFrame, bid: int, sink: str) -> None:
-        prior = f"{sink}/events"
-        try:
-            known = spark.read.parquet(prior).select("event_id")
-            known.limit(1).count()  # fails here when no batch has written yet
-        except Exception:
-            known = None
-        res = W.ingest(batch, payments, outbox, secret, known, with_outbox=False)
+        known = _optional(spark, f"{sink}/events", "event_id")
+        earlier = _optional(spark, f"{sink}/outbox", "outbox_id")
+        # outbox ids continue the table and the rows earlier batches wrote
+        box = outbox if earlier is None else outbox.select("outbox_id").unionByName(earlier)
+        res = W.ingest(batch, payments, box, secret, known)
         _sink_batch(sink, "events", bid, res["events"])
         _sink_batch(sink, "dispositions", bid, res["dispositions"])
         _sink_batch(sink, "payment_updates", bid, res["payment_updates"])
+        _sink_batch(sink, "outbox", bid, res["outbox"])
 
     sink = run_foreach(spark, source_path, WEBHOOK_IN, "webhooks", handle, sink=sink)
     return spark.read.parquet(f"{sink}/dispositions").drop("batch")
 
 
+def _optional(spark: SparkSession, path: str, col: str) -> DataFrame | None:
+    """Column of what earlier micro-batches wrote, or None before the first."""
+    try:
+        df = spark.read.parquet(path).select(col)
+        df.limit(1).count()
+        return df
+    except Exception:
+        return None
+
+
+def webhook_stream_output(spark: SparkSession, sink: str, name: str) -> DataFrame:
+    """Another output of a webhook stream run: events, payment_updates or outbox."""
+    return spark.read.parquet(f"{sink}/{name}").drop("batch")
+
+
 def rate_limit_stream(spark: SparkSession, source_path: str, window: str, permits: int,
                       watermark: str = "1 minute") -> DataFrame:
     """ST6: per (client, window) counter kept in streaming state.

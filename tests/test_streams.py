@@ -33,6 +33,10 @@ def test_webhook_stream_restart_equals_batch(spark):
     assert sorted(map(tuple, streamed.select(cols).collect()), key=str) == sorted(map(tuple, batch.select(cols).collect()), key=str)
     # duplicates across the two runs are caught by the stored event ids
     assert streamed.where("disposition = 'duplicate'").count() == batch.where("disposition = 'duplicate'").count()
+    # outbox rows of both runs: ids continue the table in arrival order, as one batch run gives
+    box = SJ.webhook_stream_output(spark, sink, "outbox").select("outbox_id", "type", "payload", "created_at")
+    want = W.ingest(rows, t.payments, t.outbox, HMAC_TEST_KEY)["outbox"].select("outbox_id", "type", "payload", "created_at")
+    assert sorted(map(tuple, box.collect())) == sorted(map(tuple, want.collect()))
 
 
 def test_log_stream_quarantines_unknown_users(spark):
