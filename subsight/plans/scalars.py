@@ -204,3 +204,13 @@ def report_revenue_json(t):
     r = R.revenue(t.payments, REPORT_FROM, REPORT_TO)
     return r.select(F.to_json(F.struct(lit_ts(REPORT_FROM).alias("from"), lit_ts(REPORT_TO).alias("to"),
                                        F.col("revenue").alias("totalRevenue"))).alias("json"))
+
+
+@query("duration_text", """
+SELECT CAST(CAST(round(CAST(COALESCE(AVG(CAST(date_diff('day', CAST(start_date AS DATE), CAST(end_date AS DATE)) AS DOUBLE)), 0.0)
+            AS DECIMAL(20,6)), 1) AS DECIMAL(18,1)) AS VARCHAR) AS avg_duration_text
+FROM subscriptions""")
+def duration_text(t):
+    """Mean duration as text with one decimal ('0.0' format)."""
+    a = R.avg_duration_days(t.subscriptions)
+    return a.select(M.one_digit_text(F.col("avg_duration_days")).alias("avg_duration_text"))
