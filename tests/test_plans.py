@@ -79,3 +79,12 @@ def test_quality_row_rules_one_scan_per_table(spark):
     plan = _run_plan(spark, "dq_required")
     # five tables carry row rules; each is read once
     assert plan.count("FileScan parquet") == 5
+
+
+def test_stored_tables_equal_direct_mapping(spark):
+    from subsight.sources.tables import Tables
+    stored, direct = Tables(spark, SF001), Tables(spark, SF001, stored=False)
+    for name in Tables.TABLES:
+        a, b = getattr(stored, name), getattr(direct, name)
+        assert a.columns == b.columns
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
