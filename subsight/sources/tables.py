@@ -58,8 +58,11 @@ class Tables:
             path = scratch_path(self.spark, f"table-{name}")
             order = _STORE_ORDER[name]
             # range-clustered on the order columns: each file holds one slice of
-            # the date range, so a date filter skips whole files' row groups
-            (build().repartitionByRange(*order).sortWithinPartitions(*order)
+            # the date range, so a date filter skips whole files' row groups. An
+            # explicit file count (AQE does not merge it away) keeps later scans
+            # parallel: spark.sql.shuffle.partitions, sized for the cluster.
+            files = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            (build().repartitionByRange(files, *order).sortWithinPartitions(*order)
              .write.mode("errorifexists").parquet(path))
             _STORED[key] = path
         return self.spark.read.parquet(path)
