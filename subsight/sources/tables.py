@@ -31,6 +31,7 @@ def add_days(ts: Column, days) -> Column:
     return F.timestamp_add("DAY", n, ts)
 
 
+ROWS_PER_FILE = 4_000_000
 # (application id, source folder, table) -> stored path
 _STORED: dict[tuple[str, str, str], str] = {}
 # sort order of each stored table: the column most filters use
@@ -58,12 +59,13 @@ class Tables:
             path = scratch_path(self.spark, f"table-{name}")
             order = _STORE_ORDER[name]
             # range-clustered on the order columns: each file holds one slice of
-            # the date range, so a date filter skips whole files' row groups. An
-            # explicit file count (AQE does not merge it away) keeps later scans
-            # parallel: spark.sql.shuffle.partitions, sized for the cluster.
-            files = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            (build().repartitionByRange(files, *order).sortWithinPartitions(*order)
-             .write.mode("errorifexists").parquet(path))
+            # the date range, so a date filter skips whole files' row groups.
+            # One range per core of the cluster (an explicit count, which AQE
+            # does not merge away) keeps later scans parallel; the row cap per
+            # file bounds file size when the table is large.
+            slices = self.spark.sparkContext.defaultParallelism
+            (build().repartitionByRange(slices, *order).sortWithinPartitions(*order)
+             .write.mode("errorifexists").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path))
             _STORED[key] = path
         return self.spark.read.parquet(path)
 
