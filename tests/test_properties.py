@@ -245,3 +245,18 @@ def test_mixed_batch_equals_serial_replay(spark):
         else:
             got[r["seq"]] = (None, r["refund_amount"], r["refunded_payment_id"])
     assert got == want
+
+
+def test_replaying_webhooks_changes_nothing(spark):
+    from subsight.operators import webhooks as W
+    from subsight.plans.registry import HMAC_TEST_KEY
+    t = Tables(spark, SF001)
+    rows = W.signed_inbound(t, HMAC_TEST_KEY)
+    first = W.ingest(rows, t.payments, t.outbox, HMAC_TEST_KEY, with_outbox=False)
+    stored = first["events"].select("event_id")
+    again = W.ingest(rows, t.payments, t.outbox, HMAC_TEST_KEY, known_event_ids=stored, with_outbox=False)
+    # every authenticated request with an event id is now a duplicate: no update, no outbox row
+    assert again["payment_updates"].count() == 0
+    assert again["dispositions"].where("disposition = 'accepted'").count() == 0
+    assert again["dispositions"].where("disposition = 'duplicate'").count() == \
+        first["dispositions"].where("disposition IN ('accepted', 'duplicate', 'malformed')").count()
