@@ -58,14 +58,16 @@ def refund(payments: DataFrame, subscriptions: DataFrame, plans: DataFrame, cmds
     j = cmds.join(pm, "payment_id", "left").join(sb.join(pl, "plan_id", "left"), "subscription_id", "left")
     j = j.withColumn("reason", first_failure((F.col("amount").isNull(), "not_found")))
     ok = j.where(F.col("reason").isNull())
-    firsts = ok.groupBy("subscription_id").agg(F.min("seq").alias("_first_sub"))
-    firstp = ok.groupBy("payment_id").agg(F.min("seq").alias("_first_pay"))
-    ok = ok.join(firsts, "subscription_id").join(firstp, "payment_id")
-    cut = (F.col("sub_status") == "Active") & (F.col("seq") != F.col("_first_sub"))
+    # first command per subscription and per payment, flagged through the
+    # unique seq (min aggregates, no hot join key)
+    firsts = ok.groupBy("subscription_id").agg(F.min("seq").alias("seq")).select("seq", F.lit(True).alias("_first_sub"))
+    firstp = ok.groupBy("payment_id").agg(F.min("seq").alias("seq")).select("seq", F.lit(True).alias("_first_pay"))
+    ok = ok.join(firsts, "seq", "left").join(firstp, "seq", "left")
+    cut = (F.col("sub_status") == "Active") & F.col("_first_sub").isNull()
     end_seen = F.when(cut, lit_ts(as_of)).otherwise(F.col("_end"))
     ok = ok.withColumn("remaining_days", remaining_days(end_seen, as_of, F.col("duration_days")))
     ok = ok.withColumn("refund_estimate", M.prorata(F.col("amount"), F.col("remaining_days"), F.col("duration_days")))
-    ok = ok.withColumn("already_refunded", (F.col("payment_status") == "Refunded") | (F.col("seq") != F.col("_first_pay")))
+    ok = ok.withColumn("already_refunded", (F.col("payment_status") == "Refunded") | F.col("_first_pay").isNull())
     changed_pays = (payments.join(ok.select("payment_id").distinct(), "payment_id")
                     .withColumn("status", F.lit("Refunded")).select(*payments.columns))
     # every column decided from the old values (one projection, no chained update)

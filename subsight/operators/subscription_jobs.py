@@ -116,15 +116,17 @@ def cancel(subscriptions: DataFrame, plans: DataFrame, payments: DataFrame, cmds
     s_ = subscriptions.select("subscription_id", F.col("user_id").alias("_owner"), "plan_id",
                               F.col("end_date").alias("_end"), F.col("status").alias("_status"))
     j = cmds.join(s_, "subscription_id", "left").join(_plans_info(plans), "plan_id", "left")
-    # a later cancel of the same subscription finds it already cancelled
+    # a later cancel of the same subscription finds it already cancelled: the
+    # first one is found by a min aggregate and flagged by a join on the
+    # unique seq, so a subscription with very many commands is no hot join key
     first = (j.where(F.col("_owner") == F.col("user_id")).groupBy("subscription_id")
-             .agg(F.min("seq").alias("_first_seq")))
-    j = j.join(first, "subscription_id", "left")
+             .agg(F.min("seq").alias("seq")).select("seq", F.lit(True).alias("_first")))
+    j = j.join(first, "seq", "left")
     reason = first_failure(
         (F.col("_owner").isNull(), "not_found"),
         (F.col("_owner") != F.col("user_id"), "not_owner"),
         (F.col("_status") != "Active", "not_active"),
-        (F.col("seq") != F.col("_first_seq"), "not_active"))
+        (F.col("_first").isNull(), "not_active"))
     j = j.withColumn("reason", reason)
     rem = remaining_days(F.col("_end"), as_of, F.col("duration_days"))
     ok = (j.where(F.col("reason").isNull()).withColumn("remaining_days", rem)

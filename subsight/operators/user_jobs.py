@@ -20,15 +20,16 @@ def _email_checks(users: DataFrame, cmds: DataFrame) -> DataFrame:
     (the first row of the batch wins, as in serial registration)."""
     taken = users.select(F.lower("email").alias("_key")).distinct().withColumn("_taken", F.lit(True))
     c = cmds.withColumn("_key", F.lower("email"))
-    first = c.groupBy("_key").agg(F.min("seq").alias("_first"))
-    return c.join(taken, "_key", "left").join(first, "_key").drop("_key")
+    # the first row per e-mail, flagged through the unique seq (no hot join key)
+    first = c.groupBy("_key").agg(F.min("seq").alias("seq")).select("seq", F.lit(True).alias("_first"))
+    return c.join(taken, "_key", "left").join(first, "seq", "left").drop("_key")
 
 
 def register(users: DataFrame, cmds: DataFrame, as_of) -> ChangeSet:
     """New users; role as given, Subscriber when blank."""
     j = _email_checks(users, cmds)
     j = j.withColumn("reason", first_failure((F.col("_taken").isNotNull(), "email_taken"),
-                                             (F.col("seq") != F.col("_first"), "email_taken")))
+                                             (F.col("_first").isNull(), "email_taken")))
     ok = ids.assign_ids(j.where(F.col("reason").isNull()), ["seq"], ids.max_id(users, "user_id"), "user_id")
     ok = ok.withColumn("role", F.when(blank_col(F.col("role")), F.lit("Subscriber")).otherwise(F.col("role")))
     new = ok.select("user_id", *USER_VALUES, lit_ts(as_of).alias("registration_date"), "role").select(*users.columns)
