@@ -260,3 +260,24 @@ def test_replaying_webhooks_changes_nothing(spark):
     assert again["dispositions"].where("disposition = 'accepted'").count() == 0
     assert again["dispositions"].where("disposition = 'duplicate'").count() == \
         first["dispositions"].where("disposition IN ('accepted', 'duplicate', 'malformed')").count()
+
+
+def test_hot_subscription_cancel_commands(spark):
+    """Hundreds of cancels for one subscription: exactly the first with the
+    right owner is accepted, as serial processing decides."""
+    import datetime as dt
+    subs = spark.createDataFrame([(1, 5, 1, dt.datetime(2020, 1, 1), dt.datetime(2020, 3, 1), None, "Active", True),
+                                  (2, 6, 1, dt.datetime(2020, 1, 1), dt.datetime(2020, 3, 1), None, "Active", True)],
+                                 "subscription_id int, user_id int, plan_id int, start_date timestamp_ntz, end_date timestamp_ntz, "
+                                 "renewal_date timestamp_ntz, status string, auto_renew boolean")
+    plans = spark.createDataFrame([(1, "P", None, Decimal("30.00"), "Monthly", 30, None, dt.datetime(2019, 1, 1), None)],
+                                  "plan_id int, name string, description string, price decimal(10,2), billing_cycle string, "
+                                  "duration_days int, features string, created_at timestamp_ntz, updated_at timestamp_ntz")
+    pays = spark.createDataFrame([], "payment_id int, subscription_id int, amount decimal(10,2), payment_date timestamp_ntz, "
+                                     "payment_method string, transaction_id string, status string")
+    cmds = spark.range(0, 500).select(F.col("id").alias("seq"), F.when(F.col("id") == 499, 2).otherwise(1).alias("subscription_id"),
+                                      F.when(F.col("id") < 3, 9).when(F.col("id") == 499, 6).otherwise(5).alias("user_id"))
+    out = {r["seq"]: r["reason"] for r in SJ.cancel(subs, plans, pays, cmds, "2020-02-01 00:00:00").outcome.collect()}
+    assert out[0] == out[1] == out[2] == "not_owner"
+    assert out[3] is None and out[499] is None
+    assert all(out[i] == "not_active" for i in range(4, 499))
