@@ -154,8 +154,11 @@ def rate_limit_stream(spark: SparkSession, source_path: str, window: str, permit
         rows = pd_.concat(list(pdfs), ignore_index=True).sort_values(["received_at", "seq"], kind="stable")
         rank = seen + pd_.Series(range(1, len(rows) + 1), index=rows.index)
         state.update((int(seen + len(rows)),))
-        # window end in the watermark's own frame (epoch ms of the TIMESTAMP column)
-        state.setTimeoutTimestamp(int(rows["_wstart_ms"].iloc[0]) + window_ms)
+        # window end in the watermark's own frame (epoch ms of the TIMESTAMP
+        # column); a group that shows up after the watermark passed its window
+        # end keeps its state until the next watermark step instead of failing
+        window_end = int(rows["_wstart_ms"].iloc[0]) + window_ms
+        state.setTimeoutTimestamp(max(window_end, state.getCurrentWatermarkMs() + 1))
         yield pd_.DataFrame({"seq": rows["seq"].astype("int64"), "client_key": rows["client_key"],
                              "window_start": rows["window_start"], "admitted": (rank <= permits).to_numpy()})
 

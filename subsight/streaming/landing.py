@@ -1,10 +1,14 @@
 """Landing folders for stream sources (in the shared checkpoint folder).
 
-Rows are written in arrival order as ``chunks`` separate files, one write
-each, so the file source picks them up oldest first, one per trigger."""
+A file source processes files oldest first, and files of one write share a
+modification time. So rows are landed in arrival order as separate chunks,
+one file each, written one after another: the stream then sees them in that
+order, one chunk per trigger. The number of chunks grows with the rows
+(``rows_per_file``), so no chunk file holds more than that many rows."""
 
 from __future__ import annotations
 
+import math
 import time
 
 from pyspark.sql import DataFrame
@@ -12,15 +16,19 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_path
 
+ROWS_PER_FILE = 200_000
 
-def land(df: DataFrame, name: str, order_col: str, chunks: int = 4) -> str:
-    """Write ``df`` as ``chunks`` files ordered by ``order_col``; returns the folder.
 
-    The chunk of a row comes from quantile bounds of ``order_col`` computed
-    by Spark (approxQuantile), so no row passes through the driver."""
+def land(df: DataFrame, name: str, order_col: str, chunks: int | None = None,
+         rows_per_file: int = ROWS_PER_FILE) -> str:
+    """Write ``df`` as chunk files ordered by ``order_col``; returns the folder.
+
+    Cut points come from ``approxQuantile`` (a few numbers on the driver,
+    never rows); approximate cut points still keep the chunks in order."""
     path = scratch_path(df.sparkSession, f"landing-{name}")
+    if chunks is None:
+        chunks = max(4, math.ceil(df.count() / rows_per_file))
     probs = [i / chunks for i in range(1, chunks)]
-    # approximate cut points are enough: any cut points keep the chunks in order
     bounds = df.approxQuantile(order_col, probs, 0.01) if chunks > 1 else []
     edges = [None] + bounds + [None]
     for i in range(chunks):
@@ -30,6 +38,8 @@ def land(df: DataFrame, name: str, order_col: str, chunks: int = 4) -> str:
             cond = cond & (F.col(order_col) > F.lit(lo))
         if hi is not None:
             cond = cond & (F.col(order_col) <= F.lit(hi))
-        df.where(cond).write.mode("append").parquet(path)
+        # one file per chunk: files of one write would share a modification
+        # time and could be picked up in any order
+        df.where(cond).coalesce(1).write.mode("append").parquet(path)
         time.sleep(0.02)  # distinct modification times keep arrival order
     return path

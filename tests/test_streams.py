@@ -22,10 +22,11 @@ def test_webhook_stream_restart_equals_batch(spark):
     cut = rows.approxQuantile("seq", [0.5], 0.0)[0]
     landing = scratch_path(spark, "landing-restart")
     sink = scratch_path(spark, "sink-restart")
-    rows.where(F.col("seq") <= cut).write.parquet(landing)
+    # one file per arrival, so the file source sees them in order
+    rows.where(F.col("seq") <= cut).coalesce(1).write.parquet(landing)
     first = SJ.webhooks_stream(spark, landing, t.payments, t.outbox, HMAC_TEST_KEY, sink=sink).count()
     # the query stops; more requests arrive; the same checkpoint resumes it
-    rows.where(F.col("seq") > cut).write.mode("append").parquet(landing)
+    rows.where(F.col("seq") > cut).coalesce(1).write.mode("append").parquet(landing)
     streamed = SJ.webhooks_stream(spark, landing, t.payments, t.outbox, HMAC_TEST_KEY, sink=sink)
     batch = W.ingest(rows, t.payments, t.outbox, HMAC_TEST_KEY, with_outbox=False)["dispositions"]
     cols = ["seq", "event_id", "disposition", "target_payment_id"]
