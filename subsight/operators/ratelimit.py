@@ -15,18 +15,23 @@ def first_k(df: DataFrame, group_cols: list[str], order_cols: list[str], k: int,
     """Flag the first ``k`` rows of every group in ``order_cols`` order.
 
     ``row_number() <= k`` lets Spark put a partial top-k (WindowGroupLimit)
-    before each shuffle, so a map task forwards at most k rows per group.
-    On top of that a hot group is split into ``salt_buckets`` sub-groups by a
-    hash of the unique column; each keeps at most k candidates (the first k
-    of the group are among them), so the final ranking sees at most
-    k x salt_buckets rows per group even without the partial limit. Flags
-    return by a join on the unique column, which has no hot key."""
-    salt = F.pmod(F.xxhash64(F.col(unique_col)), F.lit(salt_buckets))
-    sub = Window.partitionBy(*group_cols, "_salt").orderBy(*order_cols)
-    cands = (df.select(*group_cols, *order_cols, unique_col).withColumn("_salt", salt)
-             .withColumn("_r", F.row_number().over(sub)).where(F.col("_r") <= k))
+    before the shuffle when k is within ``spark.sql.optimizer.
+    windowGroupLimitThreshold``: each map task forwards at most k rows per
+    group, so a hot group never reaches one task whole. Above that threshold
+    the group is first split into ``salt_buckets`` sub-groups by a hash of the
+    unique column; each keeps at most k candidates (the first k of the group
+    are among them), so the final ranking sees at most k x salt_buckets rows
+    per group. Flags return by a join on the unique column, which has no hot
+    key."""
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    rows = df.select(*group_cols, *order_cols, unique_col)
+    if k > limit:
+        salt = F.pmod(F.xxhash64(F.col(unique_col)), F.lit(salt_buckets))
+        sub = Window.partitionBy(*group_cols, "_salt").orderBy(*order_cols)
+        rows = (rows.withColumn("_salt", salt).withColumn("_r", F.row_number().over(sub))
+                .where(F.col("_r") <= k).drop("_salt", "_r"))
     whole = Window.partitionBy(*group_cols).orderBy(*order_cols)
-    keep = (cands.withColumn("_r2", F.row_number().over(whole)).where(F.col("_r2") <= k)
+    keep = (rows.withColumn("_r2", F.row_number().over(whole)).where(F.col("_r2") <= k)
             .select(unique_col, F.lit(True).alias("_in")))
     return df.join(keep, unique_col, "left").withColumn(name, F.coalesce("_in", F.lit(False))).drop("_in")
 

@@ -62,13 +62,28 @@ def test_webhook_first_wins_without_window(spark):
     assert "Window" not in plan and "partial_min" in plan
 
 
-def test_rate_limit_windows_are_salted(spark):
+def test_rate_limit_partial_top_k(spark):
     plan = _run_plan(spark, "rate_limit_admit")
-    assert "_salt" in plan and "xxhash64" in plan
     # a partial top-k runs before the shuffle: at most k rows per group leave a map task
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
+def test_first_k_salts_beyond_the_partial_limit(spark):
+    from pyspark.sql import functions as F
+
+    from subsight.operators import ratelimit as RL
+    df = spark.range(0, 5000).select((F.col("id") % 3).alias("g"), F.col("id").alias("seq"))
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "10")
+    try:
+        out = RL.first_k(df, ["g"], ["seq"], 30, "seq")
+        out.write.format("noop").mode("overwrite").save()
+        assert "xxhash64" in _plan(out)
+        got = {r["g"]: r["n"] for r in out.where("admitted").groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+        assert got == {0: 30, 1: 30, 2: 30}
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+
+
 def test_reports_aggregate_before_join(spark):
     plan = _run_plan(spark, "plan_metrics")
     # the partial aggregate sits below the join with plan names

@@ -41,6 +41,12 @@ def test_rank_within_matches_window(spark, rows):
 def test_first_k_matches_brute_force(spark, rows, k):
     df = spark.createDataFrame(rows, "g int, seq long")
     got = {r["seq"]: r["admitted"] for r in RL.first_k(df, ["g"], ["seq"], k, "seq", salt_buckets=4).collect()}
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "0")  # the salted path too
+    try:
+        salted = {r["seq"]: r["admitted"] for r in RL.first_k(df, ["g"], ["seq"], k, "seq", salt_buckets=4).collect()}
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+    assert salted == got
     want = {}
     for g in {r[0] for r in rows}:
         for i, s in enumerate(sorted(x[1] for x in rows if x[0] == g)):
