@@ -80,6 +80,13 @@ class Tables:
             list(pool.map(lambda n: getattr(self, n), names))
         return self
 
+    def save(self, folder: str) -> str:
+        """Write all seven tables under ``folder`` (one sub-folder each), for
+        ``StoredTables`` to read in later applications."""
+        for name in self.TABLES:
+            getattr(self, name).write.mode("errorifexists").parquet(f"{folder.rstrip('/')}/{name}")
+        return folder
+
     def raw(self, name: str, *cols: str) -> DataFrame:
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return df.select(*cols) if cols else df
@@ -232,5 +239,28 @@ class Tables:
         )
 
 
+class StoredTables:
+    """The seven tables read from a folder of Parquet tables (``plans/``,
+    ``users/``, ... as written by ``Tables.save`` or exported from the
+    application's database), with their declared schemas. Every operator
+    takes these DataFrames as it takes those of ``Tables``."""
+
+    _SCHEMAS = {"plans": S.PLANS, "users": S.USERS, "subscriptions": S.SUBSCRIPTIONS, "payments": S.PAYMENTS,
+                "logs": S.LOGS, "outbox": S.OUTBOX, "webhook_inbound": S.WEBHOOK_IN}
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark = spark
+        self.folder = folder.rstrip("/")
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in self._SCHEMAS:
+            raise AttributeError(name)
+        df = self.spark.read.parquet(f"{self.folder}/{name}")
+        # declared column order and types; a declared column the files do not
+        # hold (a webhook landed without signature) reads as NULL
+        return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+                           for f in self._SCHEMAS[name].fields])
+
+
 def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(spark, sf_dir)

@@ -103,3 +103,17 @@ def test_stored_tables_equal_direct_mapping(spark):
         a, b = getattr(stored, name), getattr(direct, name)
         assert a.columns == b.columns
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, name
+
+
+def test_saved_tables_read_back(spark):
+    from subsight.operators import reports as R
+    from subsight.session import scratch_path
+    from subsight.sources.tables import StoredTables, Tables
+    t = Tables(spark, SF001)
+    folder = t.save(scratch_path(spark, "saved"))
+    st = StoredTables(spark, folder)
+    a = R.plan_metrics(st.subscriptions, st.plans).collect()
+    b = R.plan_metrics(t.subscriptions, t.plans).collect()
+    assert a == b and len(a) > 0
+    assert [f.name for f in st.payments.schema.fields] == t.payments.columns
+    assert "signature" in StoredTables(spark, folder).webhook_inbound.columns
