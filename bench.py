@@ -3,7 +3,8 @@
 Maps the driver's files to the seven tables once (stored in the shared
 checkpoint folder, timed as ``materialize_tables``), then runs each query to
 completion with the ``noop`` sink (every row computed, nothing collected to
-the driver) at $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one JSON line:
+the driver) at $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one JSON line
+(with $BENCH_EVENT_LOG set, Spark's event log goes to that folder):
 {"metric": ..., "value": total seconds, "unit": "sec", "queries": {...}, "sf": ...}
 """
 
@@ -33,8 +34,11 @@ def main() -> None:
     from subsight.plans.catalog import all_queries
     from subsight.session import build_session
 
-    spark = build_session(f"local[{cpus}]", app="subsight-bench", shuffle_partitions=max(8, 2 * cpus),
-                          extra={"spark.driver.memory": "16g"})
+    extra = {"spark.driver.memory": "16g"}
+    log_dir = os.environ.get("BENCH_EVENT_LOG")  # stage/task times, read from the file afterwards
+    if log_dir:
+        extra.update({"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir})
+    spark = build_session(f"local[{cpus}]", app="subsight-bench", shuffle_partitions=max(8, 2 * cpus), extra=extra)
     from subsight.sources.tables import Tables
 
     qs = all_queries()
