@@ -9,6 +9,7 @@ from ..functions import json as J
 from ..functions import money as M
 from ..functions.dates import lit_ts, remaining_days
 from ..functions.text import TEMPLATES, render
+from ..session import checkpoint_dir
 from ..sources import schemas as S
 from . import ids
 from .changes import ChangeSet, first_failure, log_rows, txn_id
@@ -56,7 +57,9 @@ def refund(payments: DataFrame, subscriptions: DataFrame, plans: DataFrame, cmds
     # subscriptions get their plan first (subscription-sized), then meet the
     # payment-sized commands in one join
     j = cmds.join(pm, "payment_id", "left").join(sb.join(pl, "plan_id", "left"), "subscription_id", "left")
-    j = j.withColumn("reason", first_failure((F.col("amount").isNull(), "not_found")))
+    # the decided commands feed every output: write them once (checkpoint)
+    checkpoint_dir(j.sparkSession)
+    j = j.withColumn("reason", first_failure((F.col("amount").isNull(), "not_found"))).checkpoint(eager=True)
     ok = j.where(F.col("reason").isNull())
     # first command per subscription and per payment, flagged through the
     # unique seq (min aggregates, no hot join key)
