@@ -1 +1 @@
-from .tables import Tables, load_tables  # noqa: F401
+from .tables import StoredTables, Tables, load_tables  # noqa: F401
