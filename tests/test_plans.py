@@ -117,3 +117,13 @@ def test_saved_tables_read_back(spark):
     assert a == b and len(a) > 0
     assert [f.name for f in st.payments.schema.fields] == t.payments.columns
     assert "signature" in StoredTables(spark, folder).webhook_inbound.columns
+
+
+def test_materialize_runs_jobs_concurrently_and_once(spark):
+    from subsight.sources import tables as TB
+    t = TB.Tables(spark, SF001).materialize(threads=4)
+    key = (spark.sparkContext.applicationId, SF001.rstrip("/"), "payments")
+    path = TB._STORED[key]
+    # a second handle reuses the stored copy instead of writing again
+    assert TB.Tables(spark, SF001).payments.inputFiles()[0].startswith(("file:" + path) if not path.startswith("file:") else path)
+    assert t.payments.count() == TB.Tables(spark, SF001, stored=False).payments.count()
