@@ -1,3 +1,5 @@
+"""Shared Spark session (local, UTC, its own checkpoint folder) and the seed fixture."""
+
 import os
 import sys
 import tempfile
