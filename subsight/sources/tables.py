@@ -53,6 +53,11 @@ class Tables:
             return build()
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         path = _STORED.get(key)
+        if path is not None:
+            try:
+                return self.spark.read.parquet(path)
+            except Exception:  # the stored copy is gone (folder cleaned): write it again
+                path = None
         if path is None:
             from ..session import scratch_path
 
