@@ -128,3 +128,15 @@ def test_materialize_runs_jobs_concurrently_and_once(spark):
     folder = path.rstrip("/").rsplit("/", 1)[-1]
     assert all(f"/{folder}/" in f for f in TB.Tables(spark, SF001).payments.inputFiles())
     assert t.payments.count() == TB.Tables(spark, SF001, stored=False).payments.count()
+
+
+@pytest.mark.parametrize("name,column", [("revenue", "payment_date"), ("subscriptions_page", "start_date"),
+                                         ("filter_payments_range", "payment_date")])
+def test_date_ranges_reach_the_scan(spark, name, column):
+    import contextlib
+    import io
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        QUERIES[name].run(spark, SF001).explain("formatted")
+    pushed = [line for line in buf.getvalue().split("\n") if "PushedFilters" in line]
+    assert any(f"GreaterThanOrEqual({column}" in line and f"LessThan({column}" in line for line in pushed), pushed
