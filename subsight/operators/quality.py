@@ -152,27 +152,37 @@ def admin_subscriptions(users: DataFrame, subscriptions: DataFrame) -> DataFrame
     return _v(s, "subscriptions", "admin_holds_subscription", F.lit(True), F.col("user_id"))
 
 
-def _subscription_user_rules(users: DataFrame, subscriptions: DataFrame) -> DataFrame:
-    """fk_user and admin_holds_subscription from one left join of
-    subscriptions with the users' roles."""
-    roles = users.select("user_id", F.col("role").alias("_role"), F.lit(True).alias("_known"))
-    j = subscriptions.where(F.col("user_id").isNotNull()).select("subscription_id", "user_id").join(roles, "user_id", "left")
-    return _row_rules(j, "subscriptions", [
-        ("fk_user", F.col("_known").isNull(), F.col("user_id")),
-        ("admin_holds_subscription", F.lower(F.col("_role")) == "admin", F.col("user_id"))])
-
-
 def all_violations(users, plans, subscriptions, payments, logs) -> DataFrame:
-    """Every rule; row-level rules of a table share one scan of it, and the
-    two rules on subscriptions x users share one join."""
-    tables = {"users": users, "plans": plans, "subscriptions": subscriptions, "payments": payments, "logs": logs}
+    """Every rule in as few passes as possible: each child table is read
+    once, left-joined with the keys (and roles) of its parents, and all its
+    row rules and foreign-key rules are evaluated on that one frame; plans
+    and users get one pass each for their row rules; uniqueness is one
+    grouped count per key."""
     merged: dict[str, list] = {}
     for fam in (domain_rules(), status_rules(), required_rules(), range_rules(), contact_rules()):
         for t, r in fam.items():
             merged.setdefault(t, []).extend(r)
+
+    def known(df, key, alias, extra=()):
+        return df.select(F.col(key).alias(alias), *extra, F.lit(True).alias(f"{alias}_known"))
+
+    subs = (subscriptions
+            .join(known(users, "user_id", "_u", [F.col("role").alias("_role")]), F.col("user_id") == F.col("_u"), "left")
+            .join(known(plans, "plan_id", "_p"), F.col("plan_id") == F.col("_p"), "left"))
+    sub_rules = merged.get("subscriptions", []) + [
+        ("fk_user", F.col("user_id").isNotNull() & F.col("_u_known").isNull(), F.col("user_id")),
+        ("fk_plan", F.col("plan_id").isNotNull() & F.col("_p_known").isNull(), F.col("plan_id")),
+        ("admin_holds_subscription", F.lower(F.col("_role")) == "admin", F.col("user_id"))]
+    pays = payments.join(known(subscriptions, "subscription_id", "_s"), F.col("subscription_id") == F.col("_s"), "left")
+    pay_rules = merged.get("payments", []) + [
+        ("fk_subscription", F.col("subscription_id").isNotNull() & F.col("_s_known").isNull(), F.col("subscription_id"))]
+    lg = logs.join(known(users, "user_id", "_u"), F.col("user_id") == F.col("_u"), "left")
+    log_rules = merged.get("logs", []) + [
+        ("fk_user", F.col("user_id").isNotNull() & F.col("_u_known").isNull(), F.col("user_id"))]
     return _union([
-        _family(tables, merged), uniqueness(plans, users, payments),
-        _orphans(subscriptions, "subscriptions", "fk_plan", "plan_id", plans, "plan_id"),
-        _orphans(payments, "payments", "fk_subscription", "subscription_id", subscriptions, "subscription_id"),
-        _orphans(logs, "logs", "fk_user", "user_id", users, "user_id"),
-        _subscription_user_rules(users, subscriptions)])
+        _row_rules(plans, "plans", merged.get("plans", [])),
+        _row_rules(users, "users", merged.get("users", [])),
+        _row_rules(subs, "subscriptions", sub_rules),
+        _row_rules(pays, "payments", pay_rules),
+        _row_rules(lg, "logs", log_rules),
+        uniqueness(plans, users, payments)])
