@@ -81,6 +81,9 @@ class Tables:
         submitted from separate driver threads run concurrently)."""
         from concurrent.futures import ThreadPoolExecutor
 
+        from ..session import checkpoint_dir
+
+        checkpoint_dir(self.spark)  # resolve the shared folder once, before the threads
         with ThreadPoolExecutor(max_workers=threads) as pool:
             list(pool.map(lambda n: getattr(self, n), names))
         return self
