@@ -140,3 +140,15 @@ def test_date_ranges_reach_the_scan(spark, name, column):
         QUERIES[name].run(spark, SF001).explain("formatted")
     pushed = [line for line in buf.getvalue().split("\n") if "PushedFilters" in line]
     assert any(f"GreaterThanOrEqual({column}" in line and f"LessThan({column}" in line for line in pushed), pushed
+
+
+def test_stored_tables_reject_unknown_names(spark):
+    from subsight.sources.tables import StoredTables
+    with pytest.raises(AttributeError):
+        StoredTables(spark, "/nowhere").not_a_table  # noqa: B018
+
+
+def test_checkpoint_dir_comes_from_the_session(spark):
+    from subsight.session import checkpoint_dir
+    d = checkpoint_dir(spark)
+    assert d and spark.sparkContext.getCheckpointDir() == d
