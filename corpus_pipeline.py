@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from subsight.llm import mixing, quality
+from subsight.llm import minhash, mixing, pii, quality, unigram
 from subsight.llm.common import read, write_and_read
 
 
@@ -17,14 +17,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.clean(docs)
 
 
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4: one document of each class of near-duplicates stays."""
+    return minhash.deduplicate(docs)
+
+
+def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: personal data and the words that disclose it are masked in the texts."""
+    return pii.sanitise(docs)
+
+
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: each source's documents are repeated or left out to meet its budget."""
     return mixing.repeat(docs)
 
 
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: the pieces of every text, and whether they decode to it."""
+    return unigram.pieces(docs, unigram.default_model())
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("minhash near-dedup", minhash_near_dedup),
+    ("private data", private_data),
     ("mixing sources", mixing_sources),
+    ("sentencepiece", sentencepiece),
 ]
 
 # SQL can't express every stage (hash-random keys, BagMinHash, Viterbi); see tests/llm for the brute-force check.
