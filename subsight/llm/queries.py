@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 # module, query; a module's ORACLE_SQL is its query's SQL, where SQL can express it
 _QUERIES = (
-    ("unigram", "op2_token_counts"), ("neighbours", "op3_embedding_dedup"), ("minhash", "op4_minhash"), ("pii", "op5_private_data"), ("lm", "op6_lm_scoring"), ("unigram", "op9_sentencepiece"),
+    ("tokenfile", "op1_token_output"), ("unigram", "op2_token_counts"), ("neighbours", "op3_embedding_dedup"), ("minhash", "op4_minhash"), ("pii", "op5_private_data"), ("lm", "op6_lm_scoring"), ("unigram", "op9_sentencepiece"),
     ("quality", "op8_quality_rules"), ("mixing", "op7_mixing"), ("chat", "op10_chat_formatting"),
 )
 
