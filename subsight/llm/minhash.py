@@ -14,7 +14,7 @@ exact overlap of their shingle multisets; links join documents to classes:
 
 1. each document against the best of the smallest documents of its bands (one pair a document);
 2. the classes that meet in a band, by one pair for each band and class, until nothing joins;
-3. all remaining pairs in a band whose classes still differ.
+3. all that still meet in a band in different classes, as blocks of texts that are compared at once.
 
 So a group of near copies costs a few pairs for each member, and no link between different texts
 is lost. Equal texts are one node from the start. Texts move once, and only those of candidates
@@ -44,6 +44,7 @@ REGISTERS, BANDS, ROWS = 256, 42, 6
 SIMILARITY = (4, 5)  # 0.8, as a fraction of whole numbers
 _MEMORY = 500_000
 _CHUNK = 200_000  # shingles that are hashed together
+COMPARED = 256  # texts of a block
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -249,15 +250,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         links = links.unionByName(found)
         roots = components(links)
 
-    # 3: every pair in a band whose classes differ
-    met = placed.select("key", "root").distinct()
-    mixed = met.join(met.select("key", F.col("root").alias("other")), "key").filter("root < other")
-    left = placed.select("key", "root", F.col("node").alias("x"), F.col("n").alias("n_x"))
-    right = placed.select("key", F.col("root").alias("other"), F.col("node").alias("y"), F.col("n").alias("n_y"))
-    every = (mixed.join(left, ["key", "root"]).join(right, ["key", "other"]).filter(_fits("n_x", "n_y"))
-             .select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")))
-    pairs = _untested(every, tested.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
-    found = write_and_read(_verify(pairs, texts), "minhash-links")
+    # 3: what else meets in a band, block by block
+    found = write_and_read(_across(placed, texts), "minhash-links")
     if not found.isEmpty():
         roots = components(links.unionByName(found))
 
@@ -267,6 +261,90 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return signed.select("doc_id", "digest"), named
 
 
+def _across(placed: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between the classes that still meet in a band.
+
+    In each band the largest class is the host and the nodes of the others are its guests, so any
+    two nodes of different classes are host and guest, or two guests of one host. Hosts' nodes and
+    guests are dealt to blocks, and pairs of blocks are compared in one step each: a node is sent
+    once for each block it meets, never once for each node."""
+    per = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
+    host = per.groupBy("key").agg(F.max(F.struct(F.col("c"), (-F.col("root")).alias("r"))).alias("h"), F.count("*").alias("n_classes"))
+    host = host.filter("n_classes > 1").select("key", (-F.col("h.r")).alias("host"))
+    tagged = placed.join(host, "key").select("host", "node", "root", (F.col("host") != F.col("root")).alias("guest")).distinct()
+    sizes = tagged.groupBy(F.col("host").alias("of")).agg(F.ceil(F.sum(F.col("guest").cast("int")) / COMPARED).alias("ng"),
+                                                          F.ceil(F.sum((~F.col("guest")).cast("int")) / COMPARED).alias("nh"))
+    whole = tagged.join(sizes, F.col("host") == F.col("of")).join(texts, "node")
+    block = F.pmod(F.xxhash64("node"), F.when(F.col("guest"), F.col("ng")).otherwise(F.col("nh")))
+    to = lambda kind, i, j, left: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), F.lit(left).alias("left"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    own = F.col("block")
+    as_guest = F.concat(F.transform(upto(F.col("nh")), lambda j: to("host", own, j, True)),
+                        F.transform(F.sequence(own, F.col("ng") - 1), lambda j: to("guests", own, j, True)),
+                        F.transform(F.filter(upto(F.col("ng")), lambda i: i < own), lambda i: to("guests", i, own, False)))
+    as_member = F.transform(upto(F.col("ng")), lambda i: to("host", i, own, False))
+    sent = (whole.withColumn("block", block.cast("long"))
+            .select("host", "node", "root", "text", F.explode(F.when(F.col("guest"), as_guest).otherwise(as_member)).alias("at"))
+            .select("host", "at.kind", "at.i", "at.j", "at.left", "node", "root", "text"))
+    pair = ["host", "kind", "i", "j"]
+    dealt = sent.repartition(*pair).sortWithinPartitions(*pair, F.desc("left"), "node")
+
+    def run(batches):
+        memory, key, group = _Words(), None, []
+        for b in batches:
+            a, z = [], []
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                if row[:4] != key:
+                    for x, y in compare_blocks(group, memory):
+                        a.append(x)
+                        z.append(y)
+                    key, group = row[:4], []
+                group.append(row[4:])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["a", "b"])
+        last = list(compare_blocks(group, memory))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in last], pa.int64()), pa.array([y for _, y in last], pa.int64())], ["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def compare_blocks(group: list[tuple[bool, int, int, str]], memory: dict):
+    """Similar pairs of a left and a right row (left, node, root, text), or of two left ones if there
+    are no right ones: for each left row, one pair for each other class."""
+    left = [r for r in group if r[0]]
+    right = [r for r in group if not r[0]] or left
+    if len(left) == len(right) == 1:
+        (_, a, x, t), (_, b, y, u) = left[0], right[0]
+        if x != y and similar(shingles(t), shingles(u)):
+            yield a, b
+        return
+    rows = left if right is left else left + right
+    doc, s, c = counted(*shingle_hashes([(t or "").encode("utf-8", "surrogatepass") for _, _, _, t in rows], memory))
+    if not len(doc):
+        return
+    distinct, word = np.unique(s, return_inverse=True)
+    total = np.bincount(doc, c, len(rows))
+    first = len(rows) - len(right)  # where the right rows start
+    at = np.searchsorted(doc, np.arange(len(rows) + 1))
+    there, there_doc, there_c = word[at[first]:], doc[at[first]:] - first, c[at[first]:]
+    roots = np.array([r[2] for r in right])
+    own = np.zeros(len(distinct))
+    for i, (_, a, root, text) in enumerate(left):
+        z = slice(at[i], at[i + 1])
+        own[word[z]] = c[z]
+        both = np.bincount(there_doc, np.minimum(there_c, own[there]), len(right))
+        own[word[z]] = 0
+        near = (both > 0) & (SIMILARITY[1] * both >= SIMILARITY[0] * (total[i] + total[first:] - both)) & (roots != root)
+        if right is left:
+            near[:i + 1] = False
+        hits = np.flatnonzero(near)
+        for root_b in np.unique(roots[hits]):
+            # the exact check of the shingles themselves
+            mine = shingles(text)
+            j = next((j for j in hits[roots[hits] == root_b] if similar(mine, shingles(right[j][3]))), None)
+            if j is not None:
+                yield a, right[j][1]
+
+
 def _placed(rows: DataFrame, roots: DataFrame) -> DataFrame:
     """The band rows with the class of their node."""
     return rows.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
