@@ -53,50 +53,66 @@ def default_tokenizer() -> str:
 
 
 class _Tree:
-    """Counts of 16-bit ids for each lane: rows of sixteen inclusive sums, four rows to an id."""
+    """Counts of 16-bit ids for each lane, four rows of sixteen sums to an id: the upper three hold
+    the sums before each child, the last one the sums up to each child."""
 
-    _ADD = np.array([[int(j >= d) for j in range(16)] for d in range(16)], np.uint16).view(np.uint64)  # 16 x 4 words
+    _BEFORE = np.array([[int(j > d) for j in range(16)] for d in range(16)], np.uint16).view(np.uint64)  # 16 x 4 words
+    _UPTO = np.array([[int(j >= d) for j in range(16)] for d in range(16)], np.uint16).view(np.uint64)
 
     def __init__(self, lanes: int):
         self.words = [np.zeros((lanes << 4 * k, 4), np.uint64) for k in range(4)]
         self.sums = [w.view(np.uint16) for w in self.words]
+        self.flat = [s.reshape(-1) for s in self.sums]
         self.n = np.zeros(lanes, np.int64)
+        self.starts = [np.arange(16, dtype=np.int32) << 12 - 4 * k for k in range(3)]
 
     def total(self, lane: np.ndarray) -> np.ndarray:
         return (1 << 16) + GAIN * self.n[lane]
 
-    def place(self, lane: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cumulative share and share of each lane's id; then the id counts once more."""
-        below, own = np.zeros(len(ids), np.int64), None
+    def _count(self, rows: list, digits: list, lane: np.ndarray) -> None:
         for k in range(4):
-            row = (lane << 4 * k) + (ids >> 16 - 4 * k)
-            digit = ids >> 12 - 4 * k & 15
-            flat, at = self.sums[k].reshape(-1), row * 16 + digit
-            before = np.where(digit > 0, flat[at - (digit > 0)], 0)
-            below += before
-            if k == 3:
-                own = flat[at].astype(np.int64) - before
-            self.words[k][row] += self._ADD[digit]
+            more = (self._UPTO if k == 3 else self._BEFORE).take(digits[k], axis=0)
+            self.words[k][rows[k]] = self.words[k].take(rows[k], axis=0) + more
         self.n[lane] += 1
-        return ids + GAIN * below, 1 + GAIN * own
+
+    def place(self, lane: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Cumulative share and share of each lane's id; then the id counts once more."""
+        rows = [lane, (lane << 4) + (ids >> 12), (lane << 8) + (ids >> 8), (lane << 12) + (ids >> 4)]
+        digits = [ids >> 12, ids >> 8 & 15, ids >> 4 & 15, ids & 15]
+        below = self.flat[0].take(rows[0] * 16 + digits[0]).astype(np.int64)
+        below += self.flat[1].take(rows[1] * 16 + digits[1])
+        below += self.flat[2].take(rows[2] * 16 + digits[2])
+        at = rows[3] * 16 + digits[3]
+        before = self.flat[3].take(at - 1, mode="wrap") * (digits[3] > 0)  # (another row's sum, times none, for the first child)
+        own = self.flat[3].take(at) - before.astype(np.int64)
+        self._count(rows, digits, lane)
+        return ids + GAIN * (below + before), 1 + GAIN * own
 
     def find(self, lane: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The id whose share holds ``share``, its cumulative share and share; then it counts once more."""
-        ids, rest, own = np.zeros(len(lane), np.int64), share.astype(np.int64), None
-        for k in range(4):
+        ids, rest = np.zeros(len(lane), np.int64), share.astype(np.int32)
+        rows, digits, r = [], [], np.arange(len(lane)) * 16
+        for k in range(3):
             row = (lane << 4 * k) + ids
-            sums = self.sums[k][row].astype(np.int64)
-            ends = sums * GAIN + (np.arange(1, 17) << 12 - 4 * k)
-            digit = (ends <= rest[:, None]).sum(axis=1)
-            r = np.arange(len(lane))
-            before = np.where(digit > 0, sums[r, digit - 1], 0)
-            if k == 3:
-                own = sums[r, digit] - before
-            rest -= GAIN * before + (digit << 12 - 4 * k)
-            self.words[k][row] += self._ADD[digit]
+            ends = self.sums[k].take(row, axis=0).astype(np.int32)
+            ends *= GAIN
+            ends += self.starts[k]
+            digit = np.count_nonzero(ends <= rest[:, None], axis=1) - 1
+            rest -= ends.reshape(-1).take(r + digit)
+            rows.append(row)
+            digits.append(digit)
             ids = ids * 16 + digit
-        self.n[lane] += 1
-        return ids, share - rest, 1 + GAIN * own
+        row = (lane << 12) + ids
+        sums = self.sums[3].take(row, axis=0).astype(np.int32)
+        digit = np.count_nonzero(sums * GAIN + np.arange(1, 17, dtype=np.int32) <= rest[:, None], axis=1)
+        sums = sums.reshape(-1)
+        before = sums.take(r + digit - 1, mode="wrap") * (digit > 0)
+        own = sums.take(r + digit) - before
+        rest -= GAIN * before + digit
+        rows.append(row)
+        digits.append(digit)
+        self._count(rows, digits, lane)
+        return ids * 16 + digit, share - rest, 1 + GAIN * own
 
 
 class _Model:
@@ -105,36 +121,38 @@ class _Model:
     def __init__(self, lanes: int):
         self.lane = np.arange(lanes)
         self.tables = [np.zeros(lanes << _SLOTS, np.uint32) for _ in range(2)]  # predicted id and confidence (3 bits)
-        self.hits = [np.tile(np.arange(8, dtype=np.int64), (lanes, 1)).reshape(-1) for _ in range(2)]
-        self.tries = [np.full(lanes * 8, 10, np.int64) for _ in range(2)]
+        # the hit rate at each confidence, as a part of _SCALE
+        self.rates = [np.tile(np.arange(8, dtype=np.int32) * (_SCALE // 9) + 64, lanes) for _ in range(2)]
         self.before = np.zeros(lanes, np.uint32)
         self.last = np.zeros(lanes, np.uint32)
 
     def predict(self, n: int):
-        """For the first n lanes: slots, predicted ids, and the shares of order 2 and 1."""
-        lane, last, before = self.lane[:n] << _SLOTS, self.last[:n], self.before[:n]
-        one = lane + (last * np.uint32(0x9E3779B1) >> np.uint32(32 - _SLOTS))
-        two = lane + ((last * np.uint32(0x85EBCA6B) ^ before * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F) >> np.uint32(32 - _SLOTS))
-        found = [self.tables[0][one], self.tables[1][two]]
-        states = [(self.lane[:n] << 3) + (f & np.uint32(7)) for f in found]
-        share2 = 1 + (_SCALE - 3) * self.hits[1][states[1]] // self.tries[1][states[1]]
-        share1 = 1 + (_SCALE - 1 - share2) * self.hits[0][states[0]] // self.tries[0][states[0]]
-        share1 = np.minimum(share1, _SCALE - 1 - share2)
-        return (one, two), found, states, share2, share1
-
-    def learn(self, n: int, slots, found, states, ids: np.ndarray) -> None:
+        """For the first n lanes: slots, predicted ids, rates' places and rates, and the shares of order 2 and 1."""
+        lane, last, before = self.lane[:n], self.last[:n], self.before[:n]
+        slots = ((lane << _SLOTS) + (last * np.uint32(0x9E3779B1) >> np.uint32(32 - _SLOTS)),
+                 (lane << _SLOTS) + ((last * np.uint32(0x85EBCA6B) ^ before * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F) >> np.uint32(32 - _SLOTS)))
+        found = [self.tables[k].take(slots[k]) for k in range(2)]
+        states = [(lane << 3) + (f & np.uint32(7)) for f in found]
+        rates = [self.rates[k].take(states[k]) for k in range(2)]
+        # rates stay between 31 and _SCALE - 31, so every share is positive
+        return slots, found, states, rates, rates[1], 1 + (rates[0] * (_SCALE - 2 - rates[1]) >> 14)
+
+    def learn(self, n: int, slots, found, states, rates, ids: np.ndarray) -> None:
+        fresh = (ids << np.uint32(3)) | np.uint32(1)
         for k in range(2):
             hit = (found[k] >> np.uint32(3)) == ids
-            self.hits[k][states[k]] += hit
-            self.tries[k][states[k]] += 1
+            self.rates[k][states[k]] = rates[k] + np.where(hit, _SCALE - rates[k] >> 5, -(rates[k] >> 5))
             sure = found[k] & np.uint32(7)
-            fresh = (ids << np.uint32(3)) | np.uint32(1)
-            kept = np.where(hit, found[k] + (sure < 7), np.where(sure > 1, found[k] - sure + (sure >> np.uint32(1)), fresh))
-            self.tables[k][slots[k]] = kept
+            self.tables[k][slots[k]] = np.where(hit, found[k] + (sure < 7), np.where(sure > 1, found[k] - (sure + np.uint32(1) >> np.uint32(1)), fresh))
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
 
+def _at(values: np.ndarray, r) -> np.ndarray:
+    """The values of some lanes: a slice of them, or chosen ones."""
+    return values[r] if isinstance(r, slice) else values.take(r)
+
+
 class _Range:
     """A carry-less range coder for each lane, in words of 16 bits."""
 
@@ -159,19 +177,19 @@ class _Range:
 
     def share(self, r, total) -> np.ndarray:
         """Where in ``total`` the code is."""
-        self.step = self.range[r] // total.astype(np.uint64)
-        return np.minimum((self.code[r] - self.low[r]) // self.step, total.astype(np.uint64) - np.uint64(1)).astype(np.int64)
+        self.step = _at(self.range, r) // total.astype(np.uint64)
+        return np.minimum((_at(self.code, r) - _at(self.low, r)) // self.step, total.astype(np.uint64) - np.uint64(1)).astype(np.int64)
 
     def narrow(self, r, below, own, total=None, reading=False) -> None:
         """To the part [below, below + own) of the total."""
-        step = self.step if reading else self.range[r] // total.astype(np.uint64)
-        low, size = self.low[r] + step * below.astype(np.uint64), step * own.astype(np.uint64)
+        step = self.step if reading else _at(self.range, r) // total.astype(np.uint64)
+        low, size = _at(self.low, r) + step * below.astype(np.uint64), step * own.astype(np.uint64)
         self.low[r], self.range[r] = low, size
         settled = (low ^ (low + size)) < _TOP
         todo = np.flatnonzero(settled | (size < _BOTTOM))
         while len(todo):
             lanes = r[todo] if isinstance(r, np.ndarray) else todo
-            low, size = self.low[lanes], self.range[lanes]
+            low, size = self.low.take(lanes), self.range.take(lanes)
             settled = (low ^ (low + size)) < _TOP
             size = np.where(settled, size, (np.uint64(0) - low) & (_BOTTOM - np.uint64(1)))
             if reading:
@@ -206,7 +224,7 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
     for t in range(min(BLOCK, len(ids))):
         n = lanes if t < short else lanes - 1
         x = stream[t, :n]
-        slots, found, states, share2, share1 = model.predict(n)
+        slots, found, states, rates, share2, share1 = model.predict(n)
         hit2 = (found[1] >> np.uint32(3)) == x
         hit1 = ~hit2 & ((found[0] >> np.uint32(3)) == x)
         miss = ~hit2 & ~hit1
@@ -217,7 +235,7 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         if len(r):
             total = tree.total(r)
             coder.narrow(r, *tree.place(r, x[r].astype(np.int64)), total)
-        model.learn(n, slots, found, states, x)
+        model.learn(n, slots, found, states, rates, x)
     return coder.finish()
 
 
@@ -232,7 +250,7 @@ def decode_blocks(blocks: list[bytes], n_ids: int) -> np.ndarray:
     scale = np.full(lanes, _SCALE, np.int64)
     for t in range(min(BLOCK, n_ids)):
         n = lanes if t < short else lanes - 1
-        slots, found, states, share2, share1 = model.predict(n)
+        slots, found, states, rates, share2, share1 = model.predict(n)
         share = coder.share(slice(0, n), scale[:n])
         hit2 = share < share2
         miss = share >= share2 + share1
@@ -246,7 +264,7 @@ def decode_blocks(blocks: list[bytes], n_ids: int) -> np.ndarray:
             ids, below, own = tree.find(r, share)
             coder.narrow(r, below, own, reading=True)
             x[r] = ids
-        model.learn(n, slots, found, states, x)
+        model.learn(n, slots, found, states, rates, x)
         stream[t, :n] = x
     return stream.T.reshape(-1)[:n_ids]
 

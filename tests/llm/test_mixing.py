@@ -51,11 +51,11 @@ def check(rows, got):
     assert taken == {s: round(target[s]) if sizes[s] else 0 for s in sizes}
     # the cut is by key: whole documents, at most one in part, then none
     for s in sizes:
-        cuts = [(r["cut"], r["size"]) for r in sorted((r for r in got if r["source"] == s), key=lambda r: r["key"]) if r["size"]]
+        cuts = [(r["cut"], r["size"]) for r in sorted((r for r in got if r["source"] == s), key=lambda r: (r["key"], -r["cut"])) if r["size"]]
         part = [i for i, (c, n) in enumerate(cuts) if 0 < c < n]
         assert len(part) <= 1
         last = max([i for i, (c, _) in enumerate(cuts) if c], default=-1)
-        assert all(c == n for c, n in cuts[:last])
+        assert all(c == n for c, n in cuts[:max(last, 0)])
 
 
 def test_query(spark):

@@ -61,7 +61,7 @@ def corpus():
     for i in range(6):
         w = [rng.choice(common) for _ in range(8)]
         rows.append((1000 + i, f"{w[0]} {w[1]} Zorblatt {w[2]} wrote from zed@site.org about Millbrook {w[3]} {w[4]} {w[5]}."))
-    rows += [(2000 + i, f"The {rng.choice(common)} town of Millbrook has {rng.choice(common)}.") for i in range(30)]
+    rows += [(2000 + i, f"The {rng.choice(common)} town of Millbrook has {rng.choice(common)}.") for i in range(20)]
     return rows
 
 

@@ -43,7 +43,7 @@ def test_stages(spark):
 
 
 def test_run(spark):
-    n = duckdb.sql(f"SELECT count(*) FROM '{SF001}/documents.parquet'").fetchone()[0]
+    n = duckdb.sql(f"SELECT count(*) FROM '{SF001}/documents.parquet'").fetchall()[0][0]
     assert 0 < C.run(spark, SF001).count() < 3 * n
 
 

@@ -49,8 +49,7 @@ def test_lines(spark, line, ok):
 
 
 def test_clean_removes_lines_and_documents(spark):
-    good = "This is a line of ordinary prose that goes on for some words and then ends. "
-    text = "\n".join(f"{i} {good}" for i in range(10))
+    text = "\n".join(" ".join(f"word{i}x{k}" for k in range(12)) + " ends here. " for i in range(10))
     rows = [(1, text, len(text)), (2, "menu | of | entries\n\n" + text, 0), (3, ("menu | of | entries\n" * 60) + text, 0), (4, None, None)]
     docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, n_chars long, lang string")
     got = {r["doc_id"]: r for r in Q.clean(docs).collect()}
