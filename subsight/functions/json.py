@@ -29,6 +29,21 @@ def parse_payload(payload: Column) -> Column:
         F.coalesce(p["Amount"], F.lit(0).cast(S.TOTAL)).alias("amount"))
 
 
+def payload_fits(payload: Column) -> Column:
+    """Whether an outbox payload is an object whose members, where present,
+    have the kinds of the typed message: whole numbers, a number, a string."""
+    v = F.try_parse_json(payload)
+
+    def fits(path, pred):
+        k = F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+        return k.isNull() | pred(k)
+
+    whole = [fits(f"$.{m}", lambda k: k == "BIGINT") for m in ("UserId", "SubscriptionId", "PaymentId")]
+    return (F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)) & whole[0] & whole[1] & whole[2]
+            & fits("$.Amount", lambda k: k.isin("BIGINT", "DOUBLE", "FLOAT") | k.startswith("DECIMAL"))
+            & fits("$.Type", lambda k: k.isin("STRING", "NULL", "VOID")))
+
+
 def parse_webhook(raw: Column) -> Column:
     """Webhook body -> struct(valid, type, transaction_id, status, amount,
     user_id, subscription_id, payment_id).
@@ -52,15 +67,20 @@ def parse_webhook(raw: Column) -> Column:
     def is_number(k):
         return k.isin("BIGINT", "DOUBLE", "FLOAT") | k.startswith("DECIMAL")
 
+    def number_or_absent(path):
+        # a typed read of a null number fails
+        k = kind(path)
+        return k.isNull() | is_number(k)
+
     def int_member(path):
-        # TryGetInt32: whole numbers in range, else NULL (never an error)
-        return F.when(kind(path) == "BIGINT", F.try_variant_get(v, path, "int"))
+        # whole numbers in range, else NULL (never an error)
+        return F.when(kind(path) == "BIGINT", F.try_variant_get(v, path, "bigint"))
 
     is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     has_type = F.coalesce(kind("$.type").isin("STRING", "NULL", "VOID"), F.lit(False))
     valid = (is_obj & has_type & absent_or("$.status", is_string) & absent_or("$.transactionId", is_string)
-             & absent_or("$.amount", is_number) & absent_or("$.userId", is_number)
-             & absent_or("$.subscriptionId", is_number) & absent_or("$.paymentId", is_number))
+             & number_or_absent("$.amount") & number_or_absent("$.userId")
+             & number_or_absent("$.subscriptionId") & number_or_absent("$.paymentId"))
     return F.struct(
         valid.alias("valid"),
         F.coalesce(F.try_variant_get(v, "$.type", "string"), F.lit("")).alias("type"),

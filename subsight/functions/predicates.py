@@ -33,8 +33,8 @@ def blank(value) -> bool:
 
 
 def blank_col(c: Column) -> Column:
-    """IsNullOrWhiteSpace as a column expression."""
-    return F.coalesce(F.trim(c), F.lit("")) == ""
+    """IsNullOrWhiteSpace as a column expression: any Unicode white space is blank."""
+    return ~F.coalesce(c.rlike("(?U)\\S"), F.lit(False))
 
 
 def equals_opt(col: Column, value, case_sensitive: bool = False) -> Column:

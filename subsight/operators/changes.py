@@ -40,17 +40,40 @@ def first_failure(*checks: tuple[Column, str]) -> Column:
 
 def log_rows(df: DataFrame, user_id: Column, action: str, message: Column, as_of) -> DataFrame:
     """LogMessage rows (user, action, message, timestamp)."""
-    return df.select(user_id.cast("int").alias("user_id"), F.lit(action).alias("action"),
+    return df.select(user_id.cast("bigint").alias("user_id"), F.lit(action).alias("action"),
                      message.alias("message"), lit_ts(as_of).alias("timestamp_utc"))
 
 
 def notification_rows(df: DataFrame, user_id: Column, subject: str, body: Column, as_of,
                       keep: list[str] | None = None) -> DataFrame:
     """NotificationMessage rows; Type is always Email in the reference."""
-    return df.select(*(keep or []), user_id.cast("int").alias("user_id"), F.lit("Email").alias("type"),
+    return df.select(*(keep or []), user_id.cast("bigint").alias("user_id"), F.lit("Email").alias("type"),
                      F.lit(subject).alias("subject"), body.alias("body"), lit_ts(as_of).alias("timestamp_utc"))
 
 
+def with_claims(cmds: DataFrame, owners: DataFrame, id_col: str) -> DataFrame:
+    """Adds ``_clash``: the command's ``_key`` (a unique name) belongs to another
+    row of the table (``owners``: _key, _owner), or an earlier valid command of
+    the batch claimed it for another id (columns seq, _exists; first claim wins).
+
+    Both are found by key and joined back on the unique seq."""
+    taken = (cmds.join(owners, "_key").where(F.col("_owner") != F.col(id_col))
+             .select("seq").distinct().withColumn("_taken", F.lit(True)))
+    j = cmds.join(taken, "seq", "left")
+    valid = j.where(F.col("_taken").isNull() & F.col("_exists").isNotNull())
+    first = valid.groupBy("_key").agg(F.min("seq").alias("seq"))
+    holder = valid.join(first.select("seq"), "seq", "left_semi").select("_key", F.col(id_col).alias("_holder"))
+    late = (valid.join(holder, "_key").where(F.col("_holder") != F.col(id_col))
+            .select("seq").withColumn("_late", F.lit(True)))
+    return (j.join(late, "seq", "left").withColumn("_clash", F.coalesce("_taken", "_late")).drop("_taken", "_late"))
+
+
+def last_per(cmds: DataFrame, id_col: str) -> DataFrame:
+    """The last command (largest seq) of each id."""
+    last = cmds.groupBy(id_col).agg(F.max("seq").alias("seq")).select("seq")
+    return cmds.join(last, "seq", "left_semi")
+
+
 def apply_upserts(table: DataFrame, changed: DataFrame, key: str) -> DataFrame:
     """New snapshot: rows whose key changed are replaced, new keys added."""
     cols = table.columns
@@ -61,10 +84,10 @@ def apply_deletes(table: DataFrame, deleted: DataFrame, key: str) -> DataFrame:
     return table.join(deleted.select(key), key, "left_anti")
 
 
-def txn_id(prefix: str, seq: Column) -> Column:
-    """Deterministic transaction id for a command (reruns agree). In
-    production ``F.uuid()`` takes its place, as NEWID() in the reference."""
-    return F.sha2(F.concat(F.lit(prefix + ":"), seq.cast("string")), 256)
+def txn_id(prefix: str, seq: Column, batch) -> Column:
+    """Deterministic transaction id of a command: reruns agree, and ``batch``
+    (its time, or any id of its own) keeps the ids of two batches apart."""
+    return F.sha2(F.concat(F.lit(f"{prefix}:{batch}:"), seq.cast("string")), 256)
 
 
 MONEY = S.MONEY

@@ -36,7 +36,7 @@ def positions(df: DataFrame, order_cols: list[str], name: str = "_pos") -> DataF
 
 
 def assign_ids(df: DataFrame, order_cols: list[str], base: Column, name: str,
-               step: int = 1, cast: str = "int") -> DataFrame:
+               step: int = 1, cast: str = "bigint") -> DataFrame:
     """``name`` = base + (position + 1) * step, in ``order_cols`` order.
 
     ``base`` is usually ``max(id)`` of the target table as a scalar subquery

@@ -42,19 +42,21 @@ def next_batch(outbox: DataFrame, size: int = S.OUTBOX_BATCH) -> DataFrame:
 
 
 def dispatch(outbox: DataFrame, users: DataFrame, as_of) -> dict[str, DataFrame]:
-    """Route pending rows. A payment message whose payload is not JSON, or
-    whose log row would name an unknown user, fails: attempts + 1 and the
+    """Route pending rows. A payment message whose payload is not JSON, whose
+    members have the wrong kinds, or whose log row would name an unknown user, fails: attempts + 1 and the
     error text (cut to 1000 characters); nothing is sent for it. User id 0
     means no user. Returns {'results', 'outbox', 'notifications', 'logs'}."""
     p = pending(outbox)
     routed = F.col("type").isin(PROCESSED, REFUNDED)
     parsed = J.parse_payload(F.col("payload"))
     d = (p.withColumn("_json_ok", F.try_parse_json(F.col("payload")).isNotNull())
+         .withColumn("_fits", J.payload_fits(F.col("payload")))
          .withColumn("pl", parsed)
          .withColumn("uid", F.when(F.col("pl.user_id") != 0, F.col("pl.user_id"))))
     known = users.select(F.col("user_id").alias("uid"), F.lit(True).alias("_known"))
     d = d.join(known, "uid", "left")
     error = (F.when(routed & ~F.col("_json_ok"), F.lit("Payload is not valid JSON."))
+             .when(routed & ~F.col("_fits"), F.lit("Payload does not fit its message type."))
              .when((F.col("type") == PROCESSED) & F.col("uid").isNotNull() & F.col("_known").isNull(),
                    F.concat(F.lit("Log user "), s("uid"), F.lit(" does not exist."))))
     d = d.withColumn("error_text", F.substring(error, 1, S.ERROR_TEXT_LIMIT))
@@ -69,7 +71,7 @@ def dispatch(outbox: DataFrame, users: DataFrame, as_of) -> dict[str, DataFrame]
         sent_refunded, F.col("uid"), REFUNDED_SUBJECT,
         render(TEMPLATES["outbox_refunded_body"], payment_id="pl.payment_id", subscription_id="pl.subscription_id"),
         as_of, keep=["outbox_id"]))
-    logs = sent_processed.select("outbox_id", F.col("uid").cast("int").alias("user_id"), F.lit(LOG_ACTION).alias("action"),
+    logs = sent_processed.select("outbox_id", F.col("uid").cast("bigint").alias("user_id"), F.lit(LOG_ACTION).alias("action"),
                                  render(TEMPLATES["outbox_delivered_log"], payment_id="pl.payment_id").alias("message"),
                                  lit_ts(as_of).alias("timestamp_utc"))
     failed = F.col("error_text").isNotNull()

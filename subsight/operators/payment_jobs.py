@@ -27,7 +27,7 @@ def record_payments(subscriptions: DataFrame, payments: DataFrame, outbox: DataF
     ok = ok.withColumn("outbox_id", (F.col("payment_id") - ids.max_id(payments, "payment_id")
                                      + F.coalesce(ids.max_id(outbox, "outbox_id"), F.lit(0))).cast("bigint"))
     new_pays = ok.select("payment_id", "subscription_id", "amount", lit_ts(as_of).alias("payment_date"),
-                         F.col("method").alias("payment_method"), txn_id("payment", F.col("seq")).alias("transaction_id"),
+                         F.col("method").alias("payment_method"), txn_id("payment", F.col("seq"), as_of).alias("transaction_id"),
                          "status")
     logs = log_rows(ok, F.lit(None), "PaymentProcessed",
                     render(TEMPLATES["payment_recorded_log"], payment_id="payment_id", subscription_id="subscription_id",
@@ -38,7 +38,7 @@ def record_payments(subscriptions: DataFrame, payments: DataFrame, outbox: DataF
                     F.lit(0).alias("attempts"), F.lit(None).cast("string").alias("error"))
     outcome = (ok.select("seq", "subscription_id", F.lit(None).cast("string").alias("reason"), "payment_id", "outbox_id")
                .unionByName(j.where(F.col("reason").isNotNull()).select(
-                   "seq", "subscription_id", "reason", F.lit(None).cast("int").alias("payment_id"),
+                   "seq", "subscription_id", "reason", F.lit(None).cast("bigint").alias("payment_id"),
                    F.lit(None).cast("bigint").alias("outbox_id")))
                .withColumn("accepted", F.col("reason").isNull()))
     return ChangeSet(outcome, {"payments": new_pays, "outbox_messages": box}, logs=logs, outbox=box)
@@ -87,7 +87,7 @@ def refund(payments: DataFrame, subscriptions: DataFrame, plans: DataFrame, cmds
     outcome = (ok.select("seq", "payment_id", "subscription_id", F.lit(None).cast("string").alias("reason"),
                          "already_refunded", "sub_status", "remaining_days", "refund_estimate")
                .unionByName(j.where(F.col("reason").isNotNull()).select(
-                   "seq", "payment_id", F.lit(None).cast("int").alias("subscription_id"), "reason",
+                   "seq", "payment_id", F.lit(None).cast("bigint").alias("subscription_id"), "reason",
                    F.lit(None).cast("boolean").alias("already_refunded"), F.lit(None).cast("string").alias("sub_status"),
                    F.lit(None).cast("int").alias("remaining_days"), F.lit(None).cast(S.TOTAL).alias("refund_estimate")))
                .withColumn("accepted", F.col("reason").isNull()))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 
 def first_k(df: DataFrame, group_cols: list[str], order_cols: list[str], k: int, unique_col: str,
-            name: str = "admitted", salt_buckets: int = 64) -> DataFrame:
+            name: str = "admitted", salt_buckets: int = 64, rank: str | None = None) -> DataFrame:
     """Flag the first ``k`` rows of every group in ``order_cols`` order.
 
     ``row_number() <= k`` lets Spark put a partial top-k (WindowGroupLimit)
@@ -32,8 +32,9 @@ def first_k(df: DataFrame, group_cols: list[str], order_cols: list[str], k: int,
                 .where(F.col("_r") <= k).drop("_salt", "_r"))
     whole = Window.partitionBy(*group_cols).orderBy(*order_cols)
     keep = (rows.withColumn("_r2", F.row_number().over(whole)).where(F.col("_r2") <= k)
-            .select(unique_col, F.lit(True).alias("_in")))
-    return df.join(keep, unique_col, "left").withColumn(name, F.coalesce("_in", F.lit(False))).drop("_in")
+            .select(unique_col, F.lit(True).alias("_in"), "_r2"))
+    out = df.join(keep, unique_col, "left").withColumn(name, F.coalesce("_in", F.lit(False))).drop("_in")
+    return out.withColumnRenamed("_r2", rank) if rank else out.drop("_r2")
 
 
 def admit(requests: DataFrame, key_col: str, ts_col: str, window: str, permits: int,

@@ -52,7 +52,7 @@ def subscribe(users: DataFrame, plans: DataFrame, subscriptions: DataFrame, paym
                          F.lit(None).cast(S.TS).alias("renewal_date"), F.lit("Active").alias("status"), "auto_renew")
     new_pays = ok.select("payment_id", "subscription_id", F.col("price").alias("amount"),
                          lit_ts(as_of).alias("payment_date"), "payment_method",
-                         txn_id("subscribe", F.col("seq")).alias("transaction_id"), F.lit("Completed").alias("status"))
+                         txn_id("subscribe", F.col("seq"), as_of).alias("transaction_id"), F.lit("Completed").alias("status"))
     logs = log_rows(ok, F.col("user_id"), "SubscriptionCreated",
                     render(TEMPLATES["subscribed_log"], user_id="user_id", plan_name="plan_name", plan_id="plan_id",
                            subscription_id="subscription_id"), as_of
@@ -63,8 +63,8 @@ def subscribe(users: DataFrame, plans: DataFrame, subscriptions: DataFrame, paym
                               render(TEMPLATES["subscribed_body"], subscription_id="subscription_id",
                                      plan_name="plan_name"), as_of)
     rejected = j.where(F.col("reason").isNotNull()).select(
-        "seq", "user_id", "plan_id", "reason", F.lit(None).cast("int").alias("subscription_id"),
-        F.lit(None).cast("int").alias("payment_id"), F.lit(None).cast(S.TS).alias("end_date"),
+        "seq", "user_id", "plan_id", "reason", F.lit(None).cast("bigint").alias("subscription_id"),
+        F.lit(None).cast("bigint").alias("payment_id"), F.lit(None).cast(S.TS).alias("end_date"),
         F.lit(None).cast(S.MONEY).alias("amount"))
     accepted = ok.select("seq", "user_id", "plan_id", F.lit(None).cast("string").alias("reason"), "subscription_id",
                          "payment_id", "end_date", F.col("price").alias("amount"))
@@ -94,7 +94,7 @@ def renew(subscriptions: DataFrame, plans: DataFrame, payments: DataFrame, cmds:
                .withColumn("status", F.lit("Active")).select(*subscriptions.columns))
     new_pays = ok.select("payment_id", "subscription_id", F.col("price").alias("amount"),
                          lit_ts(as_of).alias("payment_date"), "payment_method",
-                         txn_id("renew", F.col("seq")).alias("transaction_id"), F.lit("Completed").alias("status"))
+                         txn_id("renew", F.col("seq"), as_of).alias("transaction_id"), F.lit("Completed").alias("status"))
     logs = log_rows(ok, F.col("user_id"), "SubscriptionRenewed",
                     render(TEMPLATES["renewed_log"], subscription_id="subscription_id",
                            new_end=date_text(F.col("new_end")), plan_name="plan_name"), as_of)
@@ -104,7 +104,7 @@ def renew(subscriptions: DataFrame, plans: DataFrame, payments: DataFrame, cmds:
     outcome = (ok.select("seq", "subscription_id", "user_id", F.lit(None).cast("string").alias("reason"),
                          "payment_id", "new_end")
                .unionByName(j.where(F.col("reason").isNotNull()).select(
-                   "seq", "subscription_id", "user_id", "reason", F.lit(None).cast("int").alias("payment_id"),
+                   "seq", "subscription_id", "user_id", "reason", F.lit(None).cast("bigint").alias("payment_id"),
                    F.lit(None).cast(S.TS).alias("new_end")))
                .withColumn("accepted", F.col("reason").isNull()))
     return ChangeSet(outcome, {"subscriptions": changed, "payments": new_pays}, logs=logs, notifications=notes)
@@ -154,7 +154,7 @@ def cancel(subscriptions: DataFrame, plans: DataFrame, payments: DataFrame, cmds
                          "remaining_days", "refund_amount", "refunded_payment_id")
                .unionByName(j.where(F.col("reason").isNotNull()).select(
                    "seq", "subscription_id", "user_id", "reason", F.lit(None).cast("int").alias("remaining_days"),
-                   F.lit(None).cast(S.TOTAL).alias("refund_amount"), F.lit(None).cast("int").alias("refunded_payment_id")))
+                   F.lit(None).cast(S.TOTAL).alias("refund_amount"), F.lit(None).cast("bigint").alias("refunded_payment_id")))
                .withColumn("accepted", F.col("reason").isNull()))
     return ChangeSet(outcome, {"subscriptions": changed_subs, "payments": changed_pays}, logs=logs, notifications=notes)
 
@@ -178,7 +178,7 @@ def expiry_run_log(subscriptions: DataFrame, as_of) -> DataFrame:
     n = subscriptions.where((F.col("status") == "Active") & (F.col("end_date") <= lit_ts(as_of)))
     stamp = F.concat(F.date_format(lit_ts(as_of), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("0Z"))
     return n.agg(F.count(F.lit(1)).alias("expired_count")).select(
-        F.lit(None).cast("int").alias("user_id"), F.lit("ExpiryCheckRan").alias("action"),
+        F.lit(None).cast("bigint").alias("user_id"), F.lit("ExpiryCheckRan").alias("action"),
         render(TEMPLATES["expiry_run_log"], count="expired_count", stamp=stamp).alias("message"),
         "expired_count")
 
@@ -274,7 +274,7 @@ def mixed(subscriptions: DataFrame, plans: DataFrame, payments: DataFrame, cmds:
         F.when(F.col("_cancelled").isNotNull(), F.lit(False)).otherwise(F.col("auto_renew")).alias("auto_renew"))
     new_pays = renews.select("payment_id", "subscription_id", F.col("price").alias("amount"),
                              lit_ts(as_of).alias("payment_date"), "payment_method",
-                             txn_id("renew", F.col("seq")).alias("transaction_id"), F.lit("Completed").alias("status"))
+                             txn_id("mixed", F.col("seq"), as_of).alias("transaction_id"), F.lit("Completed").alias("status"))
     refunded = (payments.join(cancels.where(F.col("refunded_payment_id").isNotNull())
                               .select(F.col("refunded_payment_id").alias("payment_id")), "payment_id")
                 .withColumn("status", F.lit("Refunded")).select(*payments.columns))
@@ -284,14 +284,14 @@ def mixed(subscriptions: DataFrame, plans: DataFrame, payments: DataFrame, cmds:
         renewal_refunded).unionByName(refunded)
     outcome = (renews.select("seq", "kind", "subscription_id", "user_id", F.lit(None).cast("string").alias("reason"),
                              "payment_id", "new_end", F.lit(None).cast(S.TOTAL).alias("refund_amount"),
-                             F.lit(None).cast("int").alias("refunded_payment_id"))
+                             F.lit(None).cast("bigint").alias("refunded_payment_id"))
                .unionByName(cancels.select("seq", "kind", "subscription_id", "user_id",
                                            F.lit(None).cast("string").alias("reason"),
-                                           F.lit(None).cast("int").alias("payment_id"), F.lit(None).cast(S.TS).alias("new_end"),
+                                           F.lit(None).cast("bigint").alias("payment_id"), F.lit(None).cast(S.TS).alias("new_end"),
                                            "refund_amount", "refunded_payment_id"))
                .unionByName(j.where(F.col("reason").isNotNull()).select(
-                   "seq", "kind", "subscription_id", "user_id", "reason", F.lit(None).cast("int").alias("payment_id"),
+                   "seq", "kind", "subscription_id", "user_id", "reason", F.lit(None).cast("bigint").alias("payment_id"),
                    F.lit(None).cast(S.TS).alias("new_end"), F.lit(None).cast(S.TOTAL).alias("refund_amount"),
-                   F.lit(None).cast("int").alias("refunded_payment_id")))
+                   F.lit(None).cast("bigint").alias("refunded_payment_id")))
                .withColumn("accepted", F.col("reason").isNull()))
     return ChangeSet(outcome, {"subscriptions": changed_subs, "payments": pays_out})

@@ -10,7 +10,7 @@ from ..functions.dates import lit_ts
 from ..functions.predicates import blank_col
 from ..functions.text import TEMPLATES, render
 from . import ids
-from .changes import ChangeSet, first_failure, log_rows
+from .changes import ChangeSet, first_failure, last_per, log_rows, with_claims
 
 USER_VALUES = ["first_name", "last_name", "email", "phone", "address"]
 
@@ -37,7 +37,7 @@ def register(users: DataFrame, cmds: DataFrame, as_of) -> ChangeSet:
                     render(TEMPLATES["user_registered_log"], email="email"), as_of)
     outcome = (ok.select("seq", "email", "user_id", F.lit(None).cast("string").alias("reason"))
                .unionByName(j.where(F.col("reason").isNotNull()).select(
-                   "seq", "email", F.lit(None).cast("int").alias("user_id"), "reason"))
+                   "seq", "email", F.lit(None).cast("bigint").alias("user_id"), "reason"))
                .withColumn("accepted", F.col("reason").isNull()))
     return ChangeSet(outcome, {"users": new}, logs=logs)
 
@@ -49,17 +49,17 @@ def bulk_insert(users: DataFrame, rows: DataFrame, as_of) -> DataFrame:
 
 
 def update(users: DataFrame, cmds: DataFrame, as_of) -> ChangeSet:
-    """Update profile fields by id; e-mail used by another user is rejected."""
+    """Update profile fields by id; an e-mail of another user, or one that an
+    earlier command of the batch has claimed for another user, is rejected.
+    The last accepted command of a user is its row."""
     cur = users.select("user_id", F.lit(True).alias("_exists"), "registration_date")
     owners = users.select(F.lower("email").alias("_key"), F.col("user_id").alias("_owner"))
     j = cmds.join(cur, "user_id", "left").withColumn("_key", F.lower("email"))
-    clash = (j.join(owners, "_key").where(F.col("_owner") != F.col("user_id"))
-             .select("seq").distinct().withColumn("_clash", F.lit(True)))
-    j = j.join(clash, "seq", "left")
+    j = with_claims(j, owners, "user_id")
     j = j.withColumn("reason", first_failure((F.col("_exists").isNull(), "not_found"),
                                              (F.col("_clash").isNotNull(), "email_taken")))
     ok = j.where(F.col("reason").isNull())
-    changed = ok.select("user_id", *USER_VALUES, "registration_date", "role").select(*users.columns)
+    changed = last_per(ok, "user_id").select("user_id", *USER_VALUES, "registration_date", "role").select(*users.columns)
     logs = log_rows(ok, F.col("user_id"), "UserUpdated", render(TEMPLATES["user_updated_log"], email="email"), as_of)
     outcome = j.select("seq", "user_id", "email", "reason", F.col("reason").isNull().alias("accepted"))
     return ChangeSet(outcome, {"users": changed}, logs=logs)

@@ -7,6 +7,8 @@ many subscriptions and payments never multiplies the two lists."""
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,12 +66,12 @@ def latest_completed_payment(payments: DataFrame) -> DataFrame:
     """Latest Completed payment per subscription (payment id breaks date ties).
 
     ``max_by`` over one numeric key - microseconds since the epoch (counted
-    on the NTZ value, so no time zone enters) times 10^10 plus the payment
+    on the NTZ value, so no time zone enters) times 10^19 (more than any 64-bit id) plus the payment
     id - is a partial hash aggregate: each map task keeps one row per
     subscription, so a subscription with very many payments costs no more
     shuffle than one with a single payment, and no partition is sorted."""
     key = (F.timestamp_diff("MICROSECOND", F.to_timestamp_ntz(F.lit("1970-01-01 00:00:00")), F.col("payment_date"))
-           .cast("decimal(38,0)") * F.lit(10 ** 10) + F.col("payment_id")).cast("decimal(38,0)")
+           .cast("decimal(18,0)") * F.lit(Decimal(10) ** 19) + F.col("payment_id")).cast("decimal(38,0)")
     p = payments.where(F.col("status") == "Completed").withColumn("_k", key)
     return p.groupBy("subscription_id").agg(
         F.max_by("payment_id", "_k").alias("payment_id"), F.max_by("amount", "_k").alias("amount"),

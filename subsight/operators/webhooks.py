@@ -83,7 +83,7 @@ def ingest(inbound: DataFrame, payments: DataFrame, outbox: DataFrame, secret: s
     acc = d.where(F.col("disposition") == "accepted")
     # stored events: every authenticated first arrival (malformed ones stay unprocessed)
     events = d.where(F.col("disposition").isin("accepted", "malformed", "invalid_status")).select(
-        F.col("seq").cast("int").alias("id"), "event_id", "signature", "raw_payload", "received_at",
+        F.col("seq").cast("bigint").alias("id"), "event_id", "signature", "raw_payload", "received_at",
         (F.col("disposition") == "accepted").alias("processed"))
     # One lookup key per accepted request: its transaction id when it has
     # one, else its payment id. Payments are read once, each under both keys,
@@ -110,7 +110,7 @@ def ingest(inbound: DataFrame, payments: DataFrame, outbox: DataFrame, secret: s
     result = {"events": events, "payment_updates": updates,
               "dispositions": a.select("seq", "event_id", "disposition", "target_payment_id")
               .unionByName(d.where(F.col("disposition") != "accepted")
-                           .select("seq", "event_id", "disposition", F.lit(None).cast("int").alias("target_payment_id")))}
+                           .select("seq", "event_id", "disposition", F.lit(None).cast("bigint").alias("target_payment_id")))}
     if not with_outbox:
         return result
     box = ids.assign_ids(acc, ["seq"], ids.max_id(outbox, "outbox_id"), "outbox_id", cast="bigint")

@@ -32,8 +32,8 @@ WITH j AS (
               WHEN p.plan_id IS NULL THEN 'plan_not_found' END AS reason
   FROM subscribe_cmd c LEFT JOIN users u ON u.user_id = c.user_id LEFT JOIN plans p ON p.plan_id = c.plan_id),
 ok AS (SELECT *, row_number() OVER (ORDER BY seq) AS rn FROM j WHERE reason IS NULL)
-SELECT seq, user_id, plan_id, reason, CAST((SELECT max(subscription_id) FROM subscriptions) + rn AS INTEGER) AS subscription_id,
-       CAST((SELECT max(payment_id) FROM payments) + rn AS INTEGER) AS payment_id,
+SELECT seq, user_id, plan_id, reason, CAST((SELECT max(subscription_id) FROM subscriptions) + rn AS BIGINT) AS subscription_id,
+       CAST((SELECT max(payment_id) FROM payments) + rn AS BIGINT) AS payment_id,
        {A} + CAST(duration_days AS INTEGER) * INTERVAL '1' DAY AS end_date, price AS amount, true AS accepted FROM ok
 UNION ALL
 SELECT seq, user_id, plan_id, reason, NULL, NULL, NULL, NULL, false FROM j WHERE reason IS NOT NULL""",
@@ -52,7 +52,7 @@ WITH j AS (
   LEFT JOIN plans p ON p.plan_id = s.plan_id),
 ok AS (SELECT *, row_number() OVER (ORDER BY seq) AS rn,
               row_number() OVER (PARTITION BY subscription_id ORDER BY seq) AS k FROM j WHERE reason IS NULL)
-SELECT seq, subscription_id, user_id, reason, CAST((SELECT max(payment_id) FROM payments) + rn AS INTEGER) AS payment_id,
+SELECT seq, subscription_id, user_id, reason, CAST((SELECT max(payment_id) FROM payments) + rn AS BIGINT) AS payment_id,
        GREATEST(end_date, {A}) + CAST(duration_days * k AS INTEGER) * INTERVAL '1' DAY AS new_end, true AS accepted FROM ok
 UNION ALL
 SELECT seq, subscription_id, user_id, reason, NULL, NULL, false FROM j WHERE reason IS NOT NULL""",
@@ -101,7 +101,7 @@ def expire_due(t):
 
 
 @query("expiry_run_log", f"""
-SELECT CAST(NULL AS INTEGER) AS user_id, 'ExpiryCheckRan' AS action,
+SELECT CAST(NULL AS BIGINT) AS user_id, 'ExpiryCheckRan' AS action,
        concat('Expired ', CAST(count(*) AS VARCHAR), ' subscription(s) at ', strftime({A}, '%Y-%m-%dT%H:%M:%S.%f'), '0Z') AS message,
        count(*) AS expired_count
 FROM subscriptions WHERE status = 'Active' AND end_date <= {A}""")
@@ -127,7 +127,7 @@ WITH j AS (
   SELECT c.seq, c.subscription_id, CASE WHEN s.subscription_id IS NULL THEN 'unknown_subscription' END AS reason
   FROM payment_cmd c LEFT JOIN subscriptions s ON s.subscription_id = c.subscription_id),
 ok AS (SELECT *, row_number() OVER (ORDER BY seq) AS rn FROM j WHERE reason IS NULL)
-SELECT seq, subscription_id, reason, CAST((SELECT max(payment_id) FROM payments) + rn AS INTEGER) AS payment_id,
+SELECT seq, subscription_id, reason, CAST((SELECT max(payment_id) FROM payments) + rn AS BIGINT) AS payment_id,
        CAST((SELECT max(outbox_id) FROM outbox_messages) + rn AS BIGINT) AS outbox_id, true AS accepted FROM ok
 UNION ALL
 SELECT seq, subscription_id, reason, NULL, NULL, false FROM j WHERE reason IS NOT NULL""",
@@ -168,7 +168,7 @@ def refund_batch(t):
 WITH j AS (SELECT c.seq, c.name, p.plan_id AS match_id FROM plan_cmd c LEFT JOIN plans p ON lower(p.name) = lower(c.name))
 SELECT seq, name, match_id AS plan_id, 'updated' AS action, true AS accepted FROM j WHERE match_id IS NOT NULL
 UNION ALL
-SELECT seq, name, CAST((SELECT max(plan_id) FROM plans) + row_number() OVER (ORDER BY seq) AS INTEGER), 'inserted', true
+SELECT seq, name, CAST((SELECT max(plan_id) FROM plans) + row_number() OVER (ORDER BY seq) AS BIGINT), 'inserted', true
 FROM j WHERE match_id IS NULL""", ctes={"plan_cmd": C.SQL["plan_cmd"]})
 def upsert_plans(t):
     """MERGE by name: update matches, insert the rest with new ids."""
@@ -205,7 +205,7 @@ FROM bulk_users b"""
 
 @query("register_users", """
 WITH ok AS (SELECT *, row_number() OVER (ORDER BY seq) AS rn FROM j WHERE reason IS NULL)
-SELECT seq, email, CAST((SELECT max(user_id) FROM users) + rn AS INTEGER) AS user_id, reason, true AS accepted FROM ok
+SELECT seq, email, CAST((SELECT max(user_id) FROM users) + rn AS BIGINT) AS user_id, reason, true AS accepted FROM ok
 UNION ALL SELECT seq, email, NULL, reason, false FROM j WHERE reason IS NOT NULL""",
        ctes={"bulk_users": C.SQL["bulk_users"], "j": _REGISTER_J})
 def register_users(t):
@@ -214,7 +214,7 @@ def register_users(t):
 
 
 @query("bulk_insert_users", f"""
-SELECT CAST((SELECT max(user_id) FROM users) + row_number() OVER (ORDER BY seq) AS INTEGER) AS user_id,
+SELECT CAST((SELECT max(user_id) FROM users) + row_number() OVER (ORDER BY seq) AS BIGINT) AS user_id,
        first_name, last_name, email, phone, address, {A} AS registration_date,
        CASE WHEN COALESCE(trim(role), '') = '' THEN 'Subscriber' ELSE role END AS role
 FROM j WHERE reason IS NULL""", ctes={"bulk_users": C.SQL["bulk_users"], "j": _REGISTER_J})
@@ -267,7 +267,7 @@ r AS (SELECT j2.*, ca.cancel_seq,
                   WHEN kind <> 'renew' AND (ca.cancel_seq IS NULL OR seq <> ca.cancel_seq) THEN 'not_active' END AS reason
       FROM j2 LEFT JOIN ca ON ca.subscription_id = j2.subscription_id),
 rn AS (SELECT r.*, row_number() OVER (PARTITION BY subscription_id ORDER BY seq) AS k,
-              CAST((SELECT max(payment_id) FROM payments) + row_number() OVER (ORDER BY seq) AS INTEGER) AS payment_id
+              CAST((SELECT max(payment_id) FROM payments) + row_number() OVER (ORDER BY seq) AS BIGINT) AS payment_id
        FROM r WHERE reason IS NULL AND kind = 'renew'),
 rn2 AS (SELECT rn.*, GREATEST(end0, {A}) + CAST(dur * k AS INTEGER) * INTERVAL '1' DAY AS new_end FROM rn),
 lastr AS (SELECT subscription_id, arg_max(new_end, k) AS last_end, arg_max(payment_id, k) AS last_pid
@@ -282,7 +282,7 @@ cx AS (SELECT r.*, COALESCE(lastr.last_end, r.end0) AS end_seen, lastr.last_pid
 cx2 AS (SELECT cx.*, {_MIXED_REM} AS rem FROM cx),
 cx3 AS (SELECT cx2.*, {_prorata('price', 'rem', 'dur')} AS refund_amount FROM cx2)
 SELECT seq, kind, subscription_id, user_id, reason, payment_id, new_end, CAST(NULL AS DECIMAL(18,2)) AS refund_amount,
-       CAST(NULL AS INTEGER) AS refunded_payment_id, true AS accepted FROM rn2
+       CAST(NULL AS BIGINT) AS refunded_payment_id, true AS accepted FROM rn2
 UNION ALL
 SELECT cx3.seq, cx3.kind, cx3.subscription_id, cx3.user_id, cx3.reason, NULL, NULL, cx3.refund_amount,
        CASE WHEN cx3.refund_amount > 0 THEN

@@ -34,7 +34,7 @@ def outbox_batch(t):
 _DISPATCH = f"""
 WITH p AS (
   SELECT o.*, json_valid(payload) AS json_ok,
-         CASE WHEN json_valid(payload) THEN NULLIF(COALESCE(CAST(json_extract(payload, '$.UserId') AS INTEGER), 0), 0) END AS uid
+         CASE WHEN json_valid(payload) THEN NULLIF(COALESCE(CAST(json_extract(payload, '$.UserId') AS BIGINT), 0), 0) END AS uid
   FROM outbox_messages o WHERE {_PENDING}),
 d AS (
   SELECT p.*, CASE WHEN type IN ('PaymentProcessed', 'PaymentRefunded') AND NOT json_ok THEN 'Payload is not valid JSON.'
@@ -149,7 +149,7 @@ def rate_limit_admit_daily(t):
 @query("append_logs", f"""
 SELECT log_id, user_id, action, message, log_date FROM logs
 UNION ALL
-SELECT CAST((SELECT max(log_id) FROM logs) + row_number() OVER (ORDER BY subscription_id) AS INTEGER), user_id,
+SELECT CAST((SELECT max(log_id) FROM logs) + row_number() OVER (ORDER BY subscription_id) AS BIGINT), user_id,
        'SubscriptionExpired', concat('Subscription ', CAST(subscription_id AS VARCHAR), ' expired.'), {A}
 FROM subscriptions WHERE status = 'Active' AND end_date <= {A}""")
 def append_logs(t):

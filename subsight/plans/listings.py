@@ -74,7 +74,7 @@ def due_subscriptions(t):
 
 @query("lookup_plans", """
 SELECT k.plan_id, p.plan_id IS NOT NULL AS found, p.name, p.price, p.duration_days
-FROM (SELECT CASE WHEN plan_id % 97 = 5 THEN plan_id + 100000000 ELSE plan_id END AS plan_id FROM plans) k
+FROM (SELECT CASE WHEN plan_id % 97 = 5 THEN -plan_id - 1 ELSE plan_id END AS plan_id FROM plans) k
 LEFT JOIN plans p ON p.plan_id = k.plan_id""")
 def lookup_plans(t):
     """bulk lookup of plans by id (unknown ids give found = false)."""
@@ -83,7 +83,7 @@ def lookup_plans(t):
 
 @query("lookup_users", """
 SELECT k.user_id, u.user_id IS NOT NULL AS found, u.email, u.role
-FROM (SELECT CASE WHEN user_id % 97 = 5 THEN user_id + 100000000 ELSE user_id END AS user_id FROM users) k
+FROM (SELECT CASE WHEN user_id % 97 = 5 THEN -user_id - 1 ELSE user_id END AS user_id FROM users) k
 LEFT JOIN users u ON u.user_id = k.user_id""")
 def lookup_users(t):
     """bulk lookup of users by id."""

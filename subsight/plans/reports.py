@@ -91,13 +91,13 @@ def admin_kpis(t):
 
 
 LOOKUP_SUBSCRIPTION_KEYS_SQL = """
-SELECT subscription_id + CASE WHEN subscription_id % 9 = 0 THEN 100000000 ELSE 0 END AS subscription_id FROM subscriptions"""
+SELECT CASE WHEN subscription_id % 9 = 0 THEN -subscription_id - 1 ELSE subscription_id END AS subscription_id FROM subscriptions"""
 
 
 def lookup_subscription_keys(t):
     """Every subscription id, every 9th shifted out of range (unknown)."""
     s = F.col("subscription_id")
-    return t.subscriptions.select((s + F.when(s % 9 == 0, 100000000).otherwise(0)).alias("subscription_id"))
+    return t.subscriptions.select(F.when(s % 9 == 0, -s - 1).otherwise(s).alias("subscription_id"))
 
 
 @query("is_subscription_active", f"""

@@ -152,7 +152,7 @@ SELECT seq, json_valid(raw_payload) AS valid,
        CASE WHEN json_valid(raw_payload) THEN json_extract_string(raw_payload, '$.transactionId') END AS transaction_id,
        CASE WHEN json_valid(raw_payload) THEN COALESCE(json_extract_string(raw_payload, '$.status'), 'Completed') ELSE 'Completed' END AS status,
        CASE WHEN json_valid(raw_payload) THEN COALESCE(CAST(json_extract(raw_payload, '$.amount') AS DECIMAL(18,2)), 0) ELSE 0 END AS amount,
-       CASE WHEN json_valid(raw_payload) THEN CAST(json_extract(raw_payload, '$.userId') AS INTEGER) END AS user_id
+       CASE WHEN json_valid(raw_payload) THEN CAST(json_extract(raw_payload, '$.userId') AS BIGINT) END AS user_id
 FROM webhook_inbound""")
 def webhook_parse(t):
     """Webhook body parse with defaults; invalid bodies flagged."""

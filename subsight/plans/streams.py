@@ -25,7 +25,7 @@ def stream_logs(t):
     """ST1: log messages streamed into the log sink (unknown users quarantined)."""
     msgs = _conform(t.logs.select("user_id", "action", "message", F.col("log_date").alias("timestamp_utc")), S.LOG_MESSAGE)
     path = land(msgs.withColumn("_o", F.unix_micros(F.col("timestamp_utc").cast("timestamp"))), "logs", "_o")
-    return SJ.logs_stream(t.spark, path, t.users)
+    return SJ.logs_stream(t.spark, path, t.users, files_per_trigger=1)
 
 
 @query("stream_notifications", _DISPATCH + f"""
@@ -37,20 +37,32 @@ def stream_notifications(t):
     """ST2: notifications of an outbox pass, streamed to delivery + NotificationSent logs."""
     n = O.dispatch(t.outbox, t.users, AS_OF)["notifications"]
     path = land(n, "notifications", "outbox_id")
-    return SJ.notifications_stream(t.spark, path)
+    return SJ.notifications_stream(t.spark, path, files_per_trigger=1)
 
 
 @query("stream_outbox", _DISPATCH + """
 SELECT outbox_id, type, CASE WHEN error_text IS NULL THEN 'processed' ELSE 'failed' END AS result, uid AS user_id,
        CASE WHEN error_text IS NULL AND type = 'PaymentProcessed' THEN 'Payment received'
             WHEN error_text IS NULL AND type = 'PaymentRefunded' THEN 'Payment refunded' END AS subject,
-       CASE WHEN error_text IS NULL THEN attempts ELSE attempts + 1 END AS attempts
+       CASE WHEN error_text IS NULL THEN attempts ELSE 5 END AS attempts
 FROM d""")
 def stream_outbox(t):
-    """ST3: outbox rows streamed through the dispatcher."""
-    box = _conform(t.outbox, S.OUTBOX)
-    path = land(box, "outbox", "outbox_id")
-    return SJ.outbox_stream(t.spark, path, S.OUTBOX, t.users, AS_OF)
+    """ST3: outbox rows streamed through the dispatcher; failed ones are tried until 5 attempts are used."""
+    return SJ.outbox_final(t.spark, _outbox_sink(t), "results")
+
+
+@query("stream_outbox_rows", _DISPATCH + f"""
+SELECT outbox_id, type, payload, created_at, CASE WHEN error_text IS NULL THEN TIMESTAMP '{AS_OF}' ELSE processed_at END AS processed_at,
+       CASE WHEN error_text IS NULL THEN attempts ELSE 5 END AS attempts, substr(error_text, 1, 1000) AS error
+FROM d""")
+def stream_outbox_rows(t):
+    """C19 by stream: the outbox rows once all are processed or out of attempts."""
+    return SJ.outbox_final(t.spark, _outbox_sink(t))
+
+
+def _outbox_sink(t):
+    path = land(_conform(t.outbox, S.OUTBOX), "outbox", "outbox_id")
+    return SJ.outbox_stream(t.spark, path, S.OUTBOX, t.users, AS_OF, files_per_trigger=1)
 
 
 @query("stream_webhooks", _WEBHOOK + """
@@ -59,7 +71,7 @@ def stream_webhooks(t):
     """ST5: webhook requests streamed through ingest; event ids stay unique across micro-batches."""
     w = _conform(W.signed_inbound(t, HMAC_TEST_KEY), S.WEBHOOK_IN)
     path = land(w, "webhooks", "seq")
-    return SJ.webhooks_stream(t.spark, path, t.payments, t.outbox, HMAC_TEST_KEY)
+    return SJ.webhooks_stream(t.spark, path, t.payments, t.outbox, HMAC_TEST_KEY, files_per_trigger=1)
 
 
 @query("stream_rate_limit", _limit_sql("1 day", 5))
@@ -67,4 +79,4 @@ def stream_rate_limit(t):
     """ST6: fixed-window limiter as a stateful stream (5 per day per client)."""
     w = _conform(t.webhook_inbound.withColumn("signature", F.lit(None).cast("string")), S.WEBHOOK_IN)
     path = land(w, "ratelimit", "seq")
-    return SJ.rate_limit_stream(t.spark, path, "1 day", 5, watermark="1 day")
+    return SJ.rate_limit_stream(t.spark, path, "1 day", 5, keep="7 days", files_per_trigger=1)

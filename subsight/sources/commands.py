@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import schemas as S
-from .tables import Tables
+from .tables import Tables, padded
 
-UNKNOWN_SHIFT = 100000000
+# an unknown id is negative, so it names no row at any table size
 
 
 def _shift_unknown(c: Column, rule: Column) -> Column:
-    return F.when(rule, c + UNKNOWN_SHIFT).otherwise(c)
+    return F.when(rule, -c - 1).otherwise(c)
 
 
 def plan_upserts(t: Tables) -> DataFrame:
@@ -54,7 +54,7 @@ def bulk_users(t: Tables) -> DataFrame:
     e-mail, every 10th (3 mod 10) repeats the previous row's e-mail."""
     k = F.col("s_suppkey")
     s = t.raw("supplier", "s_suppkey", "s_name")
-    email = (F.when(k % 4 == 0, F.concat(F.lit("customer."), F.lpad(k.cast("string"), 9, "0"), F.lit("@example.com")))
+    email = (F.when(k % 4 == 0, F.concat(F.lit("customer."), padded(k, 9), F.lit("@example.com")))
              .when(k % 10 == 3, F.concat(F.lit("supplier."), (k - 1).cast("string"), F.lit("@example.com")))
              .otherwise(F.concat(F.lit("supplier."), k.cast("string"), F.lit("@example.com"))))
     return s.select(k.cast("bigint").alias("seq"), F.lit("Supplier").alias("first_name"),
@@ -87,8 +87,8 @@ def subscribes(t: Tables) -> DataFrame:
     uid = F.col("user_id")
     return t.users.select(
         uid.cast("bigint").alias("seq"),
-        F.when(uid % 23 == 0, uid + 1000000).otherwise(uid).alias("user_id"),
-        F.when(uid % 19 == 0, F.lit(-1)).otherwise(((uid * 7) % 200).cast("int")).alias("plan_id"),
+        F.when(uid % 23 == 0, -uid - 1).otherwise(uid).alias("user_id"),
+        F.when(uid % 19 == 0, F.lit(-1)).otherwise((uid * 7) % t.plans.select(F.count(F.lit(1))).scalar()).alias("plan_id"),
         F.when(uid % 3 == 0, "PayPal").otherwise("Credit Card").alias("payment_method"),
         (uid % 2 == 0).alias("auto_renew"))
 
@@ -143,35 +143,35 @@ SELECT CAST(plan_id AS BIGINT) AS seq,
 FROM plans""",
     "plan_update_cmd": """
 SELECT CAST(p.plan_id AS BIGINT) AS seq,
-       CASE WHEN p.plan_id % 97 = 5 THEN p.plan_id + 100000000 ELSE p.plan_id END AS plan_id,
+       CASE WHEN p.plan_id % 97 = 5 THEN -p.plan_id - 1 ELSE p.plan_id END AS plan_id,
        CASE WHEN p.plan_id % 50 = 7 AND n.name IS NOT NULL THEN n.name ELSE p.name END AS name,
        concat(COALESCE(p.description, ''), ' (v2)') AS description,
        CAST(p.price + 2 AS DECIMAL(10,2)) AS price, p.billing_cycle, p.duration_days, p.features
 FROM plans p LEFT JOIN plans n ON n.plan_id - 1 = p.plan_id""",
     "plan_delete_cmd": """
-SELECT CAST(plan_id AS BIGINT) AS seq, CASE WHEN plan_id % 97 = 5 THEN plan_id + 100000000 ELSE plan_id END AS plan_id
+SELECT CAST(plan_id AS BIGINT) AS seq, CASE WHEN plan_id % 97 = 5 THEN -plan_id - 1 ELSE plan_id END AS plan_id
 FROM plans""",
     "bulk_users": """
 SELECT CAST(s_suppkey AS BIGINT) AS seq, 'Supplier' AS first_name, s_name AS last_name,
-       CASE WHEN s_suppkey % 4 = 0 THEN concat('customer.', lpad(CAST(s_suppkey AS VARCHAR), 9, '0'), '@example.com')
+       CASE WHEN s_suppkey % 4 = 0 THEN concat('customer.', lpad(CAST(s_suppkey AS VARCHAR), greatest(9, length(CAST(s_suppkey AS VARCHAR)))::INTEGER, '0'), '@example.com')
             WHEN s_suppkey % 10 = 3 THEN concat('supplier.', CAST(s_suppkey - 1 AS VARCHAR), '@example.com')
             ELSE concat('supplier.', CAST(s_suppkey AS VARCHAR), '@example.com') END AS email,
        CAST(NULL AS VARCHAR) AS phone, CAST(NULL AS VARCHAR) AS address, 'Subscriber' AS role
 FROM supplier""",
     "user_update_cmd": """
 SELECT CAST(u.user_id AS BIGINT) AS seq,
-       CASE WHEN u.user_id % 97 = 5 THEN u.user_id + 100000000 ELSE u.user_id END AS user_id,
+       CASE WHEN u.user_id % 97 = 5 THEN -u.user_id - 1 ELSE u.user_id END AS user_id,
        concat(upper(substr(u.first_name, 1, 1)), lower(substr(u.first_name, 2))) AS first_name, u.last_name,
        CASE WHEN u.user_id % 50 = 7 AND n.email IS NOT NULL THEN n.email ELSE u.email END AS email,
        u.phone, concat('Street ', CAST(u.user_id AS VARCHAR)) AS address, u.role
 FROM users u LEFT JOIN users n ON n.user_id - 1 = u.user_id""",
     "user_delete_cmd": """
-SELECT CAST(user_id AS BIGINT) AS seq, CASE WHEN user_id % 97 = 5 THEN user_id + 100000000 ELSE user_id END AS user_id,
+SELECT CAST(user_id AS BIGINT) AS seq, CASE WHEN user_id % 97 = 5 THEN -user_id - 1 ELSE user_id END AS user_id,
        user_id - user_id % 10 AS actor_user_id
 FROM users""",
     "subscribe_cmd": """
-SELECT CAST(user_id AS BIGINT) AS seq, CASE WHEN user_id % 23 = 0 THEN user_id + 1000000 ELSE user_id END AS user_id,
-       CASE WHEN user_id % 19 = 0 THEN -1 ELSE CAST((user_id * 7) % 200 AS INTEGER) END AS plan_id,
+SELECT CAST(user_id AS BIGINT) AS seq, CASE WHEN user_id % 23 = 0 THEN -user_id - 1 ELSE user_id END AS user_id,
+       CASE WHEN user_id % 19 = 0 THEN -1 ELSE (user_id * 7) % (SELECT count(*) FROM plans) END AS plan_id,
        CASE WHEN user_id % 3 = 0 THEN 'PayPal' ELSE 'Credit Card' END AS payment_method, user_id % 2 = 0 AS auto_renew
 FROM users""",
     "renew_cmd": """
@@ -187,7 +187,7 @@ SELECT CAST(payment_id AS BIGINT) AS seq, CASE WHEN payment_id % 97 = 0 THEN -pa
 FROM payments""",
     "payment_cmd": """
 SELECT CAST(subscription_id AS BIGINT) AS seq,
-       CASE WHEN subscription_id % 101 = 0 THEN subscription_id + 100000000 ELSE subscription_id END AS subscription_id,
+       CASE WHEN subscription_id % 101 = 0 THEN -subscription_id - 1 ELSE subscription_id END AS subscription_id,
        CAST((subscription_id % 500) + 0.99 AS DECIMAL(10,2)) AS amount,
        CASE WHEN subscription_id % 3 = 0 THEN 'PayPal' ELSE 'Credit Card' END AS method,
        CASE WHEN subscription_id % 9 = 0 THEN 'Failed' ELSE 'Completed' END AS status

@@ -22,28 +22,28 @@ def _s(*fields):
     return T.StructType([T.StructField(n, t, nullable) for n, t, nullable in fields])
 
 
-PLANS = _s(("plan_id", T.IntegerType(), False), ("name", T.StringType(), False),
+PLANS = _s(("plan_id", T.LongType(), False), ("name", T.StringType(), False),
            ("description", T.StringType(), True), ("price", MONEY, False),
            ("billing_cycle", T.StringType(), False), ("duration_days", T.IntegerType(), False),
            ("features", T.StringType(), True), ("created_at", TS, False),
            ("updated_at", TS, True))
 
-USERS = _s(("user_id", T.IntegerType(), False), ("first_name", T.StringType(), False),
+USERS = _s(("user_id", T.LongType(), False), ("first_name", T.StringType(), False),
            ("last_name", T.StringType(), False), ("email", T.StringType(), False),
            ("phone", T.StringType(), True), ("address", T.StringType(), True),
            ("registration_date", TS, False), ("role", T.StringType(), False))
 
-SUBSCRIPTIONS = _s(("subscription_id", T.IntegerType(), False), ("user_id", T.IntegerType(), False),
-                   ("plan_id", T.IntegerType(), False), ("start_date", TS, False),
+SUBSCRIPTIONS = _s(("subscription_id", T.LongType(), False), ("user_id", T.LongType(), False),
+                   ("plan_id", T.LongType(), False), ("start_date", TS, False),
                    ("end_date", TS, False), ("renewal_date", TS, True),
                    ("status", T.StringType(), False), ("auto_renew", T.BooleanType(), False))
 
-PAYMENTS = _s(("payment_id", T.IntegerType(), False), ("subscription_id", T.IntegerType(), False),
+PAYMENTS = _s(("payment_id", T.LongType(), False), ("subscription_id", T.LongType(), False),
               ("amount", MONEY, False), ("payment_date", TS, False),
               ("payment_method", T.StringType(), True), ("transaction_id", T.StringType(), False),
               ("status", T.StringType(), False))
 
-LOGS = _s(("log_id", T.IntegerType(), False), ("user_id", T.IntegerType(), True),
+LOGS = _s(("log_id", T.LongType(), False), ("user_id", T.LongType(), True),
           ("action", T.StringType(), False), ("message", T.StringType(), True),
           ("log_date", TS, False))
 
@@ -52,7 +52,7 @@ OUTBOX = _s(("outbox_id", T.LongType(), False), ("type", T.StringType(), False),
             ("processed_at", TS, True), ("attempts", T.IntegerType(), False),
             ("error", T.StringType(), True))
 
-WEBHOOK_EVENTS = _s(("id", T.IntegerType(), False), ("event_id", T.StringType(), False),
+WEBHOOK_EVENTS = _s(("id", T.LongType(), False), ("event_id", T.StringType(), False),
                     ("signature", T.StringType(), True), ("raw_payload", T.StringType(), False),
                     ("received_at", TS, False), ("processed", T.BooleanType(), False))
 
@@ -60,14 +60,14 @@ WEBHOOK_IN = _s(("seq", T.LongType(), False), ("received_at", TS, False),
                 ("client_key", T.StringType(), False), ("event_id", T.StringType(), True),
                 ("signature", T.StringType(), True), ("raw_payload", T.StringType(), False))
 
-LOG_MESSAGE = _s(("user_id", T.IntegerType(), True), ("action", T.StringType(), False),
+LOG_MESSAGE = _s(("user_id", T.LongType(), True), ("action", T.StringType(), False),
                  ("message", T.StringType(), True), ("timestamp_utc", TS, False))
 
-NOTIFICATION_MESSAGE = _s(("user_id", T.IntegerType(), True), ("type", T.StringType(), False),
+NOTIFICATION_MESSAGE = _s(("user_id", T.LongType(), True), ("type", T.StringType(), False),
                           ("subject", T.StringType(), False), ("body", T.StringType(), False),
                           ("timestamp_utc", TS, False))
 
 # JSON bodies
 WEBHOOK_BODY_DDL = ("type STRING, transactionId STRING, status STRING, amount DECIMAL(18,2), "
-                    "userId INT, subscriptionId INT, paymentId INT")
-OUTBOX_PAYLOAD_DDL = "Type STRING, UserId INT, SubscriptionId INT, PaymentId INT, Amount DECIMAL(18,2)"
+                    "userId BIGINT, subscriptionId BIGINT, paymentId BIGINT")
+OUTBOX_PAYLOAD_DDL = "Type STRING, UserId BIGINT, SubscriptionId BIGINT, PaymentId BIGINT, Amount DECIMAL(18,2)"

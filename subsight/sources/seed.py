@@ -35,19 +35,19 @@ def seed_tables(spark: SparkSession, as_of: str) -> dict[str, DataFrame]:
     now = ts_ntz(as_of)
     plans = spark.createDataFrame(
         [(i + 1, n, None, p, c, d, None) for i, (n, p, d, c) in enumerate(SEED_PLANS)],
-        "plan_id int, name string, description string, price string, billing_cycle string, duration_days int, features string",
+        "plan_id bigint, name string, description string, price string, billing_cycle string, duration_days int, features string",
     ).select("plan_id", "name", "description", F.col("price").cast(S.MONEY).alias("price"), "billing_cycle",
              "duration_days", "features", now.alias("created_at"), F.lit(None).cast(S.TS).alias("updated_at"))
     n = F.col("id")
     users = spark.range(1, 21).select(
-        n.cast("int").alias("user_id"), F.concat(F.lit("First"), n.cast("string")).alias("first_name"),
+        n.cast("bigint").alias("user_id"), F.concat(F.lit("First"), n.cast("string")).alias("first_name"),
         F.concat(F.lit("Last"), n.cast("string")).alias("last_name"),
         F.concat(F.lit("user"), n.cast("string"), F.lit("@example.com")).alias("email"),
         F.concat(F.lit("555000"), F.lpad(n.cast("string"), 4, "0")).alias("phone"), F.lit(None).cast("string").alias("address"),
         now.alias("registration_date"), F.when(n == 1, "Admin").otherwise("Subscriber").alias("role"))
     base = spark.range(1, 31).select(
-        n.cast("int").alias("subscription_id"), (F.floor((n - 1) / 10) + 1).cast("int").alias("user_id"),
-        ((n - 1) % 10 + 1).cast("int").alias("plan_id"),
+        n.cast("bigint").alias("subscription_id"), (F.floor((n - 1) / 10) + 1).cast("bigint").alias("user_id"),
+        ((n - 1) % 10 + 1).cast("bigint").alias("plan_id"),
         add_days(now, -((n * 3) % 90).cast("int")).alias("start_date"))
     days = plans.select("plan_id", "duration_days", "price")
     subs = base.join(days, "plan_id").select(
@@ -66,7 +66,7 @@ def seed_tables(spark: SparkSession, as_of: str) -> dict[str, DataFrame]:
     for m, a in reversed(SEED_LOG_ACTIONS):
         action = F.when(n % m == 0, a).otherwise(action)
     logs = spark.range(1, 51).select(
-        n.cast("int").alias("log_id"), F.when(n % 5 == 0, F.lit(None).cast("int")).otherwise((n % 20 + 1).cast("int")).alias("user_id"),
+        n.cast("bigint").alias("log_id"), F.when(n % 5 == 0, F.lit(None).cast("bigint")).otherwise((n % 20 + 1).cast("bigint")).alias("user_id"),
         action.alias("action"), F.concat(F.lit("Seed log entry #"), n.cast("string")).alias("message"),
         add_days(now, -(n % 30).cast("int")).alias("log_date"))
     return {"plans": plans, "users": users, "subscriptions": subs, "payments": pays, "logs": logs}

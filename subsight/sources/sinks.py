@@ -67,7 +67,7 @@ def publish(changes, base_path: str) -> dict[str, str]:
 
 
 def append_with_ids(target_path: str, base: DataFrame, new_rows: DataFrame, id_col: str,
-                    order_cols: list[str], cast: str = "int") -> DataFrame:
+                    order_cols: list[str], cast: str = "bigint") -> DataFrame:
     """Append ``new_rows`` to the table at ``target_path`` (created from
     ``base`` when absent) with ids continuing the table's largest id, in
     ``order_cols`` order; returns the table as read back."""

@@ -31,6 +31,12 @@ def add_days(ts: Column, days) -> Column:
     return F.timestamp_add("DAY", n, ts)
 
 
+def padded(number: Column, width: int) -> Column:
+    """A number as text, zero-padded to a width; longer numbers stay whole."""
+    s = number.cast("string")
+    return F.when(F.length(s) >= width, s).otherwise(F.lpad(s, width, "0"))
+
+
 ROWS_PER_FILE = 4_000_000
 # (application id, source folder, table) -> stored path
 _STORED: dict[tuple[str, str, str], str] = {}
@@ -107,7 +113,7 @@ class Tables:
         p = self.raw("part", "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
         monthly = (F.col("p_size") % 2) == 0
         return p.select(
-            F.col("p_partkey").cast("int").alias("plan_id"),
+            F.col("p_partkey").cast("bigint").alias("plan_id"),
             F.concat("p_name", F.lit(" #"), F.col("p_partkey").cast("string")).alias("name"),
             F.concat("p_type", F.lit(" by "), "p_brand").alias("description"),
             F.col("p_retailprice").cast(S.MONEY).alias("price"),
@@ -126,12 +132,12 @@ class Tables:
     def _map_users(self) -> DataFrame:
         c = self.raw("customer", "c_custkey", "c_name", "c_mktsegment")
         return c.select(
-            F.col("c_custkey").cast("int").alias("user_id"),
+            F.col("c_custkey").cast("bigint").alias("user_id"),
             F.col("c_mktsegment").alias("first_name"),
             F.col("c_name").alias("last_name"),
             F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@example.com")).alias("email"),
             F.when(F.col("c_custkey") % 7 == 0, F.lit(None).cast("string"))
-             .otherwise(F.concat(F.lit("555"), F.lpad(F.col("c_custkey").cast("string"), 7, "0"))).alias("phone"),
+             .otherwise(F.concat(F.lit("555"), padded(F.col("c_custkey"), 7))).alias("phone"),
             F.lit(None).cast("string").alias("address"),
             add_days(ts_ntz(BASE_DAY), (F.col("c_custkey") % 365).cast("int")).alias("registration_date"),
             F.when(F.col("c_custkey") % 10 == 0, "Admin").otherwise("Subscriber").alias("role"),
@@ -151,9 +157,9 @@ class Tables:
         j = o.join(part, o["plan_key"] == part["p_partkey"], "inner")
         days = F.when(F.col("p_size") % 2 == 0, 30).otherwise(365)
         return j.select(
-            F.col("o_orderkey").cast("int").alias("subscription_id"),
-            F.col("o_custkey").cast("int").alias("user_id"),
-            F.col("p_partkey").cast("int").alias("plan_id"),
+            F.col("o_orderkey").cast("bigint").alias("subscription_id"),
+            F.col("o_custkey").cast("bigint").alias("user_id"),
+            F.col("p_partkey").cast("bigint").alias("plan_id"),
             F.col("o_orderdate").alias("start_date"),
             add_days(F.col("o_orderdate"), days).alias("end_date"),
             F.lit(None).cast(S.TS).alias("renewal_date"),
@@ -174,8 +180,8 @@ class Tables:
             F.min("l_returnflag").alias("flag"))
         pid = F.col("l_orderkey") * 10 + F.col("l_linenumber")
         return g.select(
-            pid.cast("int").alias("payment_id"),
-            F.col("l_orderkey").cast("int").alias("subscription_id"),
+            pid.cast("bigint").alias("payment_id"),
+            F.col("l_orderkey").cast("bigint").alias("subscription_id"),
             F.col("px").cast(S.MONEY).alias("amount"),
             F.col("shipped").alias("payment_date"),
             F.when(F.col("l_linenumber") % 3 == 0, "PayPal").otherwise("Credit Card").alias("payment_method"),
@@ -192,8 +198,8 @@ class Tables:
         e = self.raw("events", "event_id", "user_id", "event_type", "ts")
         et = F.col("event_type")
         return e.select(
-            F.col("event_id").cast("int").alias("log_id"),
-            F.when(F.col("event_id") % 5 == 0, F.lit(None).cast("int")).otherwise(F.col("user_id").cast("int")).alias("user_id"),
+            F.col("event_id").cast("bigint").alias("log_id"),
+            F.when(F.col("event_id") % 5 == 0, F.lit(None).cast("bigint")).otherwise(F.col("user_id").cast("bigint")).alias("user_id"),
             F.when(et == "signup", "UserRegistered").when(et == "view", "UserLogin")
              .when(et == "click", "SubscriptionRenewed").when(et == "purchase", "PaymentProcessed")
              .otherwise("Exception").alias("action"),
@@ -208,7 +214,7 @@ class Tables:
     def _map_outbox(self) -> DataFrame:
         e = self.raw("events", "event_id", "user_id", "event_type", "value", "ts")
         et = F.col("event_type")
-        sid = F.col("event_id") % 1000
+        sid = F.col("event_id") % self.raw("orders").select(F.count(F.lit(1))).scalar()
         return e.select(
             F.col("event_id").alias("outbox_id"),
             F.when(et == "purchase", "PaymentProcessed").when(et == "error", "PaymentRefunded")
@@ -234,7 +240,7 @@ class Tables:
         refund = F.col("event_type") == "error"
         body = F.concat(
             F.lit('{"type":"'), F.when(refund, "payment.refunded").otherwise("payment.succeeded"),
-            F.lit('","transactionId":"TXN-'), ((F.col("event_id") % 1000) * 10 + 1).cast("string"),
+            F.lit('","transactionId":"TXN-'), (F.col("event_id") % self.raw("orders").select(F.count(F.lit(1))).scalar() * 10 + 1).cast("string"),
             F.lit('","status":"'), F.when(refund, "Refunded").otherwise("Completed"),
             F.lit('","amount":'), F.col("value").cast(S.MONEY).cast("string"),
             F.lit(',"userId":'), F.col("user_id").cast("string"), F.lit("}"))

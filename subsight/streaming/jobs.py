@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from typing import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 from ..operators import outbox as O
+from ..operators import ratelimit as RL
 from ..operators import webhooks as W
 from ..session import scratch_path
+from ..sources import schemas as S
 
 
 def _sink_batch(sink: str, name: str, batch_id: int, df: DataFrame) -> None:
@@ -22,30 +24,53 @@ def _sink_batch(sink: str, name: str, batch_id: int, df: DataFrame) -> None:
     df.write.mode("overwrite").parquet(f"{sink}/{name}/batch={batch_id}")
 
 
+def _missing(error: Exception) -> bool:
+    """Whether a read failed because nothing was written there yet."""
+    return any(x in str(error) for x in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "Path does not exist"))
+
+
 def _read_sink(spark: SparkSession, sink: str, name: str, schema) -> DataFrame:
     cols = [f.name for f in schema.fields]
     try:
         return spark.read.schema(schema).parquet(f"{sink}/{name}").select(*cols)
-    except Exception:
+    except AnalysisException as e:
+        if not _missing(e):
+            raise
         return spark.createDataFrame([], schema)
 
 
+def _batch(spark: SparkSession, sink: str, name: str, batch_id: int) -> DataFrame | None:
+    """What one earlier micro-batch wrote, or None where there is no such batch."""
+    if batch_id < 0:
+        return None
+    try:
+        return spark.read.parquet(f"{sink}/{name}/batch={batch_id}")
+    except AnalysisException as e:
+        if not _missing(e):
+            raise
+        return None
+
+
 def run_foreach(spark: SparkSession, source_path: str, schema, name: str,
-                handle: Callable[[DataFrame, int, str], None], files_per_trigger: int = 1,
+                handle: Callable[[DataFrame, int, str], None], files_per_trigger: int | None = None,
                 sink: str | None = None) -> str:
     """readStream (files) -> foreachBatch(handle) with a checkpoint; returns
     the sink folder. Passing the ``sink`` of an earlier run resumes it: only
-    files that run has not seen are processed."""
+    files that run has not seen are processed. ``files_per_trigger`` bounds a
+    micro-batch (by default nothing does)."""
     sink = sink or scratch_path(spark, f"sink-{name}")
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-              .parquet(source_path))
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    stream = reader.parquet(source_path)
     q = (stream.writeStream.foreachBatch(lambda df, bid: handle(df, bid, sink))
          .option("checkpointLocation", f"{sink}/_checkpoint").trigger(availableNow=True).start())
     q.awaitTermination()
     return sink
 
 
-def logs_stream(spark: SparkSession, source_path: str, users: DataFrame) -> DataFrame:
+def logs_stream(spark: SparkSession, source_path: str, users: DataFrame,
+                files_per_trigger: int | None = None) -> DataFrame:
     """ST1: append log messages; a message for an unknown user (the foreign
     key would refuse it) goes to a quarantine folder instead of being lost."""
     from ..sources.schemas import LOG_MESSAGE
@@ -57,13 +82,13 @@ def logs_stream(spark: SparkSession, source_path: str, users: DataFrame) -> Data
         _sink_batch(sink, "logs", bid, j.where(ok).drop("_known"))
         _sink_batch(sink, "quarantine", bid, j.where(~ok).drop("_known"))
 
-    sink = run_foreach(spark, source_path, LOG_MESSAGE, "logs", handle)
+    sink = run_foreach(spark, source_path, LOG_MESSAGE, "logs", handle, files_per_trigger)
     good = _read_sink(spark, sink, "logs", LOG_MESSAGE).withColumn("sink", F.lit("logs"))
     bad = _read_sink(spark, sink, "quarantine", LOG_MESSAGE).withColumn("sink", F.lit("quarantine"))
     return good.unionByName(bad)
 
 
-def notifications_stream(spark: SparkSession, source_path: str) -> DataFrame:
+def notifications_stream(spark: SparkSession, source_path: str, files_per_trigger: int | None = None) -> DataFrame:
     """ST2: deliver notifications (delivery itself is external) and append
     the NotificationSent log row for each."""
     from ..sources.schemas import LOG_MESSAGE, NOTIFICATION_MESSAGE
@@ -71,56 +96,111 @@ def notifications_stream(spark: SparkSession, source_path: str) -> DataFrame:
     def handle(batch: DataFrame, bid: int, sink: str) -> None:
         _sink_batch(sink, "logs", bid, O.notification_logs(batch))
 
-    sink = run_foreach(spark, source_path, NOTIFICATION_MESSAGE, "notifications", handle)
+    sink = run_foreach(spark, source_path, NOTIFICATION_MESSAGE, "notifications", handle, files_per_trigger)
     return _read_sink(spark, sink, "logs", LOG_MESSAGE)
 
 
-def outbox_stream(spark: SparkSession, source_path: str, schema, users: DataFrame, as_of) -> DataFrame:
-    """ST3: dispatch each micro-batch of new outbox rows."""
-    from pyspark.sql.types import StructType
+def dispatch_batch(spark: SparkSession, users: DataFrame, as_of) -> Callable[[DataFrame, int, str], None]:
+    """ST3, one micro-batch: its new rows and the rows that failed before and
+    have attempts left. Writes the rows' state (C19), so the next batch finds
+    those that are still pending. It reads the batch before it only, so a
+    replay of a batch id writes the same again."""
+    from ..sources.schemas import OUTBOX
 
-    out_schema: list[StructType] = []
+    cols = [f.name for f in OUTBOX.fields]
 
     def handle(batch: DataFrame, bid: int, sink: str) -> None:
-        res = O.dispatch(batch, users, as_of)
-        if not out_schema:
-            out_schema.append(res["results"].schema)
-        _sink_batch(sink, "results", bid, res["results"])
-        _sink_batch(sink, "notifications", bid, res["notifications"])
-        _sink_batch(sink, "logs", bid, res["logs"])
+        earlier = _batch(spark, sink, "outbox", bid - 1)
+        rows = batch.select(*cols)
+        if earlier is not None:
+            rows = rows.unionByName(O.pending(earlier).select(*cols))
+        res = O.dispatch(rows, users, as_of)
+        for name in ("outbox", "results", "notifications", "logs"):
+            _sink_batch(sink, name, bid, res[name])
+
+    return handle
+
+
+def outbox_stream(spark: SparkSession, source_path: str, schema, users: DataFrame, as_of,
+                  files_per_trigger: int | None = None) -> str:
+    """ST3: dispatch new outbox rows and try failed ones again, with each
+    micro-batch and then until none has attempts left. Returns the sink;
+    :func:`outbox_final` reads it."""
+    handle = dispatch_batch(spark, users, as_of)
+    last = [-1]
+
+    def step(batch: DataFrame, bid: int, sink: str) -> None:
+        handle(batch, bid, sink)
+        last[0] = bid
+
+    sink = run_foreach(spark, source_path, schema, "outbox", step, files_per_trigger)
+    empty = spark.createDataFrame([], schema)
+    # each pass uses up one attempt of every row that is left
+    for _ in range(S.MAX_OUTBOX_ATTEMPTS):
+        left = _batch(spark, sink, "outbox", last[0])
+        if left is None or O.pending(left).isEmpty():
+            break
+        handle(empty, last[0] + 1, sink)
+        last[0] += 1
+    return sink
 
-    sink = run_foreach(spark, source_path, schema, "outbox", handle)
-    return spark.read.parquet(f"{sink}/results").drop("batch")
 
+def outbox_final(spark: SparkSession, sink: str, name: str = "outbox") -> DataFrame:
+    """Rows of the dispatcher that are settled: processed, or out of attempts
+    (``name`` outbox or results); notifications and logs as they were sent."""
+    df = spark.read.parquet(f"{sink}/{name}").drop("batch")
+    if name == "outbox":
+        return df.where(F.col("processed_at").isNotNull() | (F.col("attempts") >= S.MAX_OUTBOX_ATTEMPTS))
+    if name == "results":
+        return df.where((F.col("result") == "processed") | (F.col("attempts") >= S.MAX_OUTBOX_ATTEMPTS))
+    return df
 
-def webhooks_stream(spark: SparkSession, source_path: str, payments: DataFrame, outbox: DataFrame,
-                    secret: str, sink: str | None = None) -> DataFrame:
-    """ST5: ingest each micro-batch. Event ids are unique forever: each batch
-    is anti-joined with the events already stored by earlier batches."""
-    from ..sources.schemas import WEBHOOK_IN
+
+def ingest_batch(spark: SparkSession, payments: DataFrame, outbox: DataFrame,
+                 secret: str) -> Callable[[DataFrame, int, str], None]:
+    """ST5, one micro-batch. Event ids are unique forever: known ids and the
+    last outbox id come from earlier batches only, so a replay of a batch id
+    gives the same result. Ids are stored by a hash of theirs, and a batch
+    reads the folders its own ids fall into."""
 
     def handle(batch: DataFrame, bid: int, sink: str) -> None:
-        known = _optional(spark, f"{sink}/events", "event_id")
-        earlier = _optional(spark, f"{sink}/outbox", "outbox_id")
-        # outbox ids continue the table and the rows earlier batches wrote
-        box = outbox if earlier is None else outbox.select("outbox_id").unionByName(earlier)
+        slot = F.pmod(F.xxhash64("event_id"), F.lit(ID_SLOTS)).cast("int")
+        wanted = [r["slot"] for r in batch.select(slot.alias("slot")).distinct().collect()]  # at most ID_SLOTS numbers
+        known = _earlier(spark, f"{sink}/ids", bid)
+        if known is not None:
+            known = known.where(F.col("slot").isin(wanted)).select("event_id")
+        state = _batch(spark, sink, "last_id", bid - 1)
+        box = outbox.select("outbox_id") if state is None else state.select("outbox_id")
         res = W.ingest(batch, payments, box, secret, known)
-        _sink_batch(sink, "events", bid, res["events"])
-        _sink_batch(sink, "dispositions", bid, res["dispositions"])
-        _sink_batch(sink, "payment_updates", bid, res["payment_updates"])
-        _sink_batch(sink, "outbox", bid, res["outbox"])
+        for name in ("events", "dispositions", "payment_updates", "outbox"):
+            _sink_batch(sink, name, bid, res[name])
+        res["events"].select("event_id", slot.alias("slot")).write.mode("overwrite").partitionBy("slot").parquet(f"{sink}/ids/batch={bid}")
+        written = spark.read.schema("outbox_id long").parquet(f"{sink}/outbox/batch={bid}")
+        _sink_batch(sink, "last_id", bid, box.unionByName(written).agg(F.max("outbox_id").alias("outbox_id")))
+
+    return handle
+
 
-    sink = run_foreach(spark, source_path, WEBHOOK_IN, "webhooks", handle, sink=sink)
+ID_SLOTS = 64
+
+
+def webhooks_stream(spark: SparkSession, source_path: str, payments: DataFrame, outbox: DataFrame,
+                    secret: str, sink: str | None = None, files_per_trigger: int | None = None) -> DataFrame:
+    """ST5: ingest each micro-batch (see :func:`ingest_batch`)."""
+    from ..sources.schemas import WEBHOOK_IN
+
+    handle = ingest_batch(spark, payments, outbox, secret)
+    sink = run_foreach(spark, source_path, WEBHOOK_IN, "webhooks", handle, files_per_trigger, sink=sink)
     return spark.read.parquet(f"{sink}/dispositions").drop("batch")
 
 
-def _optional(spark: SparkSession, path: str, col: str) -> DataFrame | None:
-    """Column of what earlier micro-batches wrote, or None before the first."""
+def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """What micro-batches before this one wrote, or None before the first."""
     try:
-        df = spark.read.parquet(path).select(col)
-        df.limit(1).count()
-        return df
-    except Exception:
+        return spark.read.schema("event_id string, batch int, slot int").parquet(path).where(F.col("batch") < batch_id)
+    except AnalysisException as e:
+        if not _missing(e):
+            raise
         return None
 
 
@@ -129,58 +209,47 @@ def webhook_stream_output(spark: SparkSession, sink: str, name: str) -> DataFram
     return spark.read.parquet(f"{sink}/{name}").drop("batch")
 
 
-def rate_limit_stream(spark: SparkSession, source_path: str, window: str, permits: int,
-                      watermark: str = "1 minute") -> DataFrame:
-    """ST6: per (client, window) counter kept in streaming state.
+def limit_batch(spark: SparkSession, window: str, permits: int, keep: str) -> Callable[[DataFrame, int, str], None]:
+    """ST6, one micro-batch: every request gets a decision.
 
-    The state of a group is one number (requests seen so far); it times out
-    once the watermark passes the window end, so state stays bounded by the
-    number of open windows."""
-    from ..sources.schemas import WEBHOOK_IN
+    The state is one count for each (client, window), as the batch before
+    left it. Of a batch only the first ``permits`` requests of a group can be
+    admitted, which Spark ranks with a partial limit before the shuffle, so a
+    hot client never meets in one task. Windows that end more than ``keep``
+    before the newest one are closed and leave the state; a request that
+    comes later still is rejected as ``late``."""
 
-    out_schema = "seq long, client_key string, window_start timestamp_ntz, admitted boolean"
-    state_schema = "seen long"
-    window_ms = _window_ms(window)
-
-    # A closure over plain values only: it is shipped to the Python workers
-    # by value and needs nothing of this package there.
-    def step(key, pdfs, state):
-        import pandas as pd_
-
-        if state.hasTimedOut:
-            state.remove()
-            return
-        seen = state.get[0] if state.exists else 0
-        rows = pd_.concat(list(pdfs), ignore_index=True).sort_values(["received_at", "seq"], kind="stable")
-        rank = seen + pd_.Series(range(1, len(rows) + 1), index=rows.index)
-        state.update((int(seen + len(rows)),))
-        # window end in the watermark's own frame (epoch ms of the TIMESTAMP
-        # column); a group that shows up after the watermark passed its window
-        # end keeps its state until the next watermark step instead of failing
-        window_end = int(rows["_wstart_ms"].iloc[0]) + window_ms
-        state.setTimeoutTimestamp(max(window_end, state.getCurrentWatermarkMs() + 1))
-        yield pd_.DataFrame({"seq": rows["seq"].astype("int64"), "client_key": rows["client_key"],
-                             "window_start": rows["window_start"], "admitted": (rank <= permits).to_numpy()})
-
-    sink = scratch_path(spark, "sink-ratelimit")
-    src = (spark.readStream.schema(WEBHOOK_IN).option("maxFilesPerTrigger", 1).parquet(source_path)
-           .select("seq", "client_key", "received_at")
-           .withColumn("window_start", F.window("received_at", window).start.cast("timestamp_ntz"))
-           # watermarks need TIMESTAMP; the session time zone is UTC, so the instant is the same
-           .withColumn("event_time", F.col("received_at").cast("timestamp"))
-           .withColumn("_wstart_ms", F.unix_millis(F.col("window_start").cast("timestamp")))
-           .withWatermark("event_time", watermark))
-    out = src.groupBy("client_key", "window_start").applyInPandasWithState(
-        step, out_schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
-    q = (out.writeStream.format("parquet").option("path", f"{sink}/admitted")
-         .option("checkpointLocation", f"{sink}/_checkpoint").outputMode("append")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(f"{sink}/admitted")
+    def handle(batch: DataFrame, bid: int, sink: str) -> None:
+        w = batch.select("seq", "client_key", "received_at").withColumn(
+            "window_start", F.window("received_at", window).start.cast("timestamp_ntz"))
+        state = _batch(spark, sink, "state", bid - 1)
+        if state is None:
+            state = spark.createDataFrame([], "client_key string, window_start timestamp_ntz, seen long, horizon timestamp_ntz")
+        horizon = state.agg(F.max("horizon").alias("h")).first()["h"]
+        late = F.lit(False) if horizon is None else F.coalesce(F.col("window_start") < F.lit(horizon), F.lit(False))
+        w = w.withColumn("late", late)
+        first = RL.first_k(w.where(~F.col("late")), ["client_key", "window_start"], ["received_at", "seq"], permits, "seq",
+                           name="early", rank="place")
+        seen = state.select(F.col("client_key").alias("c"), F.col("window_start").alias("s"), "seen")
+        decided = first.join(seen, F.col("client_key").eqNullSafe(F.col("c")) & F.col("window_start").eqNullSafe(F.col("s")), "left")
+        admitted = F.col("early") & (F.coalesce("seen", F.lit(0)) + F.col("place") <= permits)
+        out = ["seq", "client_key", "window_start"]
+        _sink_batch(sink, "decisions", bid, decided.select(*out, F.coalesce(admitted, F.lit(False)).alias("admitted"), "late").unionByName(
+            w.where("late").select(*out, F.lit(False).alias("admitted"), "late")))
+        counts = w.where(~F.col("late")).groupBy("client_key", "window_start").agg(F.count("*").alias("seen"))
+        both = counts.unionByName(state.select("client_key", "window_start", "seen")).groupBy("client_key", "window_start").agg(F.sum("seen").alias("seen"))
+        newest = both.agg((F.max("window_start") - F.expr(f"INTERVAL {keep}")).alias("h")).first()["h"]
+        newest = max((h for h in (newest, horizon) if h is not None), default=None)
+        left = both if newest is None else both.where(F.col("window_start") >= F.lit(newest))
+        _sink_batch(sink, "state", bid, left.withColumn("horizon", F.lit(newest).cast("timestamp_ntz")))
+
+    return handle
 
 
-def _window_ms(window: str) -> int:
-    n, unit = window.split()
-    mult = {"second": 1000, "seconds": 1000, "minute": 60000, "minutes": 60000, "hour": 3600000,
-            "hours": 3600000, "day": 86400000, "days": 86400000}[unit]
-    return int(n) * mult
+def rate_limit_stream(spark: SparkSession, source_path: str, window: str, permits: int,
+                      keep: str = "1 day", files_per_trigger: int | None = None) -> DataFrame:
+    """ST6: fixed-window limiter over a stream (see :func:`limit_batch`)."""
+    from ..sources.schemas import WEBHOOK_IN
+
+    sink = run_foreach(spark, source_path, WEBHOOK_IN, "ratelimit", limit_batch(spark, window, permits, keep), files_per_trigger)
+    return spark.read.parquet(f"{sink}/decisions").select("seq", "client_key", "window_start", "admitted")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,16 +31,28 @@ def land(df: DataFrame, name: str, order_col: str, chunks: int | None = None,
         chunks = max(4, math.ceil(df.count() / rows_per_file))
     probs = [i / chunks for i in range(1, chunks)]
     bounds = df.approxQuantile(order_col, probs, 0.01) if chunks > 1 else []
-    edges = [None] + bounds + [None]
+    # the chunk of a row is the number of bounds below it; a null comes first
+    chunk = F.lit(0)
+    for b in bounds:
+        chunk = chunk + F.coalesce((F.col(order_col) > F.lit(b)).cast("int"), F.lit(0))
+    staged = scratch_path(df.sparkSession, f"staged-{name}")
+    df.withColumn("_chunk", chunk).write.partitionBy("_chunk").parquet(staged)  # the rows are read once
     for i in range(chunks):
-        lo, hi = edges[i], edges[i + 1]
-        cond = F.lit(True)
-        if lo is not None:
-            cond = cond & (F.col(order_col) > F.lit(lo))
-        if hi is not None:
-            cond = cond & (F.col(order_col) <= F.lit(hi))
+        part = _chunk(df, staged, i)
+        if part is None:
+            continue
         # one file per chunk: files of one write would share a modification
         # time and could be picked up in any order
-        df.where(cond).coalesce(1).write.mode("append").parquet(path)
+        part.coalesce(1).write.mode("append").parquet(path)
         time.sleep(0.02)  # distinct modification times keep arrival order
     return path
+
+
+def _chunk(df: DataFrame, staged: str, i: int) -> DataFrame | None:
+    """The staged rows of one chunk, None if it has none."""
+    try:
+        return df.sparkSession.read.schema(df.schema).parquet(f"{staged}/_chunk={i}")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
