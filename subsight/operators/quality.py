@@ -21,16 +21,31 @@ LENGTH_LIMITS = {
     "users": {"first_name": 50, "last_name": 50, "email": 100, "phone": 15, "address": 200, "role": 20},
     "payments": {"payment_method": 50, "transaction_id": 100},
     "logs": {"action": 100},
+    "outbox": {"type": 100, "error": 1000},
+    "webhook_events": {"event_id": 100, "signature": 200},
 }
+# required text: neither NULL nor blank
 REQUIRED = {
     "plans": ["name", "billing_cycle"],
     "users": ["first_name", "last_name", "email", "role"],
     "payments": ["transaction_id", "status"],
     "subscriptions": ["status"],
     "logs": ["action"],
+    "outbox": ["type"],
+    "webhook_events": ["event_id"],
+}
+# other columns that the schema declares NOT NULL
+NOT_NULL = {
+    "plans": ["plan_id", "price", "duration_days", "created_at"],
+    "users": ["user_id", "registration_date"],
+    "subscriptions": ["subscription_id", "user_id", "plan_id", "start_date", "end_date", "auto_renew"],
+    "payments": ["payment_id", "subscription_id", "amount", "payment_date"],
+    "logs": ["log_id", "log_date"],
+    "outbox": ["outbox_id", "payload", "created_at", "attempts"],
+    "webhook_events": ["id", "raw_payload", "received_at", "processed"],
 }
 KEYS = {"plans": "plan_id", "users": "user_id", "subscriptions": "subscription_id",
-        "payments": "payment_id", "logs": "log_id"}
+        "payments": "payment_id", "logs": "log_id", "outbox": "outbox_id", "webhook_events": "id"}
 # Phone rule of the form validator: after '+' and an extension are removed,
 # at least one digit and only digits, blanks and - . ( ).
 PHONE_PATTERN = r"^[0-9\s\-.()+]*[0-9][0-9\s\-.()+]*(\s*(x|ext\.?)\s*[0-9]+)?$"
@@ -72,6 +87,8 @@ def required_rules():
     out: dict[str, list] = {}
     for t, cols in REQUIRED.items():
         out.setdefault(t, []).extend((f"required_{c}", blank_col(F.col(c)), F.col(c)) for c in cols)
+    for t, cols in NOT_NULL.items():
+        out.setdefault(t, []).extend((f"required_{c}", F.col(c).isNull(), F.col(c)) for c in cols)
     for t, limits in LENGTH_LIMITS.items():
         out.setdefault(t, []).extend((f"max_length_{c}", F.length(F.col(c)) > n, F.length(F.col(c)))
                                      for c, n in limits.items())
@@ -93,7 +110,7 @@ def contact_rules():
 
 
 def _family(tables: dict[str, DataFrame], rules: dict[str, list]) -> DataFrame:
-    return _union([_row_rules(tables[t], t, r) for t, r in rules.items()])
+    return _union([_row_rules(tables[t], t, r) for t, r in rules.items() if t in tables])
 
 
 def domain(plans: DataFrame, payments: DataFrame) -> DataFrame:
@@ -111,8 +128,9 @@ def _dups(df: DataFrame, table: str, rule: str, col: str, lower: bool) -> DataFr
                     F.col("n").cast("string").alias("value"))
 
 
-def uniqueness(plans: DataFrame, users: DataFrame, payments: DataFrame) -> DataFrame:
-    return _union([
+def uniqueness(plans: DataFrame, users: DataFrame, payments: DataFrame, webhook_events: DataFrame | None = None) -> DataFrame:
+    events = [] if webhook_events is None else [_dups(webhook_events, "webhook_events", "unique_event_id", "event_id", False)]
+    return _union(events + [
         _dups(plans, "plans", "unique_name", "name", True),
         _dups(users, "users", "unique_email", "email", True),
         _dups(payments, "payments", "unique_transaction_id", "transaction_id", False),
@@ -152,7 +170,7 @@ def admin_subscriptions(users: DataFrame, subscriptions: DataFrame) -> DataFrame
     return _v(s, "subscriptions", "admin_holds_subscription", F.lit(True), F.col("user_id"))
 
 
-def all_violations(users, plans, subscriptions, payments, logs) -> DataFrame:
+def all_violations(users, plans, subscriptions, payments, logs, outbox=None, webhook_events=None) -> DataFrame:
     """Every rule in as few passes as possible: each child table is read
     once, left-joined with the keys (and roles) of its parents, and all its
     row rules and foreign-key rules are evaluated on that one frame; plans
@@ -185,4 +203,5 @@ def all_violations(users, plans, subscriptions, payments, logs) -> DataFrame:
         _row_rules(subs, "subscriptions", sub_rules),
         _row_rules(pays, "payments", pay_rules),
         _row_rules(lg, "logs", log_rules),
-        uniqueness(plans, users, payments)])
+        uniqueness(plans, users, payments, webhook_events)]
+        + [_row_rules(df, t, merged[t]) for t, df in (("outbox", outbox), ("webhook_events", webhook_events)) if df is not None])

@@ -102,6 +102,15 @@ def webhook_ingest(t):
                     with_outbox=False)["dispositions"]
 
 
+@query("webhook_events", _WEBHOOK + """
+SELECT CAST(seq AS BIGINT) AS id, event_id, raw_payload, received_at, disposition = 'accepted' AS processed
+FROM t WHERE disposition IN ('accepted', 'malformed', 'invalid_status')""")
+def webhook_events(t):
+    """The stored webhook events; malformed ones stay unprocessed."""
+    return W.ingest(W.signed_inbound(t, HMAC_TEST_KEY), t.payments, t.outbox, HMAC_TEST_KEY,
+                    with_outbox=False)["events"].drop("signature")
+
+
 @query("webhook_apply", _WEBHOOK + """
 SELECT target_payment_id AS payment_id, arg_max(status, seq) AS status, max(seq) AS seq
 FROM t WHERE disposition = 'accepted' AND target_payment_id IS NOT NULL GROUP BY target_payment_id""")
