@@ -46,7 +46,7 @@ def subscribe(users: DataFrame, plans: DataFrame, subscriptions: DataFrame, paym
     ok = j.where(F.col("reason").isNull())
     ok = ids.assign_ids(ok, ["seq"], ids.max_id(subscriptions, "subscription_id"), "subscription_id")
     ok = ok.withColumn("payment_id", (F.col("subscription_id") - ids.max_id(subscriptions, "subscription_id")
-                                      + F.coalesce(ids.max_id(payments, "payment_id"), F.lit(0))).cast("int"))
+                                      + F.coalesce(ids.max_id(payments, "payment_id"), F.lit(0))).cast("bigint"))
     ok = ok.withColumn("end_date", add_days(lit_ts(as_of), F.col("duration_days")))
     new_subs = ok.select("subscription_id", "user_id", "plan_id", lit_ts(as_of).alias("start_date"), "end_date",
                          F.lit(None).cast(S.TS).alias("renewal_date"), F.lit("Active").alias("status"), "auto_renew")
