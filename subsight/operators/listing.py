@@ -54,6 +54,23 @@ def page(df: DataFrame, sort_col: str, key: str, req: PageRequest) -> DataFrame:
     return df.orderBy(primary, tie).offset(req.offset).limit(req.page_size)
 
 
+def page_after(df: DataFrame, sort_col: str, key: str, req: PageRequest, value, key_value) -> DataFrame:
+    """The rows that follow the row with sort value ``value`` and key ``key_value``:
+    keyset paging. A top-k of one page, however deep, where an offset sends
+    all rows before the page to one task."""
+    req.validate()
+    c, k = F.col(sort_col), F.col(key)
+    v = F.lit(value)
+    if req.ascending:
+        later = k > key_value
+        beyond = c.isNotNull() | (c.isNull() & later) if value is None else (c > v) | ((c == v) & later)
+    else:
+        later = k < key_value
+        beyond = c.isNull() & later if value is None else (c < v) | c.isNull() | ((c == v) & later)
+    primary = c.asc_nulls_first() if req.ascending else c.desc_nulls_last()
+    return df.where(F.coalesce(beyond, F.lit(False))).orderBy(primary, k.asc() if req.ascending else k.desc()).limit(req.page_size)
+
+
 def page_info(total: DataFrame, req: PageRequest) -> DataFrame:
     """Page maths from a one-row ``total`` frame: pages = ceil(total/size)."""
     req.validate()
@@ -149,6 +166,12 @@ def payments_page(payments: DataFrame, req: PageRequest, **filters) -> DataFrame
     return page(payments_filtered(payments, **filters), col, "payment_id", req)
 
 
+def payments_page_after(payments: DataFrame, req: PageRequest, value, payment_id: int, **filters) -> DataFrame:
+    """The payments page that follows a given last row (keyset paging)."""
+    col = sort_column(P.PAYMENT_SORTS, P.PAYMENT_SORT_DEFAULT, req.sort_by)
+    return page_after(payments_filtered(payments, **filters), col, "payment_id", req, value, payment_id)
+
+
 def payments_by_subscription(payments: DataFrame, keys: DataFrame) -> DataFrame:
     """Payments of a set of subscriptions, newest first (payment id breaks ties)."""
     return (payments.select(*PAYMENT_COLS).join(keys.select("subscription_id").distinct(), "subscription_id", "left_semi")

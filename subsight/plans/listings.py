@@ -1,5 +1,7 @@
 """Registered listings, views, lookups and read models."""
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from ..functions.predicates import due_for_expiry
@@ -276,6 +278,14 @@ def payments_page(t):
     return L.payments_page(t.payments, PAYS_REQ, status="completed")
 
 
+@query("payments_page_after", """
+SELECT payment_id, subscription_id, amount, payment_date, payment_method, transaction_id, status FROM payments
+WHERE status = 'Completed' AND (amount < 20000.00 OR (amount = 20000.00 AND payment_id < 1000)) ORDER BY amount DESC, payment_id DESC LIMIT 200""")
+def payments_page_after(t):
+    """P4 by keyset: the page after amount 20000.00, payment 1000."""
+    return L.payments_page_after(t.payments, PAYS_REQ, Decimal("20000.00"), 1000, status="completed")
+
+
 @query("page_totals", f"""
 SELECT (SELECT COUNT(*) FROM plans WHERE billing_cycle = 'Yearly') AS plans_total,
        (SELECT COUNT(*) FROM users WHERE email ILIKE '%customer%' OR first_name ILIKE '%customer%'

@@ -15,6 +15,9 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # split a hot key's partition also where what follows wants the key's rows
+    # together and must shuffle once more (joins under an aggregate or a join)
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     # Broadcast only what is measured small: the planner's estimate first,
     # then AQE's runtime size of the shuffled side; beyond it a shuffle join.
