@@ -38,9 +38,10 @@ def first_failure(*checks: tuple[Column, str]) -> Column:
     return out
 
 
-def log_rows(df: DataFrame, user_id: Column, action: str, message: Column, as_of) -> DataFrame:
+def log_rows(df: DataFrame, user_id: Column, action: str, message: Column, as_of,
+             keep: list[str] | None = None) -> DataFrame:
     """LogMessage rows (user, action, message, timestamp)."""
-    return df.select(user_id.cast("bigint").alias("user_id"), F.lit(action).alias("action"),
+    return df.select(*(keep or []), user_id.cast("bigint").alias("user_id"), F.lit(action).alias("action"),
                      message.alias("message"), lit_ts(as_of).alias("timestamp_utc"))
 
 

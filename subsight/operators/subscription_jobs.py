@@ -165,7 +165,7 @@ def expire_due(subscriptions: DataFrame, as_of) -> ChangeSet:
     due = subscriptions.where((F.col("status") == "Active") & (F.col("end_date") <= lit_ts(as_of)))
     changed = due.withColumn("status", F.lit("Expired")).select(*subscriptions.columns)
     logs = log_rows(due, F.col("user_id"), "SubscriptionExpired",
-                    render(TEMPLATES["expired_log"], subscription_id="subscription_id"), as_of)
+                    render(TEMPLATES["expired_log"], subscription_id="subscription_id"), as_of, keep=["subscription_id"])
     notes = notification_rows(due, F.col("user_id"), EXPIRED_SUBJECT,
                               render(TEMPLATES["expired_body"], subscription_id="subscription_id"),
                               as_of, keep=["subscription_id"])

@@ -166,10 +166,9 @@ def append_logs(t):
     from ..operators import subscription_jobs as SJ
     from ..session import scratch_path
     from ..sources.sinks import append_with_ids
-    msgs = SJ.expire_due(t.subscriptions, AS_OF).logs.withColumn(
-        "_sid", F.regexp_extract(F.col("message"), r"Subscription (\d+) ", 1).cast("int"))
-    new = msgs.select("_sid", "user_id", "action", "message", F.col("timestamp_utc").alias("log_date"))
-    out = append_with_ids(scratch_path(t.spark, "logs-table"), t.logs, new, "log_id", ["_sid"])
+    msgs = SJ.expire_due(t.subscriptions, AS_OF).logs
+    new = msgs.select("subscription_id", "user_id", "action", "message", F.col("timestamp_utc").alias("log_date"))
+    out = append_with_ids(scratch_path(t.spark, "logs-table"), t.logs, new, "log_id", ["subscription_id"])
     return out.select("log_id", "user_id", "action", "message", "log_date")
 
 

@@ -182,6 +182,21 @@ def export_plans_csv_line(t):
     return plans_csv_lines(L.plans_filtered(t.plans, search="red"))
 
 
+@query("export_plans_csv", """
+SELECT 'PlanId,Name,Price,BillingCycle,DurationDays,CreatedAt' AS line
+UNION ALL
+SELECT concat(CAST(plan_id AS VARCHAR), ',"', replace(name, '"', '""'), '",', CAST(price AS VARCHAR), ',',
+       billing_cycle, ',', CAST(duration_days AS VARCHAR), ',', strftime(created_at, '%Y-%m-%d')) AS line
+FROM plans""")
+def export_plans_csv(t):
+    """The CSV files of all plans, written and read back (each file's header counts once)."""
+    from ..session import scratch_path
+    from ..sources.sinks import write_plans_csv
+    path = scratch_path(t.spark, "plans-csv")
+    write_plans_csv(t.plans, path)
+    return t.spark.read.text(path).select(F.col("value").alias("line")).distinct()
+
+
 @query("export_plans_json", """
 SELECT plan_id, concat('{"plan_id":', CAST(plan_id AS VARCHAR), ',"name":', to_json(name), ',"description":', to_json(description),
        ',"price":', CAST(price AS VARCHAR), ',"billing_cycle":', to_json(billing_cycle), ',"duration_days":',

@@ -1,3 +1,3 @@
 """Table sources: the mapped tables, stored tables, command inputs, seed and sinks."""
 
-from .tables import StoredTables, Tables, load_tables  # noqa: F401
+from .tables import StoredTables, Tables  # noqa: F401

@@ -6,6 +6,7 @@ each and a marker file is written last, so readers see all or nothing."""
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,11 +23,11 @@ def plans_csv_lines(plans: DataFrame) -> DataFrame:
 
 
 def write_plans_csv(plans: DataFrame, path: str) -> None:
-    """CSV export with header; quotes doubled inside quoted fields."""
-    (plans.select(F.col("plan_id").alias("PlanId"), F.col("name").alias("Name"), F.col("price").alias("Price"),
-                  F.col("billing_cycle").alias("BillingCycle"), F.col("duration_days").alias("DurationDays"),
-                  date_text(F.col("created_at")).alias("CreatedAt"))
-     .write.mode("errorifexists").option("header", True).option("quote", '"').option("escape", '"').csv(path))
+    """CSV export: each file starts with the header; Name is always quoted,
+    with quotes doubled."""
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0  # of its partition, so of its file
+    lines = plans_csv_lines(plans).select(F.when(first, F.concat(F.lit(CSV_HEADER + "\n"), "line")).otherwise(F.col("line")).alias("value"))
+    lines.write.mode("errorifexists").text(path)
 
 
 def json_lines(df: DataFrame, key: str) -> DataFrame:
@@ -41,8 +42,9 @@ def append(df: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 def publish(changes, base_path: str) -> dict[str, str]:
     """Write every output of a ChangeSet under ``base_path`` and a _PUBLISHED
-    marker last. The accepted set is persisted once so all outputs come from
-    one evaluation of the commands."""
+    marker last. The outcome is persisted while it is written; every other
+    output is evaluated from the commands' decided rows (which jobs that need
+    them more than once have checkpointed)."""
     from pyspark import StorageLevel
 
     out: dict[str, str] = {}
@@ -77,7 +79,9 @@ def append_with_ids(target_path: str, base: DataFrame, new_rows: DataFrame, id_c
     try:
         current = spark.read.parquet(target_path)
         current.limit(1).count()
-    except Exception:
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
         base.write.mode("errorifexists").parquet(target_path)
         current = spark.read.parquet(target_path)
     rows = ids.assign_ids(new_rows, order_cols, ids.max_id(current, id_col), id_col, cast=cast)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,8 +63,10 @@ class Tables:
         if path is not None:
             try:
                 return self.spark.read.parquet(path)
-            except Exception:  # the stored copy is gone (folder cleaned): write it again
-                path = None
+            except AnalysisException as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+                path = None  # the stored copy is gone (folder cleaned): write it again
         if path is None:
             from ..session import scratch_path
 
@@ -275,6 +278,3 @@ class StoredTables:
         return df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name)
                            for f in self._SCHEMAS[name].fields])
 
-
-def load_tables(spark: SparkSession, sf_dir: str) -> Tables:
-    return Tables(spark, sf_dir)
