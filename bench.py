@@ -24,6 +24,7 @@ HEADLINE = [
     "subscriptions_page", "payments_page", "page_totals", "quality_violations",
     "subscribe_batch", "renew_batch", "cancel_batch", "refund_batch", "expire_due", "mixed_subscription_batch",
     "webhook_ingest", "outbox_dispatch", "rate_limit_admit",
+    "payments_page_after", "stream_logs", "stream_notifications", "stream_outbox", "stream_webhooks", "stream_rate_limit",
 ]
 
 

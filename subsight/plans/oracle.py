@@ -94,7 +94,8 @@ def oracle(sql: str, extra_ctes: dict[str, str] | None = None) -> str:
     ctes.extend(extra.items())
     if not ctes:
         return sql.strip()
-    head = ",\n".join(f"{n} AS ({q.strip()})" for n, q in ctes)
+    # materialised: a table that a statement meets twice is mapped once
+    head = ",\n".join(f"{n} AS MATERIALIZED ({q.strip()})" for n, q in ctes)
     body = sql.strip()
     if re.match(r"(?i)with\s", body):  # merge with the statement's own CTEs
         return f"WITH {head},\n{body[4:].lstrip()}"

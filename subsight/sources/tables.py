@@ -74,10 +74,10 @@ class Tables:
             order = _STORE_ORDER[name]
             # range-clustered on the order columns: each file holds one slice of
             # the date range, so a date filter skips whole files' row groups.
-            # One range per core of the cluster (an explicit count, which AQE
-            # does not merge away) keeps later scans parallel; the row cap per
-            # file bounds file size when the table is large.
-            slices = self.spark.sparkContext.defaultParallelism
+            # One range per core, or as many as the cluster's shuffles have
+            # (set for its data size), an explicit count that AQE does not
+            # merge away; the row cap per file bounds file size.
+            slices = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
             (build().repartitionByRange(slices, *order).sortWithinPartitions(*order)
              .write.mode("errorifexists").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path))
             _STORED[key] = path
