@@ -192,9 +192,12 @@ def set_status(subscriptions: DataFrame, cmds: DataFrame) -> ChangeSet:
                            (F.col("old_status").isNull(), "not_found"))
     j = j.withColumn("reason", reason)
     ok = j.where(F.col("reason").isNull())
-    last = ok.groupBy("subscription_id").agg(F.max_by("new_status", "seq").alias("_new"))
+    # the status's position (an int) keeps max_by a hash aggregate
+    names = F.array(*[F.lit(x) for x in S.SUBSCRIPTION_STATUSES])
+    last = (ok.withColumn("_code", F.array_position(names, F.col("new_status")).cast("int"))
+            .groupBy("subscription_id").agg(F.max_by("_code", "seq").alias("_new")))
     changed = (subscriptions.join(last, "subscription_id")
-               .withColumn("status", F.col("_new")).select(*subscriptions.columns))
+               .withColumn("status", F.element_at(names, F.col("_new"))).select(*subscriptions.columns))
     outcome = j.select("seq", "subscription_id", "old_status", "new_status", "reason",
                        F.col("reason").isNull().alias("accepted"))
     return ChangeSet(outcome, {"subscriptions": changed})
