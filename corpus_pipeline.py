@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from subsight.llm import minhash, mixing, pii, quality, unigram
-from subsight.llm.common import read, write_and_read
+from subsight.llm.common import read, ship, write_and_read
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,11 +19,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: one document of each class of near-duplicates stays."""
+    ship(spark)
     return minhash.deduplicate(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: personal data and the words that disclose it are masked in the texts."""
+    ship(spark)
     return pii.sanitise(docs)
 
 
@@ -34,6 +36,7 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 9: the pieces of every text, and whether they decode to it."""
+    ship(spark)
     return unigram.pieces(docs, unigram.default_model())
 
 
