@@ -38,6 +38,7 @@ SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 MEMORY = 500_000  # remembered stretches per Python worker and kind
 LONGEST = 64  # longer stretches are not remembered
+ROWS = 500  # texts that are Python objects at a time
 
 
 def default_model() -> str:
@@ -176,6 +177,18 @@ def token_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
+def _slices(batches):
+    """Arrow batches in slices of few rows, so that only few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
+def _id_lists(coded: list[bytes]) -> pa.ListArray:
+    ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32)))
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", into: str = "piece_ids") -> DataFrame:
     """The rows of ``docs`` with the pieces of their text, an array of ids."""
     if into in docs.columns:
@@ -183,11 +196,9 @@ def encode(docs: DataFrame, path: str, text: str = "text", into: str = "piece_id
 
     def run(batches):
         p = load(path)
-        for b in batches:
+        for b in _slices(batches):
             coded = [p.encode(t) for t in b.column(b.schema.get_field_index(text)).to_pylist()]
-            ends = np.cumsum([0, *(len(c) // 4 for c in coded)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(coded), "<u4").astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, into])
+            yield pa.RecordBatch.from_arrays([*b.columns, _id_lists(coded)], [*b.schema.names, into])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(into, T.ArrayType(T.IntegerType()))]))
 
@@ -199,8 +210,9 @@ def decode(rows: DataFrame, path: str, ids: str = "piece_ids", into: str = "deco
 
     def run(batches):
         p = load(path)
-        for b in batches:
-            texts = [p.decode(x or ()) for x in b.column(b.schema.get_field_index(ids)).to_pylist()]
+        for b in _slices(batches):
+            lists = b.column(b.schema.get_field_index(ids))
+            texts = [p.decode(x.values.to_pylist() if x.is_valid else ()) for x in lists]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, into])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(into, T.StringType())]))
@@ -209,9 +221,22 @@ def decode(rows: DataFrame, path: str, ids: str = "piece_ids", into: str = "deco
 def pieces(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """The rows of ``docs`` with n_pieces, piece_ids and round_trip (the decoded pieces are the
     text again, the space mark itself read as a space; a null text is empty)."""
-    same = F.col("decoded") == F.translate(F.coalesce(text, F.lit("")), SPACE, " ")
-    return (decode(encode(docs, path, text), path)
-            .select(*docs.columns, F.size("piece_ids").cast("long").alias("n_pieces"), "piece_ids", same.alias("round_trip")))
+    new = ["n_pieces", "piece_ids", "round_trip"]
+    if clash := set(new) & set(docs.columns):
+        raise ValueError(f"the table already has columns {sorted(clash)}")
+
+    def run(batches):
+        p = load(path)
+        for b in _slices(batches):
+            coded, same = [], []
+            for t in b.column(b.schema.get_field_index(text)).to_pylist():
+                coded.append(p.encode(t))
+                same.append(p.decode(np.frombuffer(coded[-1], "<u4").tolist()) == (t or "").replace(SPACE, " "))
+            counts = pa.array([len(c) // 4 for c in coded], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, counts, _id_lists(coded), pa.array(same, pa.bool_())], [*b.schema.names, *new])
+
+    kinds = (T.LongType(), T.ArrayType(T.IntegerType()), T.BooleanType())
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *(T.StructField(n, k) for n, k in zip(new, kinds))]))
 
 
 def coded_digest(docs: DataFrame, path: str) -> DataFrame:
