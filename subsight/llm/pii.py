@@ -1,19 +1,22 @@
 """Personal data (operator 5): base patterns and information-theoretic sanitisation.
 
 Base patterns find e-mail addresses, IP addresses, card and phone numbers. The values found are
-the protected entities. Words near a mention of an entity (its context) may reveal it after the
-value itself has gone: how strongly is estimated from co-occurrence in the whole corpus. With
-``df`` the number of documents,
+the protected entities. Words of a document that holds an entity may reveal it after the value itself has gone:
+how strongly is estimated from co-occurrence in the whole corpus. A term is any run of letters,
+digits and underscores, short ones and numbers too, wherever it is in the document. With ``df`` the
+number of documents (equal rows are documents of their own),
 
     information(e) = log2(N / df(e)),   PMI(e, t) = log2(N * df(e, t) / (df(e) * df(t))),
     disclosure(e, t) = PMI(e, t) / information(e).
 
-A term at or above ``generalise`` becomes a placeholder in the contexts of that entity, one at or
-above ``remove`` goes. A pair needs ``min_contexts`` different contexts: copies of one passage are
-one context and prove nothing.
+Both are counted alike, over whole documents, the values included: a local part that is also said
+outside its address reveals it. A term at or above ``generalise`` becomes a placeholder at each of
+its occurrences in the documents of that entity, one at or above ``remove`` goes. A pair needs
+``min_contexts`` different contexts, the words of a document besides its values: copies of one text
+are one context and prove nothing. Terms are paired only with entities that have so many contexts.
 
-Only contexts and word counts are shuffled, never a text; documents are known by their id and a
-hash of their text, so equal rows get equal spans. Nothing is broadcast by hand.
+Only terms and word counts are shuffled to find them, never a text; documents are known by their id
+and a hash of their text, so equal rows get equal spans. Nothing is broadcast by hand.
 
 Cases: a null text is empty and has no spans; a text of any length is scanned in linear time;
 repeated rows stay, each with its spans; an empty table gives an empty result; a null doc_id is
@@ -41,15 +44,13 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_WORD = re.compile(r"[^\W\d_]{4,}")
+_WORD = re.compile(r"\w+")
 
 
 @dataclass(frozen=True)
 class Disclosure:
     """Thresholds of the sanitisation."""
 
-    window_words: int = 8  # on each side of a mention
-    window_chars: int = 160
     min_contexts: int = 3
     generalise: float = 0.6
     remove: float = 0.9
@@ -108,20 +109,21 @@ def _signed(data: str) -> int:
     return xxhash.xxh64_intdigest(data.encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], limits: Disclosure = LIMITS):
-    """(entity, context, term, start, end) of the words near each mention, base spans left out."""
-    taken = sorted((a, b) for _, a, b in spans)
+def mentions(text: str, spans: list[tuple[str, int, int]]):
+    """The distinct entities of a text, its context, and all its words as (term, start, end); a word
+    that touches a base span counts too, but has no place (-1)."""
+    entities = []
     for kind, a, b in spans:
         value = text[a:b].lower() if kind == "email" else text[a:b] if kind == "ip" else _digits(text[a:b])
-        low, high = max(0, a - limits.window_chars), min(len(text), b + limits.window_chars)
-        before = [m for m in _WORD.finditer(text, low, a) if m.start() > low or low == 0][-limits.window_words:]
-        after = [m for m in _WORD.finditer(text, b, high) if m.end() < high or high == len(text)][:limits.window_words]
-        near = [(x, y) for x, y in taken if x < high and y > low]
-        found = [m for m in before + after if not any(x < m.end() and m.start() < y for x, y in near)]
-        if found:
-            entity, context = _signed(f"{kind}:{value}"), _signed(" ".join(m[0].lower() for m in found))
-            for m in found:
-                yield entity, context, m[0].lower(), m.start(), m.end()
+        entities.append(_signed(f"{kind}:{value}"))
+    taken, at, end = sorted((a, b) for _, a, b in spans), 0, 0
+    words = []
+    for m in _WORD.finditer(text):
+        while at < len(taken) and taken[at][0] < m.end():
+            end = max(end, taken[at][1])
+            at += 1
+        words.append((m[0].lower(), -1, -1) if m.start() < end else (m[0].lower(), m.start(), m.end()))
+    return sorted(set(entities)), _signed(" ".join(t for t, a, _ in words if a >= 0)), words
 
 
 def joined(spans) -> str:
@@ -129,8 +131,8 @@ def joined(spans) -> str:
 
 
 _SCAN = ("doc_id {id}, key long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base string, "
-         "near array<struct<entity:long,context:long,term:string,start:int,end:int>>")
-_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("context", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+         "entities array<long>, context long, words array<struct<term:string,start:int,end:int>>")
+_WORDS = pa.list_(pa.struct([("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -138,23 +140,23 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.xxhash64("doc_id", text).alias("key"), text.alias("text"))
 
 
-def scan(docs: DataFrame, limits: Disclosure = LIMITS) -> DataFrame:
-    """One row per document: base counts and spans, and the words near each mention."""
+def scan(docs: DataFrame) -> DataFrame:
+    """One row per document: base counts and spans, and where it has any, its entities, context and words."""
     rows = _keyed(docs)
 
     def run(batches):
         for b in batches:
-            cols: list[list] = [[] for _ in range(7)]
+            cols: list[list] = [[] for _ in range(9)]
             for text in b.column(2).to_pylist():
                 spans = base_spans(text)
                 n = Counter(k for k, _, _ in spans)
                 base = joined(spans)
-                near = [dict(zip(("entity", "context", "term", "start", "end"), x)) for x in contexts(text, spans, limits)] if spans else []
-                for col, v in zip(cols, (*(n[k] for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, near)):
+                found = mentions(text, spans) if spans else ([], None, [])
+                for col, v in zip(cols, (*(n[k] for k in KINDS), hashlib.sha256(base.encode()).hexdigest(), base, *found)):
                     col.append(v)
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [_NEAR]
+            kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.list_(pa.int64()), pa.int64(), _WORDS]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds))],
-                                             ["doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "near"])
+                                             ["doc_id", "key", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "entities", "context", "words"])
 
     return rows.mapInArrow(run, _SCAN.format(id=rows.schema["doc_id"].dataType.simpleString()))
 
@@ -174,17 +176,33 @@ def term_documents(docs: DataFrame) -> DataFrame:
     return part.groupBy("term").agg(F.sum("df").alias("df"))
 
 
-def disclosing(docs: DataFrame, scanned: DataFrame, limits: Disclosure = LIMITS) -> DataFrame:
+def _held(scanned: DataFrame, limits: Disclosure) -> DataFrame:
+    """key, entity, context, n (equal rows), entity_df: the entities of each document that have enough
+    contexts for any term to disclose them."""
+    one = (scanned.select("key", "context", F.explode("entities").alias("entity"))
+           .groupBy("key", "entity", "context").agg(F.count("*").alias("n")))
+    enough = (one.groupBy("entity", "context").agg(F.sum("n").alias("n"))
+              .groupBy("entity").agg(F.sum("n").alias("entity_df"), F.count("*").alias("contexts"))
+              .filter(F.col("contexts") >= limits.min_contexts).drop("contexts"))
+    return one.join(enough, "entity")
+
+
+def _together(scanned: DataFrame, held: DataFrame) -> DataFrame:
+    """key, term with each of the document's rows in ``held``: every term once per document."""
+    terms = (scanned.join(held.select("key"), "key", "left_semi")
+             .select("key", F.explode(F.array_distinct(F.col("words")["term"])).alias("term")).distinct())
+    return terms.join(held, "key")
+
+
+def disclosing(docs: DataFrame, scanned: DataFrame, together: DataFrame, limits: Disclosure = LIMITS) -> DataFrame:
     """entity, term, disclosure of the pairs at or above the lower threshold."""
-    near = scanned.select("key", F.explode("near").alias("n")).select("key", "n.entity", "n.context", "n.term")
-    pairs = (near.distinct().groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-             .groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("contexts"))
+    pairs = (together.groupBy("entity", "term", "context").agg(F.sum("n").alias("n"), F.max("entity_df").alias("entity_df"))
+             .groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("contexts"), F.max("entity_df").alias("entity_df"))
              .filter(F.col("contexts") >= limits.min_contexts))
-    entity_df = near.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("entity_df"))
     # the corpus counts only of words that are in question
     counts = term_documents(docs).join(pairs.select("term").distinct(), "term", "left_semi")
     total = scanned.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_docs"))
-    rated = pairs.join(counts, "term").join(entity_df, "entity").withColumn("n_docs", total.scalar())
+    rated = pairs.join(counts, "term").withColumn("n_docs", total.scalar())
     information = F.log2(F.col("n_docs") / F.col("entity_df"))
     pmi = F.log2(F.col("n_docs") * F.col("joint") / (F.col("entity_df") * F.col("df")))
     return (rated.withColumn("disclosure", F.when(information > 0, pmi / F.nullif(information, F.lit(0.0))))
@@ -192,16 +210,22 @@ def disclosing(docs: DataFrame, scanned: DataFrame, limits: Disclosure = LIMITS)
 
 
 def term_spans(docs: DataFrame, scanned: DataFrame, limits: Disclosure = LIMITS) -> DataFrame:
-    """key, terms (array of start, end, gone): the disclosing words in each document's contexts."""
-    near = scanned.select("key", F.explode("near").alias("n")).select("key", "n.entity", "n.term", "n.start", "n.end")
-    hits = near.join(disclosing(docs, scanned, limits), ["entity", "term"])
-    one = hits.groupBy("key", "start", "end").agg((F.max("disclosure") >= limits.remove).alias("gone"))
+    """key, terms (array of start, end, gone): every occurrence of a disclosing word in the documents
+    of its entity, outside the base spans."""
+    held = write_and_read(_held(scanned, limits), "pii-held")
+    together = write_and_read(_together(scanned, held), "pii-together")
+    rated = together.join(disclosing(docs, scanned, together, limits), ["entity", "term"])
+    marks = rated.groupBy("key", "term").agg((F.max("disclosure") >= limits.remove).alias("gone"))
+    marks = write_and_read(marks, "pii-marks")
+    places = (scanned.join(marks.select("key"), "key", "left_semi")
+              .select("key", F.explode(F.filter("words", lambda w: w["start"] >= 0)).alias("w")).select("key", "w.term", "w.start", "w.end"))
+    one = places.join(marks, ["key", "term"]).groupBy("key", "start", "end").agg(F.max("gone").alias("gone"))
     return one.groupBy(F.col("key").alias("t_key")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "gone"))).alias("terms"))
 
 
 def find(docs: DataFrame, limits: Disclosure = LIMITS) -> DataFrame:
     """One row per document: base counts, the digest of the base spans, and all spans."""
-    scanned = write_and_read(scan(docs, limits), "pii-scan")
+    scanned = write_and_read(scan(docs), "pii-scan")
     terms = term_spans(docs, scanned, limits)
     out = scanned.join(terms, F.col("key") == F.col("t_key"), "left")
     texts = F.coalesce(F.transform("terms", lambda t: F.concat_ws(":", F.lit(TERM), t["start"], t["end"])), F.array().cast("array<string>"))
@@ -219,12 +243,14 @@ def masked(text: str, terms) -> str:
         if a >= at:
             out += [text[at:a], mark]
         at = max(at, b)
-    return "".join([*out, text[at:]])
+    new = "".join([*out, text[at:]])
+    # what is left around a removed term may read as a value
+    return masked(new, ()) if terms and base_spans(new) else new
 
 
 def sanitise(docs: DataFrame, limits: Disclosure = LIMITS) -> DataFrame:
     """The rows of ``docs`` with the spans masked in their texts (``n_chars`` follows, where it is there)."""
-    scanned = write_and_read(scan(docs, limits), "pii-scan")
+    scanned = write_and_read(scan(docs), "pii-scan")
     terms = term_spans(docs, scanned, limits)
     text = whole_text()
     whole = docs.select(F.struct(*docs.columns).alias("all"), F.xxhash64("doc_id", text).alias("key"))

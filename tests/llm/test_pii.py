@@ -100,3 +100,38 @@ def test_odd_rows(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in P.sanitise(docs).collect() if r["doc_id"] in (1, 2, 3)), key=str) == [
         (1, None), (2, ""), (3, "[EMAIL]"), (3, "[EMAIL]")]
     assert P.find(docs.limit(0)).collect() == [] and P.sanitise(docs.limit(0)).collect() == []
+
+
+def far_corpus():
+    """Terms far from the one address that they disclose: a nickname, a short name, a user name and a staff number."""
+    rng = random.Random(8)
+    common = [f"common{chr(97 + i)}" for i in range(20)]
+    words = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    rows = [(i, words(40) + ".") for i in range(400)]
+    rows += [(1000 + i, f"Zorblatt {words(30)} Bo {words(9)} mail far@site.org {words(25)} zed77, no 48213 {words(200)} ZORBLATT and far_off {words(3)}")
+             for i in range(6)]
+    return rows + [(2000 + i, f"Zorblatt {words(8)}") for i in range(2)]
+
+
+def test_terms_anywhere_in_the_document(spark):
+    docs = spark.createDataFrame(far_corpus(), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in P.find(docs).collect()}
+    clean = {r["doc_id"]: r["text"] for r in P.sanitise(docs).collect()}
+    for i, text in far_corpus():
+        want = [m.span() for m in re.finditer(r"\b(Zorblatt|Bo|mail|zed77|no|48213|ZORBLATT|and|far_off)\b", text)] if 1000 <= i < 2000 else []
+        assert want == [(int(a), int(b)) for a, b in re.findall(r"term:(\d+):(\d+)", got[i])]
+        assert (clean[i] == text) == (not want) and not (want and re.search("(?i)zorblatt|zed77|48213|far_off|far@", clean[i]))
+
+
+def test_equal_rows_are_counted_as_documents(spark):
+    """Joint counts and document counts go alike: copies of a row lower neither side of the ratio."""
+    rows = [(i, f"plain words here{i % 9}") for i in range(200)] + [(300 + i, f"Quux said me@x.org {w}") for i, w in enumerate(("one", "two", "three"))] * 4
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = P.find(docs).collect()
+    assert len(got) == len(rows) and {r["n_terms"] for r in got if r["doc_id"] >= 300} == {2}
+    assert not any("[TERM]" in r["text"] for r in P.sanitise(docs).collect())  # said only with the value: removed
+
+
+def test_no_value_appears_where_a_term_went():
+    gone = [{"start": 3, "end": 6, "gone": True}]
+    assert P.masked("+1 foo 743 555 38 24", gone) == "[PHONE]"
