@@ -1,20 +1,21 @@
-"""Embedding near-duplicates (operator 3): a robust-pruned flat graph, searched by range.
+"""Embedding near-duplicates (operator 3): overlapping shards, searched by range.
 
 Vectors of one label (and dimension) are dealt to overlapping shards: a shard that is too large is
 split by pivots drawn from it, and each vector goes to the shards of its nearest pivots and of the
-first pivot within the link radius, so a clump of near copies stays together. Each shard builds
-its part of the graph: the nearest candidates of a vector, robust-pruned (a candidate goes if a kept
-neighbour is closer to it by the factor ``ALPHA``). The adjacency lists of all shards are united.
-Every vector then searches the united graph of its shards: greedily from the medoid and from its own
-list, with a beam, and then by range: whatever is found in range is expanded until nothing new is
-in range. Cosines are verified in double precision. A pair that shares several shards is counted
-in the first of them. A sample of vectors is audited against all vectors; below ``MIN_RECALL`` the
-overlap is doubled and the search runs again.
+first pivot within the link radius, so a clump of near copies stays together. In its shards every
+vector meets all others, in blocks of about ``SHARD`` against ``SHARD`` vectors: a shard that does
+not split (a clump, or one that is still too large after ``DEPTH`` rounds) is many tasks, and none of
+them holds more than two blocks. Cosines are verified in double precision. A pair that shares
+several shards is counted in the first of them. A sample of vectors is audited against all vectors;
+below ``MIN_RECALL`` the overlap is doubled and the search runs again.
 
 Equal vectors of one label are one node with a count from the start, so thousands of copies cost
-one search. Only links to the smallest found vector leave a shard, so a clump of k vectors sends
-k rows. The one bound is the clump itself: distinct vectors within the link radius of one pivot
-share a shard, and counting their links takes the square of their number in time, not in memory.
+one search. Only links to the smallest found vector leave a group, never a row per pair. A clump of
+k distinct vectors costs the square of k in time, spread over its (k / SHARD)^2 groups.
+
+``build``, ``both_ways`` and ``search`` are the robust-pruned graph over vectors in memory. The
+query does not use them: their lists come from comparing all vectors of a shard, which finds every
+link of the shard already, where a search of the lists loses some.
 
 Cases: vectors that are null, empty, zero or hold null or non-finite components, and vectors
 without a label, link with nothing: component_id is their own id. A null vec_id names no
@@ -236,49 +237,66 @@ def _join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = labels[labels]
 
 
-def _build_shard(table: pa.Table) -> pa.Table:
-    node = table["node"].to_numpy()
-    near = build(_matrix(table["vec"]))
-    lists = [node[v[v >= 0]] for v in near]
-    return pa.table({"node": pa.array(node), "near": pa.array(lists, pa.list_(pa.int64()))})
-
-
-def _search_shard(table: pa.Table) -> pa.Table:
-    table = table.sort_by("node")
-    shard = table["shard"][0].as_py()
-    node, x, copies = table["node"].to_numpy(), _matrix(table["vec"]), table["n"].to_numpy()
-    lists = []
-    for near in table["near"].to_pylist():
-        near = np.array(near or [], np.int64)
-        at = np.minimum(np.searchsorted(node, near), len(node) - 1)
-        lists.append(at[node[at] == near])
-    adjacent = both_ways(lists)
-    medoid = int((x @ x.mean(axis=0)).argmax())
-    # of the shards a pair shares, the first one counts it
-    shards = table["shards"].to_pylist()
-    earlier = sorted({s for own in shards for s in own if s < shard})
-    marks = [np.array([s in own for own in shards]) for s in earlier]
+_MET = "node long, links long, root long"
+
+
+def _blocks(queries: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Queries and members of a shard, dealt by hash to (shard, block, q_block) groups in which each
+    query meets each member once: a group holds about SHARD of either, however large the shard is."""
+    of_members = members.groupBy("shard").agg(F.ceil(F.count("*") / SHARD).alias("blocks"))
+    of_queries = queries.groupBy("shard").agg(F.ceil(F.count("*") / SHARD).alias("q_blocks"))
+    counts = of_members.join(of_queries, "shard")
+    dealt = lambda n: F.pmod(F.xxhash64("node", F.lit("block")), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    q = queries.join(counts, "shard").withColumn("q_block", dealt("q_blocks")).withColumn("block", every("blocks"))
+    m = members.join(counts, "shard").withColumn("block", dealt("blocks")).withColumn("q_block", every("q_blocks"))
+    q, m = q.drop("blocks", "q_blocks"), m.drop("blocks", "q_blocks")
+    return q, m.toDF(*m.columns)  # columns of its own: both may come from one table
+
+
+def _codes(sets: list, names: dict[str, int]) -> np.ndarray:
+    """One row per set of shards: 1 in the column of each of its names."""
+    out = np.zeros((len(sets), len(names)), np.float32)
+    for i, own in enumerate(sets):
+        for name in own:
+            if name in names:
+                out[i, names[name]] = 1
+    return out
+
+
+def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
+    """All queries against all members of a group. A pair is counted in the first shard where it meets."""
+    if not left.num_rows or not right.num_rows:
+        return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+    shard = left["shard"][0].as_py()
+    own, other = left["node"].to_numpy(), right["node"].to_numpy()
+    x, y, copies = _matrix(left["vec"]), _matrix(right["vec"]), right["n"].to_numpy().astype(np.float64)
+    node, place = np.unique(np.concatenate((own, other)), return_inverse=True)
+    own_at, other_at = place[:len(own)], place[len(own):]
+    homes = right["shards"].to_pylist()
+    names = {name: i for i, name in enumerate(sorted({name for h in homes for name in h} - {shard}))}
+    home = _codes(homes, names)
+    earlier = _codes([[name for name in v if name < shard] for v in left["shards"].to_pylist()], names)
     links, labels = np.zeros(len(node), np.int64), np.arange(len(node))
-    for a in range(0, len(node), QUERIES):
-        q = np.arange(a, min(a + QUERIES, len(node)))
-        hit = search(x, adjacent, medoid, q)
+    for a in range(0, len(own), QUERIES):
+        q = slice(a, a + QUERIES)
+        hit = (x[q] @ y.T >= COSINE) & (own[q, None] != other[None, :])
         r, c = np.nonzero(hit)
-        _join_labels(labels, q[r], c)
-        for m in marks:
-            hit[np.ix_(m[q], m)] = False
-        links[q] += hit @ copies
+        _join_labels(labels, own_at[q][r], other_at[c])
+        if names:
+            hit &= ~(earlier[q] @ home.T > 0)
+        links[own_at[q]] += (hit @ copies).astype(np.int64)
     return pa.table({"node": pa.array(node), "links": pa.array(links), "root": pa.array(node[labels])})
 
 
 def _found(nodes: DataFrame, overlap: int) -> DataFrame:
-    """(node, links, root) from every shard a node is in."""
+    """(node, links, root) from every group a node is in."""
     placed = write_and_read(deal(nodes, overlap), "graph-dealt")
-    lists = placed.groupBy("shard").applyInArrow(_build_shard, "node long, near array<long>")
-    united = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     shards = placed.groupBy("node").agg(F.collect_set("shard").alias("shards"))
-    rows = placed.join(united, "node").join(shards, "node").join(nodes.select("node", "n"), "node")
-    found = rows.groupBy("shard").applyInArrow(_search_shard, "node long, links long, root long")
-    return write_and_read(found, "graph-found")
+    members = write_and_read(placed.join(shards, "node").join(nodes.select("node", "n"), "node"), "graph-members")
+    q, m = _blocks(members, members)
+    key = ("shard", "block", "q_block")
+    return write_and_read(q.groupBy(*key).cogroup(m.groupBy(*key)).applyInArrow(_meet, _MET), "graph-found")
 
 
 def recall(nodes: DataFrame, links: DataFrame) -> float:

@@ -92,3 +92,18 @@ def test_query_equals_all_pairs(spark):
         rows = duckdb.sql(f"SELECT vec_id, embedding, label FROM '{sf}/embeddings.parquet'").fetchall()
         got = sorted(((r["vec_id"], r["n_links"], r["component_id"]) for r in N.op3_embedding_dedup(spark, sf).collect()), key=str)
         assert got == brute(rows)
+
+
+def test_a_clump_is_dealt_in_blocks(spark, monkeypatch):
+    """Near copies that no pivot tells apart: every link is found, and no group holds them all."""
+    for name, value in (("SHARD", 64), ("PART", 32), ("CHUNK", 100)):
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(5)
+    c = rng.normal(size=16)
+    rows = as_float([(i, (c + 0.001 * rng.normal(size=16)).tolist(), 1) for i in range(500)])
+    assert run(spark, rows) == brute(rows)
+    nodes = N.nodes_of(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    placed = N.write_and_read(N.deal(nodes, 2), "test-dealt")
+    for part in N._blocks(placed, placed):
+        sizes = [r["count"] for r in part.groupBy("shard", "block", "q_block").count().collect()]
+        assert max(sizes) <= 2 * N.SHARD and len(sizes) > 1
