@@ -1,13 +1,19 @@
-"""Embedding near-duplicates (operator 3): overlapping shards, searched by range.
+"""Embedding near-duplicates (operator 3): overlapping shards, searched by range across them.
 
 Vectors of one label (and dimension) are dealt to overlapping shards: a shard that is too large is
 split by pivots drawn from it, and each vector goes to the shards of its nearest pivots and of the
 first pivot within the link radius, so a clump of near copies stays together. In its shards every
 vector meets all others, in blocks of about ``SHARD`` against ``SHARD`` vectors: a shard that does
 not split (a clump, or one that is still too large after ``DEPTH`` rounds) is many tasks, and none of
-them holds more than two blocks. Cosines are verified in double precision. A pair that shares
-several shards is counted in the first of them. A sample of vectors is audited against all vectors;
-below ``MIN_RECALL`` the overlap is doubled and the search runs again.
+them holds more than two blocks. Cosines are verified in double precision.
+
+The search leaves the shards: of its ``LEAD`` nearest vectors and of every vector that it finds in
+range, a vector visits all other shards too and meets their vectors, and each vector that it finds
+visits its shards in turn. Rounds of visits go on until nothing new is in range, so links are found
+from both sides. A pair that meets in several shards is counted in the first round and shard. What
+can still be missed is a pair whose shards no chain of links or nearest vectors joins: a sample of
+vectors is audited against all vectors; below ``MIN_RECALL`` the overlap is doubled and the search
+runs again.
 
 Equal vectors of one label are one node with a count from the start, so thousands of copies cost
 one search. Only links to the smallest found vector leave a group, never a row per pair. A clump of
@@ -41,6 +47,7 @@ CHUNK = 50_000  # vectors of one shard that are dealt together
 DEPTH = 8
 CANDIDATES, DEGREE, ALPHA = 48, 16, 1.2
 BEAM, WIDTH = 32, 4
+LEAD = 4  # nearest vectors whose shards are visited, in range or not
 QUERIES = 256  # searched together
 AUDITED = 1024
 MIN_RECALL = 0.95
@@ -157,6 +164,7 @@ def both_ways(lists: list[np.ndarray]) -> np.ndarray:
     a = np.repeat(np.arange(n), [len(v) for v in lists])
     b = np.concatenate(lists).astype(np.int64) if n else np.zeros(0, np.int64)
     pairs = np.unique(np.concatenate((a * n + b, b * n + a)))
+    pairs = pairs[np.lexsort((~np.isin(pairs, a * n + b), pairs // n if n else pairs))]  # a vector's own list first
     a, b = pairs // n, pairs % n
     a, b = a[a != b], b[a != b]
     width = max(1, 2 * max((len(v) for v in lists), default=1))
@@ -237,7 +245,7 @@ def _join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             labels[:] = labels[labels]
 
 
-_MET = "node long, links long, root long"
+_MET = "node long, links long, root long, go array<string>"
 
 
 def _blocks(queries: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -265,38 +273,65 @@ def _codes(sets: list, names: dict[str, int]) -> np.ndarray:
 
 
 def _meet(left: pa.Table, right: pa.Table) -> pa.Table:
-    """All queries against all members of a group. A pair is counted in the first shard where it meets."""
+    """All queries (left) against all members of a group. A pair is counted unless it met before: in
+    an earlier round, or in an earlier one of this round's shards. ``go`` are shards to visit."""
     if not left.num_rows or not right.num_rows:
-        return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64())})
+        return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "root": pa.array([], pa.int64()),
+                         "go": pa.array([], pa.list_(pa.string()))})
     shard = left["shard"][0].as_py()
     own, other = left["node"].to_numpy(), right["node"].to_numpy()
     x, y, copies = _matrix(left["vec"]), _matrix(right["vec"]), right["n"].to_numpy().astype(np.float64)
     node, place = np.unique(np.concatenate((own, other)), return_inverse=True)
     own_at, other_at = place[:len(own)], place[len(own):]
-    homes = right["shards"].to_pylist()
-    names = {name: i for i, name in enumerate(sorted({name for h in homes for name in h} - {shard}))}
-    home = _codes(homes, names)
-    earlier = _codes([[name for name in v if name < shard] for v in left["shards"].to_pylist()], names)
+    own_homes, homes, before = left["shards"].to_pylist(), right["shards"].to_pylist(), left["before"].to_pylist()
+    names = {name: i for i, name in enumerate(sorted({name for h in own_homes + homes for name in h} - {shard}))}
+    home, own_home = _codes(homes, names), _codes(own_homes, names)
+    met = _codes([[*b, *(name for name in f if name < shard)] for b, f in zip(before, left["fresh"].to_pylist())], names)
+    lead = 0 if any(before) else min(LEAD, len(other) - 1)
     links, labels = np.zeros(len(node), np.int64), np.arange(len(node))
+    go = np.zeros((len(node), len(names)), bool)
     for a in range(0, len(own), QUERIES):
         q = slice(a, a + QUERIES)
-        hit = (x[q] @ y.T >= COSINE) & (own[q, None] != other[None, :])
+        s = x[q] @ y.T
+        s[own[q, None] == other[None, :]] = -np.inf
+        hit = s >= COSINE
         r, c = np.nonzero(hit)
         _join_labels(labels, own_at[q][r], other_at[c])
         if names:
-            hit &= ~(earlier[q] @ home.T > 0)
+            near = hit.astype(np.float32)
+            go[other_at] |= near.T @ own_home[q] > 0
+            if lead:
+                s[hit] = -np.inf
+                np.put_along_axis(near, np.argpartition(-s, lead - 1, axis=1)[:, :lead], 1, axis=1)
+            go[own_at[q]] |= near @ home > 0
+            hit &= ~(met[q] @ home.T > 0)
         links[own_at[q]] += (hit @ copies).astype(np.int64)
-    return pa.table({"node": pa.array(node), "links": pa.array(links), "root": pa.array(node[labels])})
+    every = np.array(list(names), object)
+    return pa.table({"node": pa.array(node), "links": pa.array(links), "root": pa.array(node[labels]),
+                     "go": pa.array([every[g].tolist() for g in go], pa.list_(pa.string()))})
 
 
 def _found(nodes: DataFrame, overlap: int) -> DataFrame:
-    """(node, links, root) from every group a node is in."""
+    """(node, links, root) from every group a node is in, round by round."""
     placed = write_and_read(deal(nodes, overlap), "graph-dealt")
     shards = placed.groupBy("node").agg(F.collect_set("shard").alias("shards"))
     members = write_and_read(placed.join(shards, "node").join(nodes.select("node", "n"), "node"), "graph-members")
-    q, m = _blocks(members, members)
-    key = ("shard", "block", "q_block")
-    return write_and_read(q.groupBy(*key).cogroup(m.groupBy(*key)).applyInArrow(_meet, _MET), "graph-found")
+    queries = members.withColumns({"before": F.array().cast("array<string>"), "fresh": F.col("shards")})
+    key, cols = ("shard", "block", "q_block"), ("node", "links", "root")
+    visited, all_found = placed.select("node", "shard"), None
+    while True:
+        q, m = _blocks(queries, members)
+        found = write_and_read(q.groupBy(*key).cogroup(m.groupBy(*key)).applyInArrow(_meet, _MET), "graph-found")
+        all_found = found.select(*cols) if all_found is None else all_found.unionByName(found.select(*cols))
+        visits = found.select("node", F.explode("go").alias("shard")).distinct().join(visited, ["node", "shard"], "left_anti")
+        visits = write_and_read(visits, "graph-visits")
+        if visits.isEmpty():
+            return all_found
+        before = visited.groupBy("node").agg(F.collect_set("shard").alias("before"))
+        fresh = visits.groupBy("node").agg(F.collect_set("shard").alias("fresh"))
+        vectors = nodes.select("node", "vec").join(shards, "node").join(before, "node").join(fresh, "node")
+        queries = write_and_read(visits.join(vectors, "node"), "graph-queries")
+        visited = write_and_read(visited.unionByName(visits), "graph-visited")
 
 
 def recall(nodes: DataFrame, links: DataFrame) -> float:

@@ -107,3 +107,21 @@ def test_a_clump_is_dealt_in_blocks(spark, monkeypatch):
     for part in N._blocks(placed, placed):
         sizes = [r["count"] for r in part.groupBy("shard", "block", "q_block").count().collect()]
         assert max(sizes) <= 2 * N.SHARD and len(sizes) > 1
+
+
+def test_links_lead_across_shards(spark, monkeypatch):
+    """A long arc, dealt to many shards that are not much wider than a link: pairs without a common shard are found."""
+    for name, value in (("SHARD", 100), ("PART", 25), ("CHUNK", 150), ("QUERIES", 64)):
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(9)
+    turn = rng.permutation(np.linspace(0, 3, 700)) + 0.001 * rng.normal(size=700)
+    rows = as_float([(i, [float(np.cos(t)), float(np.sin(t)), 0.02 * float(rng.normal()), 0.0], 1) for i, t in enumerate(turn)])
+    monkeypatch.setattr(N, "recall", lambda *_: 1.0)  # one run with the first overlap
+    assert run(spark, rows) == brute(rows)
+
+
+def test_a_hub_keeps_its_own_list():
+    n = 200
+    lists = [np.array([n - 1]) if i < n - 10 else np.zeros(0, int) for i in range(n)]
+    lists[-1] = np.arange(n - 8, n - 1)
+    assert set(lists[-1]) <= set(N.both_ways(lists)[-1])
