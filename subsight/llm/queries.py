@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 _QUERIES = (
     ("tokenfile", "op1_token_output"), ("unigram", "op2_token_counts"), ("neighbours", "op3_embedding_dedup"), ("minhash", "op4_minhash"), ("pii", "op5_private_data"), ("lm", "op6_lm_scoring"), ("unigram", "op9_sentencepiece"),
     ("quality", "op8_quality_rules"), ("mixing", "op7_mixing"), ("chat", "op10_chat_formatting"),
+    ("centroids", "op11_centroid_clustering"), ("negatives", "op12_hard_negatives"), ("passages", "op13_substring_dedup"),
 )
 
 
