@@ -6,7 +6,7 @@ excess requests are rejected, never queued."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -37,8 +37,20 @@ def first_k(df: DataFrame, group_cols: list[str], order_cols: list[str], k: int,
     return out.withColumnRenamed("_r2", rank) if rank else out.drop("_r2")
 
 
+def window_start(ts: Column, window: str) -> Column:
+    """Start of the epoch-aligned window a time falls into; null for no time
+    (``F.window`` would drop the row)."""
+    micros = F.unix_micros(ts.cast("timestamp"))
+    width = F.unix_micros(F.expr(f"TIMESTAMP '1970-01-01 00:00:00Z' + INTERVAL {window}"))
+    return F.timestamp_micros(micros - F.pmod(micros, width)).cast("timestamp_ntz")
+
+
 def admit(requests: DataFrame, key_col: str, ts_col: str, window: str, permits: int,
           order_cols: list[str], unique_col: str) -> DataFrame:
-    """Adds window_start and admitted."""
-    w = requests.withColumn("window_start", F.window(F.col(ts_col), window).start.cast("timestamp_ntz"))
-    return first_k(w, [key_col, "window_start"], order_cols, permits, unique_col)
+    """Adds window_start and admitted. Every request gets a decision: one
+    without a time belongs to no window and is not admitted."""
+    timed = requests.where(F.col(ts_col).isNotNull()).withColumn("window_start", window_start(F.col(ts_col), window))
+    out = first_k(timed, [key_col, "window_start"], order_cols, permits, unique_col)
+    untimed = requests.where(F.col(ts_col).isNull()).select(
+        *requests.columns, F.lit(None).cast("timestamp_ntz").alias("window_start"), F.lit(False).alias("admitted"))
+    return out.unionByName(untimed)

@@ -36,18 +36,22 @@ def signed_inbound(t, secret: str) -> DataFrame:
         "raw_payload")
 
 
-def dispositions(inbound: DataFrame, secret: str, known_event_ids: DataFrame | None = None) -> DataFrame:
+def dispositions(inbound: DataFrame, secret: str, known_event_ids: DataFrame | None = None,
+                 new_event_ids: DataFrame | None = None) -> DataFrame:
     """Adds ``disposition`` and the parsed body ``b``.
 
     The first request of each event id (smallest seq among the
     authenticated) wins; it is found with a min aggregate and joined back on
     seq, so a hot event id costs one partial aggregate, not one large group.
     ``known_event_ids`` (the WebhookEvents sink) makes the id permanent
-    across batches."""
+    across batches; a stream passes ``new_event_ids``, the ids its state has
+    not seen before."""
     w = inbound.withColumn("_sig_ok", H.signature_ok(F.col("raw_payload"), F.col("signature"), secret))
     candidates = w.where(~blank_col(F.col("event_id")) & F.col("_sig_ok"))
     if known_event_ids is not None:
         candidates = candidates.join(known_event_ids.select("event_id"), "event_id", "left_anti")
+    if new_event_ids is not None:
+        candidates = candidates.join(new_event_ids.select("event_id"), "event_id", "left_semi")
     winners = candidates.groupBy("event_id").agg(F.min("seq").alias("seq")).select("seq", F.lit(True).alias("_first"))
     w = w.join(winners, "seq", "left").withColumn("b", J.parse_webhook(F.col("raw_payload")))
     disp = (F.when(blank_col(F.col("event_id")), "missing_event_id")
@@ -64,7 +68,8 @@ def outbox_type(body_type) -> F.Column:
 
 
 def ingest(inbound: DataFrame, payments: DataFrame, outbox: DataFrame, secret: str,
-           known_event_ids: DataFrame | None = None, with_outbox: bool = True) -> dict[str, DataFrame]:
+           known_event_ids: DataFrame | None = None, with_outbox: bool = True,
+           new_event_ids: DataFrame | None = None) -> dict[str, DataFrame]:
     """Returns {'events', 'payment_updates', 'outbox', 'dispositions'}.
 
     Outbox ids continue the outbox table in arrival order; assigning them
@@ -79,7 +84,7 @@ def ingest(inbound: DataFrame, payments: DataFrame, outbox: DataFrame, secret: s
     from ..session import checkpoint_dir
 
     checkpoint_dir(inbound.sparkSession)
-    d = dispositions(inbound, secret, known_event_ids).checkpoint(eager=True)
+    d = dispositions(inbound, secret, known_event_ids, new_event_ids).checkpoint(eager=True)
     acc = d.where(F.col("disposition") == "accepted")
     # stored events: every authenticated first arrival (malformed ones stay unprocessed)
     events = d.where(F.col("disposition").isin("accepted", "malformed", "invalid_status")).select(

@@ -32,9 +32,11 @@ def query(name: str, sql: str | None = None, ctes: dict[str, str] | None = None)
     """Register ``fn(spark, tables) -> DataFrame`` under ``name``."""
 
     def deco(fn):
+        from ..session import apply_settings
         from ..sources.tables import Tables
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            apply_settings(spark)
             return fn(Tables(spark, sf_dir))
 
         run.__name__ = f"q_{name}"

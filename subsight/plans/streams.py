@@ -62,7 +62,7 @@ def stream_outbox_rows(t):
 
 def _outbox_sink(t):
     path = land(_conform(t.outbox, S.OUTBOX), "outbox", "outbox_id")
-    return SJ.outbox_stream(t.spark, path, S.OUTBOX, t.users, AS_OF, files_per_trigger=1)
+    return SJ.outbox_stream(t.spark, path, S.OUTBOX, t.users, AS_OF, files_per_trigger=1, retry_after_ms=200)
 
 
 @query("stream_webhooks", _WEBHOOK + """
@@ -79,4 +79,4 @@ def stream_rate_limit(t):
     """ST6: fixed-window limiter as a stateful stream (5 per day per client)."""
     w = _conform(t.webhook_inbound.withColumn("signature", F.lit(None).cast("string")), S.WEBHOOK_IN)
     path = land(w, "ratelimit", "seq")
-    return SJ.rate_limit_stream(t.spark, path, "1 day", 5, keep="7 days", files_per_trigger=1)
+    return SJ.rate_limit_stream(t.spark, path, "1 day", 5, keep="7 days", files_per_trigger=1).drop("reason")

@@ -1,7 +1,11 @@
 """Stream jobs: logs (ST1), notifications (ST2), outbox (ST3), webhooks
-(ST5) and rate limiting (ST6). Each ``run_*`` starts the query with
-``trigger(availableNow=True)``, waits for it and returns the sink as a
-batch DataFrame."""
+(ST5) and rate limiting (ST6).
+
+What a job must remember is keyed state in the state store
+(``streaming.state``); each micro-batch is written to a folder of its own,
+overwritten on replay. Passing the ``sink`` of an earlier run resumes it
+from its checkpoint. Jobs run with ``trigger(availableNow=True)``, but for
+the outbox, whose retries wait for processing-time timers."""
 
 from __future__ import annotations
 
@@ -13,9 +17,12 @@ from pyspark.sql import functions as F
 
 from ..operators import outbox as O
 from ..operators import ratelimit as RL
+from ..functions import hmac as H
+from ..functions.predicates import blank_col
 from ..operators import webhooks as W
-from ..session import scratch_path
+from ..session import apply_settings, scratch_path
 from ..sources import schemas as S
+from . import state as K
 
 
 def _sink_batch(sink: str, name: str, batch_id: int, df: DataFrame) -> None:
@@ -51,24 +58,48 @@ def _batch(spark: SparkSession, sink: str, name: str, batch_id: int) -> DataFram
         return None
 
 
-def run_foreach(spark: SparkSession, source_path: str, schema, name: str,
-                handle: Callable[[DataFrame, int, str], None], files_per_trigger: int | None = None,
-                sink: str | None = None) -> str:
-    """readStream (files) -> foreachBatch(handle) with a checkpoint; returns
-    the sink folder. Passing the ``sink`` of an earlier run resumes it: only
-    files that run has not seen are processed. ``files_per_trigger`` bounds a
-    micro-batch (by default nothing does)."""
-    sink = sink or scratch_path(spark, f"sink-{name}")
+def _read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    stream = reader.parquet(source_path)
-    q = (stream.writeStream.foreachBatch(lambda df, bid: handle(df, bid, sink))
-         .option("checkpointLocation", f"{sink}/_checkpoint").trigger(availableNow=True).start())
+    return reader.parquet(path)
+
+
+def run_foreach(spark: SparkSession, source_path: str, schema, name: str,
+                handle: Callable[[DataFrame, int, str], None], files_per_trigger: int | None = None,
+                sink: str | None = None, transform: Callable[[DataFrame], DataFrame] | None = None,
+                conf: dict[str, str] | None = None) -> str:
+    """readStream (files) -> transform -> foreachBatch(handle) with a
+    checkpoint; returns the sink folder. Passing the ``sink`` of an earlier
+    run resumes it: only files that run has not seen are processed.
+    ``files_per_trigger`` bounds a micro-batch (by default nothing does);
+    ``conf`` are settings for this query alone."""
+    sink = sink or scratch_path(spark, f"sink-{name}")
+    stream = _read_stream(spark, source_path, schema, files_per_trigger)
+    if transform:
+        apply_settings(spark)  # the state store
+        stream = transform(stream)
+    before = {k: spark.conf.get(k, None) for k in conf or {}}
+    try:
+        for k, v in (conf or {}).items():
+            spark.conf.set(k, v)
+        # the query takes a copy of the settings with it
+        q = (stream.writeStream.foreachBatch(lambda df, bid: handle(df, bid, sink))
+             .option("checkpointLocation", f"{sink}/_checkpoint").trigger(availableNow=True).start())
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     q.awaitTermination()
     return sink
 
 
+def _arrived(batch: DataFrame, sink: str, name: str, batch_id: int) -> DataFrame:
+    """A micro-batch, written once and read again: every action on the batch
+    itself would run its sources and state operators anew."""
+    _sink_batch(sink, name, batch_id, batch)
+    return batch.sparkSession.read.schema(batch.schema).parquet(f"{sink}/{name}/batch={batch_id}")
+
+
 def logs_stream(spark: SparkSession, source_path: str, users: DataFrame,
                 files_per_trigger: int | None = None) -> DataFrame:
     """ST1: append log messages; a message for an unknown user (the foreign
@@ -100,49 +131,82 @@ def notifications_stream(spark: SparkSession, source_path: str, files_per_trigge
     return _read_sink(spark, sink, "logs", LOG_MESSAGE)
 
 
-def dispatch_batch(spark: SparkSession, users: DataFrame, as_of) -> Callable[[DataFrame, int, str], None]:
-    """ST3, one micro-batch: its new rows and the rows that failed before and
-    have attempts left. Writes the rows' state (C19), so the next batch finds
-    those that are still pending. It reads the batch before it only, so a
-    replay of a batch id writes the same again."""
+def outbox_stream(spark: SparkSession, source_path: str, schema, users: DataFrame, as_of,
+                  files_per_trigger: int | None = None, sink: str | None = None,
+                  retry_after_ms: int = 2000, settle: bool = True) -> str:
+    """ST3: dispatch new outbox rows, and failed ones again ``retry_after_ms``
+    later until they are processed or out of attempts. Returns the sink;
+    :func:`outbox_final` reads it.
+
+    A batch writes its rows' state (C19) and the rows to retry. Those are the
+    query's second source: they wait in keyed state for their timer, which
+    lets them into a later batch. So a retry is a micro-batch of the query
+    itself. A query that is stopped between attempts resumes with the rows
+    still waiting, and a batch that is replayed writes its folders again:
+    no notification is sent twice.
+
+    Runs until no row waits; with ``settle=False`` only until the new rows
+    have been dispatched once."""
     from ..sources.schemas import OUTBOX
 
+    apply_settings(spark)
+    sink = sink or scratch_path(spark, "sink-outbox")
     cols = [f.name for f in OUTBOX.fields]
-
-    def handle(batch: DataFrame, bid: int, sink: str) -> None:
-        earlier = _batch(spark, sink, "outbox", bid - 1)
-        rows = batch.select(*cols)
-        if earlier is not None:
-            rows = rows.unionByName(O.pending(earlier).select(*cols))
-        res = O.dispatch(rows, users, as_of)
+    retries = f"{sink}/retries"
+    spark.createDataFrame([], OUTBOX).write.mode("append").parquet(f"{retries}/none")  # a source must exist
+    new = _read_stream(spark, source_path, schema, files_per_trigger).select(*cols, F.lit(False).alias("again"))
+    failed = spark.readStream.schema(OUTBOX).option("recursiveFileLookup", "true").parquet(retries)
+    waited = K.waiting_room(failed.select(*cols), "outbox_id", retry_after_ms).withColumn("again", F.lit(True))
+
+    def handle(batch: DataFrame, bid: int) -> None:
+        batch = batch.persist()
+        try:
+            if not batch.count():  # a count runs every partition of the state; idle batches leave no folder
+                return
+            rows = _arrived(batch, sink, "due", bid)
+        finally:
+            batch.unpersist()
+        res = O.dispatch(rows.select(*cols), users, as_of)
         for name in ("outbox", "results", "notifications", "logs"):
             _sink_batch(sink, name, bid, res[name])
+        left = O.pending(spark.read.schema(OUTBOX).parquet(f"{sink}/outbox/batch={bid}"))
+        _sink_batch(sink, "retries", bid, left.select(*cols))
 
-    return handle
+    q = (new.unionByName(waited).writeStream.foreachBatch(handle)
+         .option("checkpointLocation", f"{sink}/_checkpoint").trigger(processingTime=POLL).start())
+    try:
+        while not q.awaitTermination(timeout=0.2):  # a failed query raises here
+            done = q.lastProgress  # of the last batch that is finished: a later one may be at work
+            if _drained(done) and not (settle and _waiting(spark, sink, done["batchId"])):
+                break
+    finally:
+        q.stop()
+    return sink
 
 
-def outbox_stream(spark: SparkSession, source_path: str, schema, users: DataFrame, as_of,
-                  files_per_trigger: int | None = None) -> str:
-    """ST3: dispatch new outbox rows and try failed ones again, with each
-    micro-batch and then until none has attempts left. Returns the sink;
-    :func:`outbox_final` reads it."""
-    handle = dispatch_batch(spark, users, as_of)
-    last = [-1]
-
-    def step(batch: DataFrame, bid: int, sink: str) -> None:
-        handle(batch, bid, sink)
-        last[0] = bid
-
-    sink = run_foreach(spark, source_path, schema, "outbox", step, files_per_trigger)
-    empty = spark.createDataFrame([], schema)
-    # each pass uses up one attempt of every row that is left
-    for _ in range(S.MAX_OUTBOX_ATTEMPTS):
-        left = _batch(spark, sink, "outbox", last[0])
-        if left is None or O.pending(left).isEmpty():
-            break
-        handle(empty, last[0] + 1, sink)
-        last[0] += 1
-    return sink
+POLL = "200 milliseconds"  # the reference's pause between polls
+
+
+def _drained(progress) -> bool:
+    """Whether a batch found nothing new in the arrivals (timers alone make batches too)."""
+    return progress is not None and all(
+        x["startOffset"] == x["endOffset"] for x in progress["sources"] if not x["description"].endswith("/retries]"))
+
+
+def _waiting(spark: SparkSession, sink: str, last_batch: int | None = None) -> int:
+    """How many rows of an outbox stream wait for their next attempt after a batch (by default the last one)."""
+
+    def count(name: str, condition: str) -> int:
+        try:
+            df = (spark.read.schema("attempts int, again boolean, batch int").option("basePath", f"{sink}/{name}")
+                  .parquet(f"{sink}/{name}/batch=*").where(condition))
+            return (df if last_batch is None else df.where(F.col("batch") <= last_batch)).count()
+        except AnalysisException as e:
+            if not _missing(e):
+                raise
+            return 0
+
+    return count("retries", "true") - count("due", "again")
 
 
 def outbox_final(spark: SparkSession, sink: str, name: str = "outbox") -> DataFrame:
@@ -158,30 +222,31 @@ def outbox_final(spark: SparkSession, sink: str, name: str = "outbox") -> DataFr
 
 def ingest_batch(spark: SparkSession, payments: DataFrame, outbox: DataFrame,
                  secret: str) -> Callable[[DataFrame, int, str], None]:
-    """ST5, one micro-batch. Event ids are unique forever: known ids and the
-    last outbox id come from earlier batches only, so a replay of a batch id
-    gives the same result. Ids are stored by a hash of theirs, and a batch
-    reads the folders its own ids fall into."""
+    """ST5, one micro-batch of requests and the event ids that are new in it
+    (:func:`with_new_ids`). The last outbox id comes from the batch before."""
 
     def handle(batch: DataFrame, bid: int, sink: str) -> None:
-        slot = F.pmod(F.xxhash64("event_id"), F.lit(ID_SLOTS)).cast("int")
-        wanted = [r["slot"] for r in batch.select(slot.alias("slot")).distinct().collect()]  # at most ID_SLOTS numbers
-        known = _earlier(spark, f"{sink}/ids", bid)
-        if known is not None:
-            known = known.where(F.col("slot").isin(wanted)).select("event_id")
+        rows = _arrived(batch, sink, "arrived", bid)
+        requests = rows.where("NOT new_id").select(*[f.name for f in S.WEBHOOK_IN.fields])
         state = _batch(spark, sink, "last_id", bid - 1)
         box = outbox.select("outbox_id") if state is None else state.select("outbox_id")
-        res = W.ingest(batch, payments, box, secret, known)
+        res = W.ingest(requests, payments, box, secret, new_event_ids=rows.where("new_id").select("event_id"))
         for name in ("events", "dispositions", "payment_updates", "outbox"):
             _sink_batch(sink, name, bid, res[name])
-        res["events"].select("event_id", slot.alias("slot")).write.mode("overwrite").partitionBy("slot").parquet(f"{sink}/ids/batch={bid}")
         written = spark.read.schema("outbox_id long").parquet(f"{sink}/outbox/batch={bid}")
         _sink_batch(sink, "last_id", bid, box.unionByName(written).agg(F.max("outbox_id").alias("outbox_id")))
 
     return handle
 
 
-ID_SLOTS = 64
+def with_new_ids(requests: DataFrame, secret: str) -> DataFrame:
+    """A stream of requests, and one row (``new_id``) for each event id that
+    an authenticated request brings for the first time. Ids are unique
+    forever: they stay in the state store, keyed, and a batch looks up its
+    own ids only."""
+    authentic = requests.where(~blank_col(F.col("event_id")) & H.signature_ok(F.col("raw_payload"), F.col("signature"), secret))
+    new = K.distinct_values(authentic, "event_id").dropDuplicates(["event_id"])
+    return requests.withColumn("new_id", F.lit(False)).unionByName(new.withColumn("new_id", F.lit(True)), allowMissingColumns=True)
 
 
 def webhooks_stream(spark: SparkSession, source_path: str, payments: DataFrame, outbox: DataFrame,
@@ -189,67 +254,52 @@ def webhooks_stream(spark: SparkSession, source_path: str, payments: DataFrame,
     """ST5: ingest each micro-batch (see :func:`ingest_batch`)."""
     from ..sources.schemas import WEBHOOK_IN
 
-    handle = ingest_batch(spark, payments, outbox, secret)
-    sink = run_foreach(spark, source_path, WEBHOOK_IN, "webhooks", handle, files_per_trigger, sink=sink)
+    sink = run_foreach(spark, source_path, WEBHOOK_IN, "webhooks", ingest_batch(spark, payments, outbox, secret),
+                       files_per_trigger, sink=sink, transform=lambda s: with_new_ids(s, secret))
     return spark.read.parquet(f"{sink}/dispositions").drop("batch")
 
 
-def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """What micro-batches before this one wrote, or None before the first."""
-    try:
-        return spark.read.schema("event_id string, batch int, slot int").parquet(path).where(F.col("batch") < batch_id)
-    except AnalysisException as e:
-        if not _missing(e):
-            raise
-        return None
-
-
 def webhook_stream_output(spark: SparkSession, sink: str, name: str) -> DataFrame:
     """Another output of a webhook stream run: events, payment_updates or outbox."""
     return spark.read.parquet(f"{sink}/{name}").drop("batch")
 
 
-def limit_batch(spark: SparkSession, window: str, permits: int, keep: str) -> Callable[[DataFrame, int, str], None]:
-    """ST6, one micro-batch: every request gets a decision.
-
-    The state is one count for each (client, window), as the batch before
-    left it. Of a batch only the first ``permits`` requests of a group can be
-    admitted, which Spark ranks with a partial limit before the shuffle, so a
-    hot client never meets in one task. Windows that end more than ``keep``
-    before the newest one are closed and leave the state; a request that
-    comes later still is rejected as ``late``."""
+def with_decisions(requests: DataFrame, window: str, permits: int, keep: str) -> DataFrame:
+    """A stream of requests (seq, client_key, window_start), and one row with
+    ``admitted`` for each request that the counter has decided."""
+    w = requests.select("seq", "client_key", "received_at", RL.window_start(F.col("received_at"), window).alias("window_start"))
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    timed = w.where(F.col("received_at").isNotNull()).select(
+        "seq", "client_key", micros("window_start").alias("window_us"), micros("received_at").alias("micros"))
+    decided = K.window_counter(timed, permits, keep)
+    return w.drop("received_at").unionByName(decided, allowMissingColumns=True)
 
-    def handle(batch: DataFrame, bid: int, sink: str) -> None:
-        w = batch.select("seq", "client_key", "received_at").withColumn(
-            "window_start", F.window("received_at", window).start.cast("timestamp_ntz"))
-        state = _batch(spark, sink, "state", bid - 1)
-        if state is None:
-            state = spark.createDataFrame([], "client_key string, window_start timestamp_ntz, seen long, horizon timestamp_ntz")
-        horizon = state.agg(F.max("horizon").alias("h")).first()["h"]
-        late = F.lit(False) if horizon is None else F.coalesce(F.col("window_start") < F.lit(horizon), F.lit(False))
-        w = w.withColumn("late", late)
-        first = RL.first_k(w.where(~F.col("late")), ["client_key", "window_start"], ["received_at", "seq"], permits, "seq",
-                           name="early", rank="place")
-        seen = state.select(F.col("client_key").alias("c"), F.col("window_start").alias("s"), "seen")
-        decided = first.join(seen, F.col("client_key").eqNullSafe(F.col("c")) & F.col("window_start").eqNullSafe(F.col("s")), "left")
-        admitted = F.col("early") & (F.coalesce("seen", F.lit(0)) + F.col("place") <= permits)
-        out = ["seq", "client_key", "window_start"]
-        _sink_batch(sink, "decisions", bid, decided.select(*out, F.coalesce(admitted, F.lit(False)).alias("admitted"), "late").unionByName(
-            w.where("late").select(*out, F.lit(False).alias("admitted"), "late")))
-        counts = w.where(~F.col("late")).groupBy("client_key", "window_start").agg(F.count("*").alias("seen"))
-        both = counts.unionByName(state.select("client_key", "window_start", "seen")).groupBy("client_key", "window_start").agg(F.sum("seen").alias("seen"))
-        newest = both.agg((F.max("window_start") - F.expr(f"INTERVAL {keep}")).alias("h")).first()["h"]
-        newest = max((h for h in (newest, horizon) if h is not None), default=None)
-        left = both if newest is None else both.where(F.col("window_start") >= F.lit(newest))
-        _sink_batch(sink, "state", bid, left.withColumn("horizon", F.lit(newest).cast("timestamp_ntz")))
 
-    return handle
+def limit_batch(batch: DataFrame, bid: int, sink: str) -> None:
+    """ST6, one micro-batch: every request gets a decision. A request without
+    a time belongs to no window and is rejected (``no_time``); one that the
+    counter has not seen came after its window was closed (``late``)."""
+    rows = _arrived(batch, sink, "arrived", bid)
+    decided = rows.where(F.col("admitted").isNotNull()).select("seq", "admitted")
+    all_ = rows.where(F.col("admitted").isNull()).drop("admitted").join(decided, "seq", "left")
+    reason = (F.when(F.col("window_start").isNull(), "no_time").when(F.col("admitted").isNull(), "late")
+              .when(~F.col("admitted"), "limit"))
+    _sink_batch(sink, "decisions", bid, all_.select(
+        "seq", "client_key", "window_start", F.coalesce("admitted", F.lit(False)).alias("admitted"),
+        F.coalesce(reason == "late", F.lit(False)).alias("late"), reason.alias("reason")))
 
 
 def rate_limit_stream(spark: SparkSession, source_path: str, window: str, permits: int,
-                      keep: str = "1 day", files_per_trigger: int | None = None) -> DataFrame:
-    """ST6: fixed-window limiter over a stream (see :func:`limit_batch`)."""
+                      keep: str = "1 day", files_per_trigger: int | None = None, sink: str | None = None) -> DataFrame:
+    """ST6: fixed-window limiter over a stream. The state is one count for
+    each (client, window). Windows that start more than ``keep`` before the
+    newest one of the batches before are closed and leave the state. With
+    one stateful operator, requests are late by the same watermark that
+    closes windows; Spark's default, for several, lets late ones in for one
+    batch more, after their window's count has gone."""
     from ..sources.schemas import WEBHOOK_IN
 
-    sink = run_foreach(spark, source_path, WEBHOOK_IN, "ratelimit", limit_batch(spark, window, permits, keep), files_per_trigger)
-    return spark.read.parquet(f"{sink}/decisions").select("seq", "client_key", "window_start", "admitted")
+    sink = run_foreach(spark, source_path, WEBHOOK_IN, "ratelimit", limit_batch, files_per_trigger, sink=sink,
+                       transform=lambda s: with_decisions(s, window, permits, keep),
+                       conf={"spark.sql.streaming.statefulOperator.allowMultiple": "false"})
+    return spark.read.parquet(f"{sink}/decisions").select("seq", "client_key", "window_start", "admitted", "reason")

@@ -1,6 +1,7 @@
 """Micro-batches: replays, retries, late requests, null order keys; repeated commands in a batch."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from subsight.functions import json as J
 from subsight.functions.predicates import blank_col
 from subsight.operators import outbox as O
 from subsight.operators import plan_jobs as PJ
+from subsight.operators import ratelimit as RL
 from subsight.operators import subscription_jobs as SUB
 from subsight.operators import user_jobs as UJ
 from subsight.operators import webhooks as W
@@ -18,6 +20,7 @@ from subsight.sources import commands as C
 from subsight.sources import schemas as S
 from subsight.sources.tables import Tables
 from subsight.streaming import jobs as SJ
+from subsight.streaming import state as K
 from subsight.streaming.landing import land
 
 from .conftest import SF001
@@ -35,19 +38,41 @@ def t(spark):
     return Tables(spark, SF001)
 
 
-def test_webhook_batch_replay_changes_nothing(spark, t):
-    inbound = W.signed_inbound(t, KEY)
+def land_files(spark, folder, frames):
+    """One file per frame, written one after another."""
+    for f in frames:
+        f.coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.05)
+
+
+def breaking(handle, at, after):
+    """The handler, failing once in batch ``at``: before or after its writes."""
+    left = [1]
+
+    def run(batch, bid, sink):
+        if after:
+            handle(batch, bid, sink)
+        if bid == at and left[0]:
+            left[0] = 0
+            raise RuntimeError("lost driver")
+        if not after:
+            handle(batch, bid, sink)
+
+    return run
+
+
+@pytest.mark.parametrize("after", [True, False])
+def test_webhook_batch_replay_changes_nothing(spark, t, after, monkeypatch):
+    inbound = W.signed_inbound(t, KEY).select(*[F.col(f.name).cast(f.dataType) for f in S.WEBHOOK_IN.fields])
     cut = inbound.agg(F.expr("percentile(seq, 0.5)")).first()[0]
-    batches = [inbound.where(F.col("seq") <= cut), inbound.where(F.col("seq") > cut)]
-    sink = scratch_path(spark, "replay")
-    handle = SJ.ingest_batch(spark, t.payments, t.outbox, KEY)
-    names = ("events", "dispositions", "payment_updates", "outbox")
-    for i, b in enumerate(batches):
-        handle(b, i, sink)
-    before = {n: rows(spark.read.parquet(f"{sink}/{n}")) for n in names}
-    for i in (1, 0, 1):
-        handle(batches[i], i, sink)
-    assert {n: rows(spark.read.parquet(f"{sink}/{n}")) for n in names} == before
+    landing, sink = scratch_path(spark, "replay-in"), scratch_path(spark, "replay")
+    land_files(spark, landing, [inbound.where(F.col("seq") <= cut), inbound.where(F.col("seq") > cut)])
+    make = SJ.ingest_batch
+    monkeypatch.setattr(SJ, "ingest_batch", lambda *a: breaking(make(*a), 1, after))
+    with pytest.raises(Exception, match="lost driver"):
+        SJ.webhooks_stream(spark, landing, t.payments, t.outbox, KEY, sink=sink, files_per_trigger=1)
+    monkeypatch.setattr(SJ, "ingest_batch", make)
+    SJ.webhooks_stream(spark, landing, t.payments, t.outbox, KEY, sink=sink, files_per_trigger=1)
     ids = [r["outbox_id"] for r in spark.read.parquet(f"{sink}/outbox").collect()]
     assert len(ids) == len(set(ids)) and ids
     events = [r["event_id"] for r in spark.read.parquet(f"{sink}/events").collect()]
@@ -56,6 +81,15 @@ def test_webhook_batch_replay_changes_nothing(spark, t):
         W.ingest(inbound, t.payments, t.outbox, KEY, with_outbox=False)["dispositions"])
 
 
+def test_hot_values_are_thinned_before_the_shuffle(spark):
+    df = spark.range(0, 30000, 1, 2).select(F.col("id").alias("seq"), F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"))
+    assert K.distinct_values(df, "k").where("k = 'hot'").count() <= 30000 / 10000 + 2  # one for each Arrow batch
+    limited = K.spread_excess(df, ["k"], ["seq"], 5)
+    assert limited.where("spread = 0 AND k = 'hot'").count() <= 5 * (30000 / 10000 + 2)
+    assert limited.where("spread > 0").groupBy("spread").count().agg(F.max("count")).first()[0] < 20000 / 30
+    assert limited.count() == 30000 and limited.where("k <> 'hot' AND spread > 0").count() == 0
+
+
 def test_read_errors_are_not_an_empty_sink(spark, tmp_path):
     (tmp_path / "events" / "batch=0").mkdir(parents=True)
     (tmp_path / "events" / "batch=0" / "part-0.parquet").write_bytes(b"not parquet")
@@ -75,16 +109,37 @@ def outbox(spark, data):
 
 def test_outbox_retries_until_settled(spark, t):
     folder = scratch_path(spark, "outbox-in")
-    for some in (OUT[:3], OUT[3:]):
-        outbox(spark, some).coalesce(1).write.mode("append").parquet(folder)
-    sink = SJ.outbox_stream(spark, folder, S.OUTBOX, t.users, AS_OF, files_per_trigger=1)
+    land_files(spark, folder, [outbox(spark, some) for some in (OUT[:3], OUT[3:5], [(6, "PaymentProcessed", "{}", 0)])])
+    sink = SJ.outbox_stream(spark, folder, S.OUTBOX, t.users, AS_OF, files_per_trigger=1, retry_after_ms=100)
+    got = {r["outbox_id"]: (r["processed_at"] is not None, r["attempts"]) for r in SJ.outbox_final(spark, sink).collect()}
+    assert got == {1: (True, 0), 2: (False, 5), 3: (False, 5), 4: (False, 5), 5: (True, 0), 6: (True, 0)}
+    assert SJ.outbox_final(spark, sink).count() == 6  # each settled row once
+    assert spark.read.parquet(f"{sink}/notifications").count() == 2
+    # every attempt is one batch of the query: 5 for row 2, 2 for row 3, 4 for row 4
+    tried = {r["outbox_id"]: r["n"] for r in spark.read.parquet(f"{sink}/results").groupBy("outbox_id").agg(F.count("*").alias("n")).collect()}
+    assert tried == {1: 1, 2: 5, 3: 2, 4: 4, 5: 1, 6: 1}
+
+
+def test_outbox_stops_between_attempts_and_resumes(spark, t):
+    folder = scratch_path(spark, "outbox-in")
+    land_files(spark, folder, [outbox(spark, OUT[:2])])
+    sink = SJ.outbox_stream(spark, folder, S.OUTBOX, t.users.limit(0), AS_OF, retry_after_ms=300_000, settle=False)
+    assert rows(spark.read.parquet(f"{sink}/results").select("outbox_id", "result", "attempts")) == [(1, "failed", 1), (2, "failed", 1)]
+    assert SJ._waiting(spark, sink) == 2
+    land_files(spark, folder, [outbox(spark, [(7, "PaymentRefunded", "{}", 0)])])
+    SJ.outbox_stream(spark, folder, S.OUTBOX, t.users, AS_OF, sink=sink, retry_after_ms=100, settle=False)
+    assert rows(spark.read.parquet(f"{sink}/notifications").select("outbox_id")) == [(7,)]
+    assert SJ._waiting(spark, sink) == 2  # their timers, of the first run, have not come yet
+
+
+def test_outbox_resumes_to_the_end(spark, t):
+    folder = scratch_path(spark, "outbox-in")
+    land_files(spark, folder, [outbox(spark, OUT[:2])])
+    sink = SJ.outbox_stream(spark, folder, S.OUTBOX, t.users.limit(0), AS_OF, retry_after_ms=1000, settle=False)
+    SJ.outbox_stream(spark, folder, S.OUTBOX, t.users, AS_OF, sink=sink, retry_after_ms=100)
     got = {r["outbox_id"]: (r["processed_at"] is not None, r["attempts"]) for r in SJ.outbox_final(spark, sink).collect()}
-    assert got == {1: (True, 0), 2: (False, 5), 3: (False, 5), 4: (False, 5), 5: (True, 0)}
-    assert SJ.outbox_final(spark, sink).count() == 5  # each settled row once
-    assert spark.read.parquet(f"{sink}/notifications").count() == 1
-    again = rows(spark.read.parquet(f"{sink}/outbox/batch=1"))
-    SJ.dispatch_batch(spark, t.users, AS_OF)(outbox(spark, []), 1, scratch_path(spark, "other"))
-    assert again == rows(spark.read.parquet(f"{sink}/outbox/batch=1"))
+    assert got == {1: (True, got[1][1]), 2: (False, 5)} and 1 <= got[1][1] < 5
+    assert rows(spark.read.parquet(f"{sink}/notifications").select("outbox_id")) == [(1,)]  # sent once
 
 
 @pytest.mark.parametrize("payload,ok", [
@@ -114,16 +169,35 @@ def test_limiter_decides_every_request(spark):
     first = [at(1, 0), at(2, 1), at(3, 2), at(4, 0, "b")]
     second = [at(5, 3), at(6, 60 * 24 * 3), at(7, 1, "b")]
     third = [at(8, -60 * 24 * 5), at(9, 4, "b"), at(10, 60 * 24 * 3 + 1)]
-    sink = scratch_path(spark, "limit")
-    handle = SJ.limit_batch(spark, "1 day", 2, "2 days")
-    for i, b in enumerate((first, second, third)):
-        handle(spark.createDataFrame(b, S.WEBHOOK_IN), i, sink)
-    handle(spark.createDataFrame(second, S.WEBHOOK_IN), 1, sink)  # a replay
+    landing, sink = scratch_path(spark, "limit-in"), scratch_path(spark, "limit")
+    land_files(spark, landing, [spark.createDataFrame(x, S.WEBHOOK_IN) for x in (first, second)])
+    with pytest.MonkeyPatch.context() as m:  # the second batch is replayed
+        m.setattr(SJ, "limit_batch", breaking(SJ.limit_batch, 1, True))
+        with pytest.raises(Exception, match="lost driver"):
+            SJ.rate_limit_stream(spark, landing, "1 day", 2, "2 days", files_per_trigger=1, sink=sink)
+    land_files(spark, landing, [spark.createDataFrame(third, S.WEBHOOK_IN)])
+    SJ.rate_limit_stream(spark, landing, "1 day", 2, "2 days", files_per_trigger=1, sink=sink)
     got = {r["seq"]: (r["admitted"], r["late"]) for r in spark.read.parquet(f"{sink}/decisions").collect()}
     assert got == {1: (True, False), 2: (True, False), 3: (False, False), 4: (True, False), 5: (False, False), 6: (True, False),
                    7: (True, False), 8: (False, True), 9: (False, True), 10: (True, False)}
 
 
+def test_limiter_decides_requests_without_a_time(spark):
+    day = dt.datetime(2001, 1, 10)
+    data = [(1, day, "a"), (2, None, "a"), (3, day, "a"), (4, None, "b")]
+    want = {1: (True, None), 2: (False, "no_time"), 3: (False, "limit"), 4: (False, "no_time")}
+    schema = "seq long, received_at timestamp_ntz, client_key string"
+    landing = scratch_path(spark, "limit-null")
+    full = spark.createDataFrame(data, schema)
+    for c in ("event_id", "signature", "raw_payload"):
+        full = full.withColumn(c, F.lit(None).cast("string"))
+    land_files(spark, landing, [full])
+    out = SJ.rate_limit_stream(spark, landing, "1 day", 1).collect()
+    assert {r["seq"]: (r["admitted"], r["reason"]) for r in out} == want and len(out) == 4
+    batch = RL.admit(full, "client_key", "received_at", "1 day", 1, ["received_at", "seq"], "seq").collect()
+    assert {r["seq"]: r["admitted"] for r in batch} == {k: v[0] for k, v in want.items()} and len(batch) == 4
+
+
 def test_landing_keeps_null_order_keys(spark):
     df = spark.createDataFrame([(None, 1), (3, 2), (1, 3), (None, 4), (2, 5), (9, 6)], "o long, x int")
     assert spark.read.parquet(land(df, "nulls", "o", chunks=3)).count() == 6
