@@ -71,6 +71,28 @@ def page_after(df: DataFrame, sort_col: str, key: str, req: PageRequest, value,
     return df.where(F.coalesce(beyond, F.lit(False))).orderBy(primary, k.asc() if req.ascending else k.desc()).limit(req.page_size)
 
 
+def position_index(df: DataFrame, sort_col: str, key: str, req: PageRequest, path: str) -> DataFrame:
+    """The rows of a listing with their 0-based ``position`` in the request's
+    order, stored at ``path`` sorted by it (in files of consecutive
+    positions). Built once for a listing and an order, it serves every page:
+    see :func:`page_at`."""
+    from . import ids
+
+    c, k = F.col(sort_col), F.col(key)
+    order = [c.asc_nulls_first(), k.asc()] if req.ascending else [c.desc_nulls_last(), k.desc()]
+    ids.positions(df, order, "position").write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def page_at(index: DataFrame, req: PageRequest) -> DataFrame:
+    """A page of any depth from a :func:`position_index`. The range of
+    positions reaches the Parquet scan, which opens the files and row groups
+    that hold it; only the page's own rows are sorted."""
+    req.validate()
+    p = F.col("position")
+    return index.where((p >= req.offset) & (p < req.offset + req.page_size)).orderBy("position")
+
+
 def page_info(total: DataFrame, req: PageRequest) -> DataFrame:
     """Page maths from a one-row ``total`` frame: pages = ceil(total/size)."""
     req.validate()

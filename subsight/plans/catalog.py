@@ -6,7 +6,7 @@ import importlib
 
 from .registry import REGISTRY, Query
 
-_MODULES = ["scans", "reports", "listings", "scalars", "changes", "quality", "events", "streams", "effects"]
+_MODULES = ["scans", "reports", "listings", "scalars", "changes", "quality", "events", "streams", "effects", "named"]
 
 
 def all_queries() -> dict[str, Query]:

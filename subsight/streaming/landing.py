@@ -15,6 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import ids
 from ..session import scratch_path
 
 ROWS_PER_FILE = 200_000
@@ -22,21 +23,19 @@ ROWS_PER_FILE = 200_000
 
 def land(df: DataFrame, name: str, order_col: str, chunks: int | None = None,
          rows_per_file: int = ROWS_PER_FILE) -> str:
-    """Write ``df`` as chunk files ordered by ``order_col``; returns the folder.
+    """Write ``df`` as chunk files ordered by ``order_col`` (nulls first);
+    returns the folder.
 
-    Cut points come from ``approxQuantile`` (a few numbers on the driver,
-    never rows); approximate cut points still keep the chunks in order."""
+    A row's chunk comes from its exact position, so equal or null order
+    values are split over chunks like any others."""
     path = scratch_path(df.sparkSession, f"landing-{name}")
-    if chunks is None:
-        chunks = max(4, math.ceil(df.count() / rows_per_file))
-    probs = [i / chunks for i in range(1, chunks)]
-    bounds = df.approxQuantile(order_col, probs, 0.01) if chunks > 1 else []
-    # the chunk of a row is the number of bounds below it; a null comes first
-    chunk = F.lit(0)
-    for b in bounds:
-        chunk = chunk + F.coalesce((F.col(order_col) > F.lit(b)).cast("int"), F.lit(0))
+    total = df.count()
+    chunks = chunks or max(4, math.ceil(total / rows_per_file))
+    size = max(1, math.ceil(total / chunks))
+    rows = ids.positions(df, [order_col], "_at")
+    chunk = F.floor(F.col("_at") / size).cast("int")
     staged = scratch_path(df.sparkSession, f"staged-{name}")
-    df.withColumn("_chunk", chunk).write.partitionBy("_chunk").parquet(staged)  # the rows are read once
+    rows.withColumn("_chunk", chunk).drop("_at").write.partitionBy("_chunk").parquet(staged)  # the rows are read once
     for i in range(chunks):
         part = _chunk(df, staged, i)
         if part is None:
