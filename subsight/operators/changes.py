@@ -1,9 +1,10 @@
 """Result of a set-based change job and the helpers every job shares.
 
-A job takes table snapshots and a command DataFrame and returns lazily:
+A job takes table snapshots and a command DataFrame and returns DataFrames:
 the outcome per command (accepted or rejected with a reason), the new or
 changed rows per table, deleted keys, and the log and notification
-messages. Nothing is written until ``sources.sinks.publish`` runs."""
+messages. Jobs that decide in steps write those to the checkpoint folder;
+no table is written until ``sources.sinks.publish`` runs."""
 
 from __future__ import annotations
 
@@ -13,7 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import lit_ts
+from ..session import scratch_path
 from ..sources import schemas as S
+from . import ids
 
 
 @dataclass
@@ -53,20 +56,51 @@ def notification_rows(df: DataFrame, user_id: Column, subject: str, body: Column
 
 
 def with_claims(cmds: DataFrame, owners: DataFrame, id_col: str) -> DataFrame:
-    """Adds ``_clash``: the command's ``_key`` (a unique name) belongs to another
-    row of the table (``owners``: _key, _owner), or an earlier valid command of
-    the batch claimed it for another id (columns seq, _exists; first claim wins).
-
-    Both are found by key and joined back on the unique seq."""
-    taken = (cmds.join(owners, "_key").where(F.col("_owner") != F.col(id_col))
-             .select("seq").distinct().withColumn("_taken", F.lit(True)))
-    j = cmds.join(taken, "seq", "left")
-    valid = j.where(F.col("_taken").isNull() & F.col("_exists").isNotNull())
-    first = valid.groupBy("_key").agg(F.min("seq").alias("seq"))
-    holder = valid.join(first.select("seq"), "seq", "left_semi").select("_key", F.col(id_col).alias("_holder"))
-    late = (valid.join(holder, "_key").where(F.col("_holder") != F.col(id_col))
-            .select("seq").withColumn("_late", F.lit(True)))
-    return (j.join(late, "seq", "left").withColumn("_clash", F.coalesce("_taken", "_late")).drop("_taken", "_late"))
+    """Adds ``_clash``: at the command's turn (column seq) its ``_key``, a
+    unique name, belongs to another row. A row that takes another name gives
+    its old one up (``owners``: _key, _owner; commands with ``_exists``), so
+    names can be handed on and swapped within the batch, as in serial replay.
+
+    Whether a command is accepted depends on earlier commands only, so the
+    answer is the one fixed point of: accepted, unless another row holds the
+    name. It is sought from "all accepted"; each round corrects what follows
+    from the round before, so there are as many rounds as the longest cascade
+    of refusals. Only names that several rows want, and the commands of those
+    rows, take part. A round adds two running aggregates: each row's last
+    accepted name, then how many rows hold a name (hot rows and names are
+    spread over partitions, see ``ids.running``)."""
+    mine = cmds.where(F.col("_exists").isNotNull()).select("seq", F.col(id_col).alias("_id"), "_key")
+    held = owners.select(F.lit(None).cast("long").alias("seq"), F.col("_owner").alias("_id"), "_key")
+    wanted = mine.unionByName(held).select("_key", "_id").distinct()
+    keys = wanted.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("_key", F.lit(True).alias("_contested"))
+    rows = wanted.join(keys, "_key", "left_semi").select("_id").distinct()
+    events = mine.unionByName(held).join(rows, "_id", "left_semi").join(keys, "_key", "left")
+    # a name that a row holds from the start, and one that nobody else wants, is no question
+    events = _rewritten(events.select("seq", "_id", "_key", (F.col("seq").isNull() | F.col("_contested").isNull()).alias("_sure"),
+                                      F.lit(True).alias("_acc")), "claims")
+    while not events.isEmpty():
+        last = F.when(F.col("_acc"), F.struct(F.coalesce("seq", F.lit(-(2**63))).alias("at"), "_key"))
+        now = ids.running(events.withColumn("_last", last), ["_id"], "seq", "_last", "_prev", "max").withColumn("_prev", F.col("_prev._key"))
+        moves = F.col("_acc") & ~F.col("_key").eqNullSafe(F.col("_prev"))
+        own = now.select("seq", "_id", "_key", "_sure", "_acc", moves.cast("int").alias("_delta"),
+                         F.coalesce(F.col("_prev") == F.col("_key"), F.lit(False)).cast("int").alias("_mine"))
+        freed = now.where(moves & F.col("_prev").isNotNull()).select("seq", F.col("_prev").alias("_key"), F.lit(-1).alias("_delta"))
+        names = ids.running(own.unionByName(freed, allowMissingColumns=True), ["_key"], "seq", "_delta", "_holders", "sum")
+        free = F.coalesce("_holders", F.lit(0)) - F.col("_mine") <= 0
+        decided = _rewritten(names.where(F.col("_sure").isNotNull()).select("seq", "_id", "_key", "_sure", (F.col("_sure") | free).alias("_acc"),
+                                                                          F.col("_acc").alias("_was")), "claims")
+        events = decided.drop("_was")
+        if decided.where(F.col("_acc") != F.col("_was")).isEmpty():
+            break
+    refused = events.where(~F.col("_acc")).select("seq", F.lit(True).alias("_clash"))
+    return cmds.join(refused, "seq", "left")
+
+
+def _rewritten(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again: one round's lineage."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def last_per(cmds: DataFrame, id_col: str) -> DataFrame:

@@ -65,3 +65,24 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], nam
     first = p.groupBy(*group_cols).agg(F.min("_pos").alias("_first"))
     return (p.join(first, group_cols).withColumn(name, (F.col("_pos") - F.col("_first") + 1).cast("int"))
             .drop("_pos", "_first"))
+
+
+def running(df: DataFrame, group_cols: list[str], order_col: str, value: str, name: str, how: str) -> DataFrame:
+    """Adds ``name``: the ``how`` ("sum" or "max") of ``value`` over the
+    earlier rows of the group, in ``order_col`` order (null before the first).
+
+    Rows are range-partitioned on group and order, so a hot group is spread
+    over many partitions: a window runs inside each of them, and what earlier
+    partitions of the group amount to (one row per group and partition) is
+    added."""
+    checkpoint_dir(df.sparkSession)
+    agg = {"sum": F.sum, "max": F.max}[how]
+    fixed = df.repartitionByRange(*group_cols, order_col).checkpoint(eager=True)
+    rows = fixed.withColumn("_pid", F.spark_partition_id())
+    inside = Window.partitionBy("_pid", *group_cols).orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*group_cols).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("_pid", *group_cols).agg(agg(value).alias("_one"))
+    totals = totals.withColumn("_before", agg("_one").over(before)).where(F.col("_before").isNotNull()).drop("_one")
+    out = rows.withColumn("_inside", agg(value).over(inside)).join(totals, ["_pid", *group_cols], "left")
+    both = F.col("_inside") + F.col("_before") if how == "sum" else F.greatest("_inside", "_before")
+    return out.withColumn(name, F.coalesce(both, "_inside", "_before")).drop("_pid", "_inside", "_before")

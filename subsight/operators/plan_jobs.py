@@ -47,8 +47,9 @@ def upsert(plans: DataFrame, cmds: DataFrame, as_of) -> ChangeSet:
 
 def update(plans: DataFrame, cmds: DataFrame, as_of) -> ChangeSet:
     """Update by id; rejected when the id is unknown or the name belongs to
-    another plan (case-insensitive), or an earlier command of the batch has
-    claimed it for another plan. The last accepted command of a plan is its row."""
+    another plan at that moment (case-insensitive; names that earlier commands
+    gave up are free, see ``with_claims``). The last accepted command of a plan
+    is its row."""
     cur = plans.select("plan_id", F.lit(True).alias("_exists"), "created_at")
     names = plans.select(F.lower("name").alias("_key"), F.col("plan_id").alias("_owner"))
     j = cmds.join(cur, "plan_id", "left").withColumn("_key", F.lower("name"))

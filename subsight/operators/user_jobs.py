@@ -49,9 +49,9 @@ def bulk_insert(users: DataFrame, rows: DataFrame, as_of) -> DataFrame:
 
 
 def update(users: DataFrame, cmds: DataFrame, as_of) -> ChangeSet:
-    """Update profile fields by id; an e-mail of another user, or one that an
-    earlier command of the batch has claimed for another user, is rejected.
-    The last accepted command of a user is its row."""
+    """Update profile fields by id; an e-mail that belongs to another user at
+    that moment is rejected (one that an earlier command gave up is free, see
+    ``with_claims``). The last accepted command of a user is its row."""
     cur = users.select("user_id", F.lit(True).alias("_exists"), "registration_date")
     owners = users.select(F.lower("email").alias("_key"), F.col("user_id").alias("_owner"))
     j = cmds.join(cur, "user_id", "left").withColumn("_key", F.lower("email"))

@@ -186,6 +186,30 @@ def update_plans(t):
     return PL.update(t.plans, C.plan_updates(t), AS_OF).outcome
 
 
+def _handed_sql(table: str, key: str, value: str, reason: str) -> str:
+    return f"""
+WITH c AS (
+  SELECT CAST(2 * t.{key} AS BIGINT) AS seq, t.{key}, CASE WHEN t.{key} % 10 = 3 AND n.{value} IS NOT NULL THEN n.{value} ELSE concat('freed.', t.{value}) END AS {value},
+         t.{key} % 10 <> 3 OR n.{value} IS NULL AS accepted
+  FROM {table} t LEFT JOIN {table} n ON n.{key} = t.{key} + 1
+  UNION ALL
+  SELECT CAST(2 * t.{key} + 1 AS BIGINT), t.{key}, p.{value}, p.{key} % 10 <> 3
+  FROM {table} t JOIN {table} p ON p.{key} = t.{key} - 1 WHERE t.{key} % 10 <> 3)
+SELECT seq, {key}, {value}, CASE WHEN NOT accepted THEN '{reason}' END AS reason, accepted FROM c"""
+
+
+@query("update_plans_chain", _handed_sql("plans", "plan_id", "name", "name_taken"))
+def update_plans_chain(t):
+    """Names that one command gives up and a later one takes."""
+    return PL.update(t.plans, C.plan_renames(t), AS_OF).outcome
+
+
+@query("update_users_chain", _handed_sql("users", "user_id", "email", "email_taken"))
+def update_users_chain(t):
+    """E-mails that one command gives up and a later one takes."""
+    return UJ.update(t.users, C.user_moves(t), AS_OF).outcome
+
+
 @query("delete_plans", """
 SELECT c.seq, c.plan_id,
        CASE WHEN p.plan_id IS NULL THEN 'not_found'

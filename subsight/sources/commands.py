@@ -44,6 +44,31 @@ def plan_updates(t: Tables) -> DataFrame:
         (F.col("price") + F.lit(2)).cast(S.MONEY).alias("price"), "billing_cycle", "duration_days", "features")
 
 
+def _handed_on(table: DataFrame, id_col: str, value_col: str) -> DataFrame:
+    """Commands that hand unique values on: every row gives its value up for a
+    fresh one (command 2 x id), then the next row takes it (2 x id + 3). Every
+    tenth row asks for its follower's value instead, which is not free yet, and
+    for nothing else; so it keeps its own, and its follower cannot take it."""
+    i = F.col(id_col).cast("bigint")
+    near = lambda d: table.select((F.col(id_col) - d).alias(id_col), F.col(value_col).alias("_near"))
+    away = table.join(near(1), id_col, "left").withColumn("seq", 2 * i).withColumn(
+        value_col, F.when((i % 10 == 3) & F.col("_near").isNotNull(), F.col("_near")).otherwise(F.concat(F.lit("freed."), F.col(value_col))))
+    take = table.join(near(-1), id_col).where(i % 10 != 3).withColumn("seq", 2 * i + 1).withColumn(value_col, F.col("_near"))
+    return away.unionByName(take).drop("_near")
+
+
+def plan_renames(t: Tables) -> DataFrame:
+    """Names handed on from plan to plan, two commands per plan."""
+    return _handed_on(t.plans, "plan_id", "name").select(
+        "seq", "plan_id", "name", "description", "price", "billing_cycle", "duration_days", "features")
+
+
+def user_moves(t: Tables) -> DataFrame:
+    """E-mails handed on from user to user, two commands per user."""
+    return _handed_on(t.users, "user_id", "email").select(
+        "seq", "user_id", "first_name", "last_name", "email", "phone", "address", "role")
+
+
 def plan_deletes(t: Tables) -> DataFrame:
     pid = F.col("plan_id")
     return t.plans.select(pid.cast("bigint").alias("seq"), _shift_unknown(pid, pid % 97 == 5).alias("plan_id"))
