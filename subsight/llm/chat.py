@@ -1,8 +1,11 @@
 """Chat formatting (operator 10): budgeted, turn-aligned windows, in DataFrame functions only.
 
-A prefix sum of turn tokens places each turn in the window ``floor(tokens before / budget)``. A
-window holds the system turn, up to ``history`` turns from before it, and its new turns; only new
-assistant turns are targets, so a repeated target is masked. A turn is written as
+A prefix sum of turn tokens lays a conversation's turns on a line that is marked every ``step`` tokens:
+the budget less the system turn's tokens. The turns that lie between two marks are a window; a turn
+across a mark is a window of its own. So a window's system turn and new turns keep to the budget,
+unless the one new turn is too long for it: that turn stays whole, as a window that is over the
+budget. What is left of the budget takes up to ``history`` turns from before the window, the nearest
+first. Only new assistant turns are targets, so a repeated target is masked. A turn is written as
 
     <s>role[INST]text[/INST]</s>
 
@@ -53,11 +56,22 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     t = t.withColumn("tokens", count_words(F.col("text")) + TURN_COST)
     in_order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     before = in_order.rowsBetween(Window.unboundedPreceding, -1)
-    t = t.withColumns({"pos": F.row_number().over(in_order),
-                       "window": F.floor(F.coalesce(F.sum("tokens").over(before), F.lit(0)) / budget).cast("long")})
-    # the windows that repeat this turn as history: those of the next turns
-    ahead = [F.lead("window", k).over(in_order) for k in range(1, history + 1)]
-    t = t.withColumn("later", F.array_distinct(F.array_except(F.array(*ahead), F.array("window", F.lit(None)))))
+    t = t.withColumn("pos", F.row_number().over(in_order))
+    first = (F.col("pos") == 1) & (F.col("role") == "system")
+    # the system turn is in every window: its tokens are off the budget, not on the line
+    t = t.withColumns({"size": F.when(first, 0).otherwise(F.col("tokens")),
+                       "step": F.greatest(F.lit(budget) - F.first(F.when(first, F.col("tokens")).otherwise(0)).over(in_order), F.lit(1))})
+    t = t.withColumn("start", F.coalesce(F.sum("size").over(before), F.lit(0)))
+    mark = F.floor(F.col("start") / F.col("step"))
+    across = F.col("start") + F.col("size") > (mark + 1) * F.col("step")
+    t = t.withColumn("window", (2 * mark + across.cast("int")).cast("long"))
+    t = t.withColumn("used", F.sum("size").over(Window.partitionBy("conv_id", "window")))
+    # the windows that repeat this turn as history: those that begin k turns later, if these k turns fit
+    ahead = lambda c, k: F.lead(c, k).over(in_order)
+    repeats = [F.when((ahead("window", k) != (F.col("window") if k == 1 else ahead("window", k - 1)))
+                      & (ahead("start", k) - F.col("start") + ahead("used", k) <= F.col("step")) & ~first, ahead("window", k))
+               for k in range(1, history + 1)]
+    t = t.withColumn("later", F.array_compact(F.array(*repeats).cast("array<bigint>")))
     t = t.withColumn("body", F.concat(F.lit(TURN), escape(F.col("role")), F.lit(TEXT), escape(F.col("text")),
                                       F.lit(TEXT_END + TURN_END)))
     t = t.withColumn("lead", F.length(escape(F.col("role"))) + len(TURN) + len(TEXT))
@@ -68,10 +82,9 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
         F.transform("later", lambda w: F.struct(w.alias("window"), F.lit(False).alias("new"))))).alias("at"))
     placed = placed.select(*cols, "at.window", "at.new")
     # a leading system turn stays in every window
-    system = t.filter((F.col("pos") == 1) & (F.col("role") == "system")).select(*cols, "later")
+    system = t.filter((F.col("pos") == 1) & (F.col("role") == "system")).select(*cols)
     where = t.select(F.col("conv_id").alias("c"), F.col("window").alias("w")).distinct()
-    kept = (system.join(where, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("w") > 0)
-                        & ~F.array_contains("later", F.col("w")))
+    kept = (system.join(where, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("w") > 0))
             .select(*cols, F.col("w").alias("window"), F.lit(False).alias("new")))
     rows = placed.unionByName(kept).groupBy("conv_id", "window").agg(
         F.sort_array(F.collect_list(F.struct("pos", "body", "lead", "target", "new"))).alias("rows"))
@@ -129,17 +142,21 @@ ORACLE_SQL = r"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1::BIGINT, 0::BIGINT, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
-p AS (SELECT *, row_number() OVER o AS pos,
-        (coalesce(sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4)
-          OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // 512)::BIGINT AS w,
+n AS (SELECT *, row_number() OVER o AS pos, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) + 4 AS tokens,
         3 + length(replace(replace(replace(role, '~', '~0'), '<', '~1'), '[', '~2')) + 6
           + length(replace(replace(replace(text, '~', '~0'), '<', '~1'), '[', '~2')) + 11 AS chars
       FROM t WINDOW o AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
-q AS (SELECT *, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2 FROM p
+s AS (SELECT *, pos = 1 AND role = 'system' AS sys, CASE WHEN sys THEN 0 ELSE tokens END AS size,
+        greatest(512 - max(CASE WHEN sys THEN tokens ELSE 0 END) OVER (PARTITION BY conv_id), 1) AS step FROM n),
+l AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM s),
+p AS (SELECT *, 2 * (start // step) + (start + size > (start // step + 1) * step)::INT AS w FROM l),
+u AS (SELECT *, sum(size) OVER (PARTITION BY conv_id, w) AS used FROM p),
+q AS (SELECT *, lead(w, 1) OVER o AS w1, lead(w, 2) OVER o AS w2, lead(start, 1) OVER o - start + lead(used, 1) OVER o AS need1,
+        lead(start, 2) OVER o - start + lead(used, 2) OVER o AS need2 FROM u
       WINDOW o AS (PARTITION BY conv_id ORDER BY pos)),
 nw AS (SELECT conv_id, count(DISTINCT w) AS n_windows FROM p GROUP BY conv_id),
-r AS (SELECT q.*, CASE WHEN pos = 1 AND role = 'system' THEN n_windows
-        ELSE 1 + (coalesce(w1, w) <> w)::INT + (coalesce(w2, w) <> w AND w2 <> w1)::INT END AS times
+r AS (SELECT q.*, CASE WHEN sys THEN n_windows
+        ELSE 1 + coalesce(w1 <> w AND need1 <= step, false)::INT + coalesce(w2 <> w1 AND need2 <= step, false)::INT END AS times
       FROM q JOIN nw ON q.conv_id IS NOT DISTINCT FROM nw.conv_id)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,

@@ -174,15 +174,18 @@ def _negatives(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({"anchor": own[at], "slot": slots, "score": scores, "vec_id": right["vec_id"].to_numpy()[place]})
 
 
-def _groups(anchors: DataFrame, rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Anchors and rows dealt to groups (keys, anchor block, row block) in which each anchor meets each
-    row of its keys once."""
-    dealt = lambda n: F.pmod(F.xxhash64("row", F.lit("block")), F.col(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    sizes = (anchors.groupBy(*keys).agg(F.ceil(F.count("*") / ANCHORS).alias("a_blocks"))
-             .join(rows.groupBy(*keys).agg(F.ceil(F.count("*") / MEMBERS).alias("m_blocks")), keys))
-    a = anchors.join(sizes, keys).withColumn("a_block", dealt("a_blocks")).withColumn("m_block", every("m_blocks"))
-    m = rows.join(sizes, keys).withColumn("m_block", dealt("m_blocks")).withColumn("a_block", every("a_blocks"))
+def _dealt(blocks):
+    """A row's own block, and all blocks of the other side: it meets each row of that side once."""
+    return F.pmod(F.xxhash64("row", F.lit("block")), blocks), lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+
+def _groups(anchors: DataFrame, rows: DataFrame, sizes: DataFrame | None, a_blocks, m_blocks) -> tuple[DataFrame, DataFrame]:
+    """Anchors and rows dealt to (anchor block, row block) groups, of each bucket if ``sizes`` has buckets."""
+    if sizes is not None:
+        anchors, rows = anchors.join(sizes, "bucket"), rows.join(sizes, "bucket")
+    (own, every), (member, _) = _dealt(a_blocks), _dealt(m_blocks)
+    a = anchors.withColumn("a_block", own).withColumn("m_block", every(m_blocks))
+    m = rows.withColumn("m_block", member).withColumn("a_block", every(a_blocks))
     a, m = a.drop("a_blocks", "m_blocks"), m.drop("a_blocks", "m_blocks")
     return a, m.toDF(*m.columns)  # columns of its own: both may come from one table
 
@@ -192,10 +195,12 @@ def mine(vectors: DataFrame, every: int = EVERY, scale: int = SCALE) -> DataFram
     rows = write_and_read(rows_of(vectors, scale), "negatives-rows")
     anchors = rows.filter(F.col("vec_id") % every == 0)
     # positives: rows of the anchor's label
-    buckets = F.greatest(F.lit(1), F.ceil(F.count("*") / MEMBERS))
-    n = rows.agg(buckets.alias("n")).first()["n"]
-    bucket = F.pmod(F.xxhash64("label"), F.lit(n))
-    a, m = _groups(anchors.withColumn("bucket", bucket), rows.withColumn("bucket", bucket), ["bucket"])
+    blocks = lambda of: F.ceil(F.count("*") / of)
+    n_members = max(1, rows.agg(blocks(MEMBERS).alias("n")).first()["n"])
+    bucket = F.pmod(F.xxhash64("label"), F.lit(n_members))
+    labelled, of_labels = anchors.withColumn("bucket", bucket), rows.withColumn("bucket", bucket)
+    sizes = labelled.groupBy("bucket").agg(blocks(ANCHORS).alias("a_blocks")).join(of_labels.groupBy("bucket").agg(blocks(MEMBERS).alias("m_blocks")), "bucket")
+    a, m = _groups(labelled, of_labels, sizes, F.col("a_blocks"), F.col("m_blocks"))
     key = ["bucket", "a_block", "m_block"]
     heaps = a.groupBy(*key).cogroup(m.groupBy(*key)).applyInArrow(_positives, _POSITIVE)
     best = Window.partitionBy("anchor").orderBy(F.desc("score"), "vec_id", "row")
@@ -203,8 +208,9 @@ def mine(vectors: DataFrame, every: int = EVERY, scale: int = SCALE) -> DataFram
     positives = write_and_read(heaps.select("anchor", (F.col("place") - 1).alias("slot"), F.col("vec_id").alias("positive_id"), F.col("score").alias("positive_score")), "negatives-positives")
     # negatives: rows of other labels, in the windows of the positives
     scores = positives.groupBy("anchor").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "positive_score"))), lambda p: p["positive_score"]).alias("scores"))
-    opened = anchors.join(scores, F.col("row") == F.col("anchor")).select("row", "label", "v", "scores", F.lit(0).alias("all"))
-    a, m = _groups(opened, rows.withColumn("all", F.lit(0)), ["all"])
+    opened = anchors.join(scores, F.col("row") == F.col("anchor")).select("row", "label", "v", "scores")
+    n_anchors = max(1, anchors.agg(blocks(ANCHORS).alias("n")).first()["n"])
+    a, m = _groups(opened, rows, None, F.lit(n_anchors), F.lit(n_members))
     key = ["a_block", "m_block"]
     found = a.groupBy(*key).cogroup(m.groupBy(*key)).applyInArrow(_negatives, _NEGATIVE)
     best = Window.partitionBy("anchor", "slot").orderBy(F.desc("score"), "vec_id")

@@ -48,26 +48,50 @@ def test_digests(spark):
 
 @pytest.mark.parametrize("budget,history", [(64, 2), (64, 0), (200, 3), (10**9, 2)])
 def test_windows(spark, budget, history):
-    ws = defaultdict(list)
+    ws, over = defaultdict(list), 0
     for r in C.windows(frame(spark, ROWS), budget, history).collect():
         ws[r["conv_id"]].append(r)
     for conv, rows in ws.items():
         rows.sort(key=lambda r: r["window"])
         mine = sorted((t is not None, t or 0, r or "", x or "") for c, t, r, x in ROWS if c == conv)
         done = 0
+        cost = [len(x.split()) + C.TURN_COST for _, _, _, x in mine]
+        system = mine[0][2] == "system"
         for r in rows:
             bodies = [p + "</s>" for p in r["text"].split("</s>")[:-1]]
             new = bodies[r["n_repeated"]:]
-            cost = [len(x.split()) + C.TURN_COST for _, _, _, x in mine]
-            assert new and sum(cost[:done]) // budget == r["window"] == sum(cost[:done + len(new) - 1]) // budget
-            system = bool(mine[0][2] == "system")
-            assert r["n_repeated"] == min(done, history) + (system and done > history)
+            assert new
+            kept = cost[0] if system else 0
+            fresh = sum(cost[max(done, int(system)):done + len(new)])
+            # the longest history that fits, besides the system turn
+            back = [b for b in range(history + 1) if b <= done - system and kept + fresh + sum(cost[done - b:done]) <= budget]
+            assert r["n_repeated"] == max(back, default=0) + (system and done > 0)
+            total = kept + fresh + sum(cost[done - max(back, default=0):done])
+            assert total <= budget or len(new) - (system and done == 0) == 1  # over it by one long turn alone
+            over += total > budget
             if system:
                 assert bodies[0].startswith("<s>system[INST]Be kind." if conv == 1 else "<s>system[INST]")
             targets = [b for b in new if b.startswith("<s>assistant[INST]")]
             assert [r["text"][s["start"]:s["start"] + s["length"]] for s in r["loss"]] == [b[18:-11] for b in targets]
             done += len(new)
         assert done == len(mine)
+    longest = max(len((x or "").split()) + C.TURN_COST for _, _, _, x in ROWS)
+    assert over > 0 if budget < longest else over == 0
+
+
+def test_windows_of_a_table_keep_to_the_budget(spark):
+    t = spark.read.parquet(f"{SF01}/conversations.parquet")
+    cost = 0
+    for r in C.windows(t).collect():
+        bodies = r["text"].split("</s>")[:-1]
+        total = sum(len(text_of(b).split()) + C.TURN_COST for b in bodies)
+        assert total <= C.BUDGET or len(bodies) - r["n_repeated"] == 1
+        cost = max(cost, total)
+    assert cost > C.BUDGET / 2
+
+
+def text_of(body):
+    return body.split("[INST]", 1)[1][:-7].replace("~2", "[").replace("~1", "<").replace("~0", "~")
 
 
 def test_sql(spark):
