@@ -8,8 +8,13 @@
     spark.sql("SELECT subscription_id, is_subscription_active(subscription_id, TIMESTAMP_NTZ '2001-08-15') FROM subscriptions")
 
 All are temporary: views are the DataFrame operators' plans, and functions are SQL bodies that the
-optimizer inlines, so filters and column pruning reach the scans, and a function of a column becomes a
-join with one aggregate instead of a query per row.
+optimizer inlines, so filters and column pruning reach the scans, and ``is_subscription_active`` of a
+column becomes a join with one aggregate instead of a query per row.
+
+Spark takes a function's arguments for columns, so the date range of ``calculate_revenue`` is joined
+(with one row for each distinct pair of arguments) rather than pushed down. Where the range is
+known, ``spark.sql(REVENUE, {"date_from": ..., "date_to": ...})`` is the same statement with
+parameters, and its range reaches the scan.
 """
 
 from __future__ import annotations
@@ -21,11 +26,13 @@ from . import views as V
 TABLES = ("plans", "users", "subscriptions", "payments")
 
 # the end of the range is a whole day, as in functions.dates.in_range
+_SUM = """SELECT CAST(coalesce(sum(p.amount), 0) AS DECIMAL(18,2)) AS revenue FROM payments p
+WHERE p.status = 'Completed' AND p.payment_date >= {0} AND p.payment_date < {1} + INTERVAL 1 DAY"""
+REVENUE = _SUM.format("CAST(:date_from AS TIMESTAMP_NTZ)", "CAST(:date_to AS TIMESTAMP_NTZ)")
 _REVENUE = """
 CREATE OR REPLACE TEMPORARY FUNCTION calculate_revenue(date_from TIMESTAMP_NTZ, date_to TIMESTAMP_NTZ)
 RETURNS DECIMAL(18,2)
-RETURN SELECT CAST(coalesce(sum(p.amount), 0) AS DECIMAL(18,2)) FROM payments p
-       WHERE p.status = 'Completed' AND p.payment_date >= date_from AND p.payment_date < date_to + INTERVAL 1 DAY"""
+RETURN """ + _SUM.format("date_from", "date_to")
 
 # the time is compared outside the subquery, whose only link to the row is then an equality
 _ACTIVE = """

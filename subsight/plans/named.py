@@ -8,9 +8,9 @@ from .registry import AS_OF, REPORT_FROM, REPORT_TO, query
 A = f"TIMESTAMP '{AS_OF}'"
 
 
-def _sql(t, text):
+def _sql(t, text, **args):
     N.register(t.spark, t)
-    return t.spark.sql(text)
+    return t.spark.sql(text, args)
 
 
 @query("sql_active_subscriptions", """
@@ -38,8 +38,8 @@ def sql_payment_history_by_plan(t):
 SELECT CAST(COALESCE(SUM(amount), 0) AS DECIMAL(18,2)) AS revenue FROM payments
 WHERE status = 'Completed' AND payment_date >= TIMESTAMP '{REPORT_FROM}' AND payment_date < TIMESTAMP '{REPORT_TO}' + INTERVAL 1 DAY""")
 def sql_revenue(t):
-    """U2 as a SQL function with parameters."""
-    return _sql(t, f"SELECT calculate_revenue(TIMESTAMP_NTZ '{REPORT_FROM}', TIMESTAMP_NTZ '{REPORT_TO}') AS revenue")
+    """U2 as a SQL statement with parameters."""
+    return _sql(t, N.REVENUE, date_from=REPORT_FROM, date_to=REPORT_TO)
 
 
 @query("sql_is_subscription_active", f"""
