@@ -5,18 +5,20 @@ The ids of all documents form one stream in ascending doc_id order. It is cut in
 CRC-32 of its ids. The coder is an adaptive context-mixing range coder:
 
 * order 2 and order 1 each predict one id, the last that followed the two ids (the one id)
-  before, with a confidence; a prediction's share of the range is its hit rate so far at that
-  confidence, so the mixture adapts to the block;
-* order 0 gets the rest: every id of 16 bits has one share and ``GAIN`` more for each time order 0
-  has coded it. Its cumulative counts are a tree of four levels with sixteen children.
+  before, with a confidence; the shares of the two predictions are their hit rates so far at this
+  pair of confidences, so the mixture adapts to the block;
+* order 0 gets the rest: the ids that neither predicted, by their counts so far; an id that was not
+  counted yet is escaped and sent as 16 bits.
 
-The blocks of a segment are independent, so they are coded in lockstep, one id of each block at a
-time, as numpy vectors. A segment is one row of a Parquet file: whole documents, about ``BLOCK`` x
-``LANES`` ids, with the documents' ids and lengths. Spark writes and commits the files, so a lost
-executor repeats its tasks; a failed checksum stops the reader.
+A block is dealt to up to ``LANES`` lanes of ``STEPS`` consecutive ids. The lanes go in lockstep, as
+numpy vectors: each has a range coder of its own, all share the model, which learns a step's ids
+after the step. A segment is one row of a Parquet file: whole documents of up to ``SEGMENT`` ids (or
+one longer document), with the documents' ids and lengths; its blocks are coded one after the other.
+Spark writes and commits the files, so a lost executor repeats its tasks; a failed checksum stops
+the reader.
 
-The tokenizer sees each distinct word (between ASCII white space) once per Python worker: its
-pre-tokenizer drops white space, so a text's ids are those of its words in order.
+Where the tokenizer drops white space (it is probed), a text's ids are those of its words in order,
+and each distinct word is tokenized once per Python worker; else whole texts are tokenized.
 
 Cases: a null or empty text is the end id alone; a text of any length stays one document; null
 doc_ids come first; equal doc_ids are ordered by the hash of their text, and equal rows stay rows
@@ -31,19 +33,25 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import ASCII_SPACE, whole_text
 
-BLOCK, LANES = 4096, 1024
+STEPS, LANES = 1024, 4096  # ids of a lane, lanes of a block
+BLOCK = STEPS * LANES
+SEGMENT = BLOCK
 END_ID = 2
-GAIN = 32
-_SLOTS = 12  # bits of the tables of order 1 and 2
-_SCALE = 1 << 14  # of the mixture
+_SLOTS = 20  # bits of the table of order 2
+_STATES = 128
+_MEMORY_OF_RATES = 1 << 16  # outcomes of a state, halved beyond
+_SCALE_BITS, _REST_BITS = np.uint64(14), np.uint64(18)
+_SCALE, _REST = 1 << 14, 1 << 18  # parts of the mixture and of order 0; their product is at most _BOTTOM
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_MEMORY = 500_000
+_MEMORY, _MEMORY_OF_IDS = 500_000, 8_000_000  # words that a worker remembers, and their ids
+_SLICE = 8 << 20  # bytes of text that are encoded together
 
 
 def default_tokenizer() -> str:
@@ -52,245 +60,294 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Tree:
-    """Counts of 16-bit ids for each lane, four rows of sixteen sums to an id: the upper three hold
-    the sums before each child, the last one the sums up to each child."""
+class _Rest:
+    """Order 0: shares of the ids that no prediction met, in parts of ``_REST``. Ids that were not counted
+    yet share the escape. The shares follow the counts at steps that lie ever further apart."""
 
-    _BEFORE = np.array([[int(j > d) for j in range(16)] for d in range(16)], np.uint16).view(np.uint64)  # 16 x 4 words
-    _UPTO = np.array([[int(j >= d) for j in range(16)] for d in range(16)], np.uint16).view(np.uint64)
+    def __init__(self):
+        self.counts, self.fresh, self.next = np.zeros(1 << 16, np.int64), [], 0
+        self.shares, self.ids, self.escape = np.zeros(1 << 16, np.uint64), np.zeros(0, np.uint16), _REST
 
-    def __init__(self, lanes: int):
-        self.words = [np.zeros((lanes << 4 * k, 4), np.uint64) for k in range(4)]
-        self.sums = [w.view(np.uint16) for w in self.words]
-        self.flat = [s.reshape(-1) for s in self.sums]
-        self.n = np.zeros(lanes, np.int64)
-        self.starts = [np.arange(16, dtype=np.int32) << 12 - 4 * k for k in range(3)]
-
-    def total(self, lane: np.ndarray) -> np.ndarray:
-        return (1 << 16) + GAIN * self.n[lane]
-
-    def _count(self, rows: list, digits: list, lane: np.ndarray) -> None:
-        for k in range(4):
-            more = (self._UPTO if k == 3 else self._BEFORE).take(digits[k], axis=0)
-            self.words[k][rows[k]] = self.words[k].take(rows[k], axis=0) + more
-        self.n[lane] += 1
-
-    def place(self, lane: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Cumulative share and share of each lane's id; then the id counts once more."""
-        rows = [lane, (lane << 4) + (ids >> 12), (lane << 8) + (ids >> 8), (lane << 12) + (ids >> 4)]
-        digits = [ids >> 12, ids >> 8 & 15, ids >> 4 & 15, ids & 15]
-        below = self.flat[0].take(rows[0] * 16 + digits[0]).astype(np.int64)
-        below += self.flat[1].take(rows[1] * 16 + digits[1])
-        below += self.flat[2].take(rows[2] * 16 + digits[2])
-        at = rows[3] * 16 + digits[3]
-        before = self.flat[3].take(at - 1, mode="wrap") * (digits[3] > 0)  # (another row's sum, times none, for the first child)
-        own = self.flat[3].take(at) - before.astype(np.int64)
-        self._count(rows, digits, lane)
-        return ids + GAIN * (below + before), 1 + GAIN * own
-
-    def find(self, lane: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The id whose share holds ``share``, its cumulative share and share; then it counts once more."""
-        ids, rest = np.zeros(len(lane), np.int64), share.astype(np.int32)
-        rows, digits, r = [], [], np.arange(len(lane)) * 16
-        for k in range(3):
-            row = (lane << 4 * k) + ids
-            ends = self.sums[k].take(row, axis=0).astype(np.int32)
-            ends *= GAIN
-            ends += self.starts[k]
-            digit = np.count_nonzero(ends <= rest[:, None], axis=1) - 1
-            rest -= ends.reshape(-1).take(r + digit)
-            rows.append(row)
-            digits.append(digit)
-            ids = ids * 16 + digit
-        row = (lane << 12) + ids
-        sums = self.sums[3].take(row, axis=0).astype(np.int32)
-        digit = np.count_nonzero(sums * GAIN + np.arange(1, 17, dtype=np.int32) <= rest[:, None], axis=1)
-        sums = sums.reshape(-1)
-        before = sums.take(r + digit - 1, mode="wrap") * (digit > 0)
-        own = sums.take(r + digit) - before
-        rest -= GAIN * before + digit
-        rows.append(row)
-        digits.append(digit)
-        self._count(rows, digits, lane)
-        return ids * 16 + digit, share - rest, 1 + GAIN * own
+    def count(self, ids: np.ndarray) -> None:
+        self.fresh.append(ids)
+
+    def refresh(self, step: int) -> None:
+        if step < self.next or not self.fresh:
+            return
+        self.next = step + 1 + step // 8
+        self.counts += np.bincount(np.concatenate(self.fresh), minlength=1 << 16)
+        self.fresh = []
+        seen = np.flatnonzero(self.counts)
+        total, distinct = int(self.counts.sum()), len(seen)
+        if not distinct:
+            return
+        escape = max(1, _REST * distinct // (2 * (total + distinct)))  # at most a quarter
+        own = 1 + self.counts[seen] * (_REST - distinct - escape) // total
+        self.escape = _REST - int(own.sum())
+        below = np.cumsum(own) - own
+        self.shares[:] = 0
+        self.shares[seen] = below << 32 | own  # (share before the id, share of the id)
+        self.ids = np.repeat(seen.astype(np.uint16), own)
 
 
 class _Model:
-    """Predictions of order 1 and 2 and their shares, for each lane."""
+    """Predictions of order 1 and 2 and their shares in parts of ``_SCALE``. One model serves all lanes
+    of a block: each step is predicted from the steps before it, and all lanes' ids are learned after it."""
+
+    # what a hit or a miss does to a confidence, by 2 * confidence + hit; a prediction of low confidence is replaced
+    _CHANGE = np.array([c for s in range(8) for c in (-((s + 1) >> 1), int(s < 7))], np.int64).astype(np.uint32)
+    _REPLACED = np.array([r for s in range(8) for r in (s < 2, False)])
 
     def __init__(self, lanes: int):
-        self.lane = np.arange(lanes)
-        self.tables = [np.zeros(lanes << _SLOTS, np.uint32) for _ in range(2)]  # predicted id and confidence (3 bits)
-        # the hit rate at each confidence, as a part of _SCALE
-        self.rates = [np.tile(np.arange(8, dtype=np.int32) * (_SCALE // 9) + 64, lanes) for _ in range(2)]
-        self.before = np.zeros(lanes, np.uint32)
-        self.last = np.zeros(lanes, np.uint32)
-
-    def predict(self, n: int):
-        """For the first n lanes: slots, predicted ids, rates' places and rates, and the shares of order 2 and 1."""
-        lane, last, before = self.lane[:n], self.last[:n], self.before[:n]
-        slots = ((lane << _SLOTS) + (last * np.uint32(0x9E3779B1) >> np.uint32(32 - _SLOTS)),
-                 (lane << _SLOTS) + ((last * np.uint32(0x85EBCA6B) ^ before * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F) >> np.uint32(32 - _SLOTS)))
-        found = [self.tables[k].take(slots[k]) for k in range(2)]
-        states = [(lane << 3) + (f & np.uint32(7)) for f in found]
-        rates = [self.rates[k].take(states[k]) for k in range(2)]
-        # rates stay between 31 and _SCALE - 31, so every share is positive
-        return slots, found, states, rates, rates[1], 1 + (rates[0] * (_SCALE - 2 - rates[1]) >> 14)
-
-    def learn(self, n: int, slots, found, states, rates, ids: np.ndarray) -> None:
+        self.one, self.two = np.zeros(1 << 16, np.uint32), np.zeros(1 << _SLOTS, np.uint32)  # predicted id and confidence (3 bits)
+        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+        # by both confidences and whether both predict the same id: outcomes (neither, order 1, order 2)
+        self.outcomes = np.ones((3, _STATES), np.int64)
+        self._share()
+
+    def _share(self) -> None:
+        total = self.outcomes.sum(axis=0)
+        self.share2, self.share1 = (1 + ((_SCALE - 32) * self.outcomes[k] // total).astype(np.uint64) for k in (2, 1))
+
+    def predict(self, n: int) -> None:
+        """For the first n lanes: the ids of order 2 and 1 and their shares; the others keep at least 30 parts."""
+        last, before = self.last[:n], self.before[:n]
+        self.slot = (last * np.uint32(0x85EBCA6B) ^ before * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F) >> np.uint32(32 - _SLOTS)
+        self.found1, self.found2 = self.one.take(last), self.two.take(self.slot)
+        self.id1, self.id2 = self.found1 >> np.uint32(3), self.found2 >> np.uint32(3)
+        self.sure1, self.sure2 = self.found1 & np.uint32(7), self.found2 & np.uint32(7)
+        self.state = ((self.sure2 << np.uint32(4)) | (self.sure1 << np.uint32(1)) | (self.id1 == self.id2)).astype(np.int64)
+        self.own2, self.own1 = self.share2.take(self.state), self.share1.take(self.state)
+
+    def learn(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
+        """``hit1``: order 1 was right and order 2 was not."""
+        outcome = self.state + _STATES * (2 * hit2 + hit1.astype(np.int64))
+        self.outcomes += np.bincount(outcome, minlength=3 * _STATES).reshape(3, _STATES)
+        old = self.outcomes.sum(axis=0) > _MEMORY_OF_RATES
+        if old.any():
+            self.outcomes[:, old] = (self.outcomes[:, old] + 1) >> 1
+        self._share()
         fresh = (ids << np.uint32(3)) | np.uint32(1)
-        for k in range(2):
-            hit = (found[k] >> np.uint32(3)) == ids
-            self.rates[k][states[k]] = rates[k] + np.where(hit, _SCALE - rates[k] >> 5, -(rates[k] >> 5))
-            sure = found[k] & np.uint32(7)
-            self.tables[k][slots[k]] = np.where(hit, found[k] + (sure < 7), np.where(sure > 1, found[k] - (sure + np.uint32(1) >> np.uint32(1)), fresh))
+        right1 = self.id1 == ids
+        for table, slot, found, sure, hit in ((self.two, self.slot, self.found2, self.sure2, hit2), (self.one, self.last[:n], self.found1, self.sure1, right1)):
+            change = (sure << np.uint32(1)) | hit
+            table[slot] = np.where(self._REPLACED.take(change), fresh, found + self._CHANGE.take(change))  # of equal slots the last lane's stays
         self.before[:n] = self.last[:n]
         self.last[:n] = ids
 
 
-def _at(values: np.ndarray, r) -> np.ndarray:
-    """The values of some lanes: a slice of them, or chosen ones."""
-    return values[r] if isinstance(r, slice) else values.take(r)
-
-
 class _Range:
     """A carry-less range coder for each lane, in words of 16 bits."""
 
-    def __init__(self, lanes: int, data: list[bytes] | None = None):
+    def __init__(self, lanes: int, steps: int, data: bytes | None = None):
         self.low = np.zeros(lanes, np.uint64)
         self.range = np.full(lanes, 2**64 - 1, np.uint64)
         self.at = np.zeros(lanes, np.int64)
+        self.reading = data is not None
         if data is None:
-            self.words = np.zeros((lanes, BLOCK * 3 + 8), np.uint16)
+            self.words = np.zeros((lanes, steps * 4 + 8), np.uint16)  # an id takes at most 14 + 18 + 16 bits
             return
-        sizes = [len(d) // 2 for d in data]
-        self.words = np.zeros((lanes, max(sizes) + 8), np.uint16)
-        for i, d in enumerate(data):
-            self.words[i, :sizes[i]] = np.frombuffer(d, "<u2")
+        sizes = np.frombuffer(data, "<u2", lanes).astype(np.int64)
+        self.words = np.zeros((lanes, int(sizes.max()) + 8), np.uint16)
+        self.words[np.arange(self.words.shape[1]) < sizes[:, None]] = np.frombuffer(data, "<u2", offset=2 * lanes)
         self.code = np.zeros(lanes, np.uint64)
         for _ in range(4):
             self._read(np.arange(lanes))
 
-    def _read(self, r) -> None:
-        self.code[r] = self.code[r] << np.uint64(16) | self.words[r, self.at[r]]
-        self.at[r] += 1
-
-    def share(self, r, total) -> np.ndarray:
-        """Where in ``total`` the code is."""
-        self.step = _at(self.range, r) // total.astype(np.uint64)
-        return np.minimum((_at(self.code, r) - _at(self.low, r)) // self.step, total.astype(np.uint64) - np.uint64(1)).astype(np.int64)
-
-    def narrow(self, r, below, own, total=None, reading=False) -> None:
-        """To the part [below, below + own) of the total."""
-        step = self.step if reading else _at(self.range, r) // total.astype(np.uint64)
-        low, size = _at(self.low, r) + step * below.astype(np.uint64), step * own.astype(np.uint64)
-        self.low[r], self.range[r] = low, size
-        settled = (low ^ (low + size)) < _TOP
-        todo = np.flatnonzero(settled | (size < _BOTTOM))
-        while len(todo):
-            lanes = r[todo] if isinstance(r, np.ndarray) else todo
-            low, size = self.low.take(lanes), self.range.take(lanes)
+    def _read(self, r: np.ndarray) -> None:
+        at = self.at.take(r)
+        self.code[r] = self.code.take(r) << np.uint64(16) | self.words[r, at]
+        self.at[r] = at + 1
+
+    def settle(self, low: np.ndarray, size: np.ndarray, lanes: np.ndarray | None = None) -> None:
+        """The intervals of the given lanes (None: of the first ones) are now ``size`` from ``low``:
+        words that are settled leave the coder."""
+        if lanes is None:
+            self.low[:len(low)], self.range[:len(low)] = low, size
+        else:
+            self.low[lanes], self.range[lanes] = low, size
+        while True:
             settled = (low ^ (low + size)) < _TOP
-            size = np.where(settled, size, (np.uint64(0) - low) & (_BOTTOM - np.uint64(1)))
-            if reading:
+            todo = np.flatnonzero(settled | (size < _BOTTOM))
+            if not len(todo):
+                return
+            lanes = todo if lanes is None else lanes.take(todo)
+            low, size, settled = low.take(todo), size.take(todo), settled.take(todo)
+            if not settled.all():
+                size = np.where(settled, size, (np.uint64(0) - low) & (_BOTTOM - np.uint64(1)))
+            if self.reading:
                 self._read(lanes)
             else:
-                self.words[lanes, self.at[lanes]] = low >> np.uint64(48)
-                self.at[lanes] += 1
+                at = self.at.take(lanes)
+                self.words[lanes, at] = low >> np.uint64(48)
+                self.at[lanes] = at + 1
             low, size = low << np.uint64(16), size << np.uint64(16)
             self.low[lanes], self.range[lanes] = low, size
-            todo = todo[((low ^ (low + size)) < _TOP) | (size < _BOTTOM)]
 
-    def finish(self) -> list[bytes]:
-        for k in (48, 32, 16, 0):
-            self.words[np.arange(len(self.at)), self.at] = self.low >> np.uint64(k) & np.uint64(0xFFFF)
-            self.at += 1
-        return [self.words[i, :n].astype("<u2").tobytes() for i, n in enumerate(self.at)]
+    def finish(self) -> bytes:
+        """Two more words name a value inside each interval, which is 2^32 at least; the lanes' sizes go first."""
+        value = (self.low + (_BOTTOM - np.uint64(1))) >> np.uint64(32)
+        lanes = np.arange(len(self.at))
+        self.words[lanes, self.at] = value >> np.uint64(16)
+        self.words[lanes, self.at + 1] = value & np.uint64(0xFFFF)
+        sizes = self.at + 2
+        return sizes.astype("<u2").tobytes() + self.words[np.arange(self.words.shape[1]) < sizes[:, None]].astype("<u2").tobytes()
 
 
-def encode_blocks(ids: np.ndarray) -> list[bytes]:
-    """The blocks of a stream of ids, each coded by itself."""
-    if len(ids) == 0:
-        return []
-    if int(ids.max()) >> 16:
-        raise ValueError("ids must be below 65,536")
-    lanes = -(-len(ids) // BLOCK)
-    stream = np.zeros(lanes * BLOCK, np.uint32)
+def _shape(n_ids: int) -> tuple[int, int]:
+    """Lanes of a block, and the ids of the last one; the others hold ``STEPS``."""
+    lanes = -(-n_ids // STEPS)
+    return lanes, n_ids - (lanes - 1) * STEPS
+
+
+def _encode(ids: np.ndarray) -> bytes:
+    lanes, short = _shape(len(ids))
+    stream = np.zeros(lanes * STEPS, np.uint32)
     stream[:len(ids)] = ids
-    stream = stream.reshape(lanes, BLOCK).T.copy()
-    short = len(ids) - (lanes - 1) * BLOCK  # ids of the last block
-    model, tree, coder = _Model(lanes), _Tree(lanes), _Range(lanes)
-    scale = np.full(lanes, _SCALE, np.int64)
-    for t in range(min(BLOCK, len(ids))):
+    stream = stream.reshape(lanes, STEPS).T.copy()
+    steps = min(STEPS, len(ids))
+    model, rest, coder = _Model(lanes), _Rest(), _Range(lanes, steps)
+    for t in range(steps):
         n = lanes if t < short else lanes - 1
         x = stream[t, :n]
-        slots, found, states, rates, share2, share1 = model.predict(n)
-        hit2 = (found[1] >> np.uint32(3)) == x
-        hit1 = ~hit2 & ((found[0] >> np.uint32(3)) == x)
-        miss = ~hit2 & ~hit1
-        below = np.where(hit2, 0, np.where(hit1, share2, share2 + share1))
-        own = np.where(hit2, share2, np.where(hit1, share1, _SCALE - share2 - share1))
-        coder.narrow(slice(0, n), below, own, scale[:n])
+        rest.refresh(t)
+        model.predict(n)
+        hit2 = model.id2 == x
+        hit1 = (model.id1 == x) & ~hit2
+        both = model.own2 + model.own1
+        miss = ~(hit2 | hit1)
+        part = coder.range[:n] >> _SCALE_BITS
+        low = coder.low[:n] + part * np.where(hit2, np.uint64(0), np.where(hit1, model.own2, both))
+        size = part * np.where(hit2, model.own2, np.where(hit1, model.own1, np.uint64(_SCALE) - both))
         r = np.flatnonzero(miss)
         if len(r):
-            total = tree.total(r)
-            coder.narrow(r, *tree.place(r, x[r].astype(np.int64)), total)
-        model.learn(n, slots, found, states, rates, x)
+            missed = x.take(r)
+            share = rest.shares.take(missed)
+            new = share == 0
+            part = size.take(r) >> _REST_BITS
+            low[r] += part * np.where(new, np.uint64(_REST - rest.escape), share >> np.uint64(32))
+            size[r] = part * np.where(new, np.uint64(rest.escape), share & np.uint64(0xFFFFFFFF))
+            rest.count(missed)
+        coder.settle(low, size)
+        if len(r) and new.any():
+            r, raw = r[new], missed[new].astype(np.uint64)
+            part = coder.range.take(r) >> np.uint64(16)
+            coder.settle(coder.low.take(r) + part * raw, part, r)
+        model.learn(n, x, hit2, hit1)
     return coder.finish()
 
 
-def decode_blocks(blocks: list[bytes], n_ids: int) -> np.ndarray:
-    """The stream of ids of :func:`encode_blocks`."""
-    if not blocks:
-        return np.zeros(0, np.uint32)
-    lanes = len(blocks)
-    short = n_ids - (lanes - 1) * BLOCK
-    stream = np.zeros((BLOCK, lanes), np.uint32)
-    model, tree, coder = _Model(lanes), _Tree(lanes), _Range(lanes, blocks)
-    scale = np.full(lanes, _SCALE, np.int64)
-    for t in range(min(BLOCK, n_ids)):
+def _decode(data: bytes, n_ids: int) -> np.ndarray:
+    lanes, short = _shape(n_ids)
+    steps = min(STEPS, n_ids)
+    stream = np.zeros((STEPS, lanes), np.uint32)
+    model, rest, coder = _Model(lanes), _Rest(), _Range(lanes, steps, data)
+    for t in range(steps):
         n = lanes if t < short else lanes - 1
-        slots, found, states, rates, share2, share1 = model.predict(n)
-        share = coder.share(slice(0, n), scale[:n])
-        hit2 = share < share2
-        miss = share >= share2 + share1
-        below = np.where(hit2, 0, np.where(miss, share2 + share1, share2))
-        own = np.where(hit2, share2, np.where(miss, _SCALE - share2 - share1, share1))
-        coder.narrow(slice(0, n), below, own, reading=True)
-        x = np.where(hit2, found[1] >> np.uint32(3), found[0] >> np.uint32(3))
+        rest.refresh(t)
+        model.predict(n)
+        both = model.own2 + model.own1
+        part, low = coder.range[:n] >> _SCALE_BITS, coder.low[:n]
+        ahead = coder.code[:n] - low
+        edge = part * both
+        miss = ahead >= edge
+        hit2 = ahead < part * model.own2
+        hit1 = ~(miss | hit2)
+        x = np.where(hit2, model.id2, model.id1)
+        low = low + part * np.where(hit2, np.uint64(0), np.where(hit1, model.own2, both))
+        size = part * np.where(hit2, model.own2, np.where(hit1, model.own1, np.uint64(_SCALE) - both))
         r = np.flatnonzero(miss)
         if len(r):
-            share = coder.share(r, tree.total(r))
-            ids, below, own = tree.find(r, share)
-            coder.narrow(r, below, own, reading=True)
-            x[r] = ids
-        model.learn(n, slots, found, states, rates, x)
+            part = size.take(r) >> _REST_BITS
+            share = np.minimum((ahead.take(r) - edge.take(r)) // part, np.uint64(_REST - 1)).astype(np.int64)
+            new = share >= _REST - rest.escape
+            missed = np.zeros(len(r), np.uint32) if new.all() else rest.ids.take(share, mode="clip").astype(np.uint32)
+            own = rest.shares.take(missed)
+            low[r] += part * np.where(new, np.uint64(_REST - rest.escape), own >> np.uint64(32))
+            size[r] = part * np.where(new, np.uint64(rest.escape), own & np.uint64(0xFFFFFFFF))
+        coder.settle(low, size)
+        if len(r):
+            if new.any():
+                e = r[new]
+                part, low = coder.range.take(e) >> np.uint64(16), coder.low.take(e)
+                raw = np.minimum((coder.code.take(e) - low) // part, np.uint64(0xFFFF))
+                coder.settle(low + part * raw, part, e)
+                missed[new] = raw
+            x[r] = missed
+            rest.count(missed)
+        model.learn(n, x, hit2, hit1)
         stream[t, :n] = x
     return stream.T.reshape(-1)[:n_ids]
 
 
-class _Words(dict):
-    """The ids of words, as little-endian unsigned 32-bit integers."""
+def encode_blocks(ids: np.ndarray) -> list[bytes]:
+    """The blocks of a stream of ids, each coded by itself."""
+    if len(ids) and int(ids.max()) >> 16:
+        raise ValueError("ids must be below 65,536")
+    return [_encode(ids[i:i + BLOCK]) for i in range(0, len(ids), BLOCK)]
+
+
+def decode_blocks(blocks: list[bytes], n_ids: int) -> np.ndarray:
+    """The stream of ids of :func:`encode_blocks`."""
+    parts = [_decode(data, min(BLOCK, n_ids - i * BLOCK)) for i, data in enumerate(blocks)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
+
+
+class _Words:
+    """The ids of words: each distinct word is tokenized once and numbered; a text is its words' numbers."""
+
+    _PROBES = ("a", "word", "Ab's", "don", "'t", "12", "é", "\u0301x", ".", "<|", "你")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-
-    def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
-        for i in range(0, len(new), 10_000):
-            part = new[i:i + 10_000]
-            coded = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            self.update((w, np.array(c.ids, "<u4").tobytes()) for w, c in zip(part, coded))
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        if len(self) > _MEMORY:
+        # whether a text's ids are those of its words in order; else whole texts are "words"
+        own = {w: self._ids([w])[0] for w in self._PROBES}
+        pairs = [(x, y, x + gap + y) for x in self._PROBES for y in self._PROBES for gap in (*ASCII_SPACE, " \t\n")]
+        self.splits = all(coded == own[x] + own[y] for (x, y, _), coded in zip(pairs, self._ids([t for _, _, t in pairs])))
+        self.clear()
+
+    def clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [c.ids for c in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        for i in range(0, len(words), 10_000):
+            for w, ids in zip(words[i:i + 10_000], self._ids([w.decode("utf-8", "replace") for w in words[i:i + 10_000]])):
+                k = self.number[w] = len(self.number)
+                if k == len(self.first):
+                    self.first, self.size = np.resize(self.first, 2 * k), np.resize(self.size, 2 * k)
+                while self.used + len(ids) > len(self.flat):
+                    self.flat = np.resize(self.flat, 2 * len(self.flat))
+                self.first[k], self.size[k] = self.used, len(ids)
+                self.flat[self.used:self.used + len(ids)] = ids
+                self.used += len(ids)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in order, and how many each has."""
+        texts = texts.cast(pa.large_binary()).fill_null(b"").cast(pa.large_string(), safe=False)
+        if self.splits:
+            lists = pc.ascii_split_whitespace(texts)
+            words, ends = lists.values, lists.offsets.to_numpy()
+        else:
+            words, ends = texts, np.arange(len(texts) + 1)
+        coded = words.dictionary_encode()
+        known = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        if len(self.number) > _MEMORY or self.used > _MEMORY_OF_IDS:
             self.clear()
-        self.learn({w for ws in words for w in ws})
-        return [b"".join(map(self.__getitem__, ws)) for ws in words]
+        self._learn([w for w in known if w not in self.number])
+        numbers = np.fromiter(map(self.number.__getitem__, known), np.int64, len(known))
+        numbers = numbers.take(coded.indices.to_numpy(zero_copy_only=False))
+        sizes = self.size.take(numbers)
+        after = np.cumsum(sizes)
+        at = np.arange(after[-1] if len(after) else 0) + np.repeat(self.first.take(numbers) - (after - sizes), sizes)
+        before = np.concatenate((np.zeros(1, np.int64), after)).take(ends)
+        return self.flat.take(at), np.diff(before)
 
 
 @functools.lru_cache(maxsize=2)
@@ -298,14 +355,21 @@ def _words(path: str) -> _Words:
     return _Words(path)
 
 
+def _slices(texts: pa.Array):
+    """(start, rows) of parts of a column of texts: about ``_SLICE`` bytes, or one longer text."""
+    size = np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64)
+    part = (np.cumsum(size) - size) // _SLICE
+    edges = np.flatnonzero(np.diff(part, prepend=-1))
+    return zip(edges.tolist(), np.diff(edges, append=len(size)).tolist())
+
+
 def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> None:
     """Encode every text and write the ids to ``folder`` in ascending doc_id order."""
     import os
 
     text = whole_text()
     rows = docs.select("doc_id", F.xxhash64(text).alias("h"), text.cast("binary").alias("text"))
-    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h")
-    end = np.array([end_id], "<u4").tobytes()
+    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").drop("h")
 
     def run(batches):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -313,25 +377,29 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> None
         names, coded, size = [], [], 0
 
         def flush():
-            ids = np.frombuffer(b"".join(coded), "<u4")
-            checks = [zlib.crc32(ids[i:i + BLOCK].tobytes()) for i in range(0, len(ids), BLOCK)]
+            ids = np.concatenate(coded)
+            checks = [zlib.crc32(ids[i:i + BLOCK].astype("<u4").tobytes()) for i in range(0, len(ids), BLOCK)]
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([len(ids)], pa.int64()),
-                 pa.array([names], pa.list_(kind)), pa.array([[len(c) // 4 for c in coded]], pa.list_(pa.int64())),
+                 pa.array([names], pa.list_(kind)), pa.array([[len(c) for c in coded]], pa.list_(pa.int64())),
                  pa.array([checks], pa.list_(pa.int64())), pa.array([encode_blocks(ids)], pa.list_(pa.binary()))],
                 ["part", "segment", "n_ids", "doc_ids", "lengths", "checks", "blocks"])
 
         for b in batches:
             kind = b.schema.field(0).type
-            for at in range(0, b.num_rows, 1000):
-                some = b.slice(at, 1000)
-                for name, c in zip(some.column(0).to_pylist(), words.encode(some.column(2).to_pylist())):
-                    names.append(name)
-                    coded.append(c + end)
-                    size += len(c) // 4 + 1
-                    if size >= BLOCK * LANES:
+            for start, n in _slices(b.column(1)):
+                some = b.slice(start, n)
+                ids, lengths = words.encode(some.column(1))
+                ends = np.cumsum(lengths)
+                ids = np.insert(ids, ends, end_id)  # one more id a document
+                ends += np.arange(1, n + 1)
+                for name, a, z in zip(some.column(0).to_pylist(), (ends - lengths - 1).tolist(), ends.tolist()):
+                    if names and size + z - a > SEGMENT:
                         yield flush()
                         names, coded, size, segment = [], [], 0, segment + 1
+                    names.append(name)
+                    coded.append(ids[a:z])
+                    size += z - a
         if names:
             yield flush()
 
@@ -341,34 +409,52 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int = END_ID) -> None
     rows.mapInArrow(run, schema).write.parquet(folder)
 
 
-def read_back(spark: SparkSession, folder: str) -> DataFrame:
-    """Per document, from the files: doc_id, start, n_tokens and the ids."""
-    files = spark.read.parquet(folder)
+def _decoded(files: DataFrame, value: str, of_ids) -> DataFrame:
+    """Per document: part, segment, inside (ids of the segment before it), n_tokens, doc_id and
+    what ``of_ids(ids, offsets)`` makes of its ids."""
     kind = files.schema["doc_ids"].dataType.elementType.simpleString()
 
     def run(batches):
         for b in batches:
             for row in range(b.num_rows):
-                s = b.slice(row, 1).to_pydict()
-                ids = decode_blocks(s["blocks"][0], s["n_ids"][0])
-                for k, check in enumerate(s["checks"][0]):
+                s = b.slice(row, 1)
+                names, lengths = s.column(3).flatten(), s.column(4).flatten().to_numpy()
+                part, segment, n_ids = (s.column(k)[0].as_py() for k in range(3))
+                ids = decode_blocks(s.column(6)[0].as_py(), n_ids)
+                for k, check in enumerate(s.column(5)[0].as_py()):
                     if zlib.crc32(ids[k * BLOCK:(k + 1) * BLOCK].astype("<u4").tobytes()) != check:
-                        raise ValueError(f"part {s['part'][0]}, segment {s['segment'][0]}, block {k}: wrong checksum")
-                lengths = np.array(s["lengths"][0], np.int64)
-                ends = np.cumsum(lengths)
-                n = len(lengths)
-                for a in range(0, n, 2000):
-                    z = slice(a, a + 2000)
-                    first = int(ends[a] - lengths[a])
-                    offsets = pa.array(np.append(ends[z] - lengths[z], ends[z][-1]) - first, pa.int32())
+                        raise ValueError(f"part {part}, segment {segment}, block {k}: wrong checksum")
+                offsets = np.append(0, np.cumsum(lengths))
+                for a in range(0, len(lengths), 2000):
+                    z = offsets[a:a + 2001]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([s["part"][0]] * len(ends[z]), pa.int32()), pa.array([s["segment"][0]] * len(ends[z]), pa.int32()),
-                         pa.array(s["doc_ids"][0][z], b.schema.field("doc_ids").type.value_type), pa.array(ends[z] - lengths[z]), pa.array(lengths[z]),
-                         pa.ListArray.from_arrays(offsets, pa.array(ids[first:int(ends[z][-1])].astype(np.int32)))],
-                        ["part", "segment", "doc_id", "inside", "n_tokens", "ids"])
+                        [pa.array([part] * (len(z) - 1), pa.int32()), pa.array([segment] * (len(z) - 1), pa.int32()), names.slice(a, 2000),
+                         pa.array(z[:-1]), pa.array(lengths[a:a + 2000]), of_ids(ids[z[0]:z[-1]], z - z[0])],
+                        ["part", "segment", "doc_id", "inside", "n_tokens", "value"])
+
+    kind = f"part int, segment int, doc_id {kind}, inside long, n_tokens long, value {value}"
+    rows = files.select("part", "segment", "n_ids", "doc_ids", "lengths", "checks", "blocks").mapInArrow(run, kind)
+    return rows.join(_starts(files), ["part", "segment"]).withColumn("start", F.col("offset") + F.col("inside"))
+
+
+def read_back(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document, from the files: doc_id, start, n_tokens and the ids."""
+
+    def lists(ids, offsets):
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))
+
+    return _decoded(spark.read.parquet(folder), "array<int>", lists).select("doc_id", "start", "n_tokens", F.col("value").alias("ids"))
+
+
+def digests(spark: SparkSession, folder: str) -> DataFrame:
+    """Per document, from the files: doc_id, start, n_tokens and the CRC-32 of the ids as little-endian
+    unsigned 32-bit integers. The ids stay in the task that decodes them."""
+
+    def crc(ids, offsets):
+        coded = ids.astype("<u4")
+        return pa.array([zlib.crc32(coded[a:z]) for a, z in zip(offsets.tolist(), offsets[1:].tolist())], pa.int64())
 
-    docs = files.mapInArrow(run, f"part int, segment int, doc_id {kind}, inside long, n_tokens long, ids array<int>")
-    return docs.join(_starts(files), ["part", "segment"]).select("doc_id", (F.col("offset") + F.col("inside")).alias("start"), "n_tokens", "ids")
+    return _decoded(spark.read.parquet(folder), "long", crc).select("doc_id", "start", "n_tokens", F.col("value").alias("ids_crc32"))
 
 
 def _starts(files: DataFrame) -> DataFrame:
@@ -382,24 +468,10 @@ def _starts(files: DataFrame) -> DataFrame:
     return sizes.join(parts, "part").select("part", "segment", (F.col("ahead") + F.col("earlier")).alias("offset"))
 
 
-def digests(coded: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and the CRC-32 of the ids as little-endian unsigned 32-bit integers."""
-
-    def run(batches):
-        for b in batches:
-            ids = b.column(3)
-            values, offsets = ids.values.to_numpy().astype("<u4"), ids.offsets.to_numpy()
-            crc = [zlib.crc32(values[x:y].tobytes()) for x, y in zip(offsets, offsets[1:])]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    kind = coded.schema["doc_id"].dataType.simpleString()
-    return coded.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
-
-
 def op1_token_output(spark, sf_dir: str) -> DataFrame:
     from ..session import scratch_path
     from .common import read
 
     folder = scratch_path(spark, "token-files")
     write(read(spark, sf_dir, "documents"), folder, default_tokenizer())
-    return digests(read_back(spark, folder))
+    return digests(spark, folder)

@@ -5,9 +5,10 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from subsight.llm import tokenfile as T
 from subsight.session import scratch_path
@@ -28,7 +29,7 @@ def expected(rows):
     return out
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, T.BLOCK - 1, T.BLOCK, T.BLOCK + 1, 3 * T.BLOCK + 77])
+@pytest.mark.parametrize("n", [0, 1, 2, T.STEPS - 1, T.STEPS, T.STEPS + 1, 3 * T.STEPS + 77, T.BLOCK - 1, T.BLOCK + 1, 2 * T.BLOCK + 77])
 def test_round_trip(n):
     rng = np.random.default_rng(n)
     for ids in (rng.integers(0, 65536, n), np.zeros(n, int), rng.geometric(0.01, n) % 65536, np.arange(n) % 9, np.full(n, 65535)):
@@ -52,9 +53,44 @@ def test_words_give_the_ids_of_whole_texts():
     texts = ["".join(rng.choice("aeT 's't\n\t\x0b\x1c  Éé́<|endoftext|>1²你.,!") for _ in range(rng.randint(0, 60))) for _ in range(3000)]
     texts += ["a <|startoftext|> b", "<|endoftext|>x", "don't  we'll", "́ ́a", "ΑΣ ΣΑΣ", "İ I"]
     library = Tokenizer.from_file(PATH)
-    got = T._Words(PATH).encode([t.encode() for t in texts])
-    for t, g in zip(texts, got):
-        assert np.frombuffer(g, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+    words, want = T._Words(PATH), [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert words.splits
+    for _ in range(2):  # with words learned word by word, then from memory; then as whole texts
+        for split in (True, False):
+            words.splits = split
+            ids, lengths = words.encode(pa.array([t.encode() for t in texts], pa.binary()))
+            for t, w, g in zip(texts, want, np.split(ids, np.cumsum(lengths)[:-1])):
+                assert g.tolist() == w, repr(t)
+
+
+def test_a_tokenizer_that_keeps_white_space_gets_whole_texts(tmp_path):
+    # (a tokenizer of bytes with a space as a token of its own; nothing is trained)
+    alphabet = {c: i for i, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}
+    library = Tokenizer(models.BPE(vocab=alphabet, merges=[]))
+    library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    path = str(tmp_path / "bytes.json")
+    library.save(path)
+    words = T._Words(path)
+    assert not words.splits
+    texts = ["a b", " two  spaces\n", "", "é"]
+    ids, lengths = words.encode(pa.array([t.encode() for t in texts] + [None], pa.binary()))
+    assert [g.tolist() for g in np.split(ids, np.cumsum(lengths)[:-1])] == [library.encode(t).ids for t in texts] + [[]]
+
+
+def test_slices_hold_every_row():
+    texts = pa.array([b"x" * n for n in (0, 5, 3 * T._SLICE, 0, 7, T._SLICE, 1)] + [None], pa.binary())
+    parts = list(T._slices(texts))
+    assert [a for a, _ in parts] == [0, *np.cumsum([n for _, n in parts])[:-1]] and sum(n for _, n in parts) == len(texts)
+    assert list(T._slices(pa.array([], pa.binary()))) == []
+
+
+def test_ids_take_fewer_bits_than_their_order_0_entropy():
+    rows = duckdb.sql(f"SELECT text FROM '{SF001}/documents.parquet' ORDER BY doc_id").fetchall()
+    ids, _ = T._Words(PATH).encode(pa.array([(t or "").encode() for t, in rows], pa.binary()))
+    share = np.bincount(ids) / len(ids)
+    share = share[share > 0]
+    bits = 8 * sum(map(len, T.encode_blocks(ids))) / len(ids)
+    assert bits < -(share * np.log2(share)).sum()
 
 
 def test_odd_rows(spark, monkeypatch):
@@ -62,7 +98,7 @@ def test_odd_rows(spark, monkeypatch):
     docs = spark.createDataFrame([(*r, 0, "s") for r in rows], "doc_id long, text string, start int, part string")
     folder = scratch_path(spark, "test-tokens")
     T.write(docs, folder, PATH)
-    got = T.digests(T.read_back(spark, folder)).collect()
+    got = T.digests(spark, folder).collect()
     assert [r[2:] for r in sorted(got, key=lambda r: r["start"])] != []
     by_start = sorted(map(tuple, got), key=lambda r: r[1])
     want = expected(rows)
@@ -70,9 +106,12 @@ def test_odd_rows(spark, monkeypatch):
     # rows of one doc_id may come in either order; all others are fixed
     assert sorted(r[2:] for r in by_start) == sorted(r[2:] for r in want)
     assert [b[1] for b in by_start] == [0, *np.cumsum([b[2] for b in by_start])[:-1]]
+    # the ids themselves are those of the digests
+    for r in T.read_back(spark, folder).collect():
+        assert (r["doc_id"], r["start"], r["n_tokens"], zlib.crc32(np.array(r["ids"], "<u4").tobytes())) in by_start
     empty = scratch_path(spark, "test-tokens")
     T.write(docs.limit(0), empty, PATH)
-    assert T.digests(T.read_back(spark, empty)).collect() == []
+    assert T.digests(spark, empty).collect() == []
 
 
 def test_damage_is_found(spark):
@@ -86,7 +125,7 @@ def test_damage_is_found(spark):
 
 
 def test_segments(spark, monkeypatch):
-    monkeypatch.setattr(T, "LANES", 2)
+    monkeypatch.setattr(T, "SEGMENT", 5000)
     rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF001}/documents.parquet'").fetchall()
     assert sorted(map(tuple, T.op1_token_output(spark, SF001).collect())) == expected(rows)
 
