@@ -50,7 +50,8 @@ _MEMORY_OF_RATES = 1 << 16  # outcomes of a state, halved beyond
 _SCALE_BITS, _REST_BITS = np.uint64(14), np.uint64(18)
 _SCALE, _REST = 1 << 14, 1 << 18  # parts of the mixture and of order 0; their product is at most _BOTTOM
 _TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
-_MEMORY, _MEMORY_OF_IDS = 500_000, 8_000_000  # words that a worker remembers, and their ids
+_MEMORY, _MEMORY_OF_IDS = 1_000_000, 16_000_000  # words that a worker remembers, and their ids
+_MARKS = ".,;:!?*$%&#"
 _SLICE = 8 << 20  # bytes of text that are encoded together
 
 
@@ -296,12 +297,19 @@ def decode_blocks(blocks: list[bytes], n_ids: int) -> np.ndarray:
 class _Words:
     """The ids of words: each distinct word is tokenized once and numbered; a text is its words' numbers."""
 
+    _LETTERS = ("a", "word", "Ab", "é", "你", "s")
     _PROBES = ("a", "word", "Ab's", "don", "'t", "12", "é", "\u0301x", ".", "<|", "你")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the ids that close a piece, where the tokenizer marks them
+        mark, vocabulary = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values(), default=0) + 1, bool) if mark else None
+        if mark:
+            self.closes[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
+        self.tails: dict[str, bool] = {}
         # whether a text's ids are those of its words in order; else whole texts are "words"
         own = {w: self._ids([w])[0] for w in self._PROBES}
         pairs = [(x, y, x + gap + y) for x in self._PROBES for y in self._PROBES for gap in (*ASCII_SPACE, " \t\n")]
@@ -314,19 +322,71 @@ class _Words:
         self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [c.ids for c in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [c.ids for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _plain_tail(self, tail: str) -> bool:
+        """Whether these marks are one closed piece of their own behind letters."""
+        if tail not in self.tails:
+            own, *pairs = self._ids([tail, *(w + tail for w in self._LETTERS), *self._LETTERS])
+            n = len(self._LETTERS)
+            self.tails[tail] = int(self.closes[own].sum()) == 1 and all(pairs[k] == pairs[n + k] + own for k in range(n))
+        return self.tails[tail]
 
     def _learn(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 10_000):
-            for w, ids in zip(words[i:i + 10_000], self._ids([w.decode("utf-8", "replace") for w in words[i:i + 10_000]])):
-                k = self.number[w] = len(self.number)
-                if k == len(self.first):
-                    self.first, self.size = np.resize(self.first, 2 * k), np.resize(self.size, 2 * k)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.resize(self.flat, 2 * len(self.flat))
-                self.first[k], self.size[k] = self.used, len(ids)
-                self.flat[self.used:self.used + len(ids)] = ids
-                self.used += len(ids)
+        """Tokenize new words. Words of letters are sent together and told apart by the tokens that
+        close a piece: each closes one at least, so as many closed pieces as words show that each
+        closed its own. Plain marks behind letters are put to the letters' ids. The others are sent
+        one by one."""
+        letters, marked, alone = {}, [], {}
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            if self.closes is not None and self.splits:
+                if text.isalpha():
+                    letters[w] = text
+                    continue
+                stem = text.rstrip(_MARKS)
+                if stem.isalpha() and self._plain_tail(text[len(stem):]):
+                    own, tail = stem.encode(), text[len(stem):].encode()
+                    marked.append((w, own, tail))
+                    for part, kind in ((own, letters), (tail, alone)):
+                        if part not in self.number:
+                            kind[part] = part.decode()
+                    continue
+            alone[w] = text
+        names = list(letters)
+        parts = [names[i:i + 200] for i in range(0, len(names), 200)]
+        for part, ids in zip(parts, self._ids([" ".join([letters[w] for w in part]) for part in parts])):
+            ids = np.array(ids, np.uint32)
+            ends = np.flatnonzero(self.closes.take(ids)) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                self._add(part, ids, np.diff(ends, prepend=0))
+            else:
+                alone.update((w, letters[w]) for w in part)
+        names = list(alone)
+        for i in range(0, len(names), 10_000):
+            coded = self._ids([alone[w] for w in names[i:i + 10_000]])
+            self._add(names[i:i + 10_000], np.array([x for ids in coded for x in ids], np.uint32), np.array([len(ids) for ids in coded]))
+        if marked:
+            two = np.array([(self.number[own], self.number[tail]) for _, own, tail in marked])
+            self._add([w for w, _, _ in marked], self._gather(two.ravel()), self.size.take(two).sum(axis=1))
+
+    def _gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of words, one after the other."""
+        sizes = self.size.take(numbers)
+        after = np.cumsum(sizes)
+        at = np.arange(after[-1] if len(after) else 0) + np.repeat(self.first.take(numbers) - (after - sizes), sizes)
+        return self.flat.take(at)
+
+    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, used = len(self.number), self.used
+        while n + len(words) > len(self.first):
+            self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
+        while used + len(ids) > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.first[n:n + len(words)], self.size[n:n + len(words)] = used + np.cumsum(sizes) - sizes, sizes
+        self.flat[used:used + len(ids)] = ids
+        self.used += len(ids)
+        self.number.update(zip(words, range(n, n + len(words))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in order, and how many each has."""
@@ -343,11 +403,8 @@ class _Words:
         self._learn([w for w in known if w not in self.number])
         numbers = np.fromiter(map(self.number.__getitem__, known), np.int64, len(known))
         numbers = numbers.take(coded.indices.to_numpy(zero_copy_only=False))
-        sizes = self.size.take(numbers)
-        after = np.cumsum(sizes)
-        at = np.arange(after[-1] if len(after) else 0) + np.repeat(self.first.take(numbers) - (after - sizes), sizes)
-        before = np.concatenate((np.zeros(1, np.int64), after)).take(ends)
-        return self.flat.take(at), np.diff(before)
+        before = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.size.take(numbers)))).take(ends)
+        return self._gather(numbers), np.diff(before)
 
 
 @functools.lru_cache(maxsize=2)
