@@ -67,8 +67,12 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_epochs: int =
     """Columns ``keep`` (default: doc_id) of every document with source, key, size, source_size, target,
     epochs (whole repeats), cut (words of the further, partial repeat; up to the whole document)
     and taken = epochs * size + cut."""
+    return _mixed(docs, weights, share, max_epochs, seed, keep or ["doc_id"]).drop("n")
+
+
+def _mixed(docs: DataFrame, weights, share: float, max_epochs: int, seed: int, keep: list[str]) -> DataFrame:
+    """:func:`mix` with ``n``, the number of the row in ``docs``, which orders rows of one key."""
     spark = docs.sparkSession
-    keep = keep or ["doc_id"]
     text = whole_text()
     sized = docs.select(F.struct(*[F.col(c) for c in keep]).alias("row"), F.col("source"),
                         count_words(text).alias("size"), _key(seed).alias("key"),
@@ -88,7 +92,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_epochs: int =
     placed = sorted_.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = (placed.join(offsets.withColumnRenamed("part", "o_part"),
                           (F.col("part") == F.col("o_part")) & F.col("source").eqNullSafe(F.col("o_source")))
-              .select("row", "source", "key", "size", (F.col("before") + F.col("offset")).alias("start")))
+              .select("row", "source", "key", "n", "size", (F.col("before") + F.col("offset")).alias("start")))
     b = budget.withColumnRenamed("source", "b_source")
     # the budgets are one row per source, the planner decides how to join them
     out = placed.join(b, F.col("source").eqNullSafe(F.col("b_source")))
@@ -98,19 +102,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_epochs: int =
     rest = F.when(F.col("source_size") > 0, words - F.col("epochs") * F.col("source_size")).otherwise(F.lit(0))
     out = out.withColumn("cut", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start"))).cast("long"))
     return out.select("row.*", "source", "key", "size", "source_size", "target", "epochs", "cut",
-                      (F.col("epochs") * F.col("size") + F.col("cut")).alias("taken"))
+                      (F.col("epochs") * F.col("size") + F.col("cut")).alias("taken"), "n")
 
 
 def repeat(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The mixture itself, with the columns of ``docs``: each document once per epoch, and once
     more where its further repeat lies in the budget. Documents stay whole here, so the last one
     of a source may reach beyond the budget; a document without words is kept once."""
-    mixed = mix(docs, weights, share, max_epochs, seed)
-    # the cut of a source is a key: documents up to it are repeated once more. One row per source.
+    mixed = _mixed(docs.select("doc_id", "text", "source"), weights, share, max_epochs, seed, ["doc_id"])
+    # the cut of a source is a key and a row number (equal rows share a key): documents up to it are
+    # repeated once more. One row per source.
     cuts = mixed.groupBy(F.col("source").alias("m_source")).agg(
-        F.max("epochs").alias("m_epochs"), F.max(F.when(F.col("cut") > 0, F.col("key"))).alias("m_last"))
+        F.max("epochs").alias("m_epochs"), F.max(F.when(F.col("cut") > 0, F.struct("key", "n"))).alias("m_last"))
     whole = docs.select(F.struct(*docs.columns).alias("all"), F.col("source").alias("d_source"),
-                        _key(seed).alias("d_key"), (count_words(whole_text()) == 0).alias("d_empty"))
+                        F.struct(_key(seed).alias("key"), F.monotonically_increasing_id().alias("n")).alias("d_key"), (count_words(whole_text()) == 0).alias("d_empty"))
     joined = whole.join(cuts, F.col("d_source").eqNullSafe(F.col("m_source")))
     more = F.when(F.col("d_key") <= F.col("m_last"), 1).otherwise(0)
     copies = F.when(F.col("d_empty"), F.lit(1)).otherwise((F.col("m_epochs") + more).cast("int"))

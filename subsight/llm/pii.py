@@ -7,13 +7,17 @@ digits and underscores, short ones and numbers too, wherever it is in the docume
 number of documents (equal rows are documents of their own),
 
     information(e) = log2(N / df(e)),   PMI(e, t) = log2(N * df(e, t) / (df(e) * df(t))),
-    disclosure(e, t) = PMI(e, t) / information(e).
+    disclosure(e, t) = PMI(e, t) / information(e) * (1 - accident ^ contexts(e, t)).
+
+The last factor shrinks an estimate by its evidence: the chance that not all contexts of the pair
+are accidents. A context is the words of a document besides its values, so copies of one text are
+one context and prove nothing. A disclosure is never above that factor; so terms are paired only with
+entities whose contexts let it reach ``generalise`` (two at the given thresholds: a value that is
+said once has no co-occurrence to estimate from).
 
 Both are counted alike, over whole documents, the values included: a local part that is also said
 outside its address reveals it. A term at or above ``generalise`` becomes a placeholder at each of
-its occurrences in the documents of that entity, one at or above ``remove`` goes. A pair needs
-``min_contexts`` different contexts, the words of a document besides its values: copies of one text
-are one context and prove nothing. Terms are paired only with entities that have so many contexts.
+its occurrences in the documents of that entity, one at or above ``remove`` goes.
 
 Only terms and word counts are shuffled to find them, never a text; documents are known by their id
 and a hash of their text, so equal rows get equal spans. Nothing is broadcast by hand.
@@ -51,10 +55,13 @@ _WORD = re.compile(r"\w+")
 class Disclosure:
     """Thresholds of the sanitisation."""
 
-    min_contexts: int = 3
+    accident: float = 0.45  # how likely one context holds both without a reason
     generalise: float = 0.6
     remove: float = 0.9
 
+    def weight(self, contexts):
+        return 1 - F.pow(F.lit(self.accident), contexts)
+
 
 LIMITS = Disclosure()
 
@@ -177,13 +184,13 @@ def term_documents(docs: DataFrame) -> DataFrame:
 
 
 def _held(scanned: DataFrame, limits: Disclosure) -> DataFrame:
-    """key, entity, context, n (equal rows), entity_df: the entities of each document that have enough
-    contexts for any term to disclose them."""
+    """key, entity, context, n (equal rows), entity_df: the entities of each document that a term can
+    disclose at all: a disclosure is at most the weight of the entity's contexts."""
     one = (scanned.select("key", "context", F.explode("entities").alias("entity"))
            .groupBy("key", "entity", "context").agg(F.count("*").alias("n")))
     enough = (one.groupBy("entity", "context").agg(F.sum("n").alias("n"))
               .groupBy("entity").agg(F.sum("n").alias("entity_df"), F.count("*").alias("contexts"))
-              .filter(F.col("contexts") >= limits.min_contexts).drop("contexts"))
+              .filter(limits.weight(F.col("contexts")) >= limits.generalise).drop("contexts"))
     return one.join(enough, "entity")
 
 
@@ -198,14 +205,14 @@ def disclosing(docs: DataFrame, scanned: DataFrame, together: DataFrame, limits:
     """entity, term, disclosure of the pairs at or above the lower threshold."""
     pairs = (together.groupBy("entity", "term", "context").agg(F.sum("n").alias("n"), F.max("entity_df").alias("entity_df"))
              .groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("contexts"), F.max("entity_df").alias("entity_df"))
-             .filter(F.col("contexts") >= limits.min_contexts))
+             .filter(limits.weight(F.col("contexts")) >= limits.generalise))
     # the corpus counts only of words that are in question
     counts = term_documents(docs).join(pairs.select("term").distinct(), "term", "left_semi")
     total = scanned.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_docs"))
     rated = pairs.join(counts, "term").withColumn("n_docs", total.scalar())
     information = F.log2(F.col("n_docs") / F.col("entity_df"))
     pmi = F.log2(F.col("n_docs") * F.col("joint") / (F.col("entity_df") * F.col("df")))
-    return (rated.withColumn("disclosure", F.when(information > 0, pmi / F.nullif(information, F.lit(0.0))))
+    return (rated.withColumn("disclosure", F.when(information > 0, limits.weight(F.col("contexts")) * pmi / F.nullif(information, F.lit(0.0))))
             .filter(F.col("disclosure") >= limits.generalise).select("entity", "term", "disclosure"))
 
 

@@ -84,4 +84,14 @@ def test_odd_rows(spark):
         sizes[s] = sizes.get(s, 0) + size(t)
     for s, t in plain_targets(list(sizes.items())).items():
         largest = max((size(r[1]) for r in rows if r[2] == s), default=0)
-        assert abs(words.get(s, 0) - t) <= 2 * largest + 1  # two equal rows share a key
+        assert abs(words.get(s, 0) - t) <= largest + 1
+
+
+def test_equal_rows_are_cut_one_by_one(spark):
+    rows = [(7, "three equal words", "a")] * 1000 + [(i, "some other words here", "b") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = M.repeat(docs).groupBy("source").count().collect()
+    want = plain_targets([("a", 3000), ("b", 3600)])
+    for r in got:
+        words = 3 if r["source"] == "a" else 4
+        assert abs(r["count"] * words - want[r["source"]]) <= words

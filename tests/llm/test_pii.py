@@ -132,6 +132,24 @@ def test_equal_rows_are_counted_as_documents(spark):
     assert not any("[TERM]" in r["text"] for r in P.sanitise(docs).collect())  # said only with the value: removed
 
 
+def test_values_that_are_said_twice(spark):
+    """Most values are rare: a nickname in both documents of an address discloses it, one in its only document proves nothing."""
+    rng = random.Random(9)
+    common = [f"common{i}" for i in range(30)]
+    words = lambda n: " ".join(rng.choice(common) for _ in range(n))
+    rows = [(i, words(30)) for i in range(300)]
+    rows += [(1000 + i, f"Nick{i // 2} {words(9)} who{i // 2}@site.org {words(9)}") for i in range(100)]
+    rows += [(2000 + i, f"Once{i} {words(9)} once{i}@site.org") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in P.find(docs).collect()}
+    clean = {r["doc_id"]: r["text"] for r in P.sanitise(docs).collect()}
+    for i, text in rows:
+        if 1000 <= i < 2000:
+            assert f"term:0:{text.index(' ')}" in spans[i] and "Nick" not in clean[i]
+        else:
+            assert "term" not in spans[i]
+
+
 def test_no_value_appears_where_a_term_went():
     gone = [{"start": 3, "end": 6, "gone": True}]
     assert P.masked("+1 foo 743 555 38 24", gone) == "[PHONE]"
