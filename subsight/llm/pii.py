@@ -184,28 +184,28 @@ def term_documents(docs: DataFrame) -> DataFrame:
 
 
 def _held(scanned: DataFrame, limits: Disclosure) -> DataFrame:
-    """key, entity, context, n (equal rows), entity_df: the entities of each document that a term can
-    disclose at all: a disclosure is at most the weight of the entity's contexts."""
+    """key, entity, entity_df: the entities of each document that a term can disclose at all: a
+    disclosure is at most the weight of the entity's contexts."""
     one = (scanned.select("key", "context", F.explode("entities").alias("entity"))
            .groupBy("key", "entity", "context").agg(F.count("*").alias("n")))
     enough = (one.groupBy("entity", "context").agg(F.sum("n").alias("n"))
               .groupBy("entity").agg(F.sum("n").alias("entity_df"), F.count("*").alias("contexts"))
               .filter(limits.weight(F.col("contexts")) >= limits.generalise).drop("contexts"))
-    return one.join(enough, "entity")
+    return one.join(enough, "entity").select("key", "entity", "entity_df")
 
 
 def _together(scanned: DataFrame, held: DataFrame) -> DataFrame:
-    """key, term with each of the document's rows in ``held``: every term once per document."""
-    terms = (scanned.join(held.select("key"), "key", "left_semi")
-             .select("key", F.explode(F.array_distinct(F.col("words")["term"])).alias("term")).distinct())
-    return terms.join(held, "key")
+    """key, context, entity, entity_df, term: every term once per row of a document and entity in ``held``."""
+    rows = scanned.select("key", "context", F.array_distinct(F.col("words")["term"]).alias("terms")).join(held, "key")
+    return rows.select("key", "context", "entity", "entity_df", F.explode("terms").alias("term"))
 
 
 def disclosing(docs: DataFrame, scanned: DataFrame, together: DataFrame, limits: Disclosure = LIMITS) -> DataFrame:
     """entity, term, disclosure of the pairs at or above the lower threshold."""
-    pairs = (together.groupBy("entity", "term", "context").agg(F.sum("n").alias("n"), F.max("entity_df").alias("entity_df"))
+    pairs = (together.groupBy("entity", "term", "context").agg(F.count("*").alias("n"), F.max("entity_df").alias("entity_df"))
              .groupBy("entity", "term").agg(F.sum("n").alias("joint"), F.count("*").alias("contexts"), F.max("entity_df").alias("entity_df"))
              .filter(limits.weight(F.col("contexts")) >= limits.generalise))
+    pairs = write_and_read(pairs, "pii-pairs")
     # the corpus counts only of words that are in question
     counts = term_documents(docs).join(pairs.select("term").distinct(), "term", "left_semi")
     total = scanned.agg(F.greatest(F.count("*"), F.lit(1)).alias("n_docs"))
@@ -220,8 +220,10 @@ def term_spans(docs: DataFrame, scanned: DataFrame, limits: Disclosure = LIMITS)
     """key, terms (array of start, end, gone): every occurrence of a disclosing word in the documents
     of its entity, outside the base spans."""
     held = write_and_read(_held(scanned, limits), "pii-held")
-    together = write_and_read(_together(scanned, held), "pii-together")
-    rated = together.join(disclosing(docs, scanned, together, limits), ["entity", "term"])
+    together = _together(scanned, held)  # evaluated twice rather than written: it is a row per word
+    rates = write_and_read(disclosing(docs, scanned, together, limits), "pii-rates")
+    marked = together.join(rates.select("entity").distinct(), "entity", "left_semi")
+    rated = marked.join(rates, ["entity", "term"])
     marks = rated.groupBy("key", "term").agg((F.max("disclosure") >= limits.remove).alias("gone"))
     marks = write_and_read(marks, "pii-marks")
     places = (scanned.join(marks.select("key"), "key", "left_semi")
