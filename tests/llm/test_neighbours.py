@@ -125,3 +125,33 @@ def test_a_hub_keeps_its_own_list():
     lists = [np.array([n - 1]) if i < n - 10 else np.zeros(0, int) for i in range(n)]
     lists[-1] = np.arange(n - 8, n - 1)
     assert set(lists[-1]) <= set(N.both_ways(lists)[-1])
+
+
+def test_no_shard_grows_with_a_clump(spark, monkeypatch):
+    """What pivots do not split is dealt by hash: shards and the lists of a vector stay bounded."""
+    for name, value in (("SHARD", 64), ("PART", 32), ("CHUNK", 100)):
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(6)
+    c = rng.normal(size=16)
+    rows = as_float([(i, (c + 0.001 * rng.normal(size=16)).tolist(), 1) for i in range(600)])
+    nodes = N.write_and_read(N.nodes_of(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")), "test-nodes")
+    placed = N.write_and_read(N.deal(nodes, 2), "test-dealt")
+    sizes = [r["count"] for r in placed.groupBy("shard").count().collect()]
+    assert max(sizes) <= 2 * N.SHARD and placed.select("node").distinct().count() == 600
+    lists = N.graph(placed).collect()
+    homes = {r["node"]: r["count"] for r in placed.groupBy("node").count().collect()}
+    assert len(lists) == 600 and all(0 < len(r["near"]) <= N.DEGREE * homes[r["node"]] for r in lists)
+
+
+def test_audit_sees_what_is_missing(spark):
+    """Every vector with an id divisible by 100 is audited; each that has a link weighs the same."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 16))
+    x[1::100], x[2::100] = x[::100] + 0.001, x[::100] - 0.001
+    x[300:350] = x[300] + 0.001 * rng.normal(size=(50, 16))  # one clump does not hide the others
+    rows = as_float([(i, v.tolist(), 1) for i, v in enumerate(x)])
+    nodes = N.write_and_read(N.nodes_of(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")), "test-nodes")
+    full = nodes.selectExpr("node", "if(first_id between 300 and 349, 49, 2) as links")
+    assert N.recall(nodes, full) == 1.0
+    assert abs(N.recall(nodes, full.join(nodes.filter("first_id <> 100").select("node"), "node")) - 0.8) < 1e-9
+    assert abs(N.recall(nodes, full.limit(0)) - 0.0) < 1e-9
