@@ -46,13 +46,13 @@ from .common import write_and_read
 from .components import components
 
 COSINE = 0.98
-SHARD = 4096  # a larger shard is split ...
-PART = 2048  # ... into parts of about this size
+SHARD = 512  # a larger shard is split ...
+PART = 128  # ... by a pivot for about so many vectors
 PIVOTS = 64  # at most, for one split
 CHUNK = 50_000  # vectors of one shard that are dealt together
 DEPTH = 8
 CANDIDATES, DEGREE, ALPHA = 48, 16, 1.2
-BEAM, WIDTH = 32, 4
+BEAM, WIDTH = 32, 8
 LEAD = 2  # nearest vectors whose shards are visited, in range or not
 SLACK = 0.01  # so far below the range a vector is still expanded
 QUERIES = 256  # searched together
@@ -197,37 +197,41 @@ def walk(x: np.ndarray, adjacent: np.ndarray, q: np.ndarray, start: np.ndarray,
     sim = np.full((len(q), n), -np.inf)
     opened = np.zeros((len(q), n), bool)
 
-    def look(r: np.ndarray, near: np.ndarray) -> bool:
-        """Take the cosines of rows ``r`` to their ``near`` vectors, where they are not known yet."""
-        fresh = np.zeros((len(q), n + 1), bool)  # the last column takes the -1
-        fresh[r[:, None], near] = True
-        i, c = np.nonzero(fresh[:, :n] & (sim == -np.inf))
+    def take(i: np.ndarray, c: np.ndarray) -> None:
         for a in range(0, len(i), 100_000):
             f = slice(a, a + 100_000)
             sim[i[f], c[f]] = np.einsum("ij,ij->i", q[i[f]], x[c[f]])
-        return len(i) > 0
-
-    look(rows, start)
-    beam, width = min(BEAM, n), min(WIDTH, n)
-    live = rows
-    while len(live):  # the best vectors that are not open yet, as long as they are in the beam
-        s = sim[live]
-        least = np.partition(s, n - beam, axis=1)[:, n - beam]
-        s[opened[live]] = -np.inf
-        pick = np.argpartition(-s, width - 1, axis=1)[:, :width]
-        value = np.take_along_axis(s, pick, 1)
-        use = (value > -np.inf) & (value >= least[:, None])
+
+    # greedily: the best vectors of the beam are opened until none of them is closed
+    beam, known = np.full((len(q), BEAM), -1, np.int64), np.full((len(q), BEAM), -np.inf)
+    live, near = rows, start
+    while len(live):
+        near = np.sort(near, axis=1)
+        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
+        near[sim[live[:, None], near] > -np.inf] = -1
+        i, j = np.nonzero(near >= 0)
+        take(live[i], near[i, j])
+        c = np.concatenate((beam[live], near), axis=1)
+        s = np.where(c >= 0, sim[live[:, None], c], -np.inf)
+        top = np.argpartition(-s, BEAM - 1, axis=1)[:, :BEAM]
+        beam[live], known[live] = np.take_along_axis(c, top, 1), np.take_along_axis(s, top, 1)
+        s = np.where(opened[live[:, None], beam[live]], -np.inf, known[live])
+        pick = np.argpartition(-s, WIDTH - 1, axis=1)[:, :WIDTH]
+        use = np.take_along_axis(s, pick, 1) > -np.inf
         go = use.any(axis=1)
         live, pick, use = live[go], pick[go], use[go]
-        opened[live[:, None], pick] |= use
-        look(live, np.where(use[:, :, None], adjacent[pick], -1).reshape(len(live), pick.shape[1] * adjacent.shape[1]))
+        pick = beam[live[:, None], pick]
+        opened[live[:, None], np.where(use, pick, pick[np.arange(len(live)), use.argmax(axis=1)][:, None])] = True
+        near = np.where(use[:, :, None], adjacent[pick], -1).reshape(len(live), WIDTH * adjacent.shape[1])
     while True:
         r, c = np.nonzero((sim >= threshold - SLACK) & ~opened)
         if not len(r):
             return sim
         opened[r, c] = True
         for a in range(0, len(r), 100_000):
-            look(r[a:a + 100_000], adjacent[c[a:a + 100_000]])
+            fresh = np.zeros((len(q), n + 1), bool)  # the last column takes the -1
+            fresh[r[a:a + 100_000, None], adjacent[c[a:a + 100_000]]] = True
+            take(*np.nonzero(fresh[:, :n] & (sim == -np.inf)))
 
 
 def search(x: np.ndarray, adjacent: np.ndarray, medoid: int, q: np.ndarray, threshold: float = COSINE) -> np.ndarray:
