@@ -21,8 +21,11 @@ SQL_SETTINGS = {
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     # Broadcast only what is measured small: the planner's estimate first,
     # then AQE's runtime size of the shuffled side; beyond it a shuffle join.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 * 1024 * 1024),
+    # Both sizes are of compressed columns or rows: keys take about a byte
+    # each in a Parquet file and ten in a shuffle, but some sixty in the hash
+    # table that the driver builds, and several joins build theirs at once.
+    "spark.sql.autoBroadcastJoinThreshold": str(2 * 1024 * 1024),
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(8 * 1024 * 1024),
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
     "spark.sql.session.timeZone": "UTC",
     # keyed stream state on the executors' disks, with a change log in the checkpoint
