@@ -41,10 +41,11 @@ def padded(number: Column, width: int) -> Column:
 ROWS_PER_FILE = 4_000_000
 # (application id, source folder, table) -> stored path
 _STORED: dict[tuple[str, str, str], str] = {}
-# sort order of each stored table: the column most filters use
-_STORE_ORDER = {"plans": ["plan_id"], "users": ["user_id"], "subscriptions": ["start_date", "subscription_id"],
-                "payments": ["payment_date", "payment_id"], "logs": ["log_date", "log_id"],
-                "outbox": ["created_at", "outbox_id"], "webhook_inbound": ["seq"]}
+
+
+def _as_read(df: DataFrame, *order: Column) -> DataFrame:
+    """The arrangement of a table that is not stored: none."""
+    return df
 
 
 class Tables:
@@ -56,8 +57,10 @@ class Tables:
         self.stored = stored
 
     def _table(self, name: str, build) -> DataFrame:
+        """``build`` takes an arrangement and calls it with the source's rows and
+        the order of the stored table (the column most filters use)."""
         if not self.stored:
-            return build()
+            return build(_as_read)
         key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
         path = _STORED.get(key)
         if path is not None:
@@ -71,15 +74,18 @@ class Tables:
             from ..session import scratch_path
 
             path = scratch_path(self.spark, f"table-{name}")
-            order = _STORE_ORDER[name]
             # range-clustered on the order columns: each file holds one slice of
             # the date range, so a date filter skips whole files' row groups.
             # One range per core, or as many as the cluster's shuffles have
             # (set for its data size), an explicit count that AQE does not
-            # merge away; the row cap per file bounds file size.
+            # merge away; the row cap per file bounds file size. The source's
+            # narrow rows are shuffled and sorted, the texts made afterwards.
             slices = max(self.spark.sparkContext.defaultParallelism, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-            (build().repartitionByRange(slices, *order).sortWithinPartitions(*order)
-             .write.mode("errorifexists").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path))
+
+            def arrange(df: DataFrame, *order: Column) -> DataFrame:
+                return df.repartitionByRange(slices, *order).sortWithinPartitions(*order)
+
+            build(arrange).write.mode("errorifexists").option("maxRecordsPerFile", ROWS_PER_FILE).parquet(path)
             _STORED[key] = path
         return self.spark.read.parquet(path)
 
@@ -112,10 +118,10 @@ class Tables:
     def plans(self) -> DataFrame:
         return self._table("plans", self._map_plans)
 
-    def _map_plans(self) -> DataFrame:
+    def _map_plans(self, arrange=_as_read) -> DataFrame:
         p = self.raw("part", "p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice")
         monthly = (F.col("p_size") % 2) == 0
-        return p.select(
+        return arrange(p, F.col("p_partkey")).select(
             F.col("p_partkey").cast("bigint").alias("plan_id"),
             F.concat("p_name", F.lit(" #"), F.col("p_partkey").cast("string")).alias("name"),
             F.concat("p_type", F.lit(" by "), "p_brand").alias("description"),
@@ -132,9 +138,9 @@ class Tables:
     def users(self) -> DataFrame:
         return self._table("users", self._map_users)
 
-    def _map_users(self) -> DataFrame:
+    def _map_users(self, arrange=_as_read) -> DataFrame:
         c = self.raw("customer", "c_custkey", "c_name", "c_mktsegment")
-        return c.select(
+        return arrange(c, F.col("c_custkey")).select(
             F.col("c_custkey").cast("bigint").alias("user_id"),
             F.col("c_mktsegment").alias("first_name"),
             F.col("c_name").alias("last_name"),
@@ -150,7 +156,7 @@ class Tables:
     def subscriptions(self) -> DataFrame:
         return self._table("subscriptions", self._map_subscriptions)
 
-    def _map_subscriptions(self) -> DataFrame:
+    def _map_subscriptions(self, arrange=_as_read) -> DataFrame:
         o = self.raw("orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
         part = self.raw("part", "p_partkey", "p_size")
         # The plan of an order is part number (order key mod number of parts);
@@ -159,7 +165,7 @@ class Tables:
         o = o.withColumn("plan_key", F.col("o_orderkey") % n_parts)
         j = o.join(part, o["plan_key"] == part["p_partkey"], "inner")
         days = F.when(F.col("p_size") % 2 == 0, 30).otherwise(365)
-        return j.select(
+        return arrange(j, F.col("o_orderdate"), F.col("o_orderkey")).select(
             F.col("o_orderkey").cast("bigint").alias("subscription_id"),
             F.col("o_custkey").cast("bigint").alias("user_id"),
             F.col("p_partkey").cast("bigint").alias("plan_id"),
@@ -175,21 +181,25 @@ class Tables:
     def payments(self) -> DataFrame:
         return self._table("payments", self._map_payments)
 
-    def _map_payments(self) -> DataFrame:
+    def _map_payments(self, arrange=_as_read) -> DataFrame:
         li = self.raw("lineitem", "l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate", "l_returnflag")
-        # (order, line) repeats in the source; one payment per pair.
-        g = li.groupBy("l_orderkey", "l_linenumber").agg(
+        # (order, line) repeats in the source; one payment per pair. The least
+        # flag matters as N, R or another: its rank among these, an int, keeps
+        # the aggregate a hash aggregate (a string would sort all lines).
+        flag = F.col("l_returnflag")
+        rank = F.when(flag < "N", 0).when(flag == "N", 1).when(flag < "R", 2).when(flag == "R", 3).when(flag > "R", 4)
+        g = li.withColumn("rank", rank).groupBy("l_orderkey", "l_linenumber").agg(
             F.min("l_extendedprice").alias("px"), F.min("l_shipdate").alias("shipped"),
-            F.min("l_returnflag").alias("flag"))
+            F.min("rank").alias("flag"))
         pid = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-        return g.select(
+        return arrange(g, F.col("shipped"), pid).select(
             pid.cast("bigint").alias("payment_id"),
             F.col("l_orderkey").cast("bigint").alias("subscription_id"),
             F.col("px").cast(S.MONEY).alias("amount"),
             F.col("shipped").alias("payment_date"),
             F.when(F.col("l_linenumber") % 3 == 0, "PayPal").otherwise("Credit Card").alias("payment_method"),
             F.concat(F.lit("TXN-"), pid.cast("string")).alias("transaction_id"),
-            F.when(F.col("flag") == "N", "Completed").when(F.col("flag") == "R", "Refunded")
+            F.when(F.col("flag") == 1, "Completed").when(F.col("flag") == 3, "Refunded")
              .otherwise("Failed").alias("status"),
         )
 
@@ -197,10 +207,10 @@ class Tables:
     def logs(self) -> DataFrame:
         return self._table("logs", self._map_logs)
 
-    def _map_logs(self) -> DataFrame:
+    def _map_logs(self, arrange=_as_read) -> DataFrame:
         e = self.raw("events", "event_id", "user_id", "event_type", "ts")
         et = F.col("event_type")
-        return e.select(
+        return arrange(e, F.col("ts"), F.col("event_id")).select(
             F.col("event_id").cast("bigint").alias("log_id"),
             F.when(F.col("event_id") % 5 == 0, F.lit(None).cast("bigint")).otherwise(F.col("user_id").cast("bigint")).alias("user_id"),
             F.when(et == "signup", "UserRegistered").when(et == "view", "UserLogin")
@@ -214,11 +224,11 @@ class Tables:
     def outbox(self) -> DataFrame:
         return self._table("outbox", self._map_outbox)
 
-    def _map_outbox(self) -> DataFrame:
+    def _map_outbox(self, arrange=_as_read) -> DataFrame:
         e = self.raw("events", "event_id", "user_id", "event_type", "value", "ts")
         et = F.col("event_type")
         sid = F.col("event_id") % self.raw("orders").select(F.count(F.lit(1))).scalar()
-        return e.select(
+        return arrange(e, F.col("ts"), F.col("event_id")).select(
             F.col("event_id").alias("outbox_id"),
             F.when(et == "purchase", "PaymentProcessed").when(et == "error", "PaymentRefunded")
              .otherwise("Notification.Email").alias("type"),
@@ -236,7 +246,7 @@ class Tables:
     def webhook_inbound(self) -> DataFrame:
         return self._table("webhook_inbound", self._map_webhook_inbound)
 
-    def _map_webhook_inbound(self) -> DataFrame:
+    def _map_webhook_inbound(self, arrange=_as_read) -> DataFrame:
         """Inbound webhook requests (no signature yet: see webhooks.sign)."""
         e = self.raw("events", "event_id", "user_id", "event_type", "value", "ts")
         e = e.where(F.col("event_type").isin("purchase", "error"))
@@ -247,7 +257,7 @@ class Tables:
             F.lit('","status":"'), F.when(refund, "Refunded").otherwise("Completed"),
             F.lit('","amount":'), F.col("value").cast(S.MONEY).cast("string"),
             F.lit(',"userId":'), F.col("user_id").cast("string"), F.lit("}"))
-        return e.select(
+        return arrange(e, F.col("event_id")).select(
             F.concat(F.lit("evt-"), F.floor(F.col("event_id") / 2).cast("bigint").cast("string")).alias("event_id"),
             F.col("event_id").alias("seq"),
             F.col("ts").alias("received_at"),

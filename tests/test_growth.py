@@ -33,3 +33,24 @@ def test_millions_of_keys_are_not_broadcast(spark):
     orphans = Q._orphans(children, "logs", "fk_user", "user_id", parents, "user_id")
     assert {r["value"] for r in orphans.collect()} == {str(2_000_000 + i) for i in range(5)}
     assert "BroadcastHashJoin" not in plan(orphans)
+
+
+def test_payments_keep_the_least_flag_without_a_sort(spark, tmp_path):
+    now = dt.datetime(2001, 1, 1)
+    flags = [["N"], ["R"], ["A"], ["R", "N"], ["N", "A"], ["R", "P"], ["Z", "R"], ["Z"], [None], [None, "R"], ["", "N"]]
+    lines = [(k, 1, 1.5, now, f) for k, some in enumerate(flags) for f in some]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_extendedprice double, l_shipdate timestamp_ntz, l_returnflag string"
+                          ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    pays = Tables(spark, str(tmp_path), stored=False).payments
+    status = {"N": "Completed", "R": "Refunded"}
+    want = {k: status.get(min((f for f in some if f is not None), default=None), "Failed") for k, some in enumerate(flags)}
+    assert {r["subscription_id"]: r["status"] for r in pays.collect()} == want
+    assert "SortAggregate" not in plan(pays)
+
+
+def test_stored_tables_are_arranged_before_texts_are_made(spark):
+    t = Tables(spark, SF001)
+    for name, texts in (("outbox", {"payload"}), ("webhook_inbound", {"raw_payload"}), ("logs", {"message"}), ("payments", {"transaction_id"})):
+        seen = []
+        df = getattr(t, f"_map_{name}")(lambda rows, *order: seen.extend(rows.columns) or rows)
+        assert seen and texts <= set(df.columns) and not texts & set(seen)
