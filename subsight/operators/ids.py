@@ -1,9 +1,9 @@
 """Identity assignment (C18) and ranks without a single-partition window.
 
 New rows get ``base + 1, base + 2, ...`` in the order of a key. The rows
-are range-partitioned and sorted on that key and written to the shared
-checkpoint folder, so both passes below see the same partitions. The
-position of a row is the number of rows in earlier partitions (one count
+are range-partitioned and sorted on that key and written with their
+partition and place to the shared checkpoint folder, as Parquet, so that
+what follows reads only the columns it needs. The position of a row is the number of rows in earlier partitions (one count
 per partition - a table with one row per partition, safe to broadcast)
 plus its place inside its partition."""
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, scratch_path
 
 _PART_SHIFT = 1 << 33  # monotonically_increasing_id = partition id << 33 | row number
 
@@ -21,13 +21,14 @@ def positions(df: DataFrame, order_cols: list[str], name: str = "_pos") -> DataF
     """Adds ``name`` = 0-based dense position of each row in ``order_cols``
     order (the order columns must be unique together)."""
     spark = df.sparkSession
-    checkpoint_dir(spark)
     ordered = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
-    fixed = ordered.checkpoint(eager=True)
     pid = F.spark_partition_id()
     local = F.monotonically_increasing_id() - pid.cast("long") * F.lit(_PART_SHIFT)
-    rows = fixed.withColumn("_pid", pid).withColumn("_local", local)
-    counts = fixed.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = ordered.withColumn("_pid", pid).withColumn("_local", local)
+    path = scratch_path(spark, "positions")
+    placed.write.parquet(path)
+    rows = spark.read.schema(placed.schema).parquet(path)
+    counts = rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     # one row per partition: bounded by the partition count, not the data

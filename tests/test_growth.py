@@ -54,3 +54,10 @@ def test_stored_tables_are_arranged_before_texts_are_made(spark):
         seen = []
         df = getattr(t, f"_map_{name}")(lambda rows, *order: seen.extend(rows.columns) or rows)
         assert seen and texts <= set(df.columns) and not texts & set(seen)
+
+
+def test_positions_are_read_by_column(spark):
+    df = spark.range(1000).select(((F.col("id") * 7919) % 1000).alias("o"), F.repeat(F.lit("x"), 50).alias("note"))
+    rows = ids.positions(df, ["o"], "_at")
+    assert rows.where(F.col("o") != F.col("_at")).count() == 0 and rows.count() == 1000
+    assert "note" not in plan(rows.select("o", "_at"))
