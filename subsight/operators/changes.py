@@ -76,7 +76,7 @@ def with_claims(cmds: DataFrame, owners: DataFrame, id_col: str) -> DataFrame:
     rows = wanted.join(keys, "_key", "left_semi").select("_id").distinct()
     events = mine.unionByName(held).join(rows, "_id", "left_semi").join(keys, "_key", "left")
     # a name that a row holds from the start, and one that nobody else wants, is no question
-    events = _rewritten(events.select("seq", "_id", "_key", (F.col("seq").isNull() | F.col("_contested").isNull()).alias("_sure"),
+    events = rewritten(events.select("seq", "_id", "_key", (F.col("seq").isNull() | F.col("_contested").isNull()).alias("_sure"),
                                       F.lit(True).alias("_acc")), "claims")
     while not events.isEmpty():
         last = F.when(F.col("_acc"), F.struct(F.coalesce("seq", F.lit(-(2**63))).alias("at"), "_key"))
@@ -87,7 +87,7 @@ def with_claims(cmds: DataFrame, owners: DataFrame, id_col: str) -> DataFrame:
         freed = now.where(moves & F.col("_prev").isNotNull()).select("seq", F.col("_prev").alias("_key"), F.lit(-1).alias("_delta"))
         names = ids.running(own.unionByName(freed, allowMissingColumns=True), ["_key"], "seq", "_delta", "_holders", "sum")
         free = F.coalesce("_holders", F.lit(0)) - F.col("_mine") <= 0
-        decided = _rewritten(names.where(F.col("_sure").isNotNull()).select("seq", "_id", "_key", "_sure", (F.col("_sure") | free).alias("_acc"),
+        decided = rewritten(names.where(F.col("_sure").isNotNull()).select("seq", "_id", "_key", "_sure", (F.col("_sure") | free).alias("_acc"),
                                                                           F.col("_acc").alias("_was")), "claims")
         events = decided.drop("_was")
         if decided.where(F.col("_acc") != F.col("_was")).isEmpty():
@@ -96,8 +96,8 @@ def with_claims(cmds: DataFrame, owners: DataFrame, id_col: str) -> DataFrame:
     return cmds.join(refused, "seq", "left")
 
 
-def _rewritten(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again: one round's lineage."""
+def rewritten(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again: what follows starts from the files."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,6 +8,8 @@ violate the payments CHECK and fail the request: ``invalid_status``."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from ..functions import json as J
 from ..functions.predicates import blank_col
 from ..sources import schemas as S
 from . import ids
+from .changes import rewritten
 
 FORGED = "forged-signature"
 
@@ -80,28 +83,24 @@ def ingest(inbound: DataFrame, payments: DataFrame, outbox: DataFrame, secret: s
     payment id; when several accepted events hit one payment, the last by
     arrival wins."""
     # Every output reads the dispositions; write them once to the shared
-    # folder (checkpoint) instead of re-verifying and re-parsing per output.
-    from ..session import checkpoint_dir
-
-    checkpoint_dir(inbound.sparkSession)
-    d = dispositions(inbound, secret, known_event_ids, new_event_ids).checkpoint(eager=True)
+    # folder instead of re-verifying and re-parsing per output.
+    d = rewritten(dispositions(inbound, secret, known_event_ids, new_event_ids), "dispositions")
     acc = d.where(F.col("disposition") == "accepted")
     # stored events: every authenticated first arrival (malformed ones stay unprocessed)
     events = d.where(F.col("disposition").isin("accepted", "malformed", "invalid_status")).select(
         F.col("seq").cast("bigint").alias("id"), "event_id", "signature", "raw_payload", "received_at",
         (F.col("disposition") == "accepted").alias("processed"))
-    # One lookup key per accepted request: its transaction id when it has
-    # one, else its payment id. Payments are read once, each under both keys,
-    # and joined INNER to the (small) request keys, so the large side is
-    # streamed past the request keys instead of being shuffled for an outer join.
+    # An accepted request is looked up by its transaction id when it has one,
+    # else by its payment id. Payments meet the requests once for each of the
+    # two that occurs, with no other column: payment ids alone are a fraction
+    # of what all payments under both keys would be in a shuffle.
     use_txn = ~blank_col(F.col("b.transaction_id"))
-    req_key = F.when(use_txn, F.concat(F.lit("t:"), F.col("b.transaction_id"))).otherwise(
-        F.concat(F.lit("i:"), F.col("b.payment_id").cast("string")))
-    keys = acc.select("seq", req_key.alias("_k")).where(F.col("_k").isNotNull())
-    pay_keys = payments.select(F.explode(F.array(F.concat(F.lit("t:"), F.col("transaction_id")),
-                                                 F.concat(F.lit("i:"), F.col("payment_id").cast("string")))).alias("_k"),
-                               "payment_id")
-    matches = pay_keys.join(keys, "_k").select("seq", F.col("payment_id").alias("target_payment_id"))
+    lookups = {"transaction_id": acc.where(use_txn), "payment_id": acc.where(~use_txn & F.col("b.payment_id").isNotNull())}
+    found = [payments.select("payment_id", F.col(key).alias("_k"))
+             .join(some.select("seq", F.col(f"b.{key}").alias("_k")), "_k").select("seq", F.col("payment_id").alias("target_payment_id"))
+             for key, some in lookups.items() if not some.isEmpty()]
+    none = acc.select("seq", F.lit(None).cast("bigint").alias("target_payment_id")).limit(0)
+    matches = reduce(DataFrame.unionByName, found) if found else none
     a = acc.join(matches, "seq", "left")
     # accepted statuses are one of the enumeration: carry their position (an
     # int) through max_by so the aggregate stays a hash aggregate

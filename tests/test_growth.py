@@ -61,3 +61,19 @@ def test_positions_are_read_by_column(spark):
     rows = ids.positions(df, ["o"], "_at")
     assert rows.where(F.col("o") != F.col("_at")).count() == 0 and rows.count() == 1000
     assert "note" not in plan(rows.select("o", "_at"))
+
+
+def test_webhooks_find_payments_by_either_key(spark):
+    now = dt.datetime(2001, 1, 1)
+    pays = spark.createDataFrame([(1, "TXN-1"), (2, "TXN-2"), (3, None), (4, "4")], "payment_id long, transaction_id string")
+    bodies = ['{"type":"a","transactionId":"TXN-2","status":"Failed"}', '{"type":"a","paymentId":3,"status":"Refunded"}',
+              '{"type":"a","transactionId":"4","paymentId":1}', '{"type":"a","paymentId":9}', '{"type":"a"}', '{"type":"a","paymentId":3}']
+    w = spark.createDataFrame([(i, f"e{i}", b, now, "c") for i, b in enumerate(bodies)],
+                              "seq long, event_id string, raw_payload string, received_at timestamp_ntz, client_key string")
+    w = w.withColumn("signature", hmac_sha256_base64(F.col("raw_payload"), KEY))
+    res = W.ingest(w, pays, spark.createDataFrame([], S.OUTBOX), KEY, with_outbox=False)
+    assert {r["seq"]: r["target_payment_id"] for r in res["dispositions"].collect()} == {0: 2, 1: 3, 2: 4, 3: None, 4: None, 5: 3}
+    assert {r["payment_id"]: (r["status"], r["seq"]) for r in res["payment_updates"].collect()} == {2: ("Failed", 0), 3: ("Completed", 5), 4: ("Completed", 2)}
+    assert "Generate explode" not in plan(res["payment_updates"])  # payments under both keys
+    none = W.ingest(w.where("seq = 4"), pays, spark.createDataFrame([], S.OUTBOX), KEY, with_outbox=False)
+    assert none["payment_updates"].count() == 0 and none["dispositions"].count() == 1
