@@ -132,15 +132,17 @@ def cancel(subscriptions: DataFrame, plans: DataFrame, payments: DataFrame, cmds
     rem = remaining_days(F.col("_end"), as_of, F.col("duration_days"))
     ok = (j.where(F.col("reason").isNull()).withColumn("remaining_days", rem)
           .withColumn("refund_amount", M.prorata(F.col("price"), F.col("remaining_days"), F.col("duration_days"))))
-    # only the payments of the subscriptions being cancelled are ranked
+    # only the payments of the subscriptions being cancelled are ranked, for
+    # the outputs that name one: each cancelled subscription has one row in ok
+    # and at most one latest payment, so the others don't wait for payments
     mine = payments.join(ok.select("subscription_id").distinct(), "subscription_id", "left_semi")
     latest = latest_completed_payment(mine).select("subscription_id", F.col("payment_id").alias("refunded_payment_id"))
-    ok = ok.join(latest, "subscription_id", "left").withColumn(
+    paid = ok.join(latest, "subscription_id", "left").withColumn(
         "refunded_payment_id", F.when(F.col("refund_amount") > 0, F.col("refunded_payment_id")))
     changed_subs = (subscriptions.join(ok.select("subscription_id"), "subscription_id")
                     .withColumn("status", F.lit("Cancelled")).withColumn("end_date", lit_ts(as_of))
                     .withColumn("auto_renew", F.lit(False)).select(*subscriptions.columns))
-    changed_pays = (payments.join(ok.where(F.col("refunded_payment_id").isNotNull())
+    changed_pays = (payments.join(paid.where(F.col("refunded_payment_id").isNotNull())
                                   .select(F.col("refunded_payment_id").alias("payment_id")), "payment_id")
                     .withColumn("status", F.lit("Refunded")).select(*payments.columns))
     refund_text = M.currency_inr(F.col("refund_amount"))
@@ -150,8 +152,8 @@ def cancel(subscriptions: DataFrame, plans: DataFrame, payments: DataFrame, cmds
     notes = notification_rows(ok, F.col("user_id"), CANCELLED_SUBJECT,
                               render(TEMPLATES["cancelled_body"], subscription_id="subscription_id", refund=refund_text),
                               as_of)
-    outcome = (ok.select("seq", "subscription_id", "user_id", F.lit(None).cast("string").alias("reason"),
-                         "remaining_days", "refund_amount", "refunded_payment_id")
+    outcome = (paid.select("seq", "subscription_id", "user_id", F.lit(None).cast("string").alias("reason"),
+                           "remaining_days", "refund_amount", "refunded_payment_id")
                .unionByName(j.where(F.col("reason").isNotNull()).select(
                    "seq", "subscription_id", "user_id", "reason", F.lit(None).cast("int").alias("remaining_days"),
                    F.lit(None).cast(S.TOTAL).alias("refund_amount"), F.lit(None).cast("bigint").alias("refunded_payment_id")))

@@ -77,3 +77,11 @@ def test_webhooks_find_payments_by_either_key(spark):
     assert "Generate explode" not in plan(res["payment_updates"])  # payments under both keys
     none = W.ingest(w.where("seq = 4"), pays, spark.createDataFrame([], S.OUTBOX), KEY, with_outbox=False)
     assert none["payment_updates"].count() == 0 and none["dispositions"].count() == 1
+
+
+def test_cancelled_subscriptions_do_not_wait_for_payments(spark):
+    t = Tables(spark, SF001)
+    r = SUB.cancel(t.subscriptions, t.plans, t.payments, C.cancels(t), AS_OF)
+    for df in (r.upserts["subscriptions"], r.logs, r.notifications):
+        assert "payment_id" not in plan(df)
+    assert "payment_id" in plan(r.outcome)
