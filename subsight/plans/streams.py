@@ -8,7 +8,7 @@ from ..operators import outbox as O
 from ..operators import webhooks as W
 from ..sources import schemas as S
 from ..streaming import jobs as SJ
-from ..streaming.landing import land
+from ..streaming.landing import files_a_batch, land
 from .events import _DISPATCH, _WEBHOOK, _limit_sql
 from .registry import AS_OF, HMAC_TEST_KEY, query
 
@@ -25,7 +25,7 @@ def stream_logs(t):
     """ST1: log messages streamed into the log sink (unknown users quarantined)."""
     msgs = _conform(t.logs.select("user_id", "action", "message", F.col("log_date").alias("timestamp_utc")), S.LOG_MESSAGE)
     path = land(msgs.withColumn("_o", F.unix_micros(F.col("timestamp_utc").cast("timestamp"))), "logs", "_o")
-    return SJ.logs_stream(t.spark, path, t.users, files_per_trigger=1)
+    return SJ.logs_stream(t.spark, path, t.users, files_per_trigger=files_a_batch(t.spark, path))
 
 
 @query("stream_notifications", _DISPATCH + f"""
@@ -37,7 +37,7 @@ def stream_notifications(t):
     """ST2: notifications of an outbox pass, streamed to delivery + NotificationSent logs."""
     n = O.dispatch(t.outbox, t.users, AS_OF)["notifications"]
     path = land(n, "notifications", "outbox_id")
-    return SJ.notifications_stream(t.spark, path, files_per_trigger=1)
+    return SJ.notifications_stream(t.spark, path, files_per_trigger=files_a_batch(t.spark, path))
 
 
 @query("stream_outbox", _DISPATCH + """
@@ -62,7 +62,7 @@ def stream_outbox_rows(t):
 
 def _outbox_sink(t):
     path = land(_conform(t.outbox, S.OUTBOX), "outbox", "outbox_id")
-    return SJ.outbox_stream(t.spark, path, S.OUTBOX, t.users, AS_OF, files_per_trigger=1, retry_after_ms=200)
+    return SJ.outbox_stream(t.spark, path, S.OUTBOX, t.users, AS_OF, files_per_trigger=files_a_batch(t.spark, path), retry_after_ms=200)
 
 
 @query("stream_webhooks", _WEBHOOK + """
@@ -71,7 +71,7 @@ def stream_webhooks(t):
     """ST5: webhook requests streamed through ingest; event ids stay unique across micro-batches."""
     w = _conform(W.signed_inbound(t, HMAC_TEST_KEY), S.WEBHOOK_IN)
     path = land(w, "webhooks", "seq")
-    return SJ.webhooks_stream(t.spark, path, t.payments, t.outbox, HMAC_TEST_KEY, files_per_trigger=1)
+    return SJ.webhooks_stream(t.spark, path, t.payments, t.outbox, HMAC_TEST_KEY, files_per_trigger=files_a_batch(t.spark, path))
 
 
 @query("stream_rate_limit", _limit_sql("1 day", 5))
@@ -79,4 +79,4 @@ def stream_rate_limit(t):
     """ST6: fixed-window limiter as a stateful stream (5 per day per client)."""
     w = _conform(t.webhook_inbound.withColumn("signature", F.lit(None).cast("string")), S.WEBHOOK_IN)
     path = land(w, "ratelimit", "seq")
-    return SJ.rate_limit_stream(t.spark, path, "1 day", 5, keep="7 days", files_per_trigger=1).drop("reason")
+    return SJ.rate_limit_stream(t.spark, path, "1 day", 5, keep="7 days", files_per_trigger=files_a_batch(t.spark, path)).drop("reason")

@@ -12,13 +12,14 @@ import math
 import time
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import ids
 from ..session import scratch_path
 
 ROWS_PER_FILE = 200_000
+BATCHES = 8  # most micro-batches that a landed folder makes
 
 
 def land(df: DataFrame, name: str, order_col: str, chunks: int | None = None,
@@ -55,3 +56,11 @@ def _chunk(df: DataFrame, staged: str, i: int) -> DataFrame | None:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return None
+
+
+def files_a_batch(spark: SparkSession, path: str) -> int:
+    """Files per trigger for a landed folder: one, or as many as keep its
+    micro-batches at ``BATCHES``. A batch costs what its rows do and, besides,
+    a look at the tables and a task for each partition of the state; so the
+    whole run would grow with the square of the rows if batches stayed small."""
+    return max(1, math.ceil(len(spark.read.parquet(path).inputFiles()) / BATCHES))

@@ -85,3 +85,10 @@ def test_cancelled_subscriptions_do_not_wait_for_payments(spark):
     for df in (r.upserts["subscriptions"], r.logs, r.notifications):
         assert "payment_id" not in plan(df)
     assert "payment_id" in plan(r.outcome)
+
+
+def test_landed_rows_make_a_bounded_number_of_batches(spark):
+    many = land(spark.range(1000).select(F.col("id").alias("o")), "many", "o", rows_per_file=50)
+    assert len(spark.read.parquet(many).inputFiles()) == 20 and files_a_batch(spark, many) == 3
+    few = land(spark.range(100).select(F.col("id").alias("o")), "few", "o")
+    assert files_a_batch(spark, few) == 1
