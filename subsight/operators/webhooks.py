@@ -18,7 +18,7 @@ from ..functions import json as J
 from ..functions.predicates import blank_col
 from ..sources import schemas as S
 from . import ids
-from .changes import rewritten
+from .changes import _rewritten
 
 FORGED = "forged-signature"
 
@@ -84,7 +84,7 @@ def ingest(inbound: DataFrame, payments: DataFrame, outbox: DataFrame, secret: s
     arrival wins."""
     # Every output reads the dispositions; write them once to the shared
     # folder instead of re-verifying and re-parsing per output.
-    d = rewritten(dispositions(inbound, secret, known_event_ids, new_event_ids), "dispositions")
+    d = _rewritten(dispositions(inbound, secret, known_event_ids, new_event_ids), "dispositions")
     acc = d.where(F.col("disposition") == "accepted")
     # stored events: every authenticated first arrival (malformed ones stay unprocessed)
     events = d.where(F.col("disposition").isin("accepted", "malformed", "invalid_status")).select(

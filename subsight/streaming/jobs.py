@@ -174,10 +174,15 @@ def outbox_stream(spark: SparkSession, source_path: str, schema, users: DataFram
 
     q = (new.unionByName(waited).writeStream.foreachBatch(handle)
          .option("checkpointLocation", f"{sink}/_checkpoint").trigger(processingTime=POLL).start())
+    first = None
     try:
         while not q.awaitTermination(timeout=0.2):  # a failed query raises here
             done = q.lastProgress  # of the last batch that is finished: a later one may be at work
-            if _drained(done) and not (settle and _waiting(spark, sink, done["batchId"])):
+            if done is None:
+                continue
+            if first is None:  # may be one that an earlier run planned, before the latest files came
+                first = done["batchId"]
+            if done["batchId"] > first and _drained(done) and not (settle and _waiting(spark, sink, done["batchId"])):
                 break
     finally:
         q.stop()
