@@ -194,10 +194,17 @@ def _held(scanned: DataFrame, limits: Disclosure) -> DataFrame:
     return one.join(enough, "entity").select("key", "entity", "entity_df")
 
 
-def _together(scanned: DataFrame, held: DataFrame) -> DataFrame:
-    """key, context, entity, entity_df, term: every term once per row of a document and entity in ``held``."""
-    rows = scanned.select("key", "context", F.array_distinct(F.col("words")["term"]).alias("terms")).join(held, "key")
-    return rows.select("key", "context", "entity", "entity_df", F.explode("terms").alias("term"))
+def _bodies(scanned: DataFrame, limits: Disclosure) -> DataFrame:
+    """key, context, words, held (entity, entity_df): the documents that hold an entity of ``_held``. Only
+    here are words joined by document, so what is left of the search shuffles the words of these alone."""
+    held = _held(scanned, limits).groupBy("key").agg(F.collect_set(F.struct("entity", "entity_df")).alias("held"))
+    return scanned.select("key", "context", "words").join(held, "key")
+
+
+def _together(bodies: DataFrame) -> DataFrame:
+    """context, entity, entity_df, term: every term once per row of a document and entity."""
+    rows = bodies.select("context", F.explode("held").alias("h"), F.array_distinct(F.col("words")["term"]).alias("terms"))
+    return rows.select("context", "h.entity", "h.entity_df", F.explode("terms").alias("term"))
 
 
 def disclosing(docs: DataFrame, scanned: DataFrame, together: DataFrame, limits: Disclosure = LIMITS) -> DataFrame:
@@ -219,16 +226,11 @@ def disclosing(docs: DataFrame, scanned: DataFrame, together: DataFrame, limits:
 def term_spans(docs: DataFrame, scanned: DataFrame, limits: Disclosure = LIMITS) -> DataFrame:
     """key, terms (array of start, end, gone): every occurrence of a disclosing word in the documents
     of its entity, outside the base spans."""
-    held = write_and_read(_held(scanned, limits), "pii-held")
-    together = _together(scanned, held)  # evaluated twice rather than written: it is a row per word
-    rates = write_and_read(disclosing(docs, scanned, together, limits), "pii-rates")
-    marked = together.join(rates.select("entity").distinct(), "entity", "left_semi")
-    rated = marked.join(rates, ["entity", "term"])
-    marks = rated.groupBy("key", "term").agg((F.max("disclosure") >= limits.remove).alias("gone"))
-    marks = write_and_read(marks, "pii-marks")
-    places = (scanned.join(marks.select("key"), "key", "left_semi")
-              .select("key", F.explode(F.filter("words", lambda w: w["start"] >= 0)).alias("w")).select("key", "w.term", "w.start", "w.end"))
-    one = places.join(marks, ["key", "term"]).groupBy("key", "start", "end").agg(F.max("gone").alias("gone"))
+    bodies = write_and_read(_bodies(scanned, limits), "pii-bodies")
+    rates = write_and_read(disclosing(docs, scanned, _together(bodies), limits), "pii-rates")
+    words = bodies.select("key", F.explode("held.entity").alias("entity"), F.filter("words", lambda w: w["start"] >= 0).alias("words"))
+    places = words.select("key", "entity", F.explode("words").alias("w")).select("key", "entity", "w.term", "w.start", "w.end")
+    one = places.join(rates, ["entity", "term"]).groupBy("key", "start", "end").agg((F.max("disclosure") >= limits.remove).alias("gone"))
     return one.groupBy(F.col("key").alias("t_key")).agg(F.sort_array(F.collect_list(F.struct("start", "end", "gone"))).alias("terms"))
 
 

@@ -153,3 +153,19 @@ def test_values_that_are_said_twice(spark):
 def test_no_value_appears_where_a_term_went():
     gone = [{"start": 3, "end": 6, "gone": True}]
     assert P.masked("+1 foo 743 555 38 24", gone) == "[PHONE]"
+
+
+def test_words_of_documents_meet_no_marks_by_document(spark):
+    """Where nothing is broadcast: places of words meet the rates by value and term in one join; the words of
+    all documents with a value are not shuffled once more to find the marked ones."""
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        scanned = P.write_and_read(P.scan(docs), "test-scan")
+        terms = P.term_spans(docs, scanned)
+        joins = terms._jdf.queryExecution().sparkPlan().toString().count("Join")
+        assert terms.count() == 6
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert joins == 1
