@@ -294,6 +294,23 @@ def decode_blocks(blocks: list[bytes], n_ids: int) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
+class _Numbers(dict):
+    """Numbers words in the order in which they are first met; ``fresh`` are those whose ids are not known yet."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        self.fresh.append(word)
+        return n
+
+    def take_fresh(self) -> tuple[int, list[bytes]]:
+        """The first number of the fresh words, and these."""
+        fresh, self.fresh = self.fresh, []
+        return len(self) - len(fresh), fresh
+
+
 class _Words:
     """The ids of words: each distinct word is tokenized once and numbered; a text is its words' numbers."""
 
@@ -317,7 +334,7 @@ class _Words:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
+        self.number = _Numbers()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
@@ -332,43 +349,46 @@ class _Words:
             self.tails[tail] = int(self.closes[own].sum()) == 1 and all(pairs[k] == pairs[n + k] + own for k in range(n))
         return self.tails[tail]
 
-    def _learn(self, words: list[bytes]) -> None:
-        """Tokenize new words. Words of letters are sent together and told apart by the tokens that
+    def _learn(self) -> None:
+        """Tokenize the fresh words. Words of letters are sent together and told apart by the tokens that
         close a piece: each closes one at least, so as many closed pieces as words show that each
         closed its own. Plain marks behind letters are put to the letters' ids. The others are sent
         one by one."""
-        letters, marked, alone = {}, [], {}
-        for w in words:
-            text = w.decode("utf-8", "replace")
-            if self.closes is not None and self.splits:
+        start, fresh = self.number.take_fresh()
+        if not fresh:
+            return
+        letters, alone, marked, parts = {}, {}, [], []
+        if self.closes is not None and self.splits:  # no word holds a space
+            for n, text in enumerate(b" ".join(fresh).decode("utf-8", "replace").split(" "), start):
                 if text.isalpha():
-                    letters[w] = text
+                    letters[n] = text
                     continue
                 stem = text.rstrip(_MARKS)
-                if stem.isalpha() and self._plain_tail(text[len(stem):]):
-                    own, tail = stem.encode(), text[len(stem):].encode()
-                    marked.append((w, own, tail))
-                    for part, kind in ((own, letters), (tail, alone)):
-                        if part not in self.number:
-                            kind[part] = part.decode()
-                    continue
-            alone[w] = text
-        names = list(letters)
-        parts = [names[i:i + 200] for i in range(0, len(names), 200)]
-        for part, ids in zip(parts, self._ids([" ".join([letters[w] for w in part]) for part in parts])):
-            ids = np.array(ids, np.uint32)
+                if stem.isalpha() and self._plain_tail(tail := text[len(stem):]):
+                    marked.append(n)
+                    parts += (self.number[stem.encode()], self.number[tail.encode()])
+                else:
+                    alone[n] = text
+            start, fresh = self.number.take_fresh()  # stems and tails
+        for n, w in enumerate(fresh, start):
+            text = w.decode("utf-8", "replace")
+            (letters if self.closes is not None and self.splits and text.isalpha() else alone)[n] = text
+        numbers, texts = list(letters), list(letters.values())
+        coded = self._ids([" ".join(texts[i:i + 200]) for i in range(0, len(texts), 200)])
+        for i, ids in zip(range(0, len(texts), 200), coded):
+            ids, some = np.array(ids, np.uint32), numbers[i:i + 200]
             ends = np.flatnonzero(self.closes.take(ids)) + 1
-            if len(ends) == len(part) and ends[-1] == len(ids):
-                self._add(part, ids, np.diff(ends, prepend=0))
+            if len(ends) == len(some) and ends[-1] == len(ids):
+                self._add(some, ids, np.diff(ends, prepend=0))
             else:
-                alone.update((w, letters[w]) for w in part)
-        names = list(alone)
-        for i in range(0, len(names), 10_000):
-            coded = self._ids([alone[w] for w in names[i:i + 10_000]])
-            self._add(names[i:i + 10_000], np.array([x for ids in coded for x in ids], np.uint32), np.array([len(ids) for ids in coded]))
+                alone.update((n, letters[n]) for n in some)
+        numbers, texts = list(alone), list(alone.values())
+        for i in range(0, len(numbers), 10_000):
+            coded = self._ids(texts[i:i + 10_000])
+            self._add(numbers[i:i + 10_000], np.array([x for ids in coded for x in ids], np.uint32), np.array([len(ids) for ids in coded]))
         if marked:
-            two = np.array([(self.number[own], self.number[tail]) for _, own, tail in marked])
-            self._add([w for w, _, _ in marked], self._gather(two.ravel()), self.size.take(two).sum(axis=1))
+            two = np.array(parts)
+            self._add(marked, self._gather(two), self.size.take(two).reshape(-1, 2).sum(axis=1))
 
     def _gather(self, numbers: np.ndarray) -> np.ndarray:
         """The ids of words, one after the other."""
@@ -377,16 +397,15 @@ class _Words:
         at = np.arange(after[-1] if len(after) else 0) + np.repeat(self.first.take(numbers) - (after - sizes), sizes)
         return self.flat.take(at)
 
-    def _add(self, words: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n, used = len(self.number), self.used
-        while n + len(words) > len(self.first):
+    def _add(self, numbers: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        used = self.used
+        while len(self.number) > len(self.first):
             self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
         while used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.first[n:n + len(words)], self.size[n:n + len(words)] = used + np.cumsum(sizes) - sizes, sizes
+        self.first[numbers], self.size[numbers] = used + np.cumsum(sizes) - sizes, sizes
         self.flat[used:used + len(ids)] = ids
         self.used += len(ids)
-        self.number.update(zip(words, range(n, n + len(words))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in order, and how many each has."""
@@ -397,11 +416,11 @@ class _Words:
         else:
             words, ends = texts, np.arange(len(texts) + 1)
         coded = words.dictionary_encode()
-        known = coded.dictionary.cast(pa.large_binary()).to_pylist()
+        known = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
         if len(self.number) > _MEMORY or self.used > _MEMORY_OF_IDS:
             self.clear()
-        self._learn([w for w in known if w not in self.number])
         numbers = np.fromiter(map(self.number.__getitem__, known), np.int64, len(known))
+        self._learn()
         numbers = numbers.take(coded.indices.to_numpy(zero_copy_only=False))
         before = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.size.take(numbers)))).take(ends)
         return self._gather(numbers), np.diff(before)

@@ -63,6 +63,28 @@ def test_words_give_the_ids_of_whole_texts():
                 assert g.tolist() == w, repr(t)
 
 
+def test_a_word_is_looked_up_once():
+    """Once per slice and distinct word, new or known; words of letters and marks look their two parts up when they are new."""
+    words, seen = T._Words(PATH), []
+
+    class Counting(type(words.number)):
+        def __getitem__(self, w):
+            seen.append(w)
+            return super().__getitem__(w)
+
+        def __contains__(self, w):
+            seen.append(w)
+            return super().__contains__(w)
+
+    words.number, library = Counting(), Tokenizer.from_file(PATH)
+    texts = ["one two one three.", "two three. 4 one", "one", "İx \u0301a three!? two."]
+    for lookups in (10 + 2 * 3, 10):  # 10 words, 3 with marks
+        ids, _ = words.encode(pa.array([" ".join(texts).encode(), b"new2 new2 new2", b"new2 \xe4\xbd\xa0"], pa.binary()))
+        assert len(seen) == lookups
+        seen.clear()
+    assert ids.tolist() == library.encode(" ".join(texts) + " new2 new2 new2 new2 你", add_special_tokens=False).ids
+
+
 def test_a_tokenizer_that_keeps_white_space_gets_whole_texts(tmp_path):
     # (a tokenizer of bytes with a space as a token of its own; nothing is trained)
     alphabet = {c: i for i, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}
