@@ -18,7 +18,8 @@ Spark writes and commits the files, so a lost executor repeats its tasks; a fail
 the reader.
 
 Where the tokenizer drops white space (it is probed), a text's ids are those of its words in order,
-and each distinct word is tokenized once per Python worker; else whole texts are tokenized.
+and each distinct word is tokenized once per Python worker, which remembers up to a million and then
+keeps those that came again; else whole texts are tokenized.
 
 Cases: a null or empty text is the end id alone; a text of any length stays one document; null
 doc_ids come first; equal doc_ids are ordered by the hash of their text, and equal rows stay rows
@@ -29,7 +30,10 @@ must be below 65,536.
 from __future__ import annotations
 
 import functools
+import itertools
+import json
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -40,19 +44,22 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_SPACE, whole_text
 
-STEPS, LANES = 1024, 4096  # ids of a lane, lanes of a block
+STEPS, LANES = 2048, 4096  # ids of a lane, lanes of a block
 BLOCK = STEPS * LANES
 SEGMENT = BLOCK
+_TILE = 64  # steps whose ids are turned together between the order of the stream and that of the lanes
 END_ID = 2
 _SLOTS = 20  # bits of the table of order 2
 _STATES = 128
 _MEMORY_OF_RATES = 1 << 16  # outcomes of a state, halved beyond
 _SCALE_BITS, _REST_BITS = np.uint64(14), np.uint64(18)
 _SCALE, _REST = 1 << 14, 1 << 18  # parts of the mixture and of order 0; their product is at most _BOTTOM
-_TOP, _BOTTOM = np.uint64(1 << 48), np.uint64(1 << 32)
+_WORD, _BOTTOM = np.uint64(32), np.uint64(1 << 32)  # bits that settle at once; a range stays above
 _MEMORY, _MEMORY_OF_IDS = 1_000_000, 16_000_000  # words that a worker remembers, and their ids
 _MARKS = ".,;:!?*$%&#"
-_SLICE = 8 << 20  # bytes of text that are encoded together
+_GROUP = 500  # words of letters that are sent together
+_SLICE = 24 << 20  # bytes of text that are encoded together
+_PIECE = 1 << 17  # words whose ids are put together at once
 
 
 def default_tokenizer() -> str:
@@ -65,134 +72,150 @@ class _Rest:
     """Order 0: shares of the ids that no prediction met, in parts of ``_REST``. Ids that were not counted
     yet share the escape. The shares follow the counts at steps that lie ever further apart."""
 
-    def __init__(self):
-        self.counts, self.fresh, self.next = np.zeros(1 << 16, np.int64), [], 0
-        self.shares, self.ids, self.escape = np.zeros(1 << 16, np.uint64), np.zeros(0, np.uint16), _REST
+    def __init__(self, reading: bool):
+        self.reading, self.counts, self.fresh, self.next = reading, np.zeros(1 << 16, np.int64), [], 0
+        self._share(_REST, np.zeros(0, np.int64), np.zeros(0, np.int64))
 
-    def count(self, ids: np.ndarray) -> None:
-        self.fresh.append(ids)
+    def _share(self, escape: int, seen: np.ndarray, own: np.ndarray) -> None:
+        self.edge = np.uint64(_REST - escape)  # the escape is behind all ids
+        self.escape = self.edge << np.uint64(32) | np.uint64(escape)
+        self.shares = np.full(1 << 16, self.escape)
+        self.shares[seen] = (np.cumsum(own) - own) << 32 | own  # (share before the id, share of the id)
+        if self.reading:
+            unseen = np.flatnonzero(self.counts == 0)[:1]  # stands for all that are escaped
+            self.ids = np.repeat(np.append(seen, unseen).astype(np.uint32), np.append(own, np.full(len(unseen), escape)))
+
+    def count(self, ids: np.ndarray, miss: np.ndarray) -> None:
+        self.fresh.append((ids, miss))
 
     def refresh(self, step: int) -> None:
         if step < self.next or not self.fresh:
             return
-        self.next = step + 1 + step // 8
-        self.counts += np.bincount(np.concatenate(self.fresh), minlength=1 << 16)
+        self.next = step + 1 + step // 6
+        ids, miss = map(np.concatenate, zip(*self.fresh))
+        self.counts += np.bincount(ids[miss], minlength=1 << 16)
         self.fresh = []
         seen = np.flatnonzero(self.counts)
-        total, distinct = int(self.counts.sum()), len(seen)
+        counts = self.counts.take(seen)
+        total, distinct = int(counts.sum()), len(seen)
         if not distinct:
             return
         escape = max(1, _REST * distinct // (2 * (total + distinct)))  # at most a quarter
-        own = 1 + self.counts[seen] * (_REST - distinct - escape) // total
-        self.escape = _REST - int(own.sum())
-        below = np.cumsum(own) - own
-        self.shares[:] = 0
-        self.shares[seen] = below << 32 | own  # (share before the id, share of the id)
-        self.ids = np.repeat(seen.astype(np.uint16), own)
+        own = 1 + counts * (_REST - distinct - escape) // total
+        self._share(_REST - int(own.sum()), seen, own)
 
 
 class _Model:
     """Predictions of order 1 and 2 and their shares in parts of ``_SCALE``. One model serves all lanes
-    of a block: each step is predicted from the steps before it, and all lanes' ids are learned after it."""
+    of a block: each step is predicted from the steps before it, and all lanes' ids are learned after it.
+
+    A state is both confidences and whether both predict the same id. An outcome is a state and what
+    was right there: neither (0), order 1 only (1), order 2 (2)."""
 
-    # what a hit or a miss does to a confidence, by 2 * confidence + hit; a prediction of low confidence is replaced
-    _CHANGE = np.array([c for s in range(8) for c in (-((s + 1) >> 1), int(s < 7))], np.int64).astype(np.uint32)
-    _REPLACED = np.array([r for s in range(8) for r in (s < 2, False)])
+    # what an outcome does to the confidences of order 1 and 2; a wrong prediction of low confidence is replaced
+    _OUTCOMES = np.arange(3 * _STATES)
+    _SURE = (_OUTCOMES >> 1 & 7, _OUTCOMES >> 4 & 7)
+    _RIGHT = ((_OUTCOMES >= _STATES) & ((_OUTCOMES < 2 * _STATES) | (_OUTCOMES & 1 == 1)), _OUTCOMES >= 2 * _STATES)
+    _CHANGE = [np.where(right, sure < 7, -((sure + 1) >> 1)).astype(np.uint32) for sure, right in zip(_SURE, _RIGHT)]
+    _REPLACED = [~right & (sure < 2) for sure, right in zip(_SURE, _RIGHT)]
 
     def __init__(self, lanes: int):
         self.one, self.two = np.zeros(1 << 16, np.uint32), np.zeros(1 << _SLOTS, np.uint32)  # predicted id and confidence (3 bits)
-        self.last, self.before = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        # by both confidences and whether both predict the same id: outcomes (neither, order 1, order 2)
-        self.outcomes = np.ones((3, _STATES), np.int64)
-        self._share()
+        self.last, self.before = np.zeros(lanes, np.int64), np.zeros(lanes, np.uint32)
+        self.outcomes, self.next = np.ones((3, _STATES), np.int64), 0
 
     def _share(self) -> None:
         total = self.outcomes.sum(axis=0)
-        self.share2, self.share1 = (1 + ((_SCALE - 32) * self.outcomes[k] // total).astype(np.uint64) for k in (2, 1))
-
-    def predict(self, n: int) -> None:
-        """For the first n lanes: the ids of order 2 and 1 and their shares; the others keep at least 30 parts."""
-        last, before = self.last[:n], self.before[:n]
-        self.slot = (last * np.uint32(0x85EBCA6B) ^ before * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F) >> np.uint32(32 - _SLOTS)
-        self.found1, self.found2 = self.one.take(last), self.two.take(self.slot)
+        old = total > _MEMORY_OF_RATES
+        if old.any():
+            self.outcomes[:, old] = (self.outcomes[:, old] + 1) >> 1
+            total = self.outcomes.sum(axis=0)
+        own2, own1 = (1 + (_SCALE - 32) * self.outcomes[k] // total for k in (2, 1))
+        # by outcome; neither keeps at least 30 parts
+        self.below = np.concatenate((own2 + own1, own2, 0 * own2)).astype(np.uint64)
+        self.own = np.concatenate((_SCALE - own2 - own1, own1, own2)).astype(np.uint64)
+
+    def predict(self, step: int, n: int) -> None:
+        """For the first n lanes: the ids of order 2 and 1, and the state."""
+        if step >= self.next:
+            self.next = step + 1 + min(step // 16, 15)
+            self._share()
+        self.at1 = self.last[:n]
+        last = self.at1.astype(np.uint32)
+        slots = (last * np.uint32(0x85EBCA6B) ^ self.before[:n] * np.uint32(0xC2B2AE35)) * np.uint32(0x27D4EB2F)
+        self.at2, self.then = (slots >> np.uint32(32 - _SLOTS)).astype(np.int64), last
+        self.found1, self.found2 = self.one.take(self.at1), self.two.take(self.at2)
         self.id1, self.id2 = self.found1 >> np.uint32(3), self.found2 >> np.uint32(3)
-        self.sure1, self.sure2 = self.found1 & np.uint32(7), self.found2 & np.uint32(7)
-        self.state = ((self.sure2 << np.uint32(4)) | (self.sure1 << np.uint32(1)) | (self.id1 == self.id2)).astype(np.int64)
-        self.own2, self.own1 = self.share2.take(self.state), self.share1.take(self.state)
+        self.state = (self.found2 & np.uint32(7)) << np.uint32(4) | (self.found1 & np.uint32(7)) << np.uint32(1) | (self.id1 == self.id2)
+
+    def outcome(self, right: np.ndarray) -> np.ndarray:
+        """``right``: what was right, in bytes."""
+        return (self.state + np.uint32(_STATES) * right).astype(np.int64)
 
-    def learn(self, n: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        """``hit1``: order 1 was right and order 2 was not."""
-        outcome = self.state + _STATES * (2 * hit2 + hit1.astype(np.int64))
+    def learn(self, ids: np.ndarray, outcome: np.ndarray) -> None:
         self.outcomes += np.bincount(outcome, minlength=3 * _STATES).reshape(3, _STATES)
-        old = self.outcomes.sum(axis=0) > _MEMORY_OF_RATES
-        if old.any():
-            self.outcomes[:, old] = (self.outcomes[:, old] + 1) >> 1
-        self._share()
-        fresh = (ids << np.uint32(3)) | np.uint32(1)
-        right1 = self.id1 == ids
-        for table, slot, found, sure, hit in ((self.two, self.slot, self.found2, self.sure2, hit2), (self.one, self.last[:n], self.found1, self.sure1, right1)):
-            change = (sure << np.uint32(1)) | hit
-            table[slot] = np.where(self._REPLACED.take(change), fresh, found + self._CHANGE.take(change))  # of equal slots the last lane's stays
-        self.before[:n] = self.last[:n]
-        self.last[:n] = ids
-
-
-class _Range:
-    """A carry-less range coder for each lane, in words of 16 bits."""
-
-    def __init__(self, lanes: int, steps: int, data: bytes | None = None):
-        self.low = np.zeros(lanes, np.uint64)
-        self.range = np.full(lanes, 2**64 - 1, np.uint64)
-        self.at = np.zeros(lanes, np.int64)
-        self.reading = data is not None
-        if data is None:
-            self.words = np.zeros((lanes, steps * 4 + 8), np.uint16)  # an id takes at most 14 + 18 + 16 bits
-            return
-        sizes = np.frombuffer(data, "<u2", lanes).astype(np.int64)
-        self.words = np.zeros((lanes, int(sizes.max()) + 8), np.uint16)
-        self.words[np.arange(self.words.shape[1]) < sizes[:, None]] = np.frombuffer(data, "<u2", offset=2 * lanes)
-        self.code = np.zeros(lanes, np.uint64)
-        for _ in range(4):
-            self._read(np.arange(lanes))
-
-    def _read(self, r: np.ndarray) -> None:
-        at = self.at.take(r)
-        self.code[r] = self.code.take(r) << np.uint64(16) | self.words[r, at]
-        self.at[r] = at + 1
-
-    def settle(self, low: np.ndarray, size: np.ndarray, lanes: np.ndarray | None = None) -> None:
-        """The intervals of the given lanes (None: of the first ones) are now ``size`` from ``low``:
-        words that are settled leave the coder."""
+        fresh = ids << np.uint32(3) | np.uint32(1)
+        for k, table, at, found in ((0, self.one, self.at1, self.found1), (1, self.two, self.at2, self.found2)):
+            table[at] = np.where(self._REPLACED[k].take(outcome), fresh, found + self._CHANGE[k].take(outcome))  # of equal places the last lane's stays
+        self.before[:len(ids)], self.last[:len(ids)] = self.then, ids
+
+
+class _Writer:
+    """A range coder for each lane, in words of 32 bits. A carry is added to the words that left before.
+    The words go out in the order in which :class:`_Reader` asks for them: two of each lane, then the
+    next one of a lane whenever its range gets small."""
+
+    def __init__(self, lanes: int, steps: int):
+        self.lanes = lanes
+        self.low, self.range = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
+        self.words = np.zeros((2 * steps + 2) * lanes, np.uint32)  # an id settles at most two words; all lanes' first ones, all lanes' second ones...
+        self.at, self.settled = np.arange(lanes), []
+
+    def narrow(self, low: np.ndarray, size: np.ndarray, lanes: np.ndarray | None = None) -> None:
+        """The intervals of the given lanes (None: of the first ones) are now ``size`` from ``low``."""
+        carry = np.flatnonzero(low < (self.low[:len(low)] if lanes is None else self.low.take(lanes)))
+        at = self.at.take(carry if lanes is None else lanes.take(carry))
+        while len(at):
+            at = at - self.lanes
+            self.words[at] += np.uint32(1)
+            at = at[self.words.take(at) == 0]
+        todo = np.flatnonzero(size < _BOTTOM)
+        if len(todo):
+            who, value = todo if lanes is None else lanes.take(todo), low.take(todo)
+            at = self.at.take(who)
+            self.words[at] = value >> _WORD
+            self.at[who] = at + self.lanes
+            self.settled.append(at)
+            low[todo], size[todo] = value << _WORD, size.take(todo) << _WORD
         if lanes is None:
             self.low[:len(low)], self.range[:len(low)] = low, size
         else:
             self.low[lanes], self.range[lanes] = low, size
-        while True:
-            settled = (low ^ (low + size)) < _TOP
-            todo = np.flatnonzero(settled | (size < _BOTTOM))
-            if not len(todo):
-                return
-            lanes = todo if lanes is None else lanes.take(todo)
-            low, size, settled = low.take(todo), size.take(todo), settled.take(todo)
-            if not settled.all():
-                size = np.where(settled, size, (np.uint64(0) - low) & (_BOTTOM - np.uint64(1)))
-            if self.reading:
-                self._read(lanes)
-            else:
-                at = self.at.take(lanes)
-                self.words[lanes, at] = low >> np.uint64(48)
-                self.at[lanes] = at + 1
-            low, size = low << np.uint64(16), size << np.uint64(16)
-            self.low[lanes], self.range[lanes] = low, size
 
     def finish(self) -> bytes:
-        """Two more words name a value inside each interval, which is 2^32 at least; the lanes' sizes go first."""
-        value = (self.low + (_BOTTOM - np.uint64(1))) >> np.uint64(32)
-        lanes = np.arange(len(self.at))
-        self.words[lanes, self.at] = value >> np.uint64(16)
-        self.words[lanes, self.at + 1] = value & np.uint64(0xFFFF)
-        sizes = self.at + 2
-        return sizes.astype("<u2").tobytes() + self.words[np.arange(self.words.shape[1]) < sizes[:, None]].astype("<u2").tobytes()
+        self.words[self.at], self.words[self.at + self.lanes] = self.low >> _WORD, self.low & (_BOTTOM - np.uint64(1))
+        ahead = np.concatenate((np.arange(2 * self.lanes), *(at + 2 * self.lanes for at in self.settled)))
+        return self.words.take(ahead).astype("<u4").tobytes()
+
+
+class _Reader:
+    """Undoes :class:`_Writer`; ``code`` is what a lane's words say, from the start of its interval."""
+
+    def __init__(self, lanes: int, data: bytes):
+        self.words = np.frombuffer(data, "<u4").astype(np.uint64)
+        self.next, self.range = 2 * lanes, np.full(lanes, 2**64 - 1, np.uint64)
+        self.code = self.words[:lanes] << _WORD | self.words[lanes:2 * lanes]
+
+    def narrow(self, code: np.ndarray, size: np.ndarray, lanes: np.ndarray | None = None) -> None:
+        todo = np.flatnonzero(size < _BOTTOM)
+        if len(todo):
+            code[todo] = code.take(todo) << _WORD | self.words[self.next:self.next + len(todo)]
+            size[todo] = size.take(todo) << _WORD
+            self.next += len(todo)
+        if lanes is None:
+            self.code[:len(code)], self.range[:len(code)] = code, size
+        else:
+            self.code[lanes], self.range[lanes] = code, size
 
 
 def _shape(n_ids: int) -> tuple[int, int]:
@@ -203,82 +226,71 @@ def _shape(n_ids: int) -> tuple[int, int]:
 
 def _encode(ids: np.ndarray) -> bytes:
     lanes, short = _shape(len(ids))
-    stream = np.zeros(lanes * STEPS, np.uint32)
-    stream[:len(ids)] = ids
-    stream = stream.reshape(lanes, STEPS).T.copy()
+    stream = np.zeros((lanes, STEPS), np.uint32)
+    stream.reshape(-1)[:len(ids)] = ids
     steps = min(STEPS, len(ids))
-    model, rest, coder = _Model(lanes), _Rest(), _Range(lanes, steps)
+    model, rest, coder = _Model(lanes), _Rest(reading=False), _Writer(lanes, steps)
     for t in range(steps):
         n = lanes if t < short else lanes - 1
-        x = stream[t, :n]
+        if t % _TILE == 0:
+            tile = stream[:, t:t + _TILE].T.copy()
+        x = tile[t % _TILE, :n]
         rest.refresh(t)
-        model.predict(n)
-        hit2 = model.id2 == x
-        hit1 = (model.id1 == x) & ~hit2
-        both = model.own2 + model.own1
-        miss = ~(hit2 | hit1)
+        model.predict(t, n)
+        right = np.maximum((model.id2 == x).view(np.uint8) << np.uint8(1), (model.id1 == x).view(np.uint8))
+        outcome, miss = model.outcome(right), right == 0
         part = coder.range[:n] >> _SCALE_BITS
-        low = coder.low[:n] + part * np.where(hit2, np.uint64(0), np.where(hit1, model.own2, both))
-        size = part * np.where(hit2, model.own2, np.where(hit1, model.own1, np.uint64(_SCALE) - both))
-        r = np.flatnonzero(miss)
-        if len(r):
-            missed = x.take(r)
-            share = rest.shares.take(missed)
-            new = share == 0
-            part = size.take(r) >> _REST_BITS
-            low[r] += part * np.where(new, np.uint64(_REST - rest.escape), share >> np.uint64(32))
-            size[r] = part * np.where(new, np.uint64(rest.escape), share & np.uint64(0xFFFFFFFF))
-            rest.count(missed)
-        coder.settle(low, size)
-        if len(r) and new.any():
-            r, raw = r[new], missed[new].astype(np.uint64)
-            part = coder.range.take(r) >> np.uint64(16)
-            coder.settle(coder.low.take(r) + part * raw, part, r)
-        model.learn(n, x, hit2, hit1)
+        low, size = coder.low[:n] + part * model.below.take(outcome), part * model.own.take(outcome)
+        # all lanes are put to order 0; only those that missed go by it
+        share, part = rest.shares.take(x), size >> _REST_BITS
+        low = np.where(miss, low + part * (share >> _WORD), low)
+        size = np.where(miss, part * (share & (_BOTTOM - np.uint64(1))), size)
+        coder.narrow(low, size)
+        e = np.flatnonzero(miss & (share == rest.escape))
+        if len(e):
+            part = coder.range.take(e) >> np.uint64(16)
+            coder.narrow(coder.low.take(e) + part * x.take(e), part, e)
+        rest.count(x, miss)
+        model.learn(x, outcome)
     return coder.finish()
 
 
 def _decode(data: bytes, n_ids: int) -> np.ndarray:
     lanes, short = _shape(n_ids)
     steps = min(STEPS, n_ids)
-    stream = np.zeros((STEPS, lanes), np.uint32)
-    model, rest, coder = _Model(lanes), _Rest(), _Range(lanes, steps, data)
+    stream, tile = np.zeros((lanes, STEPS), np.uint32), np.zeros((_TILE, lanes), np.uint32)
+    model, rest, coder = _Model(lanes), _Rest(reading=True), _Reader(lanes, data)
     for t in range(steps):
         n = lanes if t < short else lanes - 1
         rest.refresh(t)
-        model.predict(n)
-        both = model.own2 + model.own1
-        part, low = coder.range[:n] >> _SCALE_BITS, coder.low[:n]
-        ahead = coder.code[:n] - low
-        edge = part * both
-        miss = ahead >= edge
-        hit2 = ahead < part * model.own2
-        hit1 = ~(miss | hit2)
-        x = np.where(hit2, model.id2, model.id1)
-        low = low + part * np.where(hit2, np.uint64(0), np.where(hit1, model.own2, both))
-        size = part * np.where(hit2, model.own2, np.where(hit1, model.own1, np.uint64(_SCALE) - both))
-        r = np.flatnonzero(miss)
-        if len(r):
-            part = size.take(r) >> _REST_BITS
-            share = np.minimum((ahead.take(r) - edge.take(r)) // part, np.uint64(_REST - 1)).astype(np.int64)
-            new = share >= _REST - rest.escape
-            missed = np.zeros(len(r), np.uint32) if new.all() else rest.ids.take(share, mode="clip").astype(np.uint32)
-            own = rest.shares.take(missed)
-            low[r] += part * np.where(new, np.uint64(_REST - rest.escape), own >> np.uint64(32))
-            size[r] = part * np.where(new, np.uint64(rest.escape), own & np.uint64(0xFFFFFFFF))
-        coder.settle(low, size)
-        if len(r):
-            if new.any():
-                e = r[new]
-                part, low = coder.range.take(e) >> np.uint64(16), coder.low.take(e)
-                raw = np.minimum((coder.code.take(e) - low) // part, np.uint64(0xFFFF))
-                coder.settle(low + part * raw, part, e)
-                missed[new] = raw
-            x[r] = missed
-            rest.count(missed)
-        model.learn(n, x, hit2, hit1)
-        stream[t, :n] = x
-    return stream.T.reshape(-1)[:n_ids]
+        model.predict(t, n)
+        part, code = coder.range[:n] >> _SCALE_BITS, coder.code[:n]
+        below = model.below.take(model.state + np.uint32(_STATES))  # what order 2 has
+        hit2, miss = code < part * below, code >= part * model.below.take(model.state)
+        right = np.where(hit2, np.uint8(2), ~miss)
+        outcome = model.outcome(right)
+        code, size = code - part * model.below.take(outcome), part * model.own.take(outcome)
+        part = size >> _REST_BITS
+        value = np.minimum(code // part, np.uint64(_REST - 1))
+        x = rest.ids.take(value.view(np.int64), mode="clip")
+        share = rest.shares.take(x)
+        e = np.flatnonzero(miss & (value >= rest.edge))
+        x = np.where(miss, x, np.where(hit2, model.id2, model.id1))
+        code = np.where(miss, code - part * (share >> _WORD), code)
+        size = np.where(miss, part * (share & (_BOTTOM - np.uint64(1))), size)
+        coder.narrow(code, size)
+        if len(e):
+            part, code = coder.range.take(e) >> np.uint64(16), coder.code.take(e)
+            raw = np.minimum(code // part, np.uint64(0xFFFF))
+            coder.narrow(code - part * raw, part, e)
+            x[e] = raw
+        rest.count(x, miss)
+        model.learn(x, outcome)
+        tile[t % _TILE, :n] = x
+        if t % _TILE == _TILE - 1 or t == steps - 1:
+            start = t - t % _TILE
+            stream[:, start:t + 1] = tile[:t + 1 - start].T
+    return stream.reshape(-1)[:n_ids]
 
 
 def encode_blocks(ids: np.ndarray) -> list[bytes]:
@@ -294,21 +306,32 @@ def decode_blocks(blocks: list[bytes], n_ids: int) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
-class _Numbers(dict):
-    """Numbers words in the order in which they are first met; ``fresh`` are those whose ids are not known yet."""
+class _Numbers(defaultdict):
+    """Numbers words in the order in which they are first met; the fresh ones are those whose ids are not known yet."""
 
-    def __init__(self):
-        self.fresh: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self)
-        self.fresh.append(word)
-        return n
+    def __init__(self, known: list[bytes] = ()):
+        super().__init__(itertools.count(len(known)).__next__, zip(known, range(len(known))))
+        self.known = len(known)
 
     def take_fresh(self) -> tuple[int, list[bytes]]:
         """The first number of the fresh words, and these."""
-        fresh, self.fresh = self.fresh, []
-        return len(self) - len(fresh), fresh
+        start, self.known = self.known, len(self)
+        return start, list(itertools.islice(reversed(self), len(self) - start))[::-1]
+
+
+# the steps of the tokenizer file that :meth:`_Words._shortened` knows
+_NORMAL_FORM = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_STRETCHES = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def _is_latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+        return True
+    except UnicodeEncodeError:
+        return False
 
 
 class _Words:
@@ -327,6 +350,7 @@ class _Words:
         if mark:
             self.closes[[i for token, i in vocabulary.items() if token.endswith(mark)]] = True
         self.tails: dict[str, bool] = {}
+        self.short = self._shortened()
         # whether a text's ids are those of its words in order; else whole texts are "words"
         own = {w: self._ids([w])[0] for w in self._PROBES}
         pairs = [(x, y, x + gap + y) for x in self._PROBES for y in self._PROBES for gap in (*ASCII_SPACE, " \t\n")]
@@ -337,9 +361,31 @@ class _Words:
         self.number = _Numbers()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.first, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def _ids(self, texts: list[str]) -> list[list[int]]:
-        return [c.ids for c in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        self.met = np.zeros(1 << 14, np.int32)  # slices that held the word
+
+    def _shortened(self):
+        """The tokenizer without the steps that change nothing in lower-case words of Latin-1 letters
+        with spaces between them: such words are in normal form already, and each is a stretch of its own.
+        None unless all its steps are known to be of this kind."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        steps = json.loads(self.tokenizer.to_str())
+        apart = all(any(not (c.isalpha() or c.isspace()) for c in t["content"]) for t in steps["added_tokens"])
+        if not apart or (steps["normalizer"], steps["pre_tokenizer"], steps["truncation"], steps["padding"]) != (_NORMAL_FORM, _STRETCHES, None, None):
+            return None
+        short = Tokenizer(self.tokenizer.model)
+        short.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        return short
+
+    def _ids(self, texts: list[str], tokenizer=None) -> list[list[int]]:
+        return [c.ids for c in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_of_letters(self, texts: list[str]) -> list[list[int]]:
+        """The ids of texts that hold nothing but letters and single spaces."""
+        latin = [self.short is not None and _is_latin(t) for t in texts]
+        short = iter(self._ids([t.lower() for t, x in zip(texts, latin) if x], self.short))
+        whole = iter(self._ids([t for t, x in zip(texts, latin) if not x]))
+        return [next(short if x else whole) for x in latin]
 
     def _plain_tail(self, tail: str) -> bool:
         """Whether these marks are one closed piece of their own behind letters."""
@@ -357,38 +403,56 @@ class _Words:
         start, fresh = self.number.take_fresh()
         if not fresh:
             return
-        letters, alone, marked, parts = {}, {}, [], []
-        if self.closes is not None and self.splits:  # no word holds a space
-            for n, text in enumerate(b" ".join(fresh).decode("utf-8", "replace").split(" "), start):
-                if text.isalpha():
-                    letters[n] = text
-                    continue
-                stem = text.rstrip(_MARKS)
-                if stem.isalpha() and self._plain_tail(tail := text[len(stem):]):
-                    marked.append(n)
-                    parts += (self.number[stem.encode()], self.number[tail.encode()])
-                else:
-                    alone[n] = text
-            start, fresh = self.number.take_fresh()  # stems and tails
-        for n, w in enumerate(fresh, start):
-            text = w.decode("utf-8", "replace")
-            (letters if self.closes is not None and self.splits and text.isalpha() else alone)[n] = text
-        numbers, texts = list(letters), list(letters.values())
-        coded = self._ids([" ".join(texts[i:i + 200]) for i in range(0, len(texts), 200)])
-        for i, ids in zip(range(0, len(texts), 200), coded):
-            ids, some = np.array(ids, np.uint32), numbers[i:i + 200]
+        together = self.closes is not None and self.splits  # no word holds a space
+        marked, parts, alone = [], [], []
+
+        def decoded(words):
+            return b" ".join(words).decode("utf-8", "replace").split(" ") if together else [w.decode("utf-8", "replace") for w in words]
+
+        texts = decoded(fresh)
+        letters = np.fromiter(map(str.isalpha, texts), bool, len(texts)) & together
+        for k in np.flatnonzero(~letters).tolist():
+            text = texts[k]
+            stem = text.rstrip(_MARKS) if together else ""
+            if stem.isalpha() and self._plain_tail(tail := text[len(stem):]):
+                marked.append(start + k)
+                parts += (self.number[stem.encode()], self.number[tail.encode()])
+            else:
+                alone.append(k)
+        _, fresh = self.number.take_fresh()  # stems and tails
+        if fresh:
+            more = decoded(fresh)
+            alpha = np.fromiter(map(str.isalpha, more), bool, len(more))
+            alone += (len(texts) + np.flatnonzero(~alpha)).tolist()
+            texts, letters = texts + more, np.append(letters, alpha)
+        some = np.flatnonzero(letters)
+        words = [texts[k] for k in some.tolist()]
+        coded = self._ids_of_letters([" ".join(words[i:i + _GROUP]) for i in range(0, len(words), _GROUP)])
+        for i, ids in zip(range(0, len(words), _GROUP), coded):
+            ids, numbers = np.array(ids, np.uint32), some[i:i + _GROUP]
             ends = np.flatnonzero(self.closes.take(ids)) + 1
-            if len(ends) == len(some) and ends[-1] == len(ids):
-                self._add(some, ids, np.diff(ends, prepend=0))
+            if len(ends) == len(numbers) and ends[-1] == len(ids):
+                self._add(start + numbers, ids, np.diff(ends, prepend=0))
             else:
-                alone.update((n, letters[n]) for n in some)
-        numbers, texts = list(alone), list(alone.values())
-        for i in range(0, len(numbers), 10_000):
-            coded = self._ids(texts[i:i + 10_000])
-            self._add(numbers[i:i + 10_000], np.array([x for ids in coded for x in ids], np.uint32), np.array([len(ids) for ids in coded]))
+                alone += numbers.tolist()
+        for i in range(0, len(alone), 10_000):
+            numbers = np.array(alone[i:i + 10_000])
+            coded = self._ids([texts[k] for k in numbers.tolist()])
+            self._add(start + numbers, np.array([x for ids in coded for x in ids], np.uint32), np.array([len(ids) for ids in coded]))
         if marked:
             two = np.array(parts)
-            self._add(marked, self._gather(two), self.size.take(two).reshape(-1, 2).sum(axis=1))
+            self._add(np.array(marked), self._gather(two), self.size.take(two).reshape(-1, 2).sum(axis=1))
+
+    def _forget(self) -> None:
+        """Keep the words that were met in several slices since the last time, if they are few; else none."""
+        kept = np.flatnonzero(self.met[:len(self.number)] > 1)
+        ids, sizes = self._gather(kept), self.size.take(kept)
+        words = list(itertools.compress(self.number, self.met > 1))
+        self.clear()
+        if len(kept) <= _MEMORY // 2 and len(ids) <= _MEMORY_OF_IDS // 2:
+            self.number = _Numbers(words)
+            self._add(np.arange(len(kept)), ids, sizes)
+            self.met[:len(kept)] = 1
 
     def _gather(self, numbers: np.ndarray) -> np.ndarray:
         """The ids of words, one after the other."""
@@ -397,10 +461,10 @@ class _Words:
         at = np.arange(after[-1] if len(after) else 0) + np.repeat(self.first.take(numbers) - (after - sizes), sizes)
         return self.flat.take(at)
 
-    def _add(self, numbers: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _add(self, numbers: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         used = self.used
         while len(self.number) > len(self.first):
-            self.first, self.size = np.resize(self.first, 2 * len(self.first)), np.resize(self.size, 2 * len(self.size))
+            self.first, self.size, self.met = (np.concatenate((a, np.zeros_like(a))) for a in (self.first, self.size, self.met))
         while used + len(ids) > len(self.flat):
             self.flat = np.resize(self.flat, 2 * len(self.flat))
         self.first[numbers], self.size[numbers] = used + np.cumsum(sizes) - sizes, sizes
@@ -413,17 +477,27 @@ class _Words:
         if self.splits:
             lists = pc.ascii_split_whitespace(texts)
             words, ends = lists.values, lists.offsets.to_numpy()
+            del lists
         else:
             words, ends = texts, np.arange(len(texts) + 1)
         coded = words.dictionary_encode()
+        del texts, words
         known = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False)
         if len(self.number) > _MEMORY or self.used > _MEMORY_OF_IDS:
-            self.clear()
+            self._forget()
         numbers = np.fromiter(map(self.number.__getitem__, known), np.int64, len(known))
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        del coded, known
         self._learn()
-        numbers = numbers.take(coded.indices.to_numpy(zero_copy_only=False))
-        before = np.concatenate((np.zeros(1, np.int64), np.cumsum(self.size.take(numbers)))).take(ends)
-        return self._gather(numbers), np.diff(before)
+        self.met[numbers] += 1
+        after = np.cumsum(self.size.take(numbers).take(at))
+        lengths = np.diff(np.concatenate((np.zeros(1, np.int64), after)).take(ends))
+        ids = np.empty(int(after[-1]) if len(after) else 0, np.uint32)
+        for i in range(0, len(at), _PIECE):
+            some = self._gather(numbers.take(at[i:i + _PIECE]))
+            end = int(after[min(i + _PIECE, len(at)) - 1])
+            ids[end - len(some):end] = some
+        return ids, lengths
 
 
 @functools.lru_cache(maxsize=2)

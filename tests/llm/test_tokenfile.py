@@ -85,6 +85,86 @@ def test_a_word_is_looked_up_once():
     assert ids.tolist() == library.encode(" ".join(texts) + " new2 new2 new2 new2 你", add_special_tokens=False).ids
 
 
+def test_plain_words_take_the_short_way():
+    """Latin-1 letters go without normal form and stretches, all others by the whole tokenizer; the ids are those of whole texts."""
+    words, library = T._Words(PATH), Tokenizer.from_file(PATH)
+    plain = ["Wort", "ßEÄ", "ÀÉÎÕÜÿ", "µm", "ª", "ÞÆØ", "straße", "DON", "ll", "x" * 400]
+    others = ["ǰ", "J\u030c", "Éa\u0301", "ſs", "İI", "ΑΣ", "你好", "Ǆ", "ﬁ", "Ÿ"]
+    sent = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **kw):
+            sent.extend(w for t in texts for w in t.split())
+            return library.encode_batch_fast(texts, **kw)
+
+    words.tokenizer = Counting()
+    for some in (plain, others, plain + others):
+        ids, _ = words.encode(pa.array([" ".join(some).encode()], pa.binary()))
+        assert ids.tolist() == library.encode(" ".join(some), add_special_tokens=False).ids
+    assert set(others) <= set(sent) and not set(plain) & set(sent)
+
+
+def test_only_known_steps_are_left_out(tmp_path):
+    from tokenizers import AddedToken, normalizers
+
+    for change in (lambda t: setattr(t, "normalizer", normalizers.Lowercase()), lambda t: t.add_tokens([AddedToken("wort", normalized=False)]),
+                   lambda t: setattr(t, "pre_tokenizer", pre_tokenizers.ByteLevel())):
+        library = Tokenizer.from_file(PATH)
+        change(library)
+        library.save(path := str(tmp_path / "changed.json"))
+        assert T._Words(path).short is None
+    assert T._Words(PATH).short is not None
+
+
+def test_words_of_several_slices_are_kept_when_others_are_forgotten(monkeypatch):
+    monkeypatch.setattr(T, "_MEMORY", 12)
+    words, library = T._Words(PATH), Tokenizer.from_file(PATH)
+    common, sent, learn = ["often", "again", "Oft?"], [], words._learn
+
+    def counted():
+        sent.append(len(words.number) - words.number.known)
+        learn()
+
+    monkeypatch.setattr(words, "_learn", counted)
+    for k in range(9):
+        text = " ".join(common + [f"rare{'abcdefghi'[k]}{x}" for x in "uvwxyz"])
+        ids, _ = words.encode(pa.array([text.encode()], pa.binary()))
+        assert ids.tolist() == library.encode(text, add_special_tokens=False).ids
+        assert len(words.number) <= 12 + 9 + 2
+    # (before: all words were learned again after they were forgotten)
+    assert sent == [9] + [6] * 8
+    # too many to keep: none is
+    monkeypatch.setattr(T, "_MEMORY", 4)
+    words.encode(pa.array([b"one two"], pa.binary()))
+    assert len(words.number) == 2
+
+
+def test_a_carry_reaches_words_that_left_before():
+    coder = T._Writer(1, 4)
+    coder.words[:3], coder.at[:], coder.low[:] = (7, 0xFFFFFFFF, 0xFFFFFFFF), 3, 2**64 - 1
+    coder.narrow(np.array([4], np.uint64), np.array([2**40], np.uint64))
+    assert coder.words[:3].tolist() == [8, 0, 0]
+
+
+def test_all_words_of_a_block_are_read_in_order(monkeypatch):
+    """A lane's words have no place of their own in a block (before: 2 bytes a lane for their number, two passes at least to settle)."""
+    read = []
+
+    class Reader(T._Reader):
+        def __init__(self, *args):
+            super().__init__(*args)
+            read.append(self)
+
+    monkeypatch.setattr(T, "_Reader", Reader)
+    rng = np.random.default_rng(1)
+    ids = np.concatenate((rng.integers(0, 65536, 5 * T.STEPS), rng.geometric(0.01, 9 * T.STEPS + 77) % 65536)).astype(np.uint32)
+    (block,) = T.encode_blocks(ids)
+    assert (T.decode_blocks([block], len(ids)) == ids).all()
+    assert [r.next for r in read] == [len(block) // 4]
+    with pytest.raises(ValueError):
+        T.decode_blocks([block[:-40]], len(ids))
+
+
 def test_a_tokenizer_that_keeps_white_space_gets_whole_texts(tmp_path):
     # (a tokenizer of bytes with a space as a token of its own; nothing is trained)
     alphabet = {c: i for i, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}
