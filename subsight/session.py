@@ -19,6 +19,10 @@ SQL_SETTINGS = {
     # together and must shuffle once more (joins under an aggregate or a join)
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
+    # A union of joins is shuffled like any other rows. Spark 4.1 would take it
+    # as partitioned like its parts and join it without a shuffle, but AQE merges
+    # the partitions of each part by that part's own size, so they need not match.
+    "spark.sql.unionOutputPartitioning": "false",
     # Broadcast only what is measured small: the planner's estimate first,
     # then AQE's runtime size of the shuffled side; beyond it a shuffle join.
     # Both sizes are of compressed columns or rows: keys take about a byte

@@ -1,10 +1,12 @@
 """What must not grow with the tables: broadcasts, micro-batches, texts in shuffles, payments read for nothing."""
 
 import datetime as dt
+from types import SimpleNamespace
 
 from pyspark.sql import functions as F
 
 from subsight.operators import ids
+from subsight.operators import plan_jobs as PL
 from subsight.operators import quality as Q
 from subsight.operators import subscription_jobs as SUB
 from subsight.operators import webhooks as W
@@ -92,3 +94,25 @@ def test_landed_rows_make_a_bounded_number_of_batches(spark):
     assert len(spark.read.parquet(many).inputFiles()) == 20 and files_a_batch(spark, many) == 3
     few = land(spark.range(100).select(F.col("id").alias("o")), "few", "o")
     assert files_a_batch(spark, few) == 1
+
+
+def test_a_union_of_joins_meets_other_rows(spark, tmp_path):
+    """Names handed on within a batch, where no join is broadcast and AQE merges partitions by size."""
+    n = 3000
+    columns = [F.col("id").alias("plan_id"), F.concat(F.lit("name "), F.col("id")).alias("name"), *[F.lit("d").alias(c) for c in PL._VALUES]]
+    spark.range(n).select(*columns, F.current_timestamp().alias("created_at")).write.parquet(f"{tmp_path}/plans")
+    t = SimpleNamespace(plans=spark.read.parquet(f"{tmp_path}/plans"))
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.shuffle.partitions": "20", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "200b"}
+    was = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        out = PL.update(t.plans, C.plan_renames(t), AS_OF).outcome.collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    # every tenth row asks for a name that is not free yet, keeps its own, and its follower cannot take that
+    want = {2 * i: (i, i % 10 != 3 or i == n - 1) for i in range(n)}
+    want |= {2 * i + 1: (i, i % 10 != 4) for i in range(1, n) if i % 10 != 3}
+    assert {r["seq"]: (r["plan_id"], r["accepted"]) for r in out} == want and len(out) == len(want)
