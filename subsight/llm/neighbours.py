@@ -21,6 +21,11 @@ Audit: all vectors that have an id divisible by ``AUDITED`` meet all vectors of
 blocks. Recall is averaged over those that have a link; below ``MIN_RECALL`` the overlap is doubled
 and the search runs again; a last overlap that is still below gives a warning with the figures.
 
+On disk: a vector is written with its node, as the floats it came as, and once more with its lists
+and shards; it is scaled to length 1 where it is used. Tables of shards and visits hold ids, and a
+vector is shuffled to its shards when they are built or searched. A round searches its shards in
+up to ``MOST_SLICES`` steps; shuffle files go when the step that needed them has been written.
+
 Equal vectors of one label are one node with a count from the start, so thousands of copies cost
 one search. Only links to the smallest found vector leave a group, never a row per pair. The number
 of links of each of k distinct near copies takes k walks through all shards of the clump; they are
@@ -36,11 +41,13 @@ from __future__ import annotations
 
 import logging
 import warnings
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import write_and_read
 from .components import components
@@ -48,7 +55,9 @@ from .components import components
 COSINE = 0.98
 SHARD = 512  # a larger shard is split ...
 PART = 128  # ... by a pivot for about so many vectors
-PIVOTS = 64  # at most, for one split
+PIVOTS = 1024  # at most, for one split
+MOST_OVERLAP = 64
+SLICE, MOST_SLICES = 250_000, 8  # walks whose shards are searched in one step, and steps of a round
 CHUNK = 50_000  # vectors of one shard that are dealt together
 DEPTH = 8
 CANDIDATES, DEGREE, ALPHA = 48, 16, 1.2
@@ -56,9 +65,10 @@ BEAM, WIDTH = 32, 8
 LEAD = 2  # nearest vectors whose shards are visited, in range or not
 SLACK = 0.01  # so far below the range a vector is still expanded
 QUERIES = 256  # searched together
+ASSIGNED = 4096  # vectors that are compared with a shard's pivots together
+LEAST_BLOCK, BLOCK_VALUES = 2048, 2**21  # vectors, and numbers at most, of a block of the audit
 AUDITED = 100  # every vector with an id divisible by it is audited
 MIN_RECALL = 0.95
-_VEC = pa.list_(pa.float64())
 _LOG = logging.getLogger(__name__)
 
 
@@ -67,27 +77,53 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1)
 
 
+def _units(column: pa.ChunkedArray) -> np.ndarray:
+    """The vectors in double precision, scaled to length 1."""
+    x = _matrix(column).astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # first, so that squares neither overflow nor vanish
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def _vec(nodes: DataFrame) -> Column:
+    """Floats stay floats in files and shuffles; other numbers become doubles."""
+    kind = nodes.schema["embedding"].dataType.elementType
+    return (F.col("embedding") if isinstance(kind, T.FloatType) else F.col("embedding").cast("array<double>")).alias("vec")
+
+
+@contextmanager
+def _shuffles_removed(spark: SparkSession):
+    """Shuffle files of the steps in between go when a step has been written, not when the driver collects garbage."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if was is None else spark.conf.set(key, was)
+
+
 def nodes_of(vectors: DataFrame) -> DataFrame:
-    """The distinct usable vectors of each label: node, shard, unit vector, n (copies), first_id, whether
-    it is audited, and the embedding that they were."""
+    """The distinct usable vectors of each label: node, shard, n (copies), first_id, whether it is
+    audited, and the embedding."""
     v = F.transform("embedding", lambda x: x.cast("double"))
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    usable = vectors.filter(F.col("label").isNotNull() & (F.size("embedding") > 0) & ~bad)
+    usable = vectors.filter(F.col("label").isNotNull() & (F.size("embedding") > 0) & ~bad & F.exists(v, lambda x: x != 0))
     one = usable.groupBy("label", "embedding").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("n"),
                                                  F.coalesce(F.max(F.col("vec_id") % AUDITED == 0), F.lit(False)).alias("audited"))
-    # the largest component is divided out first, so that squares neither overflow nor vanish
-    scaled = one.withColumn("v", v).withColumn("top", F.array_max(F.transform("v", lambda x: F.abs(x)))).filter("top > 0")
-    scaled = scaled.withColumn("v", F.transform("v", lambda x: x / F.col("top")))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    unit = scaled.withColumn("norm", norm).withColumn("vec", F.transform("v", lambda x: x / F.col("norm")))
-    return unit.select(F.monotonically_increasing_id().alias("node"), F.concat_ws("/", F.col("label").cast("string"), F.size("vec")).alias("shard"),
-                       "vec", "n", "first_id", "audited", "label", "embedding")
+    return one.select(F.monotonically_increasing_id().alias("node"), F.concat_ws("/", F.col("label").cast("string"), F.size("embedding")).alias("shard"),
+                      "n", "first_id", "audited", "label", "embedding")
 
 
 def deal(nodes: DataFrame, overlap: int) -> DataFrame:
     """(node, shard, vec): every vector in the overlapping shards it belongs to."""
+    return _homes(nodes, overlap).join(nodes.select("node", _vec(nodes)), "node")
+
+
+def _homes(nodes: DataFrame, overlap: int) -> DataFrame:
+    """(node, shard): the overlapping shards of every vector."""
     radius2 = 2 - 2 * COSINE
-    placed = nodes.select("node", "shard", "vec", F.lit(False).alias("done"))
+    vectors = nodes.select("node", _vec(nodes))
+    placed = nodes.select("node", "shard", F.lit(False).alias("done"))
     sizes = placed.groupBy("shard", "done").agg(F.count("*").alias("size"))
     for _ in range(DEPTH):
         large = sizes.filter(~F.col("done") & (F.col("size") > SHARD)).select(
@@ -98,15 +134,18 @@ def deal(nodes: DataFrame, overlap: int) -> DataFrame:
         rows = placed.join(large, F.col("shard") == F.col("s"))
         by_hash = Window.partitionBy("shard").orderBy(F.xxhash64("node"), "node")
         pivots = rows.withColumn("rank", F.row_number().over(by_hash)).filter((F.col("rank") <= PIVOTS) & (F.col("rank") <= F.col("k")))
-        pivots = pivots.select(F.col("shard").alias("of"), "rank", F.col("vec").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-        chunked = rows.select("node", "shard", "vec", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk"))
+        pivots = pivots.join(vectors, "node").select(F.col("shard").alias("of"), "rank", F.col("vec").alias("pivot"),
+                                                     F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+        chunked = rows.select("node", "shard", F.pmod(F.xxhash64("node"), F.col("chunks")).alias("chunk")).join(vectors, "node")
 
         def assign(left: pa.Table, right: pa.Table) -> pa.Table:
-            out = {"node": [], "shard": [], "vec": []}
-            if left.num_rows:
-                right = right.sort_by("rank")
-                x, p = _matrix(left["vec"]), _matrix(right["pivot"])
-                near = 2 - 2 * (x @ p.T)
+            if not left.num_rows:
+                return pa.table({"node": pa.array([], pa.int64()), "shard": pa.array([], pa.string())})
+            p, parent = _units(right.sort_by("rank")["pivot"]), left["shard"][0].as_py()
+            node, shard = [], []
+            for a in range(0, left.num_rows, ASSIGNED):
+                part = left.slice(a, ASSIGNED)
+                near = 2 - 2 * (_units(part["vec"]) @ p.T)
                 take = np.zeros(near.shape, bool)
                 best = np.argsort(near, axis=1, kind="stable")[:, :overlap]
                 np.put_along_axis(take, best, True, axis=1)
@@ -114,26 +153,25 @@ def deal(nodes: DataFrame, overlap: int) -> DataFrame:
                 has = close.any(axis=1)
                 take[has, close[has].argmax(axis=1)] = True
                 i, j = np.nonzero(take)
-                parent = left["shard"][0].as_py()
-                out = {"node": left["node"].take(i), "shard": [f"{parent}.{k}" for k in j], "vec": left["vec"].take(i)}
-            return pa.table({"node": pa.array(out["node"], pa.int64()) if not left.num_rows else out["node"], "shard": pa.array(out["shard"], pa.string()),
-                             "vec": pa.array(out["vec"], _VEC) if not left.num_rows else out["vec"]})
+                node.append(part["node"].to_numpy()[i])
+                shard += [f"{parent}.{k}" for k in j]
+            return pa.table({"node": np.concatenate(node), "shard": pa.array(shard, pa.string())})
 
-        split = chunked.groupBy("shard", "chunk").cogroup(pivots.groupBy("of", "chunk")).applyInArrow(assign, "node long, shard string, vec array<double>")
+        split = chunked.groupBy("shard", "chunk").cogroup(pivots.groupBy("of", "chunk")).applyInArrow(assign, "node long, shard string")
         rest = placed.join(large, F.col("shard") == F.col("s"), "left_anti")
         split = write_and_read(split, "graph-split")
         # a part that is hardly smaller than its shard is a clump; it is not split again
         parent = large.select(F.col("s").alias("p"), F.col("size").alias("was"))
         parts = split.groupBy("shard").agg(F.count("*").alias("size")).withColumn("p", F.regexp_replace("shard", r"\.\d+$", ""))
         parts = parts.join(parent, "p").select(F.col("shard").alias("s"), (F.col("size") > 0.9 * F.col("was")).alias("done"))
-        split = split.join(parts, F.col("shard") == F.col("s")).select("node", "shard", "vec", "done")
+        split = split.join(parts, F.col("shard") == F.col("s")).select("node", "shard", "done")
         placed = write_and_read(rest.unionByName(split), "graph-placed")
         sizes = placed.groupBy("shard", "done").agg(F.count("*").alias("size"))
     # what pivots did not split: by hash, each vector to several parts, so that walks lead across
     large = sizes.filter(F.col("size") > SHARD).select(F.col("shard").alias("s"), F.ceil(F.col("size") * overlap / SHARD).alias("parts"))
     part = F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(overlap)), lambda i: F.pmod(F.xxhash64("node", i), F.col("parts"))))
     names = F.when(F.col("parts").isNull(), F.array("shard")).otherwise(F.transform(part, lambda i: F.concat_ws("#", "shard", i.cast("string"))))
-    return placed.join(large, F.col("shard") == F.col("s"), "left").select("node", F.explode(names).alias("shard"), "vec")
+    return placed.join(large, F.col("shard") == F.col("s"), "left").select("node", F.explode(names).alias("shard"))
 
 
 def prune(x: np.ndarray, near: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA) -> np.ndarray:
@@ -257,12 +295,13 @@ _GO = pa.list_(pa.struct([("shard", pa.string()), ("entry", pa.int64())]))
 _FOUND = "node long, links long, root long, go array<struct<shard: string, entry: long>>"
 
 
-def _blocks(queries: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _blocks(queries: DataFrame, members: DataFrame, size: Column | None = None, q_size: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Queries and members of a shard, dealt by hash to (shard, block, q_block) groups in which each
-    query meets each member once: a group holds about SHARD of either, however large the shard is."""
-    of_members = members.groupBy("shard").agg(F.ceil(F.count("*") / SHARD).alias("blocks"))
-    of_queries = queries.groupBy("shard").agg(F.ceil(F.count("*") / SHARD).alias("q_blocks"))
-    counts = of_members.join(of_queries, "shard")
+    query meets each member once: a group holds about ``size`` members and ``q_size`` queries (SHARD
+    of either if nothing is said; both may name ``count``, the shard's), however large the shard is."""
+    blocks_of = lambda of, most, name: of.groupBy("shard").agg(F.count("*").alias("count")).select(
+        "shard", F.ceil(F.col("count") / (F.lit(SHARD) if most is None else most)).alias(name))
+    counts = blocks_of(members, size, "blocks").join(blocks_of(queries, q_size, "q_blocks"), "shard")
     dealt = lambda n: F.pmod(F.xxhash64("node", F.lit("block")), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     q = queries.join(counts, "shard").withColumn("q_block", dealt("q_blocks")).withColumn("block", every("blocks"))
@@ -286,7 +325,7 @@ def graph(placed: DataFrame) -> DataFrame:
 
     def lists(table: pa.Table) -> pa.Table:
         node = table["node"].to_numpy()
-        near = build(_matrix(table["vec"]))
+        near = build(_units(table["vec"]))
         return pa.table({"node": table["node"], "near": pa.array([node[v[v >= 0]] for v in near], pa.list_(pa.int64()))})
 
     every = placed.groupBy("shard").applyInArrow(lists, "node long, near array<long>")
@@ -317,7 +356,7 @@ def _search_shard(left: pa.Table, right: pa.Table) -> pa.Table:
                          "go": pa.array([], _GO)})
     shard = left["shard"][0].as_py()
     own, other = left["node"].to_numpy(), right["node"].to_numpy()
-    x, y, copies = _matrix(left["vec"]), _matrix(right["vec"]), right["n"].to_numpy().astype(np.float64)
+    x, y, copies = _units(left["vec"]), _units(right["vec"]), right["n"].to_numpy().astype(np.float64)
     adjacent = _united(right, other)
     at, entry = _places(other, own), _places(other, left["entry"].to_numpy())
     medoid = np.full(len(own), int((y @ y.sum(axis=0)).argmax()))
@@ -371,33 +410,59 @@ def _search_shard(left: pa.Table, right: pa.Table) -> pa.Table:
                      "go": pa.array([[(every[t], int(g[t])) for t in np.flatnonzero(g > -2)] for g in go], _GO)})
 
 
+def _search_rows(table: pa.Table) -> pa.Table:
+    """A block of a shard: rows of its members, and rows that ask."""
+    return _search_shard(table.filter(table["asks"]), table.filter(table["member"]))
+
+
+def _rows(members: DataFrame, places: DataFrame, before: DataFrame | None, fresh: DataFrame | None) -> DataFrame:
+    """The rows of all blocks: each vector is joined with its places once and goes to them."""
+    at = places.groupBy("node").agg(F.collect_list(F.struct("shard", "q_block", "member", "asks", "entry")).alias("at"))
+    rows = members.join(at, "node")
+    if before is None:
+        rows = rows.withColumns({"before": F.array().cast("array<string>"), "fresh": F.col("shards")})
+    else:
+        rows = rows.join(before, "node", "left").join(fresh, "node", "left")
+    only = lambda of, name: F.when(F.col(of), F.col(name)).alias(name)
+    return rows.withColumn("at", F.explode("at")).select("node", "vec", "shards", "n", "near", "before", "fresh", "at.*").select(
+        "shard", "q_block", "node", "vec", "shards", "member", "asks", "entry", only("member", "n"), only("member", "near"),
+        only("asks", "before"), only("asks", "fresh"))
+
+
 def _found(nodes: DataFrame, overlap: int) -> DataFrame:
     """(node, links, root) from every shard that a node walks in, round by round."""
-    placed = write_and_read(deal(nodes, overlap), "graph-dealt")
-    lists = write_and_read(graph(placed), "graph-lists")
-    shards = placed.groupBy("node").agg(F.collect_set("shard").alias("shards"))
-    members = placed.join(shards, "node").join(lists, "node").join(nodes.select("node", "n"), "node")
-    members = write_and_read(members, "graph-members")
-    queries = members.drop("near", "n").withColumns({"before": F.array().cast("array<string>"), "fresh": F.col("shards"), "entry": F.lit(-1).cast("long")})
-    key, cols = ("shard", "q_block"), ("node", "links", "root")
-    visited, all_found = placed.select("node", "shard"), None
+    homes = write_and_read(_homes(nodes, overlap), "graph-homes")
+    vectors = nodes.select("node", _vec(nodes), "n")
+    lists = graph(homes.join(vectors.drop("n"), "node"))
+    shards = homes.groupBy("node").agg(F.collect_set("shard").alias("shards"))
+    members = write_and_read(vectors.join(shards, "node").join(lists, "node"), "graph-members")
+    own = F.pmod(F.xxhash64("node", F.lit("block")), F.col("q_blocks"))
+    cols = ("node", "links", "root")
+    visits, visited, before, fresh, all_found = homes, homes, None, None, None
     while True:
-        # a shard is small, but many may walk in it: they are dealt to blocks, each with the whole shard
-        counts = queries.groupBy("shard").agg(F.ceil(F.count("*") / SHARD).alias("q_blocks"))
-        q = queries.join(counts, "shard").withColumn("q_block", F.pmod(F.xxhash64("node", F.lit("block")), F.col("q_blocks"))).drop("q_blocks")
-        m = members.join(counts, "shard").withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks") - 1))).drop("q_blocks")
-        m = m.toDF(*m.columns)  # columns of its own: both may come from one table
-        found = write_and_read(q.groupBy(*key).cogroup(m.groupBy(*key)).applyInArrow(_search_shard, _FOUND), "graph-found")
-        all_found = found.select(*cols) if all_found is None else all_found.unionByName(found.select(*cols))
-        visits = found.select("node", F.explode("go").alias("go")).groupBy("node", F.col("go.shard").alias("shard")).agg(F.max("go.entry").alias("entry"))
+        first, go = all_found is None, None
+        slices = min(MOST_SLICES, max(1, -(-visits.count() // SLICE)))
+        for i in range(slices):
+            of = lambda df: df.filter(F.pmod(F.xxhash64("shard"), F.lit(slices)) == i)  # noqa: B023, E731
+            # a shard is small, but many may walk in it: they are dealt to blocks, each with the whole shard
+            counts = of(visits).groupBy("shard").agg(F.ceil(F.count("*") / SHARD).alias("q_blocks"))
+            there = of(homes).join(counts, "shard").withColumn("q_block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_blocks") - 1)))
+            there = there.select("node", "shard", "q_block", F.lit(True).alias("member"), (F.lit(first) & (own == F.col("q_block"))).alias("asks"),
+                                 F.lit(-1).cast("long").alias("entry"))
+            if not first:
+                there = there.unionByName(of(visits).join(counts, "shard").select(
+                    "node", "shard", own.alias("q_block"), F.lit(False).alias("member"), F.lit(True).alias("asks"), "entry"))
+            rows = _rows(members, there, before, fresh)
+            found = write_and_read(rows.groupBy("shard", "q_block").applyInArrow(_search_rows, _FOUND), "graph-found")
+            all_found = found.select(*cols) if all_found is None else all_found.unionByName(found.select(*cols))
+            go = found.select("node", "go") if go is None else go.unionByName(found.select("node", "go"))
+        visits = go.select("node", F.explode("go").alias("go")).groupBy("node", F.col("go.shard").alias("shard")).agg(F.max("go.entry").alias("entry"))
         visits = write_and_read(visits.join(visited, ["node", "shard"], "left_anti"), "graph-visits")
         if visits.isEmpty():
             return all_found
         before = visited.groupBy("node").agg(F.collect_set("shard").alias("before"))
         fresh = visits.groupBy("node").agg(F.collect_set("shard").alias("fresh"))
-        vectors = nodes.select("node", "vec").join(shards, "node").join(before, "node").join(fresh, "node")
-        queries = write_and_read(visits.join(vectors, "node"), "graph-queries")
-        visited = write_and_read(visited.unionByName(visits.select("node", "shard")), "graph-visited")
+        visited = visited.unionByName(visits.select("node", "shard"))
 
 
 def _count_true(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -405,7 +470,7 @@ def _count_true(left: pa.Table, right: pa.Table) -> pa.Table:
     if not left.num_rows or not right.num_rows:
         return pa.table({"node": pa.array([], pa.int64()), "n_true": pa.array([], pa.int64())})
     own, other, n = left["node"].to_numpy(), right["node"].to_numpy(), right["n"].to_numpy()
-    x, y = _matrix(left["vec"]), _matrix(right["vec"])
+    x, y = _units(left["vec"]), _units(right["vec"])
     true = [((x[a:a + QUERIES] @ y.T >= COSINE) & (own[a:a + QUERIES, None] != other[None, :])) @ n for a in range(0, len(own), QUERIES)]
     return pa.table({"node": pa.array(own), "n_true": pa.array(np.concatenate(true).astype(np.int64))})
 
@@ -413,7 +478,10 @@ def _count_true(left: pa.Table, right: pa.Table) -> pa.Table:
 def recall(nodes: DataFrame, links: DataFrame) -> float:
     """The share of its links that an audited vector got, averaged over those that have one."""
     key = ("shard", "block", "q_block")
-    q, m = _blocks(nodes.filter("audited").select("node", "shard", "vec"), nodes.select("node", "shard", "vec", "n"))
+    # an audited vector goes to every block: so there are few, of so many numbers as a task can hold
+    most = F.greatest(F.lit(1), F.lit(BLOCK_VALUES) / F.substring_index("shard", "/", -1).cast("int"))
+    size = F.least(most, F.greatest(F.lit(LEAST_BLOCK), F.col("count") / 8))
+    q, m = _blocks(nodes.filter("audited").select("node", "shard", _vec(nodes)), nodes.select("node", "shard", _vec(nodes), "n"), size, most / 2)
     true = q.groupBy(*key).cogroup(m.groupBy(*key)).applyInArrow(_count_true, "node long, n_true long")
     true = true.groupBy("node").agg(F.sum("n_true").alias("n_true")).filter("n_true > 0")
     share = F.least(F.lit(1.0), F.coalesce("links", F.lit(0)) / F.col("n_true"))
@@ -424,26 +492,28 @@ def recall(nodes: DataFrame, links: DataFrame) -> float:
 
 def near_links(vectors: DataFrame, overlap: int = 2) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
-    nodes = write_and_read(nodes_of(vectors.select("vec_id", "embedding", "label")), "graph-nodes")
-    while True:
-        found = _found(nodes, overlap)
-        links = found.groupBy("node").agg(F.sum("links").alias("links"))
-        reached = recall(nodes, links)
-        if reached >= MIN_RECALL:
-            break
-        if overlap >= PIVOTS:
-            warnings.warn(f"the audited vectors got {reached:.4f} of their links, below {MIN_RECALL}")
-            break
-        overlap *= 2
-    edges = found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    roots = components(edges)
-    named = nodes.select("node", "label", "embedding", "n", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    with _shuffles_removed(vectors.sparkSession):
+        nodes = write_and_read(nodes_of(vectors.select("vec_id", "embedding", "label")), "graph-nodes")
+        while True:
+            found = _found(nodes, overlap)
+            reached = recall(nodes, found.groupBy("node").agg(F.sum("links").alias("links")))
+            if reached >= MIN_RECALL:
+                break
+            if overlap >= MOST_OVERLAP:
+                warnings.warn(f"the audited vectors got {reached:.4f} of their links, below {MIN_RECALL}")
+                break
+            overlap *= 2
+        edges = found.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = components(edges)
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    named = nodes.select("node", "n", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy(F.col("root").alias("r")).agg(F.min("first_id").alias("component_id"))
     named = (named.join(names, F.col("root") == F.col("r")).join(links, "node", "left")
-             .select(F.col("label").alias("l"), F.col("embedding").alias("e"), "component_id",
-                     (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
-    out = vectors.select("vec_id", "embedding", "label").join(named, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")
-    component = F.when(F.col("l").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+             .select(F.col("node").alias("of"), "component_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")))
+    same = nodes.select(F.col("label").alias("l"), F.col("embedding").alias("e"), "node")
+    out = vectors.select("vec_id", "embedding", "label").join(same, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")
+    out = out.select("vec_id", "node").join(named, F.col("node") == F.col("of"), "left")
+    component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
                       F.coalesce(F.col("vec_id") == component, component.isNull()).alias("kept"))
 

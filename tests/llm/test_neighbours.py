@@ -155,3 +155,17 @@ def test_audit_sees_what_is_missing(spark):
     assert N.recall(nodes, full) == 1.0
     assert abs(N.recall(nodes, full.join(nodes.filter("first_id <> 100").select("node"), "node")) - 0.8) < 1e-9
     assert abs(N.recall(nodes, full.limit(0)) - 0.0) < 1e-9
+
+
+def test_a_vector_is_written_twice_however_many_shards_it_is_in(spark, monkeypatch):
+    """Tables of shards and visits hold ids only; a round whose shards are searched in steps finds the same."""
+    for name, value in (("SHARD", 128), ("PART", 64), ("CHUNK", 500), ("SLICE", 300)):
+        monkeypatch.setattr(N, name, value, raising=False)
+    wrote, write = [], N.write_and_read
+    monkeypatch.setattr(N, "write_and_read", lambda df, name: wrote.append((name, set(df.columns))) or write(df, name))
+    rows = made(np.random.default_rng(11), 1200, 100)
+    got, want = run(spark, rows), brute(rows)
+    assert [name for name, columns in wrote if columns & {"vec", "embedding", "pivot"}] == ["graph-nodes", "graph-members"]
+    assert len([name for name, _ in wrote if name == "graph-found"]) >= N.MOST_SLICES
+    assert [g[0] for g in got] == [w[0] for w in want] and all(g[1] <= w[1] for g, w in zip(got, want))
+    assert sum(g[1] for g in got) >= 0.97 * sum(w[1] for w in want)
